@@ -2,20 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; a null doc_id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hyperminhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates,)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decision_list import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    judged = judge(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    stats = [F.col(f"_stats.{s}").alias(s) for s in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *stats, "base_failed", "rule", "kept")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels").filter(fold(3) != 1))
+    return model.score(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pow2_packing import decompose, sequences
+
+    pieces = decompose(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return sequences(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op4_quality_rules, op7_toxicity, op9_packing)}
 
 #: Learned, iterative and tokenizer-based results have no SQL; their tests hold brute-force versions.
 ORACLE_SQL: dict[str, str] = {}

@@ -28,6 +28,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+LENGTH = np.uint64(0xD6E8FEB86659FD93)
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 _CASED = np.arange(256)
@@ -72,10 +73,14 @@ def slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, n
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first byte, end byte and hash of every word, in order."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool, between: np.ndarray = WHITE, values: np.ndarray | None = None, prefixes: tuple[int, ...] = ()):
+    """Row, first byte, end byte and hash of every word, in order.
+
+    between: marks of the bytes that part words. values: another value for each
+    byte. prefixes: also give a list of hashes of each word's first so many bytes.
+    """
     n = len(data)
-    white = WHITE[data]
+    white = between[data]
     begin = ~white
     begin[1:] &= white[:-1]
     last = ~white
@@ -85,7 +90,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     last[inner - 1] = ~white[inner - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
     hashes = np.empty(len(starts), np.uint64)
-    values, at, word = _VALUES[lower], 0, 0
+    heads = [np.empty(len(starts), np.uint64) for _ in prefixes]
+    values, at, word = _VALUES[lower] if values is None else values, 0, 0
     while word < len(starts):
         at = int(starts[word])
         stop = max(word + 1, int(np.searchsorted(ends, at + SEGMENT, "right")))
@@ -94,10 +100,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
         sums = np.zeros(end - at + 1, np.uint64)
         np.cumsum(values[data[at:end]] * up[: end - at], out=sums[1:])
         s, e = starts[word:stop] - at, ends[word:stop] - at
-        hashes[word:stop] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        hashes[word:stop] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * LENGTH)
+        for size, out in zip(prefixes, heads, strict=True):
+            cut = np.minimum(e, s + size)
+            out[word:stop] = mix64((sums[cut] - sums[s]) * down[s] + (cut - s).astype(np.uint64) * LENGTH)
         word = stop
     rows = np.searchsorted(offsets, starts, "right") - 1
-    return rows, starts, ends, hashes
+    return (rows, starts, ends, hashes, heads) if prefixes else (rows, starts, ends, hashes)
 
 
 def runs(rows: np.ndarray, n: int) -> np.ndarray:
@@ -116,3 +125,14 @@ def grams(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray,
         out += hashes[i : i + n]
     whole = rows[:n] == rows[size - 1 :]
     return mix64(out[whole] + np.uint64(size)), rows[:n][whole]
+
+
+def counts(mask: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """How many of a mask's marks lie between each two borders."""
+    total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+    return total[borders[1:]] - total[borders[:-1]]
+
+
+def values_of(table: np.ndarray) -> np.ndarray:
+    """Byte values for words() under which bytes count as the bytes that `table` maps them to."""
+    return _VALUES[False][table]
