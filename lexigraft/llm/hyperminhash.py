@@ -10,7 +10,9 @@ Bands of five registers name candidate buckets: a pair at the threshold shares
 one of the 30 bands with a chance of 0.9997. In a bucket every member is first
 compared with the smallest one only, which is linear in the bucket. Buckets
 whose members then still lie in several components get a second pass, where
-members outside the leader's component meet all others in blocks of fixed size.
+members outside the leader's component meet all others in blocks of fixed size;
+the 256 smallest hashes, the whole set for most texts, sharpen the estimate, and
+one sure pair for a member and a component is enough.
 Pairs whose collision-corrected estimate can't reach the threshold are dropped,
 all others are confirmed on the full sets, and links give components.
 
@@ -31,8 +33,8 @@ from .words import grams, mix64, runs, slices, words
 
 REGISTERS, MANTISSA = 256, 10
 BANDS, ROWS = 30, 5
-#: Registers that the second pass carries, and members of a block.
-SHORT, BLOCK = 128, 512
+#: Registers that the second pass carries, the smallest hashes that it carries, and members of a block.
+SHORT, LOW, BLOCK = BANDS * ROWS, 256, 512
 #: Broadcast a list of documents (16 bytes each) only up to this many.
 BROADCAST_ROWS = 1_000_000
 #: Standard deviations by which an estimate may miss.
@@ -94,15 +96,14 @@ def _features(size: int):
         for batch in batches:
             ids = batch.column(0)
             for start, end, data, offsets in slices(batch.column(1)):
-                counts, nodes, signatures = [], [], []
+                counts, nodes, signatures, lows = [], [], [], []
                 for found in shingle_sets(data, offsets, size):
                     counts.append(len(found))
                     nodes.append(set_id(found) if len(found) else None)
                     signatures.append(signature(found).tobytes() if len(found) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, end - start), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "sig"],
-                )
+                    lows.append((found[:LOW] >> np.uint64(32)).astype(np.uint32).tobytes() if len(found) else None)
+                columns = [ids.slice(start, end - start), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(lows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "sig", "low"])
 
     return each
 
@@ -129,6 +130,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), used.shape[:2]).copy()
         for i in range(ROWS):
             keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + used[:, :, i])
+        keys = (keys & np.uint64(0xFFFFFFFFFFFFFFE0)) | np.arange(BANDS, dtype=np.uint64)  # the band's number is the key's end
         nodes = np.repeat(batch.column(0).to_numpy(), BANDS)
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
@@ -176,22 +178,68 @@ def _confirmed(percent: int):
     return each
 
 
+def _low_estimate(x: np.ndarray, others: np.ndarray, sizes: np.ndarray, n: float, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates of x with each row of `others` (smallest hashes, padded) and their deviations.
+
+    Two sets that are whole here are compared as they are, but for chance agreements of 32-bit hashes.
+    """
+    whole = (n <= LOW) & (ns <= LOW)
+    last = np.where(ns > LOW, others[np.arange(len(others)), sizes - 1], np.uint32(0xFFFFFFFF))
+    limit = np.minimum(last, x[-1] if n > LOW else np.uint32(0xFFFFFFFF))
+    valid = (np.arange(others.shape[1]) < sizes[:, None]) & (others <= limit[:, None])
+    at = np.minimum(np.searchsorted(x, others.ravel()), len(x) - 1)
+    shared = ((x[at] == others.ravel()).reshape(others.shape) & valid).sum(axis=1)
+    union = np.searchsorted(x, limit, "right") + valid.sum(axis=1) - shared
+    return shared / np.maximum(union, 1), np.where(whole, 0.3 / np.maximum(union, 1), np.sqrt(0.1875 / np.maximum(union, 1)))
+
+
 def _blocks(threshold: float):
     """Pairs of different components that may be similar, for rows sorted by group; a group has two blocks at most."""
 
-    def pairs(keys, nodes, labels, counts, asks, registers) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
+    def asked(i: int, target: np.ndarray, band: int, c: dict) -> np.ndarray:
+        """The rows of `target` that row i has to be held against."""
+        n, m = c["n"][i], c["n"][target]
+        target = target[(c["label"][target] != c["label"][i]) & (np.minimum(n, m) >= threshold * np.maximum(n, m)) & ~(c["open"][target] & (c["node"][target] < c["node"][i]))]
+        same = c["sig"][target] == c["sig"][i]
+        guess, spread = estimate(same.sum(axis=1), n, c["n"][target], SHORT)
+        near = guess + SIGMAS * spread >= threshold
+        near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band  # a pair counts in its first band only
+        target, guess, spread = target[near], guess[near], spread[near]
+        if not len(target):
+            return target
+        sizes = c["sizes"][target]
+        low, low_spread = _low_estimate(c["low"][i, : c["sizes"][i]], c["low"][target], sizes, n, c["n"][target])
+        weight = spread**2 / (spread**2 + low_spread**2)
+        guess, spread = guess * (1 - weight) + low * weight, np.sqrt(weight) * low_spread
+        whole = (n <= LOW) & (c["n"][target] <= LOW)
+        guess, spread = np.where(whole, low, guess), np.where(whole, low_spread, spread)
+        keep = guess + SIGMAS * spread >= threshold
+        target, guess, spread = target[keep], guess[keep], spread[keep]
+        order = np.lexsort((-(guess - SIGMAS * spread), c["label"][target]))
+        target, sure = target[order], (guess - SIGMAS * spread)[order] >= threshold
+        first = np.r_[True, np.diff(c["label"][target]) != 0] if len(target) else np.zeros(0, bool)
+        settled = sure[np.maximum.accumulate(np.where(first, np.arange(len(target)), 0))] if len(target) else first
+        return target[first | ~settled]
+
+    def pairs(keys: np.ndarray, c: dict) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         borders = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
         for lo, hi in zip(np.r_[0, borders], np.r_[borders, len(keys)], strict=True):
-            query, target = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(~asks[lo:hi])
-            for i in query:
-                n, m = counts[i], counts[target]
-                guess, spread = estimate((registers[target] == registers[i]).sum(axis=1), n, m, SHORT)
-                keep = (guess + SIGMAS * spread >= threshold) & (np.minimum(n, m) >= threshold * np.maximum(n, m)) & (labels[target] != labels[i])
-                right.append(nodes[target[keep]])
-                left.append(np.full(len(right[-1]), nodes[i]))
-        empty = [np.zeros(0, np.int64)]
-        return np.concatenate(left or empty), np.concatenate(right or empty)
+            band = int(keys[lo, 0]) & 31
+            target = lo + np.flatnonzero(~c["asks"][lo:hi])
+            for i in lo + np.flatnonzero(c["asks"][lo:hi]):
+                right.append(c["node"][asked(i, target, band, c)])
+                left.append(np.full(len(right[-1]), c["node"][i]))
+        return np.concatenate(left), np.concatenate(right)
+
+    def columns(table: pa.Table) -> dict:
+        out = {k: table.column(k).to_numpy() for k in ("node", "label", "asks", "open")}
+        out["n"] = table.column("n_shingles").to_numpy().astype(float)
+        out["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SHORT)
+        lows = table.column("low").to_pylist()
+        out["sizes"] = np.array([len(x) // 4 for x in lows])
+        out["low"] = np.frombuffer(b"".join(x.ljust(4 * LOW, b"\xff") for x in lows), np.uint32).reshape(-1, LOW)
+        return out
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -202,14 +250,12 @@ def _blocks(threshold: float):
             keys = np.stack([table.column(c).to_numpy() for c in ("key", "block", "asker")], axis=1)
             cut = len(keys)
             if batch is not None:
-                cut = int(np.flatnonzero(np.any(keys != keys[-1], axis=1))[-1]) + 1 if np.any(keys != keys[-1]) else 0
+                other = np.flatnonzero(np.any(keys != keys[-1], axis=1))
+                cut = int(other[-1]) + 1 if len(other) else 0
             rest = table.slice(cut)
-            done = table.slice(0, cut)
-            if not cut:
-                continue
-            registers = np.frombuffer(b"".join(done.column("sig").to_pylist()), np.uint16).reshape(-1, SHORT)
-            a, b = pairs(keys[:cut], done.column("node").to_numpy(), done.column("label").to_numpy(), done.column("n_shingles").to_numpy().astype(float), done.column("asks").to_numpy(), registers)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if cut:
+                a, b = pairs(keys[:cut], columns(table.slice(0, cut)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return each
 
@@ -246,9 +292,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     threshold = percent / 100
-    features = materialise(docs.mapInArrow(_features(shingle_words), "doc_id long, n_shingles long, node long, sig binary"), "features")
+    features = materialise(docs.mapInArrow(_features(shingle_words), "doc_id long, n_shingles long, node long, sig binary, low binary"), "features")
     nodes = materialise(
-        features.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "nodes"
+        features.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("low").alias("low")), "nodes"
     )
     bands = nodes.select("node", "sig").mapInArrow(_bands, "key long, node long")
     shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1")
@@ -266,12 +312,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     open_ = open_.select("key", "node", "members", F.coalesce("node_label", "node").alias("label"), F.coalesce("leader_label", "leader").alias("top"))
     open_ = materialise(open_, "open")
     askers = open_.filter("label <> top").groupBy("key").agg(F.count("*").alias("askers"))
-    open_ = open_.join(askers, "key").join(nodes.select("node", "n_shingles", F.expr(f"substring(sig, 1, {2 * SHORT})").alias("sig")), "node")
+    open_ = open_.join(askers, "key").join(nodes.select("node", "n_shingles", F.expr(f"substring(sig, 1, {2 * SHORT})").alias("sig"), "low"), "node")
+    open_ = open_.withColumn("open", F.col("label") != F.col("top"))
     salt = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / F.lit(BLOCK)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / F.lit(BLOCK)) - 1))
-    body = ["node", "label", "n_shingles", "sig"]
+    body = ["node", "label", "open", "n_shingles", "sig", "low"]
     targets = open_.select("key", salt("members").alias("block"), every("askers").alias("asker"), F.lit(False).alias("asks"), *body)
-    queries = open_.filter("label <> top").select("key", every("members").alias("block"), salt("askers").alias("asker"), F.lit(True).alias("asks"), *body)
+    queries = open_.filter("open").select("key", every("members").alias("block"), salt("askers").alias("asker"), F.lit(True).alias("asks"), *body)
     rows = targets.union(queries).repartition("key", "block", "asker").sortWithinPartitions("key", "block", "asker")
     more = rows.mapInArrow(_blocks(threshold), "a long, b long").distinct()
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "more")
