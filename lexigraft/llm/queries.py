@@ -28,6 +28,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .int8_neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decision_list import fit, judge
 
@@ -37,6 +43,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *stats, "base_failed", "rule", "kept")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_rules import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit
 
@@ -54,7 +66,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op4_quality_rules, op7_toxicity, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op6_license_scan, op7_toxicity, op9_packing)}
 
 #: Learned, iterative and tokenizer-based results have no SQL; their tests hold brute-force versions.
 ORACLE_SQL: dict[str, str] = {}
