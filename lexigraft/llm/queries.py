@@ -57,6 +57,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import new_path
+    from .warc import archive, read
+
+    path = new_path(spark, "warc")
+    archive(table(spark, sf_dir, "pages"), path)
+    number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
+    return read(spark, path, payload=False, verify=True).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to")
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pow2_packing import decompose, sequences
 
@@ -66,7 +78,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op6_license_scan, op7_toxicity, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op6_license_scan, op7_toxicity, op8_warc, op9_packing)}
 
 #: Learned, iterative and tokenizer-based results have no SQL; their tests hold brute-force versions.
 ORACLE_SQL: dict[str, str] = {}
