@@ -22,6 +22,13 @@ def fold(n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_viterbi import encode
+
+    found = encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), decoded=True)
+    return found.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("decoded_chars"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hyperminhash import near_duplicates
 
@@ -78,7 +85,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op6_license_scan, op7_toxicity, op8_warc, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op6_license_scan, op7_toxicity, op8_warc, op9_packing)}
 
 #: Learned, iterative and tokenizer-based results have no SQL; their tests hold brute-force versions.
 ORACLE_SQL: dict[str, str] = {}
