@@ -85,7 +85,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op6_license_scan, op7_toxicity, op8_warc, op9_packing)}
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .feistel_order import read, write
+    from .shared import new_path
+
+    path = new_path(spark, "order")
+    write(table(spark, sf_dir, "documents"), path, key=20)
+    return read(spark, path).select("slot", "sequence", "shard", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op6_license_scan, op7_toxicity, op8_warc, op9_packing, op10_training_order)}
 
 #: Learned, iterative and tokenizer-based results have no SQL; their tests hold brute-force versions.
 ORACLE_SQL: dict[str, str] = {}
