@@ -50,6 +50,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *stats, "base_failed", "rule", "kept")
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_mixing import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_rules import scan
 
@@ -94,7 +100,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, path).select("slot", "sequence", "shard", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op6_license_scan, op7_toxicity, op8_warc, op9_packing, op10_training_order)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op5_context_mixing, op6_license_scan, op7_toxicity, op8_warc, op9_packing, op10_training_order)}
 
 #: Learned, iterative and tokenizer-based results have no SQL; their tests hold brute-force versions.
 ORACLE_SQL: dict[str, str] = {}
