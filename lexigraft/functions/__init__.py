@@ -1 +1 @@
-
+"""Column functions and constant tables."""

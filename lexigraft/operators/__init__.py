@@ -1 +1 @@
-
+"""Relational operators: each takes DataFrames and gives a DataFrame."""
