@@ -25,7 +25,7 @@ def assemble(raw: DataFrame, scope: DataFrame, corpus: str, split: str) -> DataF
     """Documents of raw annotated text (schemas.RAW_DOCUMENT); relations whose ends aren't found are left out."""
     own = scope.filter(F.col("corpus") == corpus)
     types = own.agg(F.map_from_entries(F.collect_list(F.struct("entity_type", F.struct("semantic_class", "in_scope")))).alias("_types"))
-    docs = raw.crossJoin(F.broadcast(types))  # one row: the registry of a corpus
+    docs = raw.withColumnsRenamed({"entities": "_entities", "relations": "_relations"}).crossJoin(F.broadcast(types))  # one row: the registry of a corpus
     code = lambda e: F.nullif(F.trim(e["code"]), F.lit(""))
     spec = lambda e: F.try_element_at("_types", F.coalesce(e["entity_type"], F.lit("")))
     none = F.lit(None).cast("string")
@@ -46,7 +46,7 @@ def assemble(raw: DataFrame, scope: DataFrame, corpus: str, split: str) -> DataF
             F.struct(F.nullif(e["extra"], F.lit("")).alias("source_extra"), F.lit(None).cast("boolean").alias("silver"), none.alias("source")).alias("extra"),
         )
 
-    codes = F.transform("entities", code)
+    codes = F.transform("_entities", code)
 
     def relation(r: Column) -> Column:
         return F.struct(
@@ -63,7 +63,7 @@ def assemble(raw: DataFrame, scope: DataFrame, corpus: str, split: str) -> DataF
             ).alias("extra"),
         )
 
-    relations = F.filter(F.transform("relations", relation), lambda r: r["subject_idx"].isNotNull() & r["object_idx"].isNotNull())
+    relations = F.filter(F.transform("_relations", relation), lambda r: r["subject_idx"].isNotNull() & r["object_idx"].isNotNull())
     return docs.select(
         "pmid",
         F.lit(corpus).alias("corpus"),
@@ -71,7 +71,7 @@ def assemble(raw: DataFrame, scope: DataFrame, corpus: str, split: str) -> DataF
         F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("abstract", F.lit("")).alias("abstract"),
         join_text(F.col("title"), F.col("abstract")).alias("text"),
-        F.transform("entities", entity).alias("entities"),
+        F.transform("_entities", entity).alias("entities"),
         relations.alias("relations"),
         F.lit(SCHEMA_VERSION).alias("schema_version"),
     )
@@ -164,7 +164,7 @@ def relation_outcomes(docs: DataFrame) -> DataFrame:
     """Relations by split and target: counts, defaulted ones and those with several candidates, with totals over splits."""
     rows = docs.select("split", F.explode("relations").alias("r"))
     out = rows.rollup("split", "r.target_relation").agg(
-        F.count("*").alias("relations"), F.count_if("r.extra.default_used").alias("defaulted"), F.count_if(F.size("r.extra.target_candidates") > 1).alias("several"), F.count_if("r.tier = 1").alias("tier1"), F.grouping_id().alias("level")
+        F.count("*").alias("relations"), F.count_if("r.extra.default_used").alias("defaulted"), F.count_if(F.size("r.extra.target_candidates") > 1).alias("several"), F.count_if(F.col("r.tier") == 1).alias("tier1"), F.grouping_id().alias("level")
     )
     return out
 

@@ -1,4 +1,6 @@
 """Registered queries over the given tables, each with its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import document_queries, graph_queries, mapping_queries  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1 +1,35 @@
+"""Streaming forms of operators that need no more than a row, a static table or a counter."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.documents import stamp_relations
+from ..sources.annotated import pubtator_blocks
+
+
+def annotated_stream(lines: DataFrame) -> DataFrame:
+    """Raw documents of a stream of PubTator blocks (value)."""
+    return pubtator_blocks(lines)
+
+
+def stamped_stream(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """Stamp relations in a stream of documents; the relation table is static."""
+    return stamp_relations(docs, table)
+
+
+def mention_counts(mentions: DataFrame, *keys: str) -> DataFrame:
+    """Running counts of a stream, for output mode complete or update."""
+    return mentions.groupBy(*keys).agg(F.count("*").alias("frequency"))
+
+
+def windowed_counts(events: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:
+    """Counts by tumbling window and key; rows later than `late` are dropped, and windows close then."""
+    stamped = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return stamped.groupBy(F.window(time, width), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
+
+
+def distinct_documents(docs: DataFrame, time: str, late: str) -> DataFrame:
+    """The first row of each pmid within the time that late rows may take."""
+    return docs.withWatermark(time, late).dropDuplicatesWithinWatermark(["pmid"])
