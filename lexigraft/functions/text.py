@@ -21,7 +21,7 @@ def normalise_code(code: Column, pattern: str = CODE) -> Column:
 
 def split_composite(codes: Column, separators: str = r"[,;|]") -> Column:
     """The parts of a composite code, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(codes, separators), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(codes, separators), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def strip_prefix(code: Column, prefix: str = "MESH:", any_case: bool = False) -> Column:

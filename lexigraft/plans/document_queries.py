@@ -36,11 +36,11 @@ def q21_doc_assembly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(BEST.rstrip() + """, m AS (SELECT code, sid AS target_id, conf, s_acctbal >= 0 AS ok FROM best JOIN supplier ON s_suppkey = sid),
-p AS (SELECT rowid AS line, l_orderkey, l_partkey, l_suppkey FROM lineitem),
-c AS (SELECT line, 0 AS part, m.* FROM p JOIN m ON code = l_partkey UNION ALL SELECT line, 1, m.* FROM p JOIN m ON code = l_suppkey),
-first AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY line ORDER BY CASE WHEN ok THEN 0 ELSE 1 END, conf DESC, part) = 1)
+p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+c AS (SELECT p.*, 0 AS part, m.* FROM p JOIN m ON code = l_partkey UNION ALL SELECT p.*, 1, m.* FROM p JOIN m ON code = l_suppkey),
+first AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY CASE WHEN ok THEN 0 ELSE 1 END, conf DESC, part) = 1)
 SELECT l_orderkey AS doc, CAST(l_partkey AS VARCHAR) || ',' || CAST(l_suppkey AS VARCHAR) AS code, CAST(target_id AS VARCHAR) AS mapped_id,
-       round(CASE WHEN ok THEN conf ELSE conf * 0.5 END, 4) AS confidence, ok AS target_active FROM p LEFT JOIN first USING (line)""".replace("rowid AS line", "row_number() OVER () AS line"))
+       round(CASE WHEN ok THEN conf ELSE conf * 0.5 END, 4) AS confidence, ok AS target_active FROM lineitem LEFT JOIN first USING (l_partkey, l_suppkey)""")
 def q22_concept_stamp(spark: SparkSession, sf: str) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     code = F.concat_ws(",", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))

@@ -234,11 +234,11 @@ WITH s AS (SELECT l_partkey AS code, l_suppkey AS target_id, sum(l_quantity) AS
 m AS (SELECT o_orderkey AS mention, o_custkey AS code, o_custkey AS mapped_id FROM orders),
 j AS (SELECT mention, coalesce(target_id, mapped_id) AS target_id, coalesce(q, 1) AS prob FROM m LEFT JOIN s USING (code)),
 g AS (SELECT mention, target_id, sum(prob) AS prob FROM j GROUP BY ALL)
-SELECT mention, target_id, round(prob / sum(prob) OVER (PARTITION BY mention), 6) AS prob FROM g""")
+SELECT mention, target_id, round(prob / sum(prob) OVER (PARTITION BY mention), 9) AS prob FROM g""")
 def q30_soft_targets(spark: SparkSession, sf: str) -> DataFrame:
     base = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("code"), F.col("l_suppkey").alias("target_id")).agg(F.sum("l_quantity").alias("prob"))
     mentions = table(spark, sf, "orders").select(F.col("o_orderkey").alias("mention"), F.col("o_custkey").alias("code"), F.col("o_custkey").alias("mapped_id"), F.lit(None).cast("double").alias("confidence"))
-    return soft.norm_targets(mentions, base).select("mention", "target_id", F.round("prob", 6).alias("prob"))
+    return soft.norm_targets(mentions, base).select("mention", "target_id", F.round("prob", 9).alias("prob"))
 
 
 @query(WITH + """, p AS (SELECT o_orderkey AS doc, 'n' || CAST(c_nationkey AS VARCHAR) AS gold, CASE o_orderkey % 3 WHEN 0 THEN 'n' || CAST(c_nationkey AS VARCHAR) WHEN 1 THEN 'r' || CAST(n_regionkey AS VARCHAR) ELSE 'r0' END AS pred
