@@ -55,8 +55,8 @@ def bulk_mentions(rows: DataFrame, pmids: DataFrame) -> DataFrame:
     return own.groupBy("pmid", "code").agg(F.min_by("mention", "ord").alias("mention"))
 
 
-def bulk_documents(relations: DataFrame, mentions: DataFrame, mapped: DataFrame, most: int = C.BULK_DOCUMENTS) -> DataFrame:
-    """One document per relation whose ends have a name: text, spans, targets and the weighted label."""
+def bulk_documents(relations: DataFrame, mentions: DataFrame, mapped: DataFrame, most: int | None = C.BULK_DOCUMENTS) -> DataFrame:
+    """One document per relation whose ends have a name: text, spans, targets and the weighted label; all of them if most is None."""
     named = lambda s: mentions.select("pmid", F.col("code").alias(s), F.col("mention").alias(f"{s}_text"))
     target = lambda s: mapped.select(F.col("code").alias(s), F.col("target_id").alias(f"{s}_id"), (F.col("confidence") * C.BULK_WEIGHT).alias(f"{s}_confidence"))
     rows = relations.join(named("subject"), ["pmid", "subject"]).join(named("object"), ["pmid", "object"]).join(target("subject"), "subject", "left").join(target("object"), "object", "left")
@@ -68,7 +68,7 @@ def bulk_documents(relations: DataFrame, mentions: DataFrame, mapped: DataFrame,
         F.array(entity("subject", F.lit(0)), entity("object", begin)).alias("entities"),
         F.array(F.struct(F.lit(0).alias("subject_idx"), F.lit(1).alias("object_idx"), label.alias("target_relation"), F.lit(C.DEFAULT_TIER).alias("tier"))).alias("relations"),
     )
-    return out.orderBy("pmid", "relation", "text").limit(most)
+    return out if most is None else out.orderBy("pmid", "relation", "text").limit(most)
 
 
 def label_distribution(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with its SQL."""
 
-from . import document_queries, graph_queries, mapping_queries  # noqa: F401
+from . import document_queries, graph_queries, mapping_queries, silver_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
