@@ -171,8 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Ru
     """
     sample = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").cast("long").alias("_id"), "quality")
-    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"])
-    rows = rows.select("doc_id", "text", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
     stats = with_stats(rows, ["doc_id", "quality"], "s").select("doc_id", "quality", "s.*")
     table = stats.select("doc_id", "quality", *(F.expr(f"cast({e} as double)").alias(f) for f, e in FEATURES.items())).toPandas()
     table = table.sort_values(["doc_id", *FEATURES], kind="stable")

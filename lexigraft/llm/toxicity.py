@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """
     sample = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").cast("long").alias("_id"), "toxic")
-    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"]).select("_id", "toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "toxic", "text")
     half = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4))
     found = toxic_words(rows.filter(half < 2))
     table = with_features(rows.withColumn("_half", half).filter("_half >= 2"), ["_id", "toxic", "_half"], found).coalesce(4).cache()

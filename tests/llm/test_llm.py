@@ -16,12 +16,12 @@ pytest.importorskip("lexigraft.llm")
 from lexigraft.llm import context_mixing, decision_list, feistel_order, hyperminhash, int8_neardup, license_rules, pow2_packing, queries, sentencepiece_viterbi, shared, tokens, toxicity, warc, words  # noqa: E402
 
 P = pytest.importorskip("public_tokenizers")
-DOCS = "doc_id long, text string, n_words string, node long"
+DOCS = "doc_id long, text string, n_words string, node long, toxic int, quality string"
 
 
 def docs_of(spark, rows, parts=2):
     """Documents with columns whose names clash with those that operators make."""
-    return spark.createDataFrame([(*r, "x", 7) for r in rows], DOCS).repartition(parts)
+    return spark.createDataFrame([(*r, "x", 7, 0, "q") for r in rows], DOCS).repartition(parts)
 
 
 ODD = [(None, "null id here"), (900, None), (901, ""), (902, " \t\n "), (903, "one"), (903, "one"), (904, "w " * 40_000), (905, "ÄÖ ü ß 日本 \U0001f600 é")]
@@ -421,5 +421,20 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == kept > 50
 
 
+def test_stages_bear_odd_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    text = " ".join(f"word{i}" for i in range(80))
+    docs = docs_of(spark, [*ODD, (1, text), (2, text + " more"), (3, "other " + text[::-1]), (3, text + " again")])
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = shared.materialise(stage(spark, docs, sf), name)
+        assert docs.columns == DOCS.replace(",", "").split()[::2]
+    assert sorted(r.doc_id for r in docs.collect()) == [1, 3, 3]
+    nothing = docs.limit(0)
+    for _, stage in pipeline.STAGES[:-1]:
+        nothing = stage(spark, nothing, sf)
+    assert nothing.count() == 0
+
+
 def test_fold():
     assert len(queries.QUERIES) == 10 and isinstance(queries.fold(3), type(F.lit(1)))
