@@ -103,6 +103,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(a: Column) -> Column:
+    """A number array in double precision, of length 1; a zero array is null."""
+    length = F.nullif(F.sqrt(dot(a, a)), F.lit(0.0))
+    return F.when(length.isNotNull(), F.transform(a, lambda x: x.cast("double") / length))
+
+
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine
+from ..functions.text import dot, unit
 from ..operators import hierarchy as H
 from ..operators import kg, soft
 from .base import query, table
@@ -117,13 +117,13 @@ def nearest(spark: SparkSession, sf: str) -> DataFrame:
 
     Queries go out in blocks of fixed size, all rows stream past each block.
     """
-    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    rows = table(spark, sf, "embeddings").select("vec_id", unit(F.col("embedding")).alias("embedding"))
     asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for block in range(blocks):
         some = F.broadcast(asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block))
-        scored = rows.join(some, F.col("vec_id") != F.col("q")).select(F.col("q").alias("vec_id"), F.col("vec_id").alias("other"), cosine(F.col("embedding"), F.col("v")).alias("sim"))
+        scored = rows.join(some, F.col("vec_id") != F.col("q")).select(F.col("q").alias("vec_id"), F.col("vec_id").alias("other"), dot(F.col("embedding"), F.col("v")).alias("sim"))
         found = scored if found is None else found.union(scored)
     return soft.top_k(found, ["vec_id"], [F.desc(F.round("sim", 6)), F.col("other")], 5)
 
