@@ -102,5 +102,28 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op5_context_mixing, op6_license_scan, op7_toxicity, op8_warc, op9_packing, op10_training_order)}
 
-#: Learned, iterative and tokenizer-based results have no SQL; their tests hold brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT id, id FROM ids UNION SELECT r.id, b.b FROM reach r JOIN ways b ON b.a = r.other),
+label AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)
+"""
+
+#: Exact SQL where there is any; learned and tokenizer-based results have none, their tests hold brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": f"""
+WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN array_to_string(ws[i : i + 4], ' ') ELSE array_to_string(ws, ' ') END AS shingle
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+{_REACH}
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM label LEFT JOIN n ON doc_id = id""",
+    "op3_embedding_neardup": f"""
+WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+{_REACH}, k AS (SELECT a, count(*) AS n FROM ways GROUP BY 1)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM label LEFT JOIN k ON a = id""",
+}

@@ -438,3 +438,16 @@ def test_stages_bear_odd_rows(spark):
 
 def test_fold():
     assert len(queries.QUERIES) == 10 and isinstance(queries.fold(3), type(F.lit(1)))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df, want = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    places = [want.columns.index(c) for c in columns]
+    assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(str(tuple(r[i] for i in places)) for r in want.fetchall())
