@@ -10,7 +10,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 pytest.importorskip("lexigraft.llm")
 from lexigraft.llm import context_mixing, decision_list, feistel_order, hyperminhash, int8_neardup, license_rules, pow2_packing, queries, sentencepiece_viterbi, shared, tokens, toxicity, warc, words  # noqa: E402
@@ -436,8 +435,9 @@ def test_stages_bear_odd_rows(spark):
     assert nothing.count() == 0
 
 
-def test_fold():
-    assert len(queries.QUERIES) == 10 and isinstance(queries.fold(3), type(F.lit(1)))
+def test_fold(spark):
+    rows = spark.createDataFrame([(i,) for i in (0, 17, -3, None)], "doc_id long").select("doc_id", queries.fold(3).alias("f")).collect()
+    assert len(queries.QUERIES) == 10 and [r.f for r in rows] == [zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 3 for r in rows]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
