@@ -111,6 +111,11 @@ class Rule:
     pattern: re.Pattern
 
 
+def _spaced(pattern: str) -> str:
+    """The pattern with any white space for a space: at least one for ' ' and as '[- ]', none or some for ' ?'."""
+    return re.sub(r"\[- \]| \??", lambda m: {"[- ]": r"(?:-|\s+)", " ?": r"\s*", " ": r"\s+"}[m.group()], pattern)
+
+
 def rules() -> list[Rule]:
     """Every name in every frame, in order of priority."""
     out = []
@@ -118,7 +123,7 @@ def rules() -> list[Rule]:
         for label, spdx, keyword, name in NAMES:
             if kind == "bare" and label in NO_BARE or kind == "spdx" and label in ("apache", "gpl", "bsd", "mpl"):
                 continue
-            text = frame.replace("{id}", re.escape(spdx.lower())).replace("{name}", name).replace(" ", r"\s+")
+            text = _spaced(frame.replace("{id}", re.escape(spdx.lower())).replace("{name}", name))
             need = b"spdx" if kind == "spdx" else keyword.encode()
             out.append(Rule(label, kind, priority, weight, need, re.compile(_EDGE[0] + text.encode() + _EDGE[1])))
     return out

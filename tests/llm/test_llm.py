@@ -284,6 +284,58 @@ def test_contained_detections_give_way():
     assert [(r.label, r.kind) for _, _, r in license_rules.detect(low, license_rules.rules())] == [("apache-2.0", "granted")]
 
 
+#: Ways to write each name.
+WRITTEN = {
+    "mit": ("MIT", "Expat License"), "apache-2.0": ("Apache License 2.0", "Apache-2.0", "Apache 2"), "apache-1.1": ("Apache Software License 1.1",), "apache": ("Apache Software License",),
+    "gpl-2.0": ("GNU General Public License version 2", "GPLv2", "GPL v2", "GPL-2.0", "GNU GPLv2", "GNU GPL v2", "GNU GPL 2"), "gpl-3.0": ("GNU General Public License v3", "GPLv3", "GNU GPL v3"), "gpl": ("GNU General Public Licence", "GPL"),
+    "lgpl-2.1": ("GNU Library General Public License v2.1", "LGPLv2.1", "LGPL-2.1"), "lgpl-3.0": ("GNU Lesser General Public License version 3", "LGPL 3.0"), "lgpl": ("GNU Lesser General Public License", "LGPL"), "agpl-3.0": ("GNU Affero General Public License v3", "AGPLv3", "AGPL"),
+    "bsd-2-clause": ("2-Clause BSD License", "BSD 2-Clause", "Simplified BSD"), "bsd-3-clause": ("BSD-3-Clause", "New BSD License"), "bsd-4-clause": ("Original BSD", "BSD 4 Clause"), "bsd": ("BSD-style license", "BSD Licence"),
+    "mpl-2.0": ("Mozilla Public License 2.0", "MPL-2.0", "MPL 2", "MPL2"), "mpl-1.1": ("Mozilla Public License v1.1", "MPL 1.1"), "mpl": ("Mozilla Public License",), "epl-1.0": ("Eclipse Public License - v 1.0", "EPL-1.0"), "epl-2.0": ("Eclipse Public License v2.0", "EPL 2.0"),
+    "cddl-1.0": ("Common Development and Distribution License v1.0", "CDDL"), "cpl-1.0": ("Common Public License v1.0",), "isc": ("ISC License",), "zlib": ("zlib license", "zlib/libpng licence"), "unlicense": ("The Unlicense",), "wtfpl": ("WTFPL", "Do What The Fuck You Want To Public License"),
+    "bsl-1.0": ("Boost Software License - Version 1.0",), "artistic-2.0": ("Artistic License 2.0",), "afl-3.0": ("Academic Free License v3.0",), "osl-3.0": ("Open Software License v. 3.0",), "eupl-1.2": ("European Union Public Licence v1.2", "EUPL"), "ms-pl": ("Microsoft Public License",), "ms-rl": ("Microsoft Reciprocal License",),
+    "postgresql": ("PostgreSQL License",), "python-2.0": ("Python Software Foundation License, version 2", "PSF License"), "php-3.01": ("PHP License, version 3.01",), "openssl": ("OpenSSL License",), "ncsa": ("University of Illinois/NCSA Open Source License", "NCSA License"), "ofl-1.1": ("SIL Open Font License 1.1",),
+    "odbl-1.0": ("Open Database License v1.0", "Open Data Commons Open Database License"), "odc-by-1.0": ("Open Data Commons Attribution License v1.0",), "gfdl": ("GNU Free Documentation License, version 1.3",), "cc0-1.0": ("CC0 1.0 Universal", "CC0-1.0", "Creative Commons Zero"),
+    "cc-by-nc-nd": ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"), "cc-by-nc-sa": ("CC-BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 3.0"), "cc-by-nc": ("CC BY NC 4.0", "Creative Commons Attribution Noncommercial"),
+    "cc-by-nd": ("CC BY-ND", "Creative Commons Attribution-NoDerivs"), "cc-by-sa": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0"), "cc-by": ("CC BY 4.0", "CC-BY", "Creative Commons Attribution 4.0"), "public-domain": ("Public Domain",), "proprietary": ("All Rights Reserved",),
+}
+FRAMED = {
+    "spdx": ("SPDX-License-Identifier: {id}", "SPDX-License-Identifier: {id}-or-later"), "granted": ("Licensed under the {name}", "released under {name}", "made available to you under the terms of the {name} licence"), "governed": ("subject to the {name}", "see the {name} license"),
+    "field": ("License: {name}", "license:{name}", "licence = '{name}'", "license : ({name})"), "named": ("{name} license", "the {name} for more details", "the {name} for details"), "bare": ("{name}",),
+}
+
+
+def license_texts():
+    spdx = {label: name for label, name, *_ in license_rules.NAMES}
+    for rule in license_rules.rules():
+        for frame in FRAMED[rule.kind]:
+            for name in WRITTEN[rule.label] if rule.kind != "spdx" else ("",):
+                yield rule, frame.replace("{id}", spdx[rule.label]).replace("{name}", name)
+
+
+def test_every_rule_matches_its_forms():
+    assert set(WRITTEN) == {n[0] for n in license_rules.NAMES} and len(list(license_texts())) > 600
+    assert [(rule.label, rule.kind, text) for rule, text in license_texts() if not rule.pattern.search(text.lower().encode())] == []
+
+
+@pytest.mark.parametrize("form", ["version {}", "v{}", "v {}", "v.{}", "v. {}", "version\n{}"])
+def test_every_version_form_matches(form):
+    names = {
+        "apache-2.0": "Apache License", "apache-1.1": "Apache License", "gpl-2.0": "GNU General Public License", "gpl-3.0": "GNU General Public License", "lgpl-2.1": "GNU Lesser General Public License", "lgpl-3.0": "GNU Lesser General Public License",
+        "mpl-2.0": "Mozilla Public License", "mpl-1.1": "Mozilla Public License", "epl-1.0": "Eclipse Public License", "epl-2.0": "Eclipse Public License", "agpl-3.0": "GNU Affero General Public License", "cddl-1.0": "Common Development and Distribution License",
+        "cpl-1.0": "Common Public License", "afl-3.0": "Academic Free License", "osl-3.0": "Open Software License", "eupl-1.2": "European Union Public Licence",
+    }
+    ordered = license_rules.rules()
+    for label, name in names.items():
+        for comma in ("", ","):
+            text = f"{name}{comma} {form.format(label.split('-')[1])}"
+            assert (0, len(text), label, "bare") in [(s, e, r.label, r.kind) for s, e, r in license_rules.detect(text.lower().encode(), ordered)], text
+
+
+@pytest.mark.parametrize(("text", "label"), [("License: MIT", "mit"), ("license:mit", "mit"), ("license : mit", "mit"), ("Apache License v2.0", "apache-2.0"), ("Mozilla Public License v2.0", "mpl-2.0")])
+def test_common_forms_are_scanned(spark, text, label):
+    assert label in license_rules.scan(docs_of(spark, [(1, text)])).first().labels.split(",")
+
+
 # 7 toxicity
 
 
