@@ -1,10 +1,11 @@
 """License scan by ordered signature rules.
 
-Each rule is a regular expression over the lower-cased text with a keyword that
-has to be there first, a priority and a weight. All matches of a text are
-sorted by priority, then length; one that lies within a match already taken is
-dropped, so "licensed under the apache license, version 2.0" is one detection.
-Four base phrases are counted besides, word by word.
+Each rule is a regular expression over the lower-cased text with a priority and
+a weight; it is tried if the text, with one space for any white space, holds a
+keyword of its name and one of its frame, which every match does. All matches
+of a text are sorted by priority, then length; one that lies within a match
+already taken is dropped, so "licensed under the apache license, version 2.0"
+is one detection. Four base phrases are counted besides, word by word.
 """
 
 from __future__ import annotations
@@ -23,78 +24,76 @@ from .words import counts, slices
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, SPDX id, keyword and the ways to write the name (regular expressions, lower case, one space for any white space).
+#: Label, SPDX id, keywords one of which is in every match, and the ways to write the name (regular expressions, lower case, one space for any white space).
 NAMES = (
-    ("mit", "MIT", "mit", r"mit license|mit licence|expat license|mit"),
+    ("mit", "MIT", "mit|expat licen", r"mit license|mit licence|expat license|mit"),
     ("apache-2.0", "Apache-2.0", "apache", r"apache license,? (?:version |v\.? ?)?2(?:\.0)?|apache[- ]2(?:\.0)?"),
     ("apache-1.1", "Apache-1.1", "apache", r"apache (?:software )?license,? (?:version |v\.? ?)?1\.1"),
     ("apache", "Apache", "apache", r"apache (?:software )?licen[sc]e"),
-    ("gpl-2.0", "GPL-2.0", "g", r"gnu general public license,? (?:version |v\.? ?)2(?:\.0)?|gnu gpl ?v?2|gpl[- ]?v?2(?:\.0)?"),
-    ("gpl-3.0", "GPL-3.0", "g", r"gnu general public license,? (?:version |v\.? ?)3(?:\.0)?|gnu gpl ?v?3|gpl[- ]?v?3(?:\.0)?"),
-    ("gpl", "GPL", "g", r"gnu general public licen[sc]e|gnu gpl|gpl"),
-    ("lgpl-2.1", "LGPL-2.1", "l", r"gnu (?:lesser|library) general public license,? (?:version |v\.? ?)2\.1|lgpl[- ]?v?2\.1"),
-    ("lgpl-3.0", "LGPL-3.0", "l", r"gnu lesser general public license,? (?:version |v\.? ?)3(?:\.0)?|lgpl[- ]?v?3(?:\.0)?"),
-    ("lgpl", "LGPL", "l", r"gnu (?:lesser|library) general public license|lgpl"),
-    ("agpl-3.0", "AGPL-3.0", "a", r"gnu affero general public license(?:,? (?:version |v\.? ?)3(?:\.0)?)?|agpl[- ]?v?3(?:\.0)?|agpl"),
+    ("gpl-2.0", "GPL-2.0", "gnu general public|gpl", r"gnu general public license,? (?:version |v\.? ?)2(?:\.0)?|gnu gpl ?v?2|gpl[- ]?v?2(?:\.0)?"),
+    ("gpl-3.0", "GPL-3.0", "gnu general public|gpl", r"gnu general public license,? (?:version |v\.? ?)3(?:\.0)?|gnu gpl ?v?3|gpl[- ]?v?3(?:\.0)?"),
+    ("gpl", "GPL", "gnu general public|gpl", r"gnu general public licen[sc]e|gnu gpl|gpl"),
+    ("lgpl-2.1", "LGPL-2.1", "general public|lgpl", r"gnu (?:lesser|library) general public license,? (?:version |v\.? ?)2\.1|lgpl[- ]?v?2\.1"),
+    ("lgpl-3.0", "LGPL-3.0", "general public|lgpl", r"gnu lesser general public license,? (?:version |v\.? ?)3(?:\.0)?|lgpl[- ]?v?3(?:\.0)?"),
+    ("lgpl", "LGPL", "general public|lgpl", r"gnu (?:lesser|library) general public license|lgpl"),
+    ("agpl-3.0", "AGPL-3.0", "gnu affero|agpl", r"gnu affero general public license(?:,? (?:version |v\.? ?)3(?:\.0)?)?|agpl[- ]?v?3(?:\.0)?|agpl"),
     ("bsd-2-clause", "BSD-2-Clause", "bsd", r"(?:simplified|freebsd|2[- ]clause|two[- ]clause) bsd(?: license)?|bsd[- ]2[- ]clause(?: license)?"),
     ("bsd-3-clause", "BSD-3-Clause", "bsd", r"(?:new|modified|revised|3[- ]clause|three[- ]clause) bsd(?: license)?|bsd[- ]3[- ]clause(?: license)?"),
     ("bsd-4-clause", "BSD-4-Clause", "bsd", r"(?:original|4[- ]clause) bsd(?: license)?|bsd[- ]4[- ]clause(?: license)?"),
     ("bsd", "BSD", "bsd", r"bsd[- ]style license|bsd licen[sc]e"),
-    ("mpl-2.0", "MPL-2.0", "m", r"mozilla public license,? (?:version |v\.? ?)?2(?:\.0)?|mpl[- ]?2(?:\.0)?"),
-    ("mpl-1.1", "MPL-1.1", "m", r"mozilla public license,? (?:version |v\.? ?)?1\.1|mpl[- ]?1\.1"),
-    ("mpl", "MPL", "mozilla", r"mozilla public licen[sc]e"),
-    ("epl-1.0", "EPL-1.0", "e", r"eclipse public license,?(?: -)? (?:version |v\.? ?)?1(?:\.0)?|epl[- ]?1(?:\.0)?"),
-    ("epl-2.0", "EPL-2.0", "e", r"eclipse public license,?(?: -)? (?:version |v\.? ?)?2(?:\.0)?|epl[- ]?2(?:\.0)?"),
-    ("cddl-1.0", "CDDL-1.0", "c", r"common development and distribution license(?:,? (?:version |v\.? ?)?1(?:\.0)?)?|cddl"),
+    ("mpl-2.0", "MPL-2.0", "mozilla public|mpl2|mpl 2|mpl-2", r"mozilla public license,? (?:version |v\.? ?)?2(?:\.0)?|mpl[- ]?2(?:\.0)?"),
+    ("mpl-1.1", "MPL-1.1", "mozilla public|mpl1|mpl 1|mpl-1", r"mozilla public license,? (?:version |v\.? ?)?1\.1|mpl[- ]?1\.1"),
+    ("mpl", "MPL", "mozilla public", r"mozilla public licen[sc]e"),
+    ("epl-1.0", "EPL-1.0", "eclipse public|epl1|epl 1|epl-1", r"eclipse public license,?(?: -)? (?:version |v\.? ?)?1(?:\.0)?|epl[- ]?1(?:\.0)?"),
+    ("epl-2.0", "EPL-2.0", "eclipse public|epl2|epl 2|epl-2", r"eclipse public license,?(?: -)? (?:version |v\.? ?)?2(?:\.0)?|epl[- ]?2(?:\.0)?"),
+    ("cddl-1.0", "CDDL-1.0", "common development and|cddl", r"common development and distribution license(?:,? (?:version |v\.? ?)?1(?:\.0)?)?|cddl"),
     ("cpl-1.0", "CPL-1.0", "common public", r"common public license(?:,? (?:version |v\.? ?)?1(?:\.0)?)?"),
-    ("isc", "ISC", "isc", r"isc licen[sc]e"),
+    ("isc", "ISC", "isc licen", r"isc licen[sc]e"),
     ("zlib", "Zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e"),
     ("unlicense", "Unlicense", "unlicense", r"the unlicense|unlicense"),
-    ("wtfpl", "WTFPL", "w", r"do what the fuck you want to public license|wtfpl"),
-    ("bsl-1.0", "BSL-1.0", "boost", r"boost software license(?:,?(?: -)? (?:version )?1\.0)?"),
-    ("artistic-2.0", "Artistic-2.0", "artistic", r"artistic license(?:,? (?:version )?2\.0)?"),
+    ("wtfpl", "WTFPL", "what the fuck|wtfpl", r"do what the fuck you want to public license|wtfpl"),
+    ("bsl-1.0", "BSL-1.0", "boost software", r"boost software license(?:,?(?: -)? (?:version )?1\.0)?"),
+    ("artistic-2.0", "Artistic-2.0", "artistic license", r"artistic license(?:,? (?:version )?2\.0)?"),
     ("afl-3.0", "AFL-3.0", "academic free", r"academic free license(?:,? (?:version |v\.? ?)?3(?:\.0)?)?"),
-    ("osl-3.0", "OSL-3.0", "open software", r"open software license(?:,? (?:version |v\.? ?)?3(?:\.0)?)?"),
-    ("eupl-1.2", "EUPL-1.2", "e", r"european union public licen[sc]e(?:,? (?:version |v\.? ?)?1\.2)?|eupl"),
-    ("ms-pl", "MS-PL", "microsoft", r"microsoft public license"),
-    ("ms-rl", "MS-RL", "microsoft", r"microsoft reciprocal license"),
-    ("postgresql", "PostgreSQL", "postgresql", r"postgresql licen[sc]e"),
-    ("python-2.0", "Python-2.0", "python", r"python software foundation license(?:,? version 2)?|psf license"),
-    ("php-3.01", "PHP-3.01", "php", r"php license(?:,? version 3\.01)?"),
-    ("openssl", "OpenSSL", "openssl", r"openssl license"),
+    ("osl-3.0", "OSL-3.0", "open software license", r"open software license(?:,? (?:version |v\.? ?)?3(?:\.0)?)?"),
+    ("eupl-1.2", "EUPL-1.2", "european union public|eupl", r"european union public licen[sc]e(?:,? (?:version |v\.? ?)?1\.2)?|eupl"),
+    ("ms-pl", "MS-PL", "microsoft public", r"microsoft public license"),
+    ("ms-rl", "MS-RL", "microsoft reciprocal", r"microsoft reciprocal license"),
+    ("postgresql", "PostgreSQL", "postgresql licen", r"postgresql licen[sc]e"),
+    ("python-2.0", "Python-2.0", "python software foundation|psf license", r"python software foundation license(?:,? version 2)?|psf license"),
+    ("php-3.01", "PHP-3.01", "php license", r"php license(?:,? version 3\.01)?"),
+    ("openssl", "OpenSSL", "openssl license", r"openssl license"),
     ("ncsa", "NCSA", "ncsa", r"university of illinois/ncsa open source license|ncsa license"),
-    ("ofl-1.1", "OFL-1.1", "open font", r"sil open font license(?:,? (?:version )?1\.1)?"),
-    ("odbl-1.0", "ODbL-1.0", "open d", r"open (?:data commons open )?database license(?:,? v?1\.0)?"),
+    ("ofl-1.1", "OFL-1.1", "open font license", r"sil open font license(?:,? (?:version )?1\.1)?"),
+    ("odbl-1.0", "ODbL-1.0", "open database license", r"open (?:data commons open )?database license(?:,? v?1\.0)?"),
     ("odc-by-1.0", "ODC-By-1.0", "open data commons", r"open data commons attribution license(?:,? v?1\.0)?"),
-    ("gfdl", "GFDL", "free documentation", r"gnu free documentation license(?:,? version 1\.[123])?"),
-    ("cc0-1.0", "CC0-1.0", "c", r"cc0(?:[- ]1\.0)?(?: universal)?|creative commons zero"),
-    ("cc-by-nc-nd", "CC-BY-NC-ND", "c", r"cc[- ]by[- ]nc[- ]nd(?: [1-4]\.[05])?|creative commons attribution[- ]non-?commercial[- ]no-?deriv(?:ative)?s?(?: [1-4]\.[05])?"),
-    ("cc-by-nc-sa", "CC-BY-NC-SA", "c", r"cc[- ]by[- ]nc[- ]sa(?: [1-4]\.[05])?|creative commons attribution[- ]non-?commercial[- ]share-?alike(?: [1-4]\.[05])?"),
-    ("cc-by-nc", "CC-BY-NC", "c", r"cc[- ]by[- ]nc(?: [1-4]\.[05])?|creative commons attribution[- ]non-?commercial(?: [1-4]\.[05])?"),
-    ("cc-by-nd", "CC-BY-ND", "c", r"cc[- ]by[- ]nd(?: [1-4]\.[05])?|creative commons attribution[- ]no-?deriv(?:ative)?s?(?: [1-4]\.[05])?"),
-    ("cc-by-sa", "CC-BY-SA", "c", r"cc[- ]by[- ]sa(?: [1-4]\.[05])?|creative commons attribution[- ]share-?alike(?: [1-4]\.[05])?"),
-    ("cc-by", "CC-BY", "c", r"cc[- ]by(?: [1-4]\.[05])?|creative commons attribution(?: [1-4]\.[05])?"),
+    ("gfdl", "GFDL", "free documentation license", r"gnu free documentation license(?:,? version 1\.[123])?"),
+    ("cc0-1.0", "CC0-1.0", "cc0|creative commons zero", r"cc0(?:[- ]1\.0)?(?: universal)?|creative commons zero"),
+    ("cc-by-nc-nd", "CC-BY-NC-ND", "cc by|cc-by|creative commons attribution", r"cc[- ]by[- ]nc[- ]nd(?: [1-4]\.[05])?|creative commons attribution[- ]non-?commercial[- ]no-?deriv(?:ative)?s?(?: [1-4]\.[05])?"),
+    ("cc-by-nc-sa", "CC-BY-NC-SA", "cc by|cc-by|creative commons attribution", r"cc[- ]by[- ]nc[- ]sa(?: [1-4]\.[05])?|creative commons attribution[- ]non-?commercial[- ]share-?alike(?: [1-4]\.[05])?"),
+    ("cc-by-nc", "CC-BY-NC", "cc by|cc-by|creative commons attribution", r"cc[- ]by[- ]nc(?: [1-4]\.[05])?|creative commons attribution[- ]non-?commercial(?: [1-4]\.[05])?"),
+    ("cc-by-nd", "CC-BY-ND", "cc by|cc-by|creative commons attribution", r"cc[- ]by[- ]nd(?: [1-4]\.[05])?|creative commons attribution[- ]no-?deriv(?:ative)?s?(?: [1-4]\.[05])?"),
+    ("cc-by-sa", "CC-BY-SA", "cc by|cc-by|creative commons attribution", r"cc[- ]by[- ]sa(?: [1-4]\.[05])?|creative commons attribution[- ]share-?alike(?: [1-4]\.[05])?"),
+    ("cc-by", "CC-BY", "cc by|cc-by|creative commons attribution", r"cc[- ]by(?: [1-4]\.[05])?|creative commons attribution(?: [1-4]\.[05])?"),
     ("public-domain", "LicenseRef-public-domain", "public domain", r"public domain"),
-    ("proprietary", "LicenseRef-proprietary", "rights reserved", r"all rights reserved"),
+    ("proprietary", "LicenseRef-proprietary", "all rights reserved", r"all rights reserved"),
 )
 
-#: Kind, priority (smaller first), weight, pattern around a name.
+#: Kind, priority (smaller first), weight, keywords one of which is in the text of every match, pattern around a name.
 FRAMES = (
-    ("spdx", 0, 1.0, r"spdx-license-identifier: {id}(?:-only|-or-later|\+)?(?:-[1-4]\.[05])?"),
-    ("granted", 1, 0.95, r"(?:re)?(?:licen[sc]ed|released|distributed|available|published|provided|made available) (?:to you )?under (?:the )?(?:terms of )?(?:the |a )?(?:{name})(?: licen[sc]e)?"),
-    ("governed", 2, 0.9, r"(?:subject to|governed by|covered by|see|terms of) the (?:{name})(?: licen[sc]e)?"),
-    ("field", 3, 0.85, r"licen[sc]e ?[:=] ?[\"'\(]?(?:{name})"),
-    ("named", 4, 0.6, r"(?:{name}) licen[sc]e|the (?:{name})(?= for (?:more )?details)"),
-    ("bare", 5, 0.4, r"(?:{name})"),
+    ("spdx", 0, 1.0, "spdx-license-identifier:", r"spdx-license-identifier: {id}(?:-only|-or-later|\+)?(?:-[1-4]\.[05])?"),
+    ("granted", 1, 0.95, " under ", r"(?:re)?(?:licen[sc]ed|released|distributed|available|published|provided|made available) (?:to you )?under (?:the )?(?:terms of )?(?:the |a )?(?:{name})(?: licen[sc]e)?"),
+    ("governed", 2, 0.9, "to the |by the |see the |of the ", r"(?:subject to|governed by|covered by|see|terms of) the (?:{name})(?: licen[sc]e)?"),
+    ("field", 3, 0.85, "license:|license :|license=|license =|licence:|licence :|licence=|licence =", r"licen[sc]e ?[:=] ?[\"'\(]?(?:{name})"),
+    ("named", 4, 0.6, " licen| for details| for more details", r"(?:{name}) licen[sc]e|the (?:{name})(?= for (?:more )?details)"),
+    ("bare", 5, 0.4, "", r"(?:{name})"),
 )
 #: Names that are ordinary words when no frame stands around them.
 NO_BARE = {"mit", "gpl", "public-domain", "unlicense"}
 
 _JOIN = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _EDGE = rb"(?<![0-9a-z\x80-\xff])", rb"(?![0-9a-z\x80-\xff])"
-BASE_PATTERNS = [(re.compile(_EDGE[0] + _JOIN.join(w.encode() for w in p.split()) + _EDGE[1]), p.split()[-1].encode(), label) for p, label in BASE.items()]
-#: A text without any of these has no detection at all.
-KEYWORDS = (b"licen", b"spdx", b"creative commons", b"cc0", b"cc by", b"cc-by", b"gpl", b"public domain", b"rights reserved", b"mpl", b"epl", b"cddl", b"eupl", b"bsd", b"apache")
+BASE_PATTERNS = [(re.compile(_EDGE[0] + _JOIN.join(w.encode() for w in p.split()) + _EDGE[1]), [w.encode() for w in p.split()], label) for p, label in BASE.items()]
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -107,7 +106,8 @@ class Rule:
     kind: str
     priority: int
     weight: float
-    keyword: bytes
+    name_keywords: tuple[bytes, ...]
+    frame_keywords: tuple[bytes, ...]
     pattern: re.Pattern
 
 
@@ -119,19 +119,47 @@ def _spaced(pattern: str) -> str:
 def rules() -> list[Rule]:
     """Every name in every frame, in order of priority."""
     out = []
-    for kind, priority, weight, frame in FRAMES:
-        for label, spdx, keyword, name in NAMES:
+    either = lambda keywords: tuple(k.encode() for k in keywords.split("|"))
+    for kind, priority, weight, around, frame in FRAMES:
+        for label, spdx, keywords, name in NAMES:
             if kind == "bare" and label in NO_BARE or kind == "spdx" and label in ("apache", "gpl", "bsd", "mpl"):
                 continue
             text = _spaced(frame.replace("{id}", re.escape(spdx.lower())).replace("{name}", name))
-            need = b"spdx" if kind == "spdx" else keyword.encode()
-            out.append(Rule(label, kind, priority, weight, need, re.compile(_EDGE[0] + text.encode() + _EDGE[1])))
+            need = "" if kind == "spdx" else keywords
+            out.append(Rule(label, kind, priority, weight, either(need), either(around), re.compile(_EDGE[0] + text.encode() + _EDGE[1])))
     return out
 
 
+class Gate:
+    """Which rules can match a text at all."""
+
+    def __init__(self, ordered: list[Rule]) -> None:
+        groups: dict[tuple, list[tuple[int, Rule]]] = {}
+        for i, r in enumerate(ordered):
+            groups.setdefault((r.name_keywords, r.frame_keywords), []).append((i, r))
+        self.groups: dict[tuple, list] = {}
+        for (names, frames), members in groups.items():
+            self.groups.setdefault(names, []).append((frames, members))
+
+    def open(self, low: bytes) -> list[Rule]:
+        """The rules, in their order, whose keywords are in a lower-cased text."""
+        flat = b" ".join(low.split())
+        framed: dict[tuple, bool] = {}
+        found = []
+        for names, around in self.groups.items():
+            if not any(k in flat for k in names):
+                continue
+            for frames, members in around:
+                if frames not in framed:
+                    framed[frames] = any(k in flat for k in frames)
+                if framed[frames]:
+                    found += members
+        return [r for _, r in sorted(found, key=lambda f: f[0])]
+
+
 def detect(low: bytes, ordered: list[Rule]) -> list[tuple[int, int, Rule]]:
     """Detections in a lower-cased text, none within another that goes before it."""
-    found = [(m.start(), m.end(), r) for r in ordered if r.keyword in low for m in r.pattern.finditer(low)]
+    found = [(m.start(), m.end(), r) for r in ordered for m in r.pattern.finditer(low)]
     found.sort(key=lambda f: (f[2].priority, f[0] - f[1], f[0], f[2].label))
     taken: list[tuple[int, int, Rule]] = []
     for start, end, rule in found:
@@ -150,7 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered = rules()
+        gate = Gate(rules())
         spans = pa.list_(pa.struct([("label", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for start, end, data, offsets in slices(batch.column(1)):
@@ -162,18 +190,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 n_words = counts(begin, offsets)
                 rows = [(0, None, None, "", "", [], 0.0)] * (end - start)
                 whole = data.tobytes().translate(_LOWER_TEXT)
-                hits: set[int] = set()
-                for keyword in (*KEYWORDS, b"cc"):
-                    at = whole.find(keyword)
-                    while at >= 0:
-                        row = int(np.searchsorted(offsets, at, "right")) - 1
-                        hits.add(row)
-                        at = whole.find(keyword, int(offsets[row + 1]))
-                for row in hits:
+                for row in range(end - start):
                     lo, hi = int(offsets[row]), int(offsets[row + 1])
                     low = whole[lo:hi]
-                    base = [(m.start(), label) for pattern, word, label in BASE_PATTERNS if word in low for m in pattern.finditer(low)]
-                    taken = detect(low, ordered) if any(k in low for k in KEYWORDS) else []
+                    base = [(m.start(), label) for pattern, needed, label in BASE_PATTERNS if all(w in low for w in needed) for m in pattern.finditer(low)]
+                    taken = detect(low, gate.open(low))
+                    if not base and not taken:
+                        continue
                     at = [int(np.count_nonzero(begin[lo : lo + s])) for s, _ in base]
                     base_labels = sorted({label for _, label in base})
                     labels = sorted({*base_labels, *(r.label for _, _, r in taken)})

@@ -331,6 +331,21 @@ def test_every_version_form_matches(form):
             assert (0, len(text), label, "bare") in [(s, e, r.label, r.kind) for s, e, r in license_rules.detect(text.lower().encode(), ordered)], text
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \t ", "\r\n  "])
+def test_the_gate_loses_no_match(space):
+    ordered = license_rules.rules()
+    gate = license_rules.Gate(ordered)
+    for rule, text in license_texts():
+        low = f"x. {text}.".lower().encode().replace(b" ", space.encode())
+        want = license_rules.detect(low, ordered)
+        assert want and license_rules.detect(low, gate.open(low)) == want, (rule.label, rule.kind, low)
+
+
+@pytest.mark.parametrize(("text", "label"), [("Released under the MIT.", "mit"), ("see the MIT", "mit"), ("WTFPL", "wtfpl"), ("public\ndomain license", "public-domain"), ("all rights\n reserved", "proprietary"), ("GNU Free\nDocumentation  License", "gfdl"), ("distributed under the terms of the Expat\n License", "mit"), ("PSF License", "python-2.0")])
+def test_wrapped_and_short_names_are_scanned(spark, text, label):
+    assert label in license_rules.scan(docs_of(spark, [(1, text)])).first().labels.split(",")
+
+
 @pytest.mark.parametrize(("text", "label"), [("License: MIT", "mit"), ("license:mit", "mit"), ("license : mit", "mit"), ("Apache License v2.0", "apache-2.0"), ("Mozilla Public License v2.0", "mpl-2.0")])
 def test_common_forms_are_scanned(spark, text, label):
     assert label in license_rules.scan(docs_of(spark, [(1, text)])).first().labels.split(",")
