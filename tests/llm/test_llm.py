@@ -260,6 +260,13 @@ def test_texts_do_not_see_each_other():
     assert np.allclose(both, [score([0, 1500])[0], score([1500, 1500])[0], score([1500, 4000])[0]], rtol=1e-5)
 
 
+def test_the_fourth_last_byte_is_a_context():
+    buffer, begins = context_mixing.padded(np.frombuffer(b"a yz1b yz1", np.uint8), np.array([0, 5, 10]))
+    rows = context_mixing.contexts(buffer)
+    one, other = begins + 4
+    assert len(rows) == len(context_mixing.TABLES) - 1 == 5 and [bool(r[one] != r[other]) for r in rows] == [False, False, False, True, False]
+
+
 # 6 licenses
 
 
