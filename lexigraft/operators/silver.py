@@ -31,17 +31,20 @@ def convert(docs: DataFrame, mapped: DataFrame, table: DataFrame, sample: DataFr
     return out.filter(has("chemical") & has("disease") & (F.size("relations") > 0))
 
 
-def bulk_relations(rows: DataFrame, gold: DataFrame, most: int = C.BULK_PMIDS) -> DataFrame:
+def bulk_relations(rows: DataFrame, gold: DataFrame, most: int | None = None) -> DataFrame:
     """(pmid, relation, subject, object) of bulk rows (pmid, relation, subject, object, ord) between chemicals and diseases.
 
-    Gold pmids go; reading stops at the first row of the pmid after `most`, so
-    later rows of pmids already taken are lost too.
+    Gold pmids go. With `most` (C.BULK_PMIDS in the reference) reading stops at
+    the first row of the pmid after so many, so later rows of pmids already
+    taken are lost too; None keeps all rows.
     """
     part = lambda c: F.split(c, r"\|", 2)
     code = lambda c: F.regexp_replace(role_code(F.col(c)), "^MESH:", "")
     out = rows.select("pmid", "relation", part("subject")[0].alias("subject_type"), code("subject").alias("subject"), part("object")[0].alias("object_type"), code("object").alias("object"), "ord")
     both = F.col("subject_type").isin("Chemical", "Disease") & F.col("object_type").isin("Chemical", "Disease")
     out = out.filter(both & ~F.col("subject").isin("", "-") & ~F.col("object").isin("", "-")).join(gold.select("pmid"), "pmid", "left_anti")
+    if most is None:
+        return out.drop("ord")
     firsts = out.groupBy("pmid").agg(F.min("ord").alias("first"))
     stop = firsts.orderBy("first").limit(most + 1).agg(F.count("*").alias("n"), F.max("first").alias("stop"))
     return out.crossJoin(F.broadcast(stop)).filter((F.col("n") <= most) | (F.col("ord") < F.col("stop"))).drop("n", "stop", "ord")

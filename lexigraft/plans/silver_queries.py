@@ -26,7 +26,7 @@ def bulk(spark: SparkSession, sf: str) -> DataFrame:
     object_ = F.concat(F.when(F.col("l_quantity") > 5, "Disease|").otherwise("Gene|"), F.col("l_suppkey").cast("string"))
     rows = lines.select(F.col("l_orderkey").cast("string").alias("pmid"), relation.alias("relation"), F.concat(F.lit("Chemical|MESH:"), F.col("l_partkey").cast("string")).alias("subject"), object_.alias("object"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
     gold = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("string").alias("pmid"))
-    return silver.bulk_relations(rows, gold)
+    return silver.bulk_relations(rows, gold, None)
 
 
 @query(f"WITH {BULK} SELECT pmid, relation, subject, object FROM bulk")

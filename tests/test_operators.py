@@ -1,12 +1,14 @@
 """Operators on small fixtures, one for each trap, against values worked out by hand or by exhaustive search."""
 
 import itertools
+import os
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexigraft import plans
 from lexigraft.functions import constants as C
 from lexigraft.functions import text as X
 from lexigraft.operators import constraints, documents, features, hierarchy, kg, mapping, sampling, silver, soft, solver
@@ -219,6 +221,16 @@ def test_bulk(spark):
     assert round(docs[0].entities[0].mapping_confidence, 6) == 0.36
 
 
+def test_bulk_relations_are_not_capped(spark, monkeypatch):
+    data = [(str(i), "treat", "Chemical|D1", "Disease|D2", i) for i in range(5)]
+    bulk, gold = spark.createDataFrame(data, "pmid string, relation string, subject string, object string, ord long"), spark.createDataFrame([("9",)], "pmid string")
+    assert silver.bulk_relations(bulk, gold, None).count() == 5 and silver.bulk_relations(bulk, gold, 2).count() == 2
+    monkeypatch.setattr(silver.bulk_relations, "__defaults__", (1,))  # a cap that the query must not take
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        assert plans.QUERIES["q47_bulk_relations"](spark, sf).select("pmid").distinct().count() > 1
+
+
 def test_synthesis(spark):
     anchors = C.SCOPE_ANCHORS
     below = spark.createDataFrame([(anchors["finding"], "F1"), (anchors["substance"], "S1"), (anchors["event"], "E1")], "start string, reached string")
