@@ -25,15 +25,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialise
+from .tokens import encoder
 from .warc import place
-from .words import mix64, text_buffers
+from .words import mix64, slices, text_buffers
 
 ROUNDS = 6
 MANIFEST = "_order.json"
-#: The id after each document, and that of padding; neither is a byte of UTF-8 text that counts.
+#: The id after each document, and that of padding, where ids are bytes; neither is a byte of UTF-8 text that counts.
 END, PAD = 0xFF, 0x00
 #: Ids of a sequence, bytes of a shard.
 LENGTH, SHARD = 2048, 32 << 20
+#: Bytes of text that are tokenized together.
+SLICE = 1 << 20
 
 
 class Order:
@@ -68,23 +72,52 @@ class Order:
         return self._walk(slot, True)
 
 
-def write(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH, shard_bytes: int = SHARD) -> dict:
-    """Write the UTF-8 byte ids of docs (text string) to `path` in the order of `key`; returns the manifest.
+def encoded(texts: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, int]:
+    """A table of each text's ids and the end id (ids binary, size long), packed in as few bytes an id as the vocabulary allows, and these bytes."""
+    width = 2 if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else 4
+    end = end_id.to_bytes(4, "little")
 
-    Each document gives its bytes and the end id; a null text counts as empty.
-    docs has to be a table read from files: it is read twice, once to count the
-    ids of each partition, and a task fails if it then finds another number.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(tokenizer)
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(0), SLICE):
+                data = data.tobytes()
+                found = tokens.encode_all([data[offsets[i] : offsets[i + 1]] for i in range(hi - lo)])
+                sizes = np.array([len(p) // 4 + 1 for p in found])
+                packed = np.frombuffer(b"".join([p + end for p in found]), "<u4").astype(f"<u{width}")
+                borders = np.concatenate([[0], np.cumsum(sizes) * width]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(borders.tobytes()), pa.py_buffer(packed.tobytes())]), pa.array(sizes, pa.int64())], names=["ids", "size"])
+
+    return materialise(texts.mapInArrow(each, "ids binary, size long"), "ids"), width
+
+
+def write(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH, shard_bytes: int = SHARD, tokenizer: str | None = None, end_id: int = 1) -> dict:
+    """Write the token ids of docs (text string) to `path` in the order of `key`; returns the manifest.
+
+    Each document gives its ids and the end id; a null text counts as empty.
+    Texts are tokenized once, into a table that is then read twice: to count the
+    ids of each partition and to cut them. Without a tokenizer ids are UTF-8
+    bytes; docs then has to be a table read from files, for it is itself read
+    twice. A task fails if it finds another number of ids than were counted.
     The driver holds a number for each partition and a file name for each shard.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = {r.part: r.size for r in texts.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text") + 1).alias("size")).collect()}
-    starts, n = {}, 0
+    width, size = 1, F.octet_length("text") + 1
+    if tokenizer is not None:
+        texts, width = encoded(texts, tokenizer, end_id)
+        size = F.col("size")
+    sizes = {r.part: r.size for r in texts.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(size).alias("size")).collect()}
+    texts = texts.select(texts.columns[0])
+    starts, n, short = {}, 0, {}
     for part in sorted(sizes):
         starts[part] = n
         n += -(-sizes[part] // length)
+        if sizes[part] % length:
+            short[str(n - 1)] = sizes[part] % length
     order = Order(n, key)
-    per_shard = max(1, shard_bytes // length)
+    stride = length * width
+    per_shard = max(1, shard_bytes // stride)
     shards = max(1, -(-n // per_shard))
     run = uuid.uuid4().hex
 
@@ -94,26 +127,31 @@ def write(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH, shard_
 
         def rows(data: bytes) -> pa.RecordBatch:
             nonlocal sequence
-            count = len(data) // length
+            count = len(data) // stride
             slots = order.slot(np.arange(sequence, sequence + count))
             sequence += count
-            body = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(np.arange(0, len(data) + 1, length, dtype=np.int32).tobytes()), pa.py_buffer(data)])
+            body = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(np.arange(0, len(data) + 1, stride, dtype=np.int32).tobytes()), pa.py_buffer(data)])
             return pa.RecordBatch.from_arrays([pa.array((slots // per_shard).astype(np.int32)), pa.array(slots), body], names=["shard", "slot", "ids"])
 
         for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
+            if width == 1:
+                data, offsets = text_buffers(batch.column(0))
             for lo in range(0, batch.num_rows, 1024):
                 hi = min(lo + 1024, batch.num_rows)
-                ids = rest + np.insert(data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo], END).tobytes()
-                total += int(offsets[hi] - offsets[lo]) + hi - lo
-                whole = len(ids) // length * length
+                if width == 1:
+                    more = np.insert(data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo], END).tobytes()
+                else:
+                    more = b"".join(batch.column(0).slice(lo, hi - lo).to_pylist())
+                ids = rest + more
+                total += len(more) // width
+                whole = len(ids) // stride * stride
                 rest = ids[whole:]
                 if whole:
                     yield rows(ids[:whole])
         if total != sizes.get(part, 0):
             raise RuntimeError(f"partition {part} holds {total} ids, not {sizes.get(part, 0)}: docs must be read from files")
         if rest:
-            yield rows(rest.ljust(length, bytes([PAD])))
+            yield rows(rest.ljust(stride, bytes([PAD])))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = place(path)
@@ -136,7 +174,7 @@ def write(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH, shard_
     dealt = texts.mapInArrow(cut, "shard int, slot long, ids binary")
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
     files = sorted(dealt.mapInArrow(save, "shard long, file string, records long").collect())
-    manifest = {"n": n, "key": key, "length": length, "per_shard": per_shard, "files": [r.file for r in files]}
+    manifest = {"n": n, "key": key, "length": length, "width": width, "per_shard": per_shard, "short": short, "files": [r.file for r in files]}
     if sum(r.records for r in files) != n:
         raise RuntimeError("the shards do not hold every sequence")
     store, root = place(path)
@@ -155,15 +193,15 @@ def load(path: str) -> dict:
 def records(path: str, manifest: dict, start: int, count: int) -> Iterator[bytes]:
     """The ids of `count` slots from `start`, read sequentially: how a trainer resumes."""
     store, root = place(path)
-    length, per_shard = manifest["length"], manifest["per_shard"]
+    stride, per_shard = manifest["length"] * manifest["width"], manifest["per_shard"]
     end = min(start + count, manifest["n"])
     while start < end:
         shard, at = divmod(start, per_shard)
         stop = min(end, (shard + 1) * per_shard)
         with store.open_input_file(posixpath.join(root, manifest["files"][shard])) as source:
-            source.seek(at * length)
+            source.seek(at * stride)
             for _ in range(stop - start):
-                yield source.read(length)
+                yield source.read(stride)
         start = stop
 
 
@@ -177,8 +215,9 @@ def read(spark: SparkSession, path: str, chunk: int = 4096) -> DataFrame:
             for first in batch.column(0).to_pylist():
                 ids = list(records(path, manifest, first * chunk, chunk))
                 slots = np.arange(first * chunk, first * chunk + len(ids))
+                sequences = order.sequence(slots)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots), pa.array(order.sequence(slots)), pa.array(slots // manifest["per_shard"]), pa.array([len(i.rstrip(bytes([PAD]))) for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array(slots), pa.array(sequences), pa.array(slots // manifest["per_shard"]), pa.array([manifest["short"].get(str(s), manifest["length"]) for s in sequences.tolist()], pa.int64()), pa.array(ids, pa.binary())],
                     names=["slot", "sequence", "shard", "n_tokens", "ids"],
                 )
 

@@ -96,7 +96,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import new_path
 
     path = new_path(spark, "order")
-    write(table(spark, sf_dir, "documents"), path, key=20)
+    write(table(spark, sf_dir, "documents"), path, key=20, tokenizer=tokenizer("word_bpe_49k.json"))
     return read(spark, path).select("slot", "sequence", "shard", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

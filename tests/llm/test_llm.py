@@ -477,6 +477,25 @@ def test_shards_round_trip(spark, tmp_path):
     assert feistel_order.write(docs.limit(0), str(tmp_path / "none"))["n"] == 0
 
 
+def test_token_shards_round_trip(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(i, f"Text {i}, of the words " * (i % 40)) for i in range(120)] + ODD
+    manifest = feistel_order.write(docs_of(spark, rows, 3), str(tmp_path / "out"), key=5, length=64, shard_bytes=64 * 50, tokenizer=path)
+    got = sorted(feistel_order.read(spark, str(tmp_path / "out"), chunk=33).collect(), key=lambda r: r.sequence)
+    assert manifest["width"] == 2 and [r.sequence for r in got] == list(range(manifest["n"])) and {len(r.ids) for r in got} == {128}
+    docs = [[]]
+    for r in got:
+        for i in np.frombuffer(r.ids, "<u2")[: r.n_tokens].tolist():
+            docs[-1].append(i)
+            if i == 1:
+                docs.append([])
+    assert sorted(docs[:-1]) == sorted([*library.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows) and docs[-1] == []
+    assert feistel_order.write(docs_of(spark, rows).limit(0), str(tmp_path / "none"), tokenizer=path)["n"] == 0
+
+
 # pipeline and queries
 
 
