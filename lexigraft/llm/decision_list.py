@@ -1,9 +1,11 @@
 """Quality rules as a learned decision list.
 
-Statistics of each text are counted in one pass. From labelled rows, sequential
-covering grows a conjunction of thresholds by information gain on two thirds of
-the rows, prunes it on the rest, takes it if it is precise enough, drops the
-rows it covers and goes on. The rules become one ordered Spark conditional.
+Statistics of each text are counted in one pass. From labelled rows that pass
+the base test, sequential covering grows conjunctions of thresholds by
+information gain on two thirds of the rows, keeping the best few of each size,
+and prunes them on the rest. The first that is precise enough becomes a rule,
+one that is not is set aside for the next; the rows that a rule covers go, and
+covering goes on. The rules become one ordered Spark conditional.
 """
 
 from __future__ import annotations
@@ -15,13 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import WHITE, counts, grams, mix64, runs, slices, words
 
 #: Labelled rows that a fit uses at most, taken by a hash of doc_id.
 FIT_ROWS = 20_000
-#: Rules and conditions of a rule at most; the share of low quality among what a rule covers at least.
-MAX_RULES, MAX_TERMS, PRECISION, LEAST_COVER = 12, 4, 0.97, 10
+#: Rules and conditions of a rule at most; conjunctions of a size that are grown further.
+MAX_RULES, MAX_TERMS, BEAM = 12, 4, 6
+#: The share of low quality among the labelled rows that a rule covers at least, and how many these are.
+PRECISION, LEAST_COVER = 0.97, 5
 CUTS = 24
 
 _SYMBOL = np.zeros(256, bool)
@@ -76,7 +81,11 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def with_stats(docs: DataFrame, keep: list[str], into: str) -> DataFrame:
-    """The columns `keep` of docs and a struct `into` of the statistics of `text`; a null text counts as empty."""
+    """The columns `keep` of docs and a struct `into` of the statistics of `text`; a null text counts as empty.
+
+    A column of `keep` that is called as the struct gives way to it.
+    """
+    keep = [c for c in keep if c.lower() != into.lower()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,8 +95,7 @@ def with_stats(docs: DataFrame, keep: list[str], into: str) -> DataFrame:
                 kept = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, stats], names=[*keep, into])
 
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{into}` struct<{', '.join(f'{s}: bigint' for s in STATS)}>"])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(into, T.StructType([T.StructField(s, T.LongType()) for s in STATS]))])
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text")).mapInArrow(each, schema)
 
 
@@ -110,30 +118,41 @@ class Rule:
         return " and ".join(f"{name} {'<=' if below else '>'} {cut:.6g}" for name, below, cut in self.terms)
 
 
-def grow(values: np.ndarray, bad: np.ndarray) -> list[tuple[str, bool, float]]:
-    """Add the condition of most information gain until only low quality is left."""
-    names, terms = list(FEATURES), []
-    mask = np.ones(len(values), bool)
-    while len(terms) < MAX_TERMS and (~bad[mask]).any():
-        p0, n0 = bad[mask].sum(), mask.sum()
-        best = (0.0, None)
-        for i, name in enumerate(names):
-            column = values[:, i]
-            for cut in np.unique(np.quantile(column[mask], np.linspace(0, 1, CUTS + 1)[:-1], method="lower")):
-                under = column <= cut
-                for below, side in ((True, mask & under), (False, mask & ~under)):
-                    p, n = bad[side].sum(), side.sum()
-                    gain = p * (np.log2(p / n) - np.log2(p0 / n0)) if p else 0.0
-                    if gain > best[0] + 1e-12:
-                        best = (gain, (name, below, float(cut)), side)
-        if best[1] is None:
-            break
-        name, below, cut = best[1]
-        column = values[mask, names.index(name)]
-        above = column[column > cut]
-        terms.append((name, below, float((cut + above.min()) / 2) if len(above) else cut))
-        mask = best[2]
-    return terms
+def grow(values: np.ndarray, bad: np.ndarray) -> list[tuple[tuple[str, bool, float], ...]]:
+    """Conjunctions, those of most information gain first.
+
+    Of each size those of most gain and those of most smoothed precision, BEAM
+    of each, are extended by every threshold.
+    """
+    names, share = list(FEATURES), np.log2(max(bad.mean(), 1e-9))
+    beam: list[tuple[float, float, tuple, np.ndarray]] = [(0.0, 0.0, (), np.ones(len(values), bool))]
+    found: dict[tuple, float] = {}
+    for _ in range(MAX_TERMS):
+        wider: list[tuple[float, float, tuple, np.ndarray]] = []
+        for _, _, terms, mask in beam:
+            if bad[mask].all():
+                continue
+            for i, name in enumerate(names):
+                column = values[:, i]
+                inside = column[mask]
+                for cut in np.unique(np.quantile(inside, np.linspace(0, 1, CUTS + 1)[:-1], method="lower")):
+                    above = inside[inside > cut]
+                    middle = float((cut + above.min()) / 2) if len(above) else float(cut)
+                    under = column <= cut
+                    for below, side in ((True, mask & under), (False, mask & ~under)):
+                        p, n = int(bad[side].sum()), int(side.sum())
+                        if p and n < len(inside):
+                            wider.append((p * (np.log2(p / n) - share), (p + 1) / (n + 2), (*terms, (name, below, middle)), side))
+        beam, seen = [], set()
+        for order in ((0, 1), (1, 0)):
+            room = BEAM
+            for x in sorted(wider, key=lambda x: (-x[order[0]], -x[order[1]], x[2])):  # noqa: B023
+                if room and x[3].tobytes() not in seen:
+                    seen.add(x[3].tobytes())
+                    beam.append(x)
+                    room -= 1
+        found |= {x[2]: x[0] for x in beam if x[0] > 0}
+    return sorted(found, key=lambda t: (-found[t], len(t), t))
 
 
 def learn(values: np.ndarray, bad: np.ndarray, key: np.ndarray) -> list[Rule]:
@@ -144,35 +163,39 @@ def learn(values: np.ndarray, bad: np.ndarray, key: np.ndarray) -> list[Rule]:
         growing, pruning = left & (key % 3 != 0), left & (key % 3 == 0)
         if not bad[growing].any():
             break
-        terms = grow(values[growing], bad[growing])
-        if not terms:
+        rule = next((r for terms in grow(values[growing], bad[growing]) if (r := pruned(terms, values, bad, left, pruning))), None)
+        if rule is None:
             break
+        rules.append(rule)
+        left &= ~rule.covers(values)
+    return rules
 
-        def worth(n: int) -> float:
-            mask = Rule(tuple(terms[:n]), 0.0).covers(values) & pruning  # noqa: B023
-            return (2 * bad[mask].sum() - mask.sum()) / mask.sum() if mask.any() else -1.0  # noqa: B023
 
-        size = max(range(1, len(terms) + 1), key=lambda n: (worth(n), -n))
-        mask = Rule(tuple(terms[:size]), 0.0).covers(values) & left
-        precision = float(bad[mask].mean()) if mask.any() else 0.0
-        if precision < PRECISION or mask.sum() < LEAST_COVER:
-            break
-        rules.append(Rule(tuple(terms[:size]), precision))
-        left &= ~mask
-    return rules
+def pruned(terms: tuple, values: np.ndarray, bad: np.ndarray, left: np.ndarray, pruning: np.ndarray) -> Rule | None:
+    """The beginning of a conjunction that is worth most on the pruning rows, or None if it isn't precise enough."""
+
+    def worth(n: int) -> float:
+        mask = Rule(terms[:n], 0.0).covers(values) & pruning
+        return (2 * bad[mask].sum() - mask.sum()) / mask.sum() if mask.any() else -1.0
+
+    size = max(range(1, len(terms) + 1), key=lambda n: (worth(n), -n))
+    mask = Rule(terms[:size], 0.0).covers(values) & left
+    precision = float(bad[mask].mean()) if mask.any() else 0.0
+    return Rule(terms[:size], precision) if precision >= PRECISION and mask.sum() >= LEAST_COVER else None
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Rule]:
     """Learn the rules from labels (doc_id, quality: 0 is low) of at most fit_rows documents.
 
-    Only those rows' texts are read through Python. No labels, or none of one
+    Only those rows' texts are read through Python, and only documents that pass
+    the base test teach, so that the list adds to it. No labels, or none of one
     class, give no rules. A label that is null is left out; of several for one
-    document the smallest counts.
+    document the smallest counts; rows that repeat a doc_id teach each.
     """
     sample = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").cast("long").alias("_id"), "quality")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
-    stats = with_stats(rows, ["doc_id", "quality"], "s").select("doc_id", "quality", "s.*")
+    stats = with_stats(rows, ["doc_id", "quality"], "s").filter(~base_failed("s")).select("doc_id", "quality", "s.*")
     table = stats.select("doc_id", "quality", *(F.expr(f"cast({e} as double)").alias(f) for f, e in FEATURES.items())).toPandas()
     table = table.sort_values(["doc_id", *FEATURES], kind="stable")
     values = table[list(FEATURES)].to_numpy(float)
@@ -204,7 +227,9 @@ def judge(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     """The columns `keep`, a struct `_stats`, base_failed, rule (the number of the rule that rejects, else null) and kept.
 
     Every row comes back once, in any order; null and empty texts fail the base
-    test; rows that repeat get the same verdict.
+    test; rows that repeat get the same verdict. Columns of `keep` that are
+    called like one of the results give way to it; put them in a struct to carry them.
     """
+    keep = [c for c in keep if c.lower() not in ("base_failed", "rule", "kept")]
     out = with_stats(docs, keep, "_stats").withColumns({"base_failed": base_failed("_stats"), "rule": verdict(rules, "_stats")})
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

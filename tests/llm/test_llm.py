@@ -15,12 +15,12 @@ pytest.importorskip("lexigraft.llm")
 from lexigraft.llm import context_mixing, decision_list, feistel_order, hyperminhash, int8_neardup, license_rules, pow2_packing, queries, sentencepiece_viterbi, shared, tokens, toxicity, warc, words  # noqa: E402
 
 P = pytest.importorskip("public_tokenizers")
-DOCS = "doc_id long, text string, n_words string, node long, toxic int, quality string"
+DOCS = "doc_id long, text string, n_words string, node long, toxic int, quality string, score double, predicted string, kept string, rule int, base_failed int, _gone long, _stats string, _row int, _id string, _f_found int"
 
 
 def docs_of(spark, rows, parts=2):
     """Documents with columns whose names clash with those that operators make."""
-    return spark.createDataFrame([(*r, "x", 7, 0, "q") for r in rows], DOCS).repartition(parts)
+    return spark.createDataFrame([(*r, "x", 7, 0, "q", 0.5, "p", "k", 3, 4, 5, "s", 6, "i", 8) for r in rows], DOCS).repartition(parts)
 
 
 ODD = [(None, "null id here"), (900, None), (901, ""), (902, " \t\n "), (903, "one"), (903, "one"), (904, "w " * 40_000), (905, "ÄÖ ü ß 日本 \U0001f600 é")]
@@ -217,6 +217,29 @@ def test_verdicts_as_spark_conditionals(spark):
     got = {r.doc_id: (r.rule, r.kept) for r in decision_list.judge(docs_of(spark, rows), rules, ["doc_id"]).collect()}
     assert got[1][0] == 1 and got[3] == (None, True)
     assert decision_list.fit(docs_of(spark, rows), spark.createDataFrame([], "doc_id long, quality int")) == []
+    assert decision_list.judge(docs_of(spark, rows), rules, ["doc_id", "kept", "rule", "_stats"]).columns == ["doc_id", "_stats", "base_failed", "rule", "kept"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_list_adds_to_the_base_test_on_given_labels(spark, sf):
+    """Learned from two thirds of the labels, the list finds what the base test misses among the others."""
+    docs, labels = (queries.table(spark, f"/root/testdata/{sf}", t) for t in ("documents", "labels"))
+    rules = decision_list.fit(docs, labels.filter(queries.fold(3) != 1))
+    other = labels.filter(queries.fold(3) == 1).select("doc_id", "quality") if sf == "sf0.01" else labels
+    judged = decision_list.judge(docs, rules, ["doc_id"]).filter("not base_failed").select("doc_id", "kept").join(other, "doc_id").collect()
+    low, good = ([r.kept for r in judged if r.quality == q] for q in (0, 1))
+    assert rules and low and sum(low) <= 0.1 * len(low) and good and sum(good) >= 0.99 * len(good)
+
+
+def test_a_failed_conjunction_is_set_aside():
+    """The conjunction of most gain is too imprecise; a smaller exact one is found after it."""
+    rng = np.random.default_rng(5)
+    values = rng.random((900, len(decision_list.FEATURES)))
+    noisy = rng.random(900)
+    bad = (values[:, 1] > 0.6) & (noisy < 0.8) | (values[:, 4] > 0.95)
+    rules = decision_list.learn(values, bad, np.arange(900))
+    assert rules and all(r.precision >= decision_list.PRECISION for r in rules)
+    assert any(n == "repeat_share" and not below and cut > 0.9 for r in rules for n, below, cut in r.terms)
 
 
 # 5 language model
@@ -381,6 +404,28 @@ def test_toxic_texts_are_told(spark):
     assert toxicity.fit(docs, labels.limit(0)).score(docs, ["doc_id"]).filter("predicted = 1").count() == 0
 
 
+def test_features_equal_brute_force():
+    texts = ["You are an IDIOT!! really? 1d10t m0ron", "a quiet text, with 3 words2 more", "", "  ", "MORON w w w w w w you. SH OK x", "crétin tu es", "@ss l0ser $tupid"]
+    data = "".join(texts).encode()
+    got = toxicity.featurise(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]), toxicity.hash_words(["quiet"]))
+    for t, row in zip(texts, got, strict=True):
+        r = dict(zip(toxicity.FEATURES, row, strict=True))
+        w = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t)
+        low = [re.sub("[A-Z]", lambda m: m.group().lower(), x) for x in w]
+        bad = [x in toxicity.INSULTS for x in low]
+        either = [b or x == "quiet" for b, x in zip(bad, low, strict=True)]
+        you = [i for i, x in enumerate(low) if x in toxicity.SECOND_PERSON]
+        n, chars = max(len(w), 1), max(len(t.encode()), 1)
+        looks = str.maketrans("0134578@$!|+", "oieastbasilt")
+        hidden = [x for x in re.findall(r"[0-9A-Za-z\x80-\U0010ffff@$!*|+]+", t) if x.lower().translate(looks) != x.lower() and x.lower().translate(looks) in toxicity.INSULTS]
+        want = {
+            "insults": sum(bad), "insult_share": sum(bad) / n, "found": low.count("quiet"), "hidden": len(hidden), "near_you": sum(e and any(abs(i - k) <= toxicity.NEAR for k in you) for i, e in enumerate(either)), "you_share": len(you) / n,
+            "caps_share": len(re.findall("[A-Z]", t)) / chars, "caps_words": sum(bool(re.fullmatch("[A-Z]{2,}", x)) for x in w) / n, "shout_share": t.count("!") / chars, "ask_share": t.count("?") / chars,
+            "mixed_share": sum(bool(re.search("[0-9]", x) and re.search("[^0-9]", x)) for x in w) / n, "log_words": math.log1p(len(w)), "mark_share": len(re.findall(r"[^0-9A-Za-z\x80-\U0010ffff \t\n\v\f\r]", t)) / chars,
+        }
+        assert {k: pytest.approx(v) for k, v in want.items()} == {k: r[k] for k in want}, t
+
+
 # 8 WARC
 
 
@@ -522,8 +567,12 @@ def test_stages_bear_odd_rows(spark):
         docs = shared.materialise(stage(spark, docs, sf), name)
         assert docs.columns == DOCS.replace(",", "").split()[::2]
     assert sorted(r.doc_id for r in docs.collect()) == [1, 3, 3]
+    pieces = pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r.doc_id for r in pieces} == {1, 3} and sum(r.length for r in pieces if r.start == 0) <= sum(r.doc_tokens for r in pieces if r.start == 0)
+    odd = pipeline.STAGES[-1][1](spark, docs_of(spark, ODD), sf).collect()
+    assert len([r for r in odd if r.doc_id in (900, 901, 902)]) == 3 and all(r.doc_tokens == 1 for r in odd if r.doc_id in (900, 901, 902)) and any(r.doc_id is None for r in odd)
     nothing = docs.limit(0)
-    for _, stage in pipeline.STAGES[:-1]:
+    for _, stage in pipeline.STAGES:
         nothing = stage(spark, nothing, sf)
     assert nothing.count() == 0
 
