@@ -4,12 +4,12 @@ Each stage is (spark, docs, sf_dir) -> DataFrame. run() writes every stage as
 Parquet into the shared folder and reads it again as the next one's documents.
 Null or empty texts are neither toxic nor near copies; the quality stage drops
 them as too short. Columns other than those of documents go along in the first
-three stages.
+three stages, whatever their names: rows travel as one struct.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraft.llm import decision_list, hyperminhash, pow2_packing, toxicity
@@ -20,16 +20,21 @@ from lexigraft.llm.shared import new_path
 SHINGLE, PERCENT = 5, 75
 
 
+def as_rows(docs: DataFrame, *also: str | Column) -> DataFrame:
+    """Each row as a struct `_row`, beside the columns that an operator reads."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *also)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.7."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(fold(3) != 1))
-    return model.score(docs, docs.columns).filter("predicted = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return model.score(as_rows(docs, "text"), ["_row"]).filter("predicted = 0").select("_row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base test and the learned decision list."""
     rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
-    return decision_list.judge(docs, rules, docs.columns).filter("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return decision_list.judge(as_rows(docs, "text"), rules, ["_row"]).filter("kept").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = hyperminhash.near_duplicates(docs, SHINGLE, PERCENT)
     gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = as_rows(docs, F.col("doc_id").cast("long").alias("_id"))
+    return own.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import counts, mix64, runs, slices, values_of, words
 
@@ -125,7 +126,7 @@ def with_features(docs: DataFrame, keep: list[str], found: np.ndarray) -> DataFr
                 kept = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(values[:, i]) for i in range(len(FEATURES)))], names=[*keep, *(f"_f_{f}" for f in FEATURES)])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`_f_{f}` double" for f in FEATURES)])
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(f"_f_{f}", T.DoubleType()) for f in FEATURES)])
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text")).mapInArrow(each, schema)
 
 
@@ -160,7 +161,14 @@ class Model:
         self.found, self.trees, self.calibration = found, trees, calibration
 
     def score(self, docs: DataFrame, keep: list[str], at: float = 0.7) -> DataFrame:
-        """The columns `keep`, score (0 to 1) and predicted (1 if score >= at); every row once, empty texts too."""
+        """The columns `keep`, score (0 to 1) and predicted (1 if score >= at); every row once, empty texts and repeated rows too.
+
+        Columns of `keep` that are called like a result, or with a leading
+        underscore like the columns in between, give way; put them in a struct to
+        carry them. An empty table gives no rows.
+        """
+        own = {"score", "predicted", "_features", "_margin", "_probability", "_label", "_raw", "_calibrated", *(f"_f_{f}" for f in FEATURES)}
+        keep = [c for c in keep if c.lower() not in own]
         rows = with_features(docs, keep, self.found)
         if self.trees is None:  # one class only: nothing to tell apart
             return rows.select(*(F.col(f"`{c}`") for c in keep), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
@@ -177,8 +185,10 @@ def raw(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on labels (doc_id, toxic 0/1) of at most fit_rows documents.
 
-    Only those rows' texts are read. Labels that are null are left out; of
-    several for one document the largest counts. With one class only, every score is 0.
+    Only those rows' texts are read, and no other column of docs but doc_id.
+    Labels that are null are left out; of several for one document the largest
+    counts; rows that repeat a doc_id teach each. With one class only, or an
+    empty table, every score is 0.
     """
     sample = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").cast("long").alias("_id"), "toxic")
