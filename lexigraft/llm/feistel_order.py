@@ -8,8 +8,9 @@ partition and one file of fixed-stride records, so slot s is at a known place:
 a reader goes on from any slot with one seek.
 
 Sequences are cut from the ids of a partition's documents one after another;
-only a partition's last sequence is padded. Files of failed attempts are never
-read, since the manifest names those that count.
+only a partition's last sequence is padded. Ids are compressed wherever they wait,
+in the table of ids and in the shuffle; shards hold them as they are. Files of
+failed attempts are never read, since the manifest names those that count.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ ROUNDS = 6
 MANIFEST = "_order.json"
 #: The id after each document, and that of padding, where ids are bytes; neither is a byte of UTF-8 text that counts.
 END, PAD = 0xFF, 0x00
-#: Ids of a sequence, bytes of a shard.
-LENGTH, SHARD = 2048, 32 << 20
+#: Ids of a sequence, bytes of a shard at least, and shards at most: larger tables have larger shards.
+LENGTH, SHARD, MOST_SHARDS = 2048, 32 << 20, 1 << 16
 #: Bytes of text that are tokenized together.
 SLICE = 1 << 20
 
@@ -88,13 +89,15 @@ def encoded(texts: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, i
                 borders = np.concatenate([[0], np.cumsum(sizes) * width]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(borders.tobytes()), pa.py_buffer(packed.tobytes())]), pa.array(sizes, pa.int64())], names=["ids", "size"])
 
-    return materialise(texts.mapInArrow(each, "ids binary, size long"), "ids"), width
+    return materialise(texts.mapInArrow(each, "ids binary, size long"), "ids", compression="zstd"), width
 
 
 def write(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH, shard_bytes: int = SHARD, tokenizer: str | None = None, end_id: int = 1) -> dict:
     """Write the token ids of docs (text string) to `path` in the order of `key`; returns the manifest.
 
-    Each document gives its ids and the end id; a null text counts as empty.
+    Each document gives its ids and the end id; a null text counts as empty,
+    rows that repeat are written each, other columns don't matter, U+0000 is a
+    character like others. An empty table gives a manifest of no shards.
     Texts are tokenized once, into a table that is then read twice: to count the
     ids of each partition and to cut them. Without a tokenizer ids are UTF-8
     bytes; docs then has to be a table read from files, for it is itself read
@@ -117,7 +120,7 @@ def write(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH, shard_
             short[str(n - 1)] = sizes[part] % length
     order = Order(n, key)
     stride = length * width
-    per_shard = max(1, shard_bytes // stride)
+    per_shard = max(1, shard_bytes // stride, -(-n // MOST_SHARDS))
     shards = max(1, -(-n // per_shard))
     run = uuid.uuid4().hex
 
@@ -130,8 +133,8 @@ def write(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH, shard_
             count = len(data) // stride
             slots = order.slot(np.arange(sequence, sequence + count))
             sequence += count
-            body = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(np.arange(0, len(data) + 1, stride, dtype=np.int32).tobytes()), pa.py_buffer(data)])
-            return pa.RecordBatch.from_arrays([pa.array((slots // per_shard).astype(np.int32)), pa.array(slots), body], names=["shard", "slot", "ids"])
+            body = [pa.compress(data[at : at + stride], "zstd", asbytes=True) for at in range(0, len(data), stride)]
+            return pa.RecordBatch.from_arrays([pa.array((slots // per_shard).astype(np.int32)), pa.array(slots), pa.array(body, pa.binary())], names=["shard", "slot", "ids"])
 
         for batch in batches:
             if width == 1:
@@ -165,7 +168,7 @@ def write(docs: DataFrame, path: str, key: int = 1, length: int = LENGTH, shard_
                     store.create_dir(root, recursive=True)
                     shard, name, count = at, f"shard-{at:06d}-{run}-{uuid.uuid4().hex[:8]}.bin", 0
                     out = store.open_output_stream(posixpath.join(root, name), compression=None)
-                out.write(ids)
+                out.write(pa.decompress(ids, stride, "zstd", asbytes=True))
                 count += 1
         if out is not None:
             out.close()
@@ -223,4 +226,3 @@ def read(spark: SparkSession, path: str, chunk: int = 4096) -> DataFrame:
 
     chunks = -(-manifest["n"] // chunk)
     return spark.range(0, chunks, 1, max(1, min(chunks, 10_000))).mapInArrow(each, "slot long, sequence long, shard long, n_tokens long, ids binary")
-

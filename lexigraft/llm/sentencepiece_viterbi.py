@@ -28,8 +28,8 @@ from .words import text_buffers
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Chunks that a worker remembers (about 180 bytes each); the store is emptied when full.
-STORE = 1_000_000
+#: Chunks that a worker remembers (about 180 bytes each) and their characters; the store is emptied when full.
+STORE, STORE_CHARS = 1_000_000, 24 << 20
 #: Bytes of text handled together.
 SLICE = 1 << 20
 _models: dict[str, Model] = {}
@@ -89,6 +89,7 @@ class Model:
         self.chunk = re.compile(f"{MARK}*[{letters}]+|{MARK}+|[^{MARK}{letters}]" if letters else f"{MARK}+|[^{MARK}]")
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.texts = [self.surface(i) for i in range(n)]
 
     def build(self) -> None:
@@ -211,22 +212,26 @@ class Model:
         for c in parts:
             if c not in known:
                 known[c] = np.array(self.segment(c), "<u4").tobytes()
+                self.held += len(c)
         return b"".join([known[c] for c in parts])
 
     def encode(self, text: str) -> bytes:
         """Ids of a normalised text, packed as little-endian unsigned 32-bit numbers."""
         if self.whole:
             return np.array(self.segment(text), "<u4").tobytes()
-        if len(self.known) + len(self.words) > STORE:
+        if len(self.known) + len(self.words) > STORE or self.held > STORE_CHARS:
             self.known.clear()
             self.words.clear()
+            self.held = 0
         if MARK * 2 in text or not text.startswith(MARK):
             return self.chunks(text)
         words, parts = self.words, text.split(MARK)[1:]  # the words after each mark
         try:
             return b"".join([words[w] for w in parts])
         except KeyError:
-            words.update((w, self.chunks(MARK + w)) for w in set(parts).difference(words))
+            new = set(parts).difference(words)
+            self.held += sum(map(len, new))
+            words.update((w, self.chunks(MARK + w)) for w in new)
         return b"".join([words[w] for w in parts])
 
     def normalise(self, texts: list[str]) -> list[str]:

@@ -4,7 +4,8 @@ The tokenizers of this kind lower-case, drop white space and cut letters from
 punctuation before they merge, so a text's ids are its words' ids one after
 another, and a word's are those of its punctuation and letters. Each Python
 worker keeps the ids of the words it has seen; the store is emptied when it is
-full, which changes no result.
+full, which changes no result. A tokenizer that treats a sample of texts in
+another way gets whole texts instead.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import os
 
 import numpy as np
 
-#: Words whose ids a worker keeps (about 180 bytes each).
-STORE = 700_000
+#: Words whose ids a worker keeps (about 180 bytes each), and their bytes.
+STORE, STORE_BYTES = 700_000, 32 << 20
+#: What shows whether a tokenizer lower-cases and cuts at white space and punctuation.
+PROBES = ("The the  THE\n\tfoo-bar, (x) [y] Ünïcode ÉTÉ 日本", " a.b,c!! don't 12345 x_y \u3000ß \U0001f600 end.", "\r\vone\ftwo  ,three; İ ŉ")
 #: Words that are encoded in one string.
 JOINED = 200
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -41,6 +44,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
+        self.by_word = all(self.whole([p.encode()]) == self.encode_all([p.encode()]) == self.whole([p.encode().lower()]) for p in PROBES)
+        self.known.clear()
+
+    by_word = True
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
 
     def alone(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
@@ -76,16 +87,22 @@ class WordEncoder:
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Each UTF-8 text's ids, packed as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            return self.whole(texts)
         split = [t.split() for t in texts]
         known = self.known
         new = set().union(*split).difference(known)
-        if len(known) + len(new) > STORE:
+        size = sum(map(len, new))
+        if len(known) + len(new) > STORE or self.held + size > STORE_BYTES:
             known.clear()
-            if len(split) > 1 and len(new) > STORE // 4:
+            self.held = 0
+            if len(split) > 1 and (len(new) > STORE // 4 or size > STORE_BYTES // 4):
                 half = len(texts) // 2
                 return self.encode_all(texts[:half]) + self.encode_all(texts[half:])
             new = set().union(*split)
+            size = sum(map(len, new))
         if new:
+            self.held += size
             self.learn(new)
         return [b"".join([known[w] for w in parts]) for parts in split]
 
