@@ -89,9 +89,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool, between: np.ndarra
     begin[inner] = ~white[inner]
     last[inner - 1] = ~white[inner - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
+    hashes, heads = span_hashes(data, starts, ends, _VALUES[lower] if values is None else values, prefixes)
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    return (rows, starts, ends, hashes, heads) if prefixes else (rows, starts, ends, hashes)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUES[False], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The hashes of the byte spans [start, end), given in order, and of the first so many bytes of each; memory is a segment's."""
     hashes = np.empty(len(starts), np.uint64)
     heads = [np.empty(len(starts), np.uint64) for _ in prefixes]
-    values, at, word = _VALUES[lower] if values is None else values, 0, 0
+    word = 0
     while word < len(starts):
         at = int(starts[word])
         stop = max(word + 1, int(np.searchsorted(ends, at + SEGMENT, "right")))
@@ -105,8 +112,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool, between: np.ndarra
             cut = np.minimum(e, s + size)
             out[word:stop] = mix64((sums[cut] - sums[s]) * down[s] + (cut - s).astype(np.uint64) * LENGTH)
         word = stop
-    rows = np.searchsorted(offsets, starts, "right") - 1
-    return (rows, starts, ends, hashes, heads) if prefixes else (rows, starts, ends, hashes)
+    return hashes, heads
 
 
 def runs(rows: np.ndarray, n: int) -> np.ndarray:

@@ -268,21 +268,55 @@ def test_byte_probabilities_sum_to_one():
     table = rng.integers(-40, 40, int(context_mixing._OFFSETS[-1]) << 8).astype(np.int8)
     mixer = context_mixing.Mixer(table, code, np.full((len(context_mixing.TABLES), context_mixing.GATES), 0.3, np.float32))
     rows = [np.full(256, r) for r in (5, 9, 11, 17)]
-    owner, bit, logits, gate = mixer.inputs(np.arange(256), rows)
-    p = 1 / (1 + np.exp(-mixer.mix(logits, gate).astype(float)))
+    length, bit, steps, gate = mixer.inputs(np.arange(256), rows)
+    owner = np.repeat(np.arange(256), length)
+    p = 1 / (1 + np.exp(-mixer.mix(steps, gate).astype(float)))
     assert abs(np.exp(np.bincount(owner, np.log(np.where(bit > 0, p, 1 - p)))).sum() - 1) < 1e-5
 
 
 def test_texts_do_not_see_each_other():
     rng = np.random.default_rng(8)
-    data = rng.integers(97, 110, 4000).astype(np.uint8)
+    data = rng.choice(np.frombuffer(b"abcdefghij \n", np.uint8), 4000)
     table = rng.integers(-40, 40, int(context_mixing._OFFSETS[-1]) << 8).astype(np.int8)
     mixer = context_mixing.Mixer(table, context_mixing.Code.of(np.ones(256, int)), np.full((len(context_mixing.TABLES), context_mixing.GATES), 0.3, np.float32))
-    score = lambda o: mixer.score(*context_mixing.padded(data[o[0] : o[-1]], np.array(o) - o[0]), np.diff(o) + 1)
+
+    def score(o):
+        buffer, begins = context_mixing.padded(data[o[0] : o[-1]], np.array(o) - o[0])
+        rows, starts, ends = context_mixing.segments(buffer, begins, np.diff(o) + 1)
+        assert np.bincount(rows, ends - starts + 1, len(begins)).tolist() == (np.diff(o) + 1).tolist()
+        first, kind, often = context_mixing.alike(buffer, starts, ends)
+        assert often.sum() == len(starts)
+        return np.bincount(rows, mixer.bits(buffer, starts[first], ends[first])[1][kind], len(begins))
+
     both = score([0, 1500, 1500, 4000])
     assert np.allclose(both, [score([0, 1500])[0], score([1500, 1500])[0], score([1500, 4000])[0]], rtol=1e-5)
 
 
+def test_words_before_and_their_case():
+    data, offsets = np.frombuffer(b"The the A ab AB aB theThe x", np.uint8), np.array([0, 22, 27])
+    rows, starts, ends, hashes = words.words(data, offsets, lower=True)
+    before, own = context_mixing.repeats(hashes, rows)
+    assert before.tolist() == [0, 1, 0, 0, 1, 2, 2, 0, 0] and own.tolist() == [3, 3, 1, 3, 3, 3, 3, 1, 1]
+    c = context_mixing.CASES
+    assert context_mixing.cases(data, starts, ends).tolist() == [c[1], c[0], c[1], c[0], c[2], -np.inf, c[0], c[1], c[0]] and sum(2.0**c) < 1
+
+
+def test_joined_words_score_as_those_sent(spark, monkeypatch):
+    """Which words go to the tasks and which are joined changes nothing, and a copy elsewhere in the training documents helps."""
+    rng = random.Random(16)
+    rare = lambda k: " ".join(f"q{k}z{rng.randrange(10**6)}" for _ in range(40))
+    one, two = rare(1), rare(2)
+    rows = [(i, " ".join(rng.choice(["the", "The", "of", f"w{rng.randrange(30)}"]) for _ in range(60))) for i in range(60)] + [(101, one), (103, two), (105, two)] + ODD
+    docs = docs_of(spark, rows)
+    sent = {(r.doc_id, r.n_tokens): r for r in context_mixing.score(docs).collect()}
+    monkeypatch.setattr(context_mixing, "HEAVY", 0)
+    for r in context_mixing.score(docs).collect():
+        other = sent[r.doc_id, r.n_tokens]
+        assert math.isclose(r.score, other.score, rel_tol=1e-5) and math.isclose(r.base_score, other.base_score, rel_tol=1e-9) and r.n_known == other.n_known
+    by = {k[0]: r.bits_per_byte for k, r in sent.items()}
+    assert not any(zlib.crc32(str(i).encode()) % 10 == 0 for i in (101, 103, 105)) and max(by[103], by[105]) < 0.8 * by[101]
+
+
 def test_the_fourth_last_byte_is_a_context():
     buffer, begins = context_mixing.padded(np.frombuffer(b"a yz1b yz1", np.uint8), np.array([0, 5, 10]))
     rows = context_mixing.contexts(buffer)
