@@ -42,10 +42,14 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of vectors of a and b with a cosine of at least the threshold; i < j if both are the same block."""
-    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    ca, sa, la, ea = quantise(a / na[:, None])
-    cb, sb, lb, eb = quantise(b / nb[:, None])
+    """Indices (i, j) of vectors of a and b with a cosine of at least the threshold; i < j if both are the same block.
+
+    Vectors are first scaled by powers of two, so that no square overflows or vanishes.
+    """
+    scaled_a, scaled_b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) for x in (a, b))
+    na, nb = np.linalg.norm(scaled_a, axis=1), np.linalg.norm(scaled_b, axis=1)
+    ca, sa, la, ea = quantise(scaled_a / na[:, None])
+    cb, sb, lb, eb = quantise(scaled_b / nb[:, None])
     left, right = [], []
     for lo in range(0, len(a), ROWS):
         hi = min(lo + ROWS, len(a))
@@ -56,7 +60,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tu
             i, j = i[i < j], j[i < j]
         for at in range(0, len(i), 1 << 18):
             x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-            linked = np.einsum("ij,ij->i", a[x], b[y]) / (na[x] * nb[y]) >= threshold
+            linked = np.einsum("ij,ij->i", scaled_a[x], scaled_b[y]) / (na[x] * nb[y]) >= threshold
             left.append(x[linked])
             right.append(y[linked])
     return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
@@ -126,14 +130,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLO
                 if values is not None and len(values) and not values.null_count:
                     found = values.to_numpy(zero_copy_only=False).astype(kind)
                     wide = found.astype(np.float64)
-                    if np.isfinite(wide).all() and 0 < float(wide @ wide) < np.inf:
+                    top = np.abs(wide).max()
+                    if 0 < top < np.inf:
                         row = found.tobytes()
                 packed.append(row)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["vec_id", "packed"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(clean, "vec_id long, packed binary")
     rows = materialise(rows.withColumn("node", F.when(F.col("packed").isNotNull(), F.xxhash64("packed"))), "vectors")
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("packed").alias("packed"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.min("packed").alias("packed"), F.max("packed").alias("last"))
+    # a number stands for its vector; two vectors that share one stop the job instead of being taken for copies
+    clash = F.when(F.col("packed") != F.col("last"), F.raise_error(F.lit("two vectors share a hash"))).cast("boolean")
+    nodes = nodes.filter(clash.isNull()).drop("last")
     nodes = materialise(nodes.withColumn("dims", F.length("packed") / size), "nodes")
     count = nodes.count()
     blocks = max(1, -(-count // block))
