@@ -1,9 +1,10 @@
 """WARC as a PySpark data source.
 
 Writing: each task writes one file of records, each a gzip member of its own
-whose extra field gives its length (the old "sl" skip-length field), and the
-commit writes a manifest of the files that count, so files of failed attempts
-are never read. Reading: files and stretches of files are partitions; only a
+whose extra field gives its length (the old "sl" skip-length field), and each
+commit writes a manifest of its own of the files that count, so files of failed
+attempts are never read and what was written before stays; overwriting drops the
+manifests that were there. Reading: files and stretches of files are partitions; only a
 member's first bytes are inflated to parse its headers, predicates on headers
 are tested there, and a record that they reject is skipped unread. Plain .warc
 files and gzip files without the field are read as well.
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-MANIFEST = "_manifest.json"
+from .shared import materialise
+
+#: How the names of manifests begin; each ends with .json.
+MANIFEST = "_manifest-"
 #: Compressed bytes of a read partition, bytes of a batch, of a first look and of a header at most.
 STRETCH, BATCH, LOOK, HEADER = 16 << 20, 4 << 20, 2048, 1 << 20
 LEVEL = 4
@@ -96,9 +100,16 @@ class Stretch(InputPartition):
         self.file, self.start, self.end = file, start, end
 
 
+def manifests(store: fs.FileSystem, root: str) -> list[str]:
+    """The manifests of a folder, one for each commit."""
+    if store.get_file_info(root).type != fs.FileType.Directory:
+        return []
+    return sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if posixpath.basename(f.path).startswith(MANIFEST) and f.path.endswith(".json"))
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, compressed: bool) -> None:
-        self.path, self.compressed = path, compressed
+    def __init__(self, path: str, compressed: bool, overwrite: bool = False) -> None:
+        self.path, self.compressed, self.overwrite = path, compressed, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = place(self.path)
@@ -120,8 +131,11 @@ class WarcWriter(DataSourceArrowWriter):
         store, root = place(self.path)
         store.create_dir(root, recursive=True)
         files = [{"file": m.file, "size": m.size, "starts": m.starts, "records": m.records} for m in messages if m is not None]
-        with store.open_output_stream(posixpath.join(root, MANIFEST), compression=None) as out:
+        older = manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(posixpath.join(root, f"{MANIFEST}{uuid.uuid4().hex}.json"), compression=None) as out:
             out.write(json.dumps(files).encode())
+        for path in older:
+            store.delete_file(path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         """Files without a manifest are never read; nothing needs undoing."""
@@ -188,13 +202,15 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, root = place(self.path)
-        try:
-            with store.open_input_stream(posixpath.join(root, MANIFEST), compression=None) as source:
-                files = json.loads(source.read())
-        except FileNotFoundError:
+        known = manifests(store, root)
+        if not known:
             info = store.get_file_info(root)
             found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root))
             return [Stretch(f.path, 0, None) for f in sorted(found, key=lambda f: f.path) if f.path.endswith((".warc", ".warc.gz"))]
+        files = []
+        for path in known:
+            with store.open_input_stream(path, compression=None) as source:
+                files += json.loads(source.read())
         return [Stretch(posixpath.join(root, f["file"]), a, b) for f in files if f["records"] for a, b in zip(f["starts"], [*f["starts"][1:], f["size"]], strict=True)]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
@@ -285,7 +301,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.option("payload", "true") == "true", self.option("verify", "false") == "true")
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"], self.option("compression", "gzip") == "gzip")
+        return WarcWriter(self.options["path"], self.option("compression", "gzip") == "gzip", overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -303,13 +319,15 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     Of equal payloads of at least least_bytes bytes that with the smallest
     page_id is the response; rows that repeat its page_id are responses too. A
     payload whose page_ids are all null is a response each time. Null html
-    counts as empty, a null url has no header; other columns don't matter.
+    counts as empty, a null url has no header; other columns don't matter. What
+    the folder holds already stays beside the new records.
     """
     spark = pages.sparkSession
     register(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.length("payload").cast("long")})
     firsts = rows.filter(F.col("size") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
+    firsts = materialise(firsts, "firsts")
     firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
     rows = rows.join(firsts, "sha", "left")
     revisit = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
