@@ -176,6 +176,14 @@ def test_vectors_equal_brute_force(spark):
     assert int8_neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_length(spark):
+    """Squares of components may overflow or vanish."""
+    v = [[1e200, 1e200], [1e200, 1e200], [2e-200, 1e-200], [1e-200, 1e-200], [5e-324, 0.0], [0.0, 0.0], [1.0, -1.0], [3.0, 3.0]]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in int8_neardup.near_duplicates(df).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (4, 0)}
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(50, 70)), rng.normal(size=(60, 70))))
@@ -343,6 +351,54 @@ def test_license_cases(spark):
     assert len(license_rules.rules()) > 200
 
 
+@pytest.mark.parametrize("mark", [" ", "\n * ", "\n# ", ", "])
+def test_every_signature_is_found(mark):
+    gate = license_rules.Gate(license_rules.rules())
+    for label, sentence in license_rules.SIGNATURES:
+        for pick in (0, -1):
+            said = [w.split("|")[pick] for w in sentence.split()]
+            for text in (mark.join(w.rstrip("?") for w in said), mark.join(w for w in said if not w.endswith("?"))):
+                low = f"x {text}. y".encode()
+                found = license_rules.detect(low, gate.open(low))
+                assert any(r.label == label and r.kind == "text" for _, _, r in found) or any(r.kind == "text" and e - s > len(text) - 3 for s, e, r in found), (label, text)
+
+
+def test_detections_equal_brute_force():
+    """The sweep keeps what comparing every match with all that go before it keeps."""
+    rng = random.Random(12)
+    ordered = license_rules.rules()
+    parts = ["license: mit", "apache license, version 2.0", "under the", "licensed", "gpl", "gnu general public license v3", "the", "mit license", "cc by-sa 4.0", "cc by", "for details", "see", "public domain", "all rights reserved", "bsd license", "x"]
+    for _ in range(60):
+        low = " ".join(rng.choice(parts) for _ in range(30)).encode()
+        found = sorted(((m.start(), m.end(), r) for r in ordered for m in r.pattern.finditer(low)), key=lambda f: (f[2].priority, f[0] - f[1], f[0], f[2].label))
+        taken = []
+        for s, e, r in found:
+            if not any(a <= s and e <= b for a, b, _ in taken):
+                taken.append((s, e, r))
+        assert [(s, e, r.label) for s, e, r in license_rules.detect(low, ordered)] == [(s, e, r.label) for s, e, r in sorted(taken, key=lambda f: f[:2])]
+
+
+def test_base_phrases_equal_brute_force(spark):
+    rng = random.Random(13)
+    parts = ["GNU", "General", "public", "License", "apache", "license", "MIT", "cc", "BY", "gnu-general", "lizenz", "é", "0", "..", "\n", "cc\tby", "x_y"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(80)))) for i in range(300)] + ODD
+    for r, (i, t) in zip(sorted(license_rules.scan(docs_of(spark, rows)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)), sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        at = [(k, label) for phrase, label in license_rules.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        assert (r.doc_id, r.n_words, r.n_base) == (i, len(w), len(at))
+        assert (r.first_word, r.last_word, r.base_labels) == (min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at})))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_long_texts_of_many_matches():
+    import time
+
+    gate, low = license_rules.Gate(license_rules.rules()), b"apache license, version 2.0 and the mit license. " * 20_000
+    began = time.perf_counter()
+    assert len(license_rules.detect(low, gate.open(low))) == 40_000
+    assert time.perf_counter() - began < 20
+
+
 def test_contained_detections_give_way():
     low = b"licensed under the apache license, version 2.0."
     assert [(r.label, r.kind) for _, _, r in license_rules.detect(low, license_rules.rules())] == [("apache-2.0", "granted")]
@@ -371,7 +427,7 @@ FRAMED = {
 def license_texts():
     spdx = {label: name for label, name, *_ in license_rules.NAMES}
     for rule in license_rules.rules():
-        for frame in FRAMED[rule.kind]:
+        for frame in FRAMED.get(rule.kind, ()):  # signatures have their own test
             for name in WRITTEN[rule.label] if rule.kind != "spdx" else ("",):
                 yield rule, frame.replace("{id}", spdx[rule.label]).replace("{name}", name)
 
@@ -494,6 +550,18 @@ def test_header_predicates_skip_payloads(spark, archived):
     assert len(left) == 1 and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
 
 
+def test_writing_twice(spark, tmp_path):
+    """A second write adds to a folder; overwriting leaves only its own records."""
+    path, pages = str(tmp_path / "twice"), lambda *rows: spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.archive(pages((1, "u", "one")), path)
+    warc.archive(pages((2, "u", "two"), (3, "u", "two")), path)
+    assert sorted(r.record_id[9:] + r.warc_type for r in warc.read(spark, path, verify=True).collect()) == ["1response", "2response", "3revisit"]
+    rows = warc.read(spark, path).select("record_id", "warc_type", "target_uri", "date", "refers_to", "payload_digest", "payload_bytes", "payload").filter("warc_type = 'response'")
+    shared.materialise(rows, "rows").limit(1).write.format("warcfiles").mode("overwrite").save(path)
+    assert warc.read(spark, path).count() == 1
+    assert warc.read(spark, str(tmp_path / "twice")).filter("record_id = 'urn:page:9'").count() == 0
+
+
 def test_plain_and_foreign_archives(spark, tmp_path):
     import gzip
 
