@@ -82,24 +82,28 @@ def stamp_concepts(docs: DataFrame, mapped: DataFrame) -> DataFrame:
 
     Of a composite code's targets an active one comes first, then the more
     certain, then the earlier part; an inactive target's confidence is halved.
-    Out-of-scope entities and sentinel codes are cleared.
+    Out-of-scope entities and sentinel codes are cleared. Documents need no
+    unique key, and may come in any order each time that they are read.
     """
-    keyed = docs.withColumn("_doc", F.monotonically_increasing_id())
-    rows = keyed.select("_doc", F.posexplode("entities").alias("pos", "e")).filter(~F.coalesce("e.out_of_scope", F.lit(False)))
-    parts = rows.select("_doc", "pos", F.posexplode(split_composite(F.col("e.original_code"))).alias("part", "code"))
+    scoped = F.filter("entities", lambda e: ~F.coalesce(e["out_of_scope"], F.lit(False)) & e["original_code"].isNotNull())
+    codes = F.array_sort(F.array_distinct(F.transform(scoped, lambda e: e["original_code"])))
+    # documents of the same codes share their targets, so the codes themselves are the key: no row needs an id
+    keyed = docs.withColumn("_codes", F.when(F.size(codes) > 0, codes))
+    rows = keyed.select("_codes").filter("_codes is not null").distinct().select("_codes", F.explode("_codes").alias("_code"))
+    parts = rows.select("_code").distinct().select("_code", F.posexplode(split_composite(F.col("_code"))).alias("part", "code"))
     parts = parts.withColumn("code", strip_prefix(F.col("code"), any_case=True)).filter(~F.col("code").isin(*C.SENTINELS))
     hits = parts.join(mapped.select("code", "target_id", "confidence", "target_active"), "code")
     order = F.struct((~F.col("target_active")).cast("int"), -F.col("confidence"), F.col("part"))
     confidence = F.when(F.col("target_active"), F.col("confidence")).otherwise(F.bround(F.col("confidence") * C.INACTIVE_FACTOR, 6))
-    best = hits.groupBy("_doc", "pos").agg(F.min_by(F.struct("target_id", confidence.alias("confidence"), "target_active"), order).alias("best"))
-    per_doc = best.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("pos", "best"))).alias("_best"))
-    stamped = keyed.join(per_doc, "_doc", "left")
+    best = hits.groupBy("_code").agg(F.min_by(F.struct("target_id", confidence.alias("confidence"), "target_active"), order).alias("best"))
+    per_set = rows.join(best, "_code").groupBy("_codes").agg(F.map_from_entries(F.collect_list(F.struct("_code", "best"))).alias("_best"))
+    stamped = keyed.join(per_set, "_codes", "left")
 
-    def entity(e: Column, i: Column) -> Column:
-        best = F.try_element_at("_best", i)
+    def entity(e: Column) -> Column:
+        best = F.try_element_at("_best", F.when(~F.coalesce(e["out_of_scope"], F.lit(False)), e["original_code"]))
         return e.withField("mapped_id", best["target_id"]).withField("mapping_confidence", best["confidence"]).withField("target_active", best["target_active"])
 
-    return stamped.withColumn("entities", F.transform("entities", entity)).drop("_doc", "_best")
+    return stamped.withColumn("entities", F.transform("entities", entity)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def relation_candidates(table: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def settled(df: DataFrame) -> DataFrame:
     if not where:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigraft-"))
         where = context.getCheckpointDir().get()
@@ -123,9 +123,12 @@ def neighbourhood(edge_rows: DataFrame, seeds: DataFrame, cap: int = C.NEIGHBOUR
     """(start, id, hops, rank): a seed, its parents, grandparents, children, grandchildren and siblings, first `cap` of them.
 
     edges carry ord; the order is the ring, then the ords along the way, then the id.
+    Of a node's children only the first `cap` are followed: whatever of these stands
+    in an earlier ring takes a place there, so later children never come in.
     """
+    few = edge_rows.withColumn("_place", F.row_number().over(Window.partitionBy("parent").orderBy("ord", "child"))).filter(F.col("_place") <= cap)
     up = edge_rows.select(F.col("child").alias("at"), F.col("parent").alias("next"), "ord")
-    down = edge_rows.select(F.col("parent").alias("at"), F.col("child").alias("next"), "ord")
+    down = few.select(F.col("parent").alias("at"), F.col("child").alias("next"), "ord")
     self_ = seeds.select(F.col("id").alias("start"), F.col("id").alias("id"), F.lit(0).alias("hops"), F.lit(0).alias("ring"), F.lit(0).cast("long").alias("o1"), F.lit(0).cast("long").alias("o2"))
 
     def one(step: DataFrame, ring: int) -> DataFrame:

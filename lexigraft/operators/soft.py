@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,60 @@ def top_k(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+#: Query vectors that are sent to the tasks at once (8 bytes a dimension each).
+QUERY_BLOCK = 16_384
+
+
+def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(query, id, similarity, rank): the k rows of most cosine for each query, itself left out; what is equal after rounding falls to the smaller id.
+
+    Both are (id long, vector array<double>). Queries go out in blocks of a fixed
+    size; a task multiplies its rows with a block, a batch at a time, and keeps k
+    for each query, so that only those are shuffled. Null, zero and odd-sized
+    vectors are near nothing.
+    """
+    spark = rows.sparkSession
+    asked = queries.filter("vector is not null").select("id", "vector")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()  # about QUERY_BLOCK rows
+        some = some[[len(v) == len(some["vector"].iloc[0]) for v in some["vector"]]]
+        names = some["id"].to_numpy(np.int64)
+        matrix = unit_rows(np.array(some["vector"].tolist(), float).reshape(len(some), -1))
+        sent = spark.sparkContext.broadcast((names[~np.isnan(matrix).any(axis=1)], matrix[~np.isnan(matrix).any(axis=1)]))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, matrix = sent.value
+            top = np.full((len(names), k), -np.inf)
+            ids = np.full((len(names), k), np.iinfo(np.int64).max)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    good = [i for i, v in enumerate(part.column(1)) if v.is_valid and len(v) == matrix.shape[1] and not v.values.null_count]
+                    if not good or not len(names):
+                        continue
+                    own = part.column(0).take(pa.array(good)).to_numpy()
+                    vectors = unit_rows(part.column(1).take(pa.array(good)).flatten().to_numpy().reshape(len(good), -1))
+                    near = matrix @ vectors.T
+                    near[np.isnan(near) | (names[:, None] == own)] = -np.inf
+                    both, other = np.concatenate([top, near], axis=1), np.concatenate([ids, np.broadcast_to(own, near.shape)], axis=1)
+                    order = np.lexsort((other, -np.round(both, digits)), axis=1)[:, :k]
+                    top, ids = np.take_along_axis(both, order, axis=1), np.take_along_axis(other, order, axis=1)
+            real = np.isfinite(top)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k).reshape(len(names), k)[real]), pa.array(ids[real]), pa.array(top[real])], names=["query", "id", "similarity"])
+
+        part = rows.select("id", "vector").mapInArrow(best, "query long, id long, similarity double")
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, ["query"], [F.desc(F.round("similarity", digits)), F.col("id")], k)
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows become not-a-number."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return matrix / np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
+
+
 def soft_map(candidates: DataFrame, vectors: DataFrame, lin: DataFrame, temperature: float = C.TEMPERATURE) -> DataFrame:
     """Distributions of candidates (code, primary, target_id, hops): equal shares of name, hop and content similarity.
 

@@ -124,18 +124,20 @@ def first_choice(entities: list[dict], pairs: list[dict]) -> dict:
     }
 
 
-def solve_documents(docs: DataFrame, compatible: DataFrame, valid: DataFrame) -> DataFrame:
+def solve_documents(docs: DataFrame, compatible: DataFrame, valid: DataFrame, branches: int = BRANCHES) -> DataFrame:
     """Solve each row of docs (INPUT); compatible (semantic_class, concept) is cut to the candidates that docs hold.
 
     valid (relation, subject_class, object_class, valid) has a row for each of the
-    few relations and classes. Null arrays count as empty.
+    few relations and classes. Null arrays count as empty. A document whose search
+    takes more than `branches` steps falls back to each list's first candidate.
     """
-    ids = docs.select(F.explode("entities").alias("e")).select(F.explode("e.concepts.id").alias("concept")).distinct()
-    fits = compatible.join(ids, "concept", "left_semi").groupBy("concept").agg(F.collect_set("semantic_class").alias("classes"))
-    rows = docs.withColumn("_doc", F.monotonically_increasing_id())
-    own = rows.select("_doc", F.explode("entities").alias("e")).select("_doc", F.explode("e.concepts.id").alias("concept")).distinct().join(fits, "concept")
-    own = own.groupBy("_doc").agg(F.collect_list(F.struct("concept", "classes")).alias("fits"))
-    rows = rows.join(own, "_doc", "left").drop("_doc")
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("entities", lambda e: F.coalesce(F.transform(e["concepts"], lambda c: c["id"]), F.array().cast("array<string>"))))))
+    # documents of the same candidates share what fits them, so the candidates are the key
+    rows = docs.withColumn("_ids", F.when(F.size(ids) > 0, ids))
+    own = rows.select("_ids").filter("_ids is not null").distinct().select("_ids", F.explode("_ids").alias("concept"))
+    fits = compatible.join(own.select("concept").distinct(), "concept", "left_semi").groupBy("concept").agg(F.collect_set("semantic_class").alias("classes"))
+    own = own.join(fits, "concept").groupBy("_ids").agg(F.collect_list(F.struct("concept", "classes")).alias("fits"))
+    rows = rows.join(own, "_ids", "left").drop("_ids")
     anchored = {r[0] for r in compatible.select("semantic_class").distinct().collect()}
     table = [(r.relation, r.subject_class, r.object_class, r.valid) for r in valid.collect()]
     good, checked = {t[:3] for t in table if t[3]}, {t[0] for t in table} | set(C.TIER1_ATTRIBUTES)
@@ -149,7 +151,7 @@ def solve_documents(docs: DataFrame, compatible: DataFrame, valid: DataFrame) ->
                 pairs = [{"i": int(p["i"]), "j": int(p["j"]), "relations": listed(p["relations"])} for p in listed(row.pairs)]
                 under = {(c, f["concept"]) for f in listed(row.fits) for c in f["classes"]}
                 began = time.perf_counter()
-                found = solve(entities, pairs, under, anchored, good, checked)
+                found = solve(entities, pairs, under, anchored, good, checked, branches)
                 ms = (time.perf_counter() - began) * 1000
                 chosen = found or first_choice(entities, pairs)
                 changed = sum(bool(k) for k in found["concept_index"]) if found else 0

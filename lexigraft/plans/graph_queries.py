@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, unit
 from ..operators import hierarchy as H
 from ..operators import kg, soft
 from .base import query, table
@@ -108,24 +107,11 @@ k AS (SELECT vec_id, other, sim, row_number() OVER (PARTITION BY vec_id ORDER BY
 """
 
 
-#: Query vectors that are sent to the tasks at once (a quarter of a kilobyte each at 64 dimensions).
-QUERY_BLOCK = 4096
-
-
 def nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """The five nearest vectors of each query vector, queries being every twentieth.
-
-    Queries go out in blocks of fixed size, all rows stream past each block.
-    """
-    rows = table(spark, sf, "embeddings").select("vec_id", unit(F.col("embedding")).alias("embedding"))
-    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        some = F.broadcast(asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block))
-        scored = rows.join(some, F.col("vec_id") != F.col("q")).select(F.col("q").alias("vec_id"), F.col("vec_id").alias("other"), dot(F.col("embedding"), F.col("v")).alias("sim"))
-        found = scored if found is None else found.union(scored)
-    return soft.top_k(found, ["vec_id"], [F.desc(F.round("sim", 6)), F.col("other")], 5)
+    """The five nearest vectors of each query vector, queries being every twentieth."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = soft.nearest_rows(rows.filter("id % 20 = 0"), rows, 5)
+    return found.select(F.col("query").alias("vec_id"), F.col("id").alias("other"), "similarity", "rank").withColumnRenamed("similarity", "sim")
 
 
 @query("WITH a AS (SELECT 1)" + NEAR + "SELECT vec_id, other, CAST(rank AS INTEGER) AS rank, round(sim, 4) AS sim FROM k WHERE rank <= 5")
@@ -192,7 +178,7 @@ def q39_kg_xrefs(spark: SparkSession, sf: str) -> DataFrame:
 r AS (SELECT CAST(l_orderkey % 50 AS VARCHAR) AS doc, l_returnflag AS rel, CAST(l_suppkey % 30 AS VARCHAR) AS s, CAST(l_partkey % 30 AS VARCHAR) AS o FROM lineitem),
 d AS (SELECT DISTINCT 'lines' AS source_dataset, doc AS source_doc_id, rel AS relation_type, x.cui AS subject_cui, y.cui AS object_cui, s AS subject_source_id, o AS object_source_id FROM r JOIN c x ON s = x.code JOIN c y ON o = y.code),
 v AS (SELECT 'regions' AS source_dataset, CAST(NULL AS VARCHAR) AS source_doc_id, 'RO' AS relation_type, a.n_name AS subject_cui, b.n_name AS object_cui, CAST(NULL AS VARCHAR) AS subject_source_id, CAST(NULL AS VARCHAR) AS object_source_id
-      FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey CROSS JOIN region)
+      FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
 SELECT source_dataset, relation_type, subject_cui, object_cui, count(*) AS n FROM (SELECT * FROM d UNION ALL SELECT * FROM v) GROUP BY ALL""")
 def q40_kg_relations(spark: SparkSession, sf: str) -> DataFrame:
     views(spark, sf)
@@ -200,9 +186,9 @@ def q40_kg_relations(spark: SparkSession, sf: str) -> DataFrame:
     number = lambda c, n: (F.col(c) % n).cast("string")
     lines.select(number("l_orderkey", 50).alias("pmid"), F.col("l_returnflag").alias("relation_type"), number("l_suppkey", 30).alias("subject_id"), number("l_partkey", 30).alias("object_id"), F.lit(None).cast("string").alias("novelty"), F.lit(None).cast("string").alias("evidence")).createOrReplaceTempView("kg_lines")
     spark.sql("SELECT 'lines' AS source_dataset, code AS source_id, cui FROM kg_atoms").createOrReplaceTempView("kg_line_xrefs")
-    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    nation = table(spark, sf, "nation")
     other = nation.select(F.col("n_name").alias("cui2"), "n_regionkey")
-    nation.join(other, "n_regionkey").crossJoin(F.broadcast(region)).select(F.col("n_name").alias("cui1"), "cui2", F.lit("RO").alias("rel"), F.lit("").alias("rela")).createOrReplaceTempView("kg_rels")
+    nation.join(other, "n_regionkey").select(F.col("n_name").alias("cui1"), "cui2", F.lit("RO").alias("rel"), F.lit("").alias("rela")).createOrReplaceTempView("kg_rels")
     own = kg.annotation_relations(spark, "kg_lines", "kg_line_xrefs", "lines").unionByName(kg.vocabulary_relations(spark, "kg_rels", "regions"))
     kept = kg.insert_ignore(own, kg.RELATION_KEY)
     return kept.groupBy("source_dataset", "relation_type", "subject_cui", "object_cui").agg(F.count("*").alias("n"))

@@ -36,8 +36,16 @@ def pubtator_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def read_pubtator(spark: SparkSession, path: str) -> DataFrame:
-    """Files whose blocks are parted by an empty line."""
-    return pubtator_blocks(spark.read.option("lineSep", "\n\n").text(path))
+    """Files whose blocks are parted by an empty line; lines may end with \\n or \\r\\n, each file in its own way."""
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    ends = lines.groupBy("file").agg(F.count_if(F.endswith("value", F.lit("\r"))).alias("crlf"), F.count("*").alias("n"))
+    files = {r.file: "\r\n\r\n" if 2 * r.crlf > r.n else "\n\n" for r in ends.collect()}  # a name and a flag for each file
+    out = None
+    for separator in sorted(set(files.values())) or ["\n\n"]:
+        own = [f for f, s in files.items() if s == separator] or path
+        rows = spark.read.option("lineSep", separator).text(own)
+        out = rows if out is None else out.unionByName(rows)
+    return pubtator_blocks(out.select(F.explode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("value")))
 
 
 INFON = "array<struct<_key: string, _VALUE: string>>"

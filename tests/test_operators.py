@@ -242,3 +242,38 @@ def test_synthesis(spark):
         assert [d.text[e.span_start : e.span_end] for e in d.entities] == [e.surface_text for e in d.entities]
     with pytest.raises(ValueError, match="fewer"):
         documents.synthesise(triples, terms, below)
+
+
+def test_stamps_do_not_depend_on_row_order(spark):
+    """Rows that come in another order each time they are read get their own targets."""
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("pmid"), F.array(F.struct(F.concat(F.lit("MESH:"), F.col("id").cast("string")).alias("original_code"), (F.col("id") % 7 == 0).alias("out_of_scope"), F.lit(None).cast("string").alias("mapped_id"), F.lit(None).cast("double").alias("mapping_confidence"), F.lit(None).cast("boolean").alias("target_active"))).alias("entities"))
+    mapped = spark.range(4000).select(F.col("id").cast("string").alias("code"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("target_id"), F.lit(0.9).alias("confidence"), (F.col("id") % 2 == 0).alias("target_active"))
+    got = documents.stamp_concepts(rows.hint("rebalance"), mapped).select("pmid", F.explode("entities").alias("e")).select("pmid", "e.*").collect()
+    assert len(got) == 4000
+    for r in got:
+        i = int(r.pmid)
+        assert r.mapped_id == (None if i % 7 == 0 else f"t{i}") and r.mapping_confidence == (None if i % 7 == 0 else 0.9 if i % 2 == 0 else 0.45)
+
+
+def test_nearest_rows_equal_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 6)).tolist() + [[0.0] * 6, None, [1.0] * 5]
+    v[7] = v[8]
+    df = spark.createDataFrame(list(enumerate(v)), "id long, vector array<double>").repartition(3)
+    u = np.array([x for x in v if x and len(x) == 6 and any(x)])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    got = {(r["query"], r["rank"]): (r["id"], round(r["similarity"], 9)) for r in soft.nearest_rows(df.filter("id % 20 = 0"), df, 4).collect()}
+    for q in range(0, 300, 20):
+        s = u @ u[q]
+        best = sorted((j for j in range(300) if j != q), key=lambda j: (-round(s[j], 6), j))[:4]
+        assert [got[q, k + 1] for k in range(4)] == [(j, round(float(s[j]), 9)) for j in best]
+    assert len(got) == 4 * 15
+
+
+def test_a_hub_of_many_children_is_cut_before_the_join(spark):
+    edges = spark.createDataFrame([(f"c{i:03}", "p", i) for i in range(200)] + [("p", "g", 0), ("x", "c000", 5)], "child string, parent string, ord long")
+    got = hierarchy.neighbourhood(edges, spark.createDataFrame([("c150",), ("p",)], "id string"), cap=10).orderBy("start", "rank").collect()
+    assert [r.id for r in got if r.start == "c150"] == ["c150", "p", "g", *(f"c{i:03}" for i in range(7))]
+    assert [r.id for r in got if r.start == "p"] == ["p", "g", *(f"c{i:03}" for i in range(8))]

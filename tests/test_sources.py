@@ -90,3 +90,14 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert sorted(tuple(r) for r in spark.sql("SELECT k, frequency FROM counts").collect()) == [("a", 2), ("b", 1)]
     assert sorted((r.k, r.n) for r in spark.sql("SELECT * FROM windows").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_pubtator_line_ends(spark, tmp_path):
+    block = "{0}|t|Title {0}\n{0}|a|Text.\n{0}\t0\t5\tTitle\tDisease\tD1\n"
+    text = "\n".join(block.format(i) for i in (1, 2, 3))
+    (tmp_path / "a.txt").write_bytes(text.encode())
+    (tmp_path / "b.txt").write_bytes(text.replace("\n", "\r\n").encode())
+    (tmp_path / "c.txt").write_bytes((block.format(4) + "\n" + block.format(5).replace("\n", "\r\n") + "\r\n" + block.format(6)).encode())
+    got = S.read_pubtator(spark, str(tmp_path)).collect()
+    assert sorted(r.pmid for r in got) == sorted(["1", "2", "3"] * 2 + ["4", "5", "6"])
+    assert all(r.title == f"Title {r.pmid}" and r.abstract == "Text." and [e.code for e in r.entities] == ["D1"] for r in got)
