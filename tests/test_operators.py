@@ -46,7 +46,7 @@ def test_softmax(spark):
 
 
 def test_constants(spark):
-    table = C.relation_rows()
+    table = C.RELATION_MAPPINGS
     assert len(table) == 108 and len({t[:4] for t in table}) == 66 and sum(t[5] == 1 for t in table) == 15
     sums = Counter()
     for t in table:
