@@ -86,6 +86,35 @@ def to_day(column: Column) -> Column:
     return F.to_date(blank_to_null(column), "yyyyMMdd")
 
 
+def mesh_identifiers(raw: Column) -> Column:
+    """struct<raw, single, ids>: the bar-separated parts of a field that is one code or more, single if there is one only."""
+    clean = F.trim(raw)
+    parts = F.filter(F.transform(F.split(clean, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    ids = F.when(normalise_code(clean).isNull(), F.array().cast("array<string>")).otherwise(parts)
+    return F.when(raw.isNotNull(), F.struct(clean.alias("raw"), F.when(F.size(ids) == 1, F.get(ids, F.lit(0))).alias("single"), ids.alias("ids")))
+
+
+def listed_identifiers(raw: Column) -> Column:
+    """struct<raw, normalised, ids>: the comma-separated parts of a field and the first of them."""
+    clean = F.trim(raw)
+    ids = F.filter(F.transform(F.split(clean, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(raw.isNotNull(), F.struct(clean.alias("raw"), F.try_element_at(ids, F.lit(1)).alias("normalised"), ids.alias("ids")))
+
+
+def copy_field(column: Column, kind: str) -> Column:
+    """A value in the text form of a bulk load: backslash-N for null, t or f, arrays in braces, tabs and line ends escaped."""
+    if kind == "boolean":
+        text = F.when(column, "t").otherwise("f")
+    elif kind.startswith("array"):
+        quoted = F.transform(column, lambda x: F.concat(F.lit('"'), F.replace(F.replace(F.coalesce(x.cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+        text = F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
+    else:
+        text = column.cast("string")
+        for char, escaped in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            text = F.replace(text, F.lit(char), F.lit(escaped))
+    return F.when(column.isNull(), "\\N").otherwise(text)
+
+
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """A percentage, 0 of an empty whole, rounded half-even."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.bround(F.lit(100.0) * part / whole, digits))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import join_text, split_composite, strip_prefix, strip_suffix
+from ..functions.text import join_text, percent, split_composite, strip_prefix, strip_suffix
 from ..schemas import CANDIDATE, SCHEMA_VERSION
 
 
@@ -164,6 +164,18 @@ def mapping_outcomes(docs: DataFrame) -> DataFrame:
     )
 
 
+def mapping_shares(outcomes: DataFrame) -> DataFrame:
+    """Outcomes with the percentage of each among entities in scope, to one digit."""
+    scoped = F.col("active") + F.col("inactive") + F.col("unmapped")
+    return outcomes.withColumns({f"{c}_pct": percent(F.col(c), scoped, 1) for c in ("active", "inactive", "unmapped")})
+
+
+def defaulted_pairs(docs: DataFrame) -> DataFrame:
+    """Relations that the table lacks, by source relation and classes of both ends."""
+    rows = docs.select(F.explode("relations").alias("r")).filter("r.extra.default_used")
+    return rows.groupBy(F.col("r.source_relation_type").alias("source_relation_type"), F.col("r.extra.subject_class").alias("subject_class"), F.col("r.extra.object_class").alias("object_class")).agg(F.count("*").alias("relations"))
+
+
 def relation_outcomes(docs: DataFrame) -> DataFrame:
     """Relations by split and target: counts, defaulted ones and those with several candidates, with totals over splits."""
     rows = docs.select("split", F.explode("relations").alias("r"))

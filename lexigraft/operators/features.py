@@ -101,8 +101,30 @@ def preferred_terms(rows: DataFrame, full_name: str = C.FULL_NAME, synonym: str
 
 
 def term_pool(groups: DataFrame) -> DataFrame:
-    """(term, index): every distinct term once; indices are unique, with gaps between partitions."""
-    return groups.select(F.explode("terms").alias("term")).distinct().withColumn("index", F.monotonically_increasing_id())
+    """(term, index): every distinct term once, numbered without gaps by the md5 of the terms, then by the terms.
+
+    Terms are ranked within one of 4,096 ranges of md5; the ranges' starts are so many rows at most.
+    """
+    part = F.substring(F.md5("term"), 1, 3)
+    terms = groups.select(F.explode("terms").alias("term")).distinct().withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = terms.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("term")) - 1
+    return terms.withColumn("_place", place).join(F.broadcast(starts), "_part").select("term", (F.col("_start") + F.col("_place")).alias("index"))
+
+
+def batch_labels(rows: DataFrame) -> DataFrame:
+    """Rows (batch, pos, concept_id) with label: the concepts of a batch numbered from 0 by their first appearance.
+
+    A batch is of a fixed size, so its window is small.
+    """
+    first = F.min("pos").over(Window.partitionBy("batch", "concept_id"))
+    return rows.withColumn("_first", first).withColumn("label", F.dense_rank().over(Window.partitionBy("batch").orderBy("_first")) - 1).drop("_first")
+
+
+def first_concepts(concepts: DataFrame, most: int) -> DataFrame:
+    """The first `most` ids in order of their text: a cap that a caller asks for."""
+    return concepts.select("id").distinct().orderBy("id").limit(most)
 
 
 def multi_similarity_loss(pairs: DataFrame, alpha: float = 2.0, beta: float = 50.0, base: float = 0.5, margin: float = 0.1) -> DataFrame:

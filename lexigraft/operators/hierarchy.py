@@ -9,15 +9,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage by a table in the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a plain local session without one gets a temporary folder."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         context = spark.sparkContext._jsc.sc()
@@ -26,9 +25,14 @@ def settled(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigraft-"))
         where = context.getCheckpointDir().get()
-    path = f"{where.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut a loop's lineage by a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def edges(relationships: DataFrame, is_a: str = C.IS_A) -> DataFrame:

@@ -81,6 +81,11 @@ def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> D
     return rows.filter(F.col(key).isNotNull()).join(parents.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
+def latest(rows: DataFrame, created: str, *ties: str, n: int = 10) -> DataFrame:
+    """The newest rows, for a look at them: a top-k report."""
+    return rows.orderBy(F.desc(created), *ties).limit(n)
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, rows) of each table."""
     out = None

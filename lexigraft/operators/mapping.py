@@ -106,7 +106,8 @@ def unmapped(codes: DataFrame, mapped: DataFrame, known: DataFrame) -> DataFrame
 def harvest(mentions: DataFrame, scope: DataFrame) -> DataFrame:
     """Counts of (corpus, semantic_class, code) over mentions (corpus, entity_type, codes) whose type is in scope."""
     typed = mentions.join(F.broadcast(scope.filter("in_scope")), ["corpus", "entity_type"])
-    codes = typed.select("corpus", "semantic_class", normalise_code(F.explode(split_composite(F.col("codes")))).alias("code"))
+    parts = typed.select("corpus", "semantic_class", F.explode(split_composite(F.col("codes"))).alias("part"))
+    codes = parts.select("corpus", "semantic_class", normalise_code(F.col("part")).alias("code"))
     return codes.filter("code is not null").groupBy("corpus", "semantic_class", "code").agg(F.count("*").alias("frequency"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -21,14 +21,42 @@ def entity_classes(rows: DataFrame, scope: DataFrame) -> DataFrame:
     return out.withColumns({"canonical_type": F.when(known.isNotNull(), F.col("entity_type")).otherwise(F.coalesce(other(0), F.col("entity_type"))), "semantic_class": F.coalesce(known, other(1), F.lit(""))}).drop("_a", "_b")
 
 
-def convert(docs: DataFrame, mapped: DataFrame, table: DataFrame, sample: DataFrame, least_score: float = C.LEAST_SCORE) -> DataFrame:
-    """Sampled documents with certain targets and relations: kept if a chemical and a disease are mapped and a relation is left."""
+def _stamped(docs: DataFrame, mapped: DataFrame, table: DataFrame, sample: DataFrame, least_score: float) -> DataFrame:
+    """Sampled documents with certain targets and relations, and flags: `_pair` (a mapped chemical and a mapped disease), `_seen` relations."""
     sure = mapped.filter((F.col("confidence") >= C.FOOTPRINT_CONFIDENCE) & F.col("target_active")).withColumn("confidence", F.lit(C.SILVER_CONFIDENCE))
-    own = docs.join(sample.select("pmid"), "pmid", "left_semi")
+    own = docs.join(sample.select("pmid"), "pmid", "left_semi").withColumn("_seen", F.size("relations"))
     own = own.withColumn("relations", F.filter("relations", lambda r: F.coalesce(r["extra"]["source_score"], F.lit(0.0)) >= least_score))
     out = stamp_relations(stamp_concepts(own, sure), table, lookup_corpus="BioRED")
     has = lambda cls: F.exists("entities", lambda e: (e["semantic_class"] == cls) & e["mapped_id"].isNotNull())
-    return out.filter(has("chemical") & has("disease") & (F.size("relations") > 0))
+    return out.withColumn("_pair", F.coalesce(has("chemical") & has("disease"), F.lit(False)))
+
+
+def convert(docs: DataFrame, mapped: DataFrame, table: DataFrame, sample: DataFrame, least_score: float = C.LEAST_SCORE) -> DataFrame:
+    """Sampled documents with certain targets and relations: kept if a chemical and a disease are mapped and a relation is left."""
+    out = _stamped(docs, mapped, table, sample, least_score)
+    return out.filter(F.col("_pair") & (F.size("relations") > 0)).drop("_pair", "_seen")
+
+
+def conversion_funnel(docs: DataFrame, mapped: DataFrame, table: DataFrame, sample: DataFrame, least_score: float = C.LEAST_SCORE) -> DataFrame:
+    """One row: documents seen, sampled, kept and dropped by cause; entities seen and mapped; relations seen and left by score.
+
+    A document without a mapped pair counts under that cause alone.
+    """
+    rows = _stamped(docs, mapped, table, sample, least_score)
+    left = F.size("relations") > 0
+    mapped_entities = F.size(F.filter("entities", lambda e: e["mapped_id"].isNotNull()))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counts = rows.agg(
+        F.count("*").alias("sampled"), F.count_if(F.col("_pair") & left).alias("kept"), F.count_if(~F.col("_pair")).alias("no_pair"), F.count_if(F.col("_pair") & ~left).alias("no_relations"),
+        total(F.size("entities")).alias("entities"), total(mapped_entities).alias("entities_mapped"), total(F.col("_seen")).alias("relations"), total(F.size("relations")).alias("relations_scored"),
+    )
+    return docs.agg(F.count("*").alias("documents")).crossJoin(counts)  # one row each
+
+
+def relation_counts(relations: DataFrame) -> DataFrame:
+    """Loaded bulk relations by source name and label, whether or not they end up in a document."""
+    label = decode(F.col("relation"), C.BULK_RELATIONS, F.lit(C.DEFAULT_RELATION))
+    return relations.groupBy("relation", label.alias("label")).agg(F.count("*").alias("relations"))
 
 
 def bulk_relations(rows: DataFrame, gold: DataFrame, most: int | None = None) -> DataFrame:
@@ -82,9 +110,3 @@ def unknown_types(docs: DataFrame, top: int = 20) -> DataFrame:
     """The most frequent types without a class: a top-k report."""
     rows = docs.select(F.explode("entities").alias("e")).filter("coalesce(e.semantic_class, '') = ''")
     return rows.groupBy(F.col("e.entity_type").alias("entity_type")).agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "entity_type").limit(top)
-
-
-def running_distinct(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Add the number of distinct keys seen up to each row's first appearance; one window per key only."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
-    return rows.withColumn("is_first", first)

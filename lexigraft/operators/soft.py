@@ -93,6 +93,25 @@ def soft_map(candidates: DataFrame, vectors: DataFrame, lin: DataFrame, temperat
     return out.withColumn("prob", F.bround("prob", 6))
 
 
+def preferred_source_names(codes: DataFrame, atoms: DataFrame, sab: str = "MSH", kinds: tuple[str, ...] = ("MH", "PEP")) -> DataFrame:
+    """(code, name) of codes (code, fallback): the first named atom of the kinds under the first of the code's cuis that has one.
+
+    Atoms of a cui need not be of the code itself. Codes without such an atom keep their fallback.
+    """
+    own = atoms.filter(F.col("sab") == sab)
+    cuis = own.join(codes.select("code"), "code").groupBy("code", "cui").agg(F.min("ord").alias("_place"))
+    names = own.filter(F.col("tty").isin(*kinds) & (F.col("str") != "")).groupBy("cui").agg(F.min_by("str", "ord").alias("_name"))
+    best = cuis.join(names, "cui").groupBy("code").agg(F.min_by("_name", "_place").alias("_name"))
+    return codes.join(best, "code", "left").select("code", F.coalesce("_name", "fallback").alias("name"))
+
+
+def candidate_lists(soft: DataFrame) -> DataFrame:
+    """(code, candidates): each code's targets by falling probability; of equals the nearer, then the smaller id."""
+    one = F.struct((-F.col("prob")).alias("_p"), "hops", "target_id", "prob")
+    rows = soft.groupBy("code").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    return rows.select("code", F.transform("c", lambda x: x.dropFields("_p")).alias("candidates"))
+
+
 def soft_summary(soft: DataFrame) -> DataFrame:
     """One row: codes, candidates of a code (min, max, mean), the primary's probability and the mean of the codes' means."""
     per_code = soft.groupBy("code").agg(F.count("*").alias("n"), F.max(F.when(F.col("hops") == 0, F.col("prob"))).alias("primary"), F.avg("similarity").alias("mean"))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import copy_field
 from ..schemas import DOCUMENT, SCHEMA_VERSION
 
 
@@ -39,6 +40,33 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_mapping(spark: SparkSession, path: str, skip_bad: bool = False) -> DataFrame:
+    """(code, target_id, confidence, target_active) of a verified mapping as CSV with a header; rows without an id are dropped.
+
+    An empty confidence is 0. One that is no number is 0 too, or its row is dropped with skip_bad. Of a code's rows the last one counts.
+    """
+    rows = spark.read.option("header", "true").option("enforceSchema", "false").csv(path).withColumn("_place", F.monotonically_increasing_id())
+    text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
+    value = F.when(text("confidence") == "", F.lit(0.0)).otherwise(text("confidence").try_cast("double"))
+    own = rows.select(text("mesh_id").alias("code"), text("snomed_id").alias("target_id"), value.alias("confidence"), (F.lower(text("snomed_active")) == "true").alias("target_active"), "_place")
+    own = own.filter("code <> '' and target_id <> ''")
+    own = own.filter("confidence is not null") if skip_bad else own.fillna(0.0, ["confidence"])
+    last = own.groupBy("code").agg(F.max_by(F.struct("target_id", "confidence", "target_active"), "_place").alias("m"))
+    return last.select("code", "m.target_id", "m.confidence", "m.target_active")
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Files that are one JSON value each; give the schema of large ones, else they are read twice."""
+    reader = spark.read.option("multiLine", "true")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def write_copy(df: DataFrame, path: str) -> None:
+    """Rows in the tab-separated text form that databases load in bulk, a file per partition."""
+    fields = [copy_field(F.col(f"`{c}`"), kind) for c, kind in df.dtypes]
+    df.select(F.concat_ws("\t", *fields).alias("value")).write.mode("overwrite").text(path)
+
+
 def signature(spark: SparkSession, paths: list[str]) -> str:
     """A digest of names, sizes and times of the files under the paths, on any file system that Spark reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

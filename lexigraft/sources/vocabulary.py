@@ -31,6 +31,12 @@ def vocabulary_tables(conso: DataFrame, rel: DataFrame, sty: DataFrame, maps: Da
     }
 
 
+def load_filter(conso: DataFrame, english_only: bool = False, vocabularies: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the wanted language and vocabularies; without either, all rows."""
+    out = conso.filter("lat = 'ENG'") if english_only else conso
+    return out.filter(F.col("sab").isin(*vocabularies)) if vocabularies else out
+
+
 #: Header names of release files and the names that operators use.
 RELEASE_NAMES = {
     "conceptId": "concept_id", "typeId": "type_id", "sourceId": "source_id", "destinationId": "destination_id", "referencedComponentId": "referenced_id",
