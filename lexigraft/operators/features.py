@@ -80,12 +80,46 @@ def pair_budget(groups: DataFrame, cap: int) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.least(n * (n - 1) / 2, F.lit(cap))), F.lit(0)).cast("long").alias("pairs"))
 
 
-def synonym_pairs(groups: DataFrame, cap: int, seed: int = 0) -> DataFrame:
-    """(concept_id, a, b): up to cap pairs of terms of each concept in hash order, none twice."""
-    rows = groups.select("concept_id", F.posexplode("terms").alias("i", "a"))
-    pairs = rows.join(rows.select("concept_id", F.col("i").alias("j"), F.col("a").alias("b")), "concept_id").filter("i < j")
-    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("concept_id").orderBy(hash_order("concept_id", "a", "b", seed=seed), "a", "b")))
-    return ranked.filter(F.col("_rank") <= cap).select("concept_id", "a", "b")
+def synonym_rows(rows: DataFrame) -> DataFrame:
+    """(concept_id, term) of active description rows: each name without its suffix once for a concept."""
+    return rows.filter("active = '1'").select("concept_id", strip_suffix(F.col("term")).alias("term")).filter("term <> ''").distinct()
+
+
+def numbered_terms(terms: DataFrame) -> DataFrame:
+    """Terms (concept_id, term) with index: each concept's numbered from 0 by the md5 of the terms, then by the terms.
+
+    A concept's terms are ranked in up to 4,096 ranges of md5, so that a large concept is many small windows.
+    """
+    rows = terms.withColumn("_part", F.substring(F.md5("term"), 1, 3))
+    before = Window.partitionBy("concept_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("concept_id", "_part").count().select("concept_id", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("concept_id", "_part").orderBy("term")) - 1
+    return rows.withColumn("_place", place).join(starts, ["concept_id", "_part"]).select("concept_id", (F.col("_start") + F.col("_place")).alias("index"), "term")
+
+
+#: Strides of pair numbers; one that divides the number of pairs gives way to the other.
+STRIDES = (2_147_483_647, 2_147_483_629)
+
+
+def synonym_pairs(terms: DataFrame, cap: int, seed: int = 0) -> DataFrame:
+    """(concept_id, a, b): up to cap pairs of the terms (concept_id, term) of each concept, none twice.
+
+    The pairs of n terms are numbered from 0 to n(n-1)/2; a concept draws numbers in a stride
+    prime to their count, from a start by hash, so pairs that aren't drawn are never made.
+    """
+    counts = terms.groupBy("concept_id").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_all", F.expr("_n * (_n - 1) div 2"))
+    start = F.conv(F.substring(hash_order("concept_id", seed=seed), 1, 8), 16, 10).cast("long")
+    stride = F.when(F.col("_all") % STRIDES[0] == 0, F.lit(STRIDES[1])).otherwise(F.lit(STRIDES[0]))
+    drawn = counts.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_all"), F.lit(cap)) - 1)))
+    drawn = drawn.select("concept_id", ((start + F.col("_k") * stride) % F.col("_all")).alias("_m"))
+    # pair m of i < j has j(j-1)/2 <= m < j(j+1)/2; the root may be off by one
+    near = drawn.withColumn("_j", F.floor((1 + F.sqrt(1 + 8 * F.col("_m").cast("double"))) / 2))
+    below = lambda j: F.expr(f"({j}) * (({j}) - 1) div 2")
+    near = near.withColumn("_j", F.when(below("_j") > F.col("_m"), F.col("_j") - 1).when(below("_j + 1") <= F.col("_m"), F.col("_j") + 1).otherwise(F.col("_j")))
+    ends = near.select("concept_id", (F.col("_m") - below("_j")).alias("_i"), "_j")
+    own = numbered_terms(terms)
+    of = lambda key, name: own.select("concept_id", F.col("index").alias(key), F.col("term").alias(name))
+    return ends.join(of("_i", "a"), ["concept_id", "_i"]).join(of("_j", "b"), ["concept_id", "_j"]).select("concept_id", "a", "b")
 
 
 def preferred_terms(rows: DataFrame, full_name: str = C.FULL_NAME, synonym: str = C.SYNONYM, active_concepts: DataFrame | None = None) -> DataFrame:

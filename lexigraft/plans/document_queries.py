@@ -138,19 +138,23 @@ def q33_bio_align(spark: SparkSession, sf: str) -> DataFrame:
     return T.bio_align(rows, entities).groupBy("doc", "tag").agg(F.count("*").alias("n"))
 
 
+def brand_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_brand").alias("concept_id"), F.concat("p_name", F.lit(" (x)")).alias("term"), F.lit("1").alias("active"))
+
+
 def brands(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").select(F.col("p_brand").alias("concept_id"), F.concat("p_name", F.lit(" (x)")).alias("term"), F.lit("1").alias("active"))
-    return T.synonyms(rows)
+    return T.synonyms(brand_names(spark, sf))
 
 
 TERMS = "t AS (SELECT DISTINCT p_brand AS concept_id, p_name AS term FROM part), g AS (SELECT concept_id, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 2)"
 
 
-@query(f"""WITH {TERMS}, r AS (SELECT t.*, row_number() OVER (PARTITION BY concept_id ORDER BY term) AS i FROM t JOIN g USING (concept_id)),
-p AS (SELECT x.concept_id, x.term AS a, y.term AS b FROM r x JOIN r y ON x.concept_id = y.concept_id AND x.i < y.i)
-SELECT concept_id, a, b FROM p QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY md5(concept_id || '|' || a || '|' || b || '|0'), a, b) <= 50""")
+@query(f"""WITH {TERMS}, r AS (SELECT t.*, row_number() OVER (PARTITION BY concept_id ORDER BY substr(md5(term), 1, 3), term) - 1 AS i FROM t JOIN g USING (concept_id)),
+p AS (SELECT x.concept_id, x.term AS a, y.term AS b, y.i * (y.i - 1) // 2 + x.i AS m FROM r x JOIN r y ON x.concept_id = y.concept_id AND x.i < y.i),
+d AS (SELECT concept_id, CAST((CAST('0x' || substr(md5(concept_id || '|0'), 1, 8) AS BIGINT) + k * 2147483647) % (n * (n - 1) // 2) AS BIGINT) AS m FROM g CROSS JOIN range(50) s(k) WHERE k < n * (n - 1) // 2)
+SELECT concept_id, a, b FROM p JOIN d USING (concept_id, m)""")
 def q34_synonym_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return T.synonym_pairs(brands(spark, sf), 50)
+    return T.synonym_pairs(T.synonym_rows(brand_names(spark, sf)), 50)
 
 
 @query(f"""WITH {LINES}, e AS (SELECT DISTINCT l_orderkey AS doc, pos AS idx FROM lines),
@@ -227,7 +231,18 @@ def q44_set_cover(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.set_cover(rows)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINES}, o(label, third) AS (VALUES ('chemical', true), ('disease', false)),
+x AS (SELECT l_orderkey AS doc, pos, label, CASE WHEN (l_returnflag = 'R') = (label = 'disease') THEN 0 ELSE 1 END AS t, l_discount * 5 + 0.3 AS score, l_partkey % 100 AS p, l_suppkey % 100 AS s, (l_partkey % 100 % 3 = 0) = third AS fits_p, (l_suppkey % 100 % 3 = 0) = third AS fits_s FROM lines CROSS JOIN o),
+c AS (SELECT doc, pos, label, t, CAST(CASE WHEN fits_p THEN p ELSE s END AS VARCHAR) AS concept, CASE WHEN fits_p THEN 0 ELSE 1 END AS changed,
+  CAST(round(CASE WHEN t = 0 THEN score ELSE 1.0 - score END * 1000) AS BIGINT) + CASE WHEN fits_p THEN 600 ELSE 400 END AS gain FROM x WHERE fits_p OR fits_s),
+w AS (SELECT doc, pos, label, CAST(t AS VARCHAR) AS path, gain AS score, changed AS overrides, '{{"type":"' || label || '","concept":"' || concept || '"}}' AS entities, CAST('' AS VARCHAR) AS pairs FROM c WHERE pos = 0
+  UNION ALL SELECT w.doc, c.pos, c.label, path || CAST(t AS VARCHAR), score + gain + CASE WHEN w.label = 'disease' AND c.label = 'chemical' THEN 700 ELSE 600 END, overrides + changed,
+    entities || ',{{"type":"' || c.label || '","concept":"' || concept || '"}}',
+    pairs || CASE WHEN c.pos > 1 THEN ',' ELSE '' END || '{{"i":' || CAST(w.pos AS VARCHAR) || ',"j":' || CAST(c.pos AS VARCHAR) || ',"relation":"' || CASE WHEN w.label = 'disease' AND c.label = 'chemical' THEN 'causative-agent' ELSE 'associated-with' END || '"}}'
+  FROM w JOIN c ON c.doc = w.doc AND c.pos = w.pos + 1),
+n AS (SELECT l_orderkey AS doc, max(pos) AS pos FROM lines GROUP BY 1)
+SELECT CAST(doc AS VARCHAR) AS pmid, 'sat' AS status, score, CAST(overrides AS INTEGER) AS overrides, '[' || entities || ']' AS entities, '[' || pairs || ']' AS pairs FROM w JOIN n USING (doc, pos)
+QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, path) = 1""")
 def q45_constraint_solver(spark: SparkSession, sf: str) -> DataFrame:
     """Solve every order as a document: lines are entities with two types and two concepts, neighbours are pairs."""
     chemical, disease = F.lit("chemical"), F.lit("disease")

@@ -88,17 +88,18 @@ def q20_information_content(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(WITH + LIN + """
-own AS (SELECT start, reached FROM up WHERE start LIKE 's%' UNION SELECT id, id FROM nodes WHERE id LIKE 's%'),
-p AS (SELECT a.child AS a, b.child AS b FROM edges a JOIN edges b ON a.parent = b.parent AND a.ord < b.ord WHERE a.child LIKE 's%' AND b.child LIKE 's%'),
+own AS (SELECT start, reached FROM up WHERE start[1] IN ('s', 'c') UNION SELECT id, id FROM nodes WHERE id[1] IN ('s', 'c')),
+p AS (SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS a, 'c' || CAST(o_custkey AS VARCHAR) AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 t AS (SELECT p.a, p.b, max(ic.ic) AS top FROM p JOIN own x ON x.start = p.a JOIN own y ON y.start = p.b AND y.reached = x.reached JOIN ic ON ic.id = x.reached GROUP BY ALL)
-SELECT t.a, t.b, round(CASE WHEN i.ic + j.ic <= 0 THEN 0 ELSE 2 * top / (i.ic + j.ic) END, 6) AS lin FROM t JOIN ic i ON i.id = t.a JOIN ic j ON j.id = t.b""")
+SELECT t.a, t.b, round(CASE WHEN i.ic + j.ic <= 0 THEN 0 ELSE 2 * top / (i.ic + j.ic) END, 6) + 0.0 AS lin FROM t JOIN ic i ON i.id = t.a JOIN ic j ON j.id = t.b""")
 def q20b_lin_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """The suppliers and customers that an order brings together."""
     rows = edges(spark, sf)
     found = H.nodes(rows.select(F.col("child").alias("id"), F.lit("1").alias("active")), rows)
     ic = H.information_content(H.descendant_counts(rows, found), found.count())
-    own = rows.filter("child like 's%'")
-    pairs = own.alias("x").join(own.alias("y"), "parent").filter("x.ord < y.ord").select(F.col("x.child").alias("a"), F.col("y.child").alias("b"))
-    return H.lin_similarity(pairs, H.closure(rows, members(spark, sf, SUPPLIERS)), ic).select("a", "b", F.round("lin", 6).alias("lin"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("b"))
+    pairs = table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a")).join(orders, "l_orderkey").select("a", "b").distinct()
+    return H.lin_similarity(pairs, H.closure(rows, members(spark, sf, SUPPLIERS, CUSTOMERS)), ic).select("a", "b", (F.round("lin", 6) + F.lit(0.0)).alias("lin"))
 
 
 NEAR = """, q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
