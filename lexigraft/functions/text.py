@@ -157,7 +157,13 @@ def hop_similarity(hops: Column) -> Column:
 
 
 def hashed_ngrams(text: Column, size: int = 3, dims: int = 64) -> Column:
-    """A text's character n-grams as an array<double> of hashed counts: a fixed stand-in for a term encoder."""
+    """A text's character n-grams as an array<double> of hashed counts: a fixed stand-in for a term encoder.
+
+    The hash is a polynomial of the code points, the same in every engine.
+    """
     low = F.lower(F.concat(F.lit(" "), text, F.lit(" ")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - size + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(low, i, F.lit(size))), F.lit(dims)))
+    codes = F.transform(F.split(low, ""), lambda c: F.ascii(c).cast("long"))
+    step = lambda h, c: (h * 1_000_003 + c) % 2_147_483_647
+    places = F.sequence(F.lit(1), F.greatest(F.size(codes) - size + 1, F.lit(1)))
+    grams = F.transform(places, lambda i: F.aggregate(F.slice(codes, i, F.lit(size)), F.lit(0).cast("long"), step) % dims)
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))

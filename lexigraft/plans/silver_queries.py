@@ -11,7 +11,8 @@ from ..operators import documents as D
 from ..operators import hierarchy as H
 from ..operators import silver, soft
 from .base import query, table
-from .graph_queries import NATIONS, REGIONS, SUPPLIERS, WITH, edges, members
+from .document_queries import GRAMS
+from .graph_queries import LIN, NATIONS, REGIONS, SUPPLIERS, WITH, edges, members
 from .mapping_queries import BEST, best
 
 BULK = """bulk AS (SELECT CAST(l_orderkey AS VARCHAR) AS pmid, CASE l_returnflag WHEN 'A' THEN 'treat' WHEN 'R' THEN 'cause' ELSE 'compare' END AS relation,
@@ -78,7 +79,31 @@ def q48_synthesis(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy(F.element_at("relations", 1)["target_relation"].alias("label"), F.element_at("entities", 2)["semantic_class"].alias("object_class")).agg(F.count("*").alias("documents"))
 
 
-@query()
+NGRAM = GRAMS.replace("text[", "name[")
+
+
+@query(WITH + LIN + f"""s AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS start FROM supplier),
+ring AS (SELECT start, start AS id, 0 AS hops, 0 AS ring, 0 AS o1, 0 AS o2 FROM s
+  UNION ALL SELECT start, parent, 1, 1, ord, 0 FROM s JOIN edges ON child = start
+  UNION ALL SELECT start, b.parent, 2, 2, a.ord, b.ord FROM s JOIN edges a ON a.child = start JOIN edges b ON b.child = a.parent
+  UNION ALL SELECT start, b.child, 2, 5, a.ord, b.ord FROM s JOIN edges a ON a.child = start JOIN edges b ON b.parent = a.parent),
+f AS (SELECT * FROM ring QUALIFY row_number() OVER (PARTITION BY start, id ORDER BY ring, o1, o2) = 1),
+near AS (SELECT start, id, hops FROM f QUALIFY row_number() OVER (PARTITION BY start ORDER BY ring, o1, o2, id) <= 30),
+lin AS (SELECT near.start AS a, near.id AS b, CASE WHEN near.start = near.id THEN 1.0 WHEN max(i.ic) + max(j.ic) <= 0 THEN 0.0 ELSE coalesce(2 * max(t.ic) / (max(i.ic) + max(j.ic)), 0.0) END AS lin
+  FROM near JOIN ic i ON i.id = near.start JOIN ic j ON j.id = near.id LEFT JOIN (SELECT start, reached FROM up UNION SELECT id, id FROM nodes) x ON x.start = near.start
+  LEFT JOIN (SELECT start, reached FROM up UNION SELECT id, id FROM nodes) y ON y.start = near.id AND y.reached = x.reached LEFT JOIN ic t ON t.id = y.reached GROUP BY near.start, near.id),
+names AS (SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS raw FROM part UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), s_name FROM supplier UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), n_name FROM nation
+  UNION ALL SELECT 'r' || CAST(r_regionkey AS VARCHAR), r_name FROM region UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), c_name FROM customer),
+piece AS (SELECT key, ' ' || lower(raw) || ' ' AS name, unnest(generate_series(1, length(raw))) AS i FROM names),
+v AS (SELECT key, CAST({NGRAM} AS INTEGER) AS dim, count(*) AS n FROM piece GROUP BY ALL), size AS (SELECT key, sqrt(sum(n * n)) AS size FROM v GROUP BY key),
+ev AS (SELECT l_partkey code, l_suppkey sid, 1 tier, CAST(0.95 AS DOUBLE) conf FROM lineitem WHERE l_returnflag='A' AND l_quantity>=46
+  {BEST[BEST.index("UNION SELECT l_partkey, l_suppkey, 2"):].strip()},
+cand AS (SELECT CAST(code AS VARCHAR) AS code, near.id AS target_id, near.start AS main, near.hops FROM best JOIN near ON near.start = 's' || CAST(sid AS VARCHAR)),
+dots AS (SELECT c.code, c.target_id, sum(x.n * y.n) AS dot FROM cand c JOIN v x ON x.key = c.code JOIN v y ON y.key = c.target_id AND y.dim = x.dim GROUP BY ALL),
+sim AS (SELECT cand.code, cand.target_id, cand.hops, (coalesce(dot / (p.size * q.size), 0) + 1.0 / (1 + cand.hops) + coalesce(lin, 0)) / 3 AS sim FROM cand LEFT JOIN dots USING (code, target_id)
+  LEFT JOIN size p ON p.key = cand.code LEFT JOIN size q ON q.key = cand.target_id LEFT JOIN lin ON a = main AND b = cand.target_id),
+w AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY code)) / 0.05) AS w FROM sim)
+SELECT code, target_id, hops, round_even(w / sum(w) OVER (PARTITION BY code), 6) AS prob FROM w""")
 def q49_soft_map(spark: SparkSession, sf: str) -> DataFrame:
     """Distributions of each mapped part over its target's neighbourhood: names, hops and information content in equal shares."""
     rows = edges(spark, sf)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexigraft import plans
 from lexigraft.functions import constants as C
 from lexigraft.functions import text as X
-from lexigraft.operators import constraints, documents, features, hierarchy, kg, mapping, sampling, silver, soft, solver
+from lexigraft.operators import constraints, documents, features, hierarchy, kg, mapping, metrics, sampling, silver, soft, solver
 
 
 def one(spark, column, **values):
@@ -277,3 +277,25 @@ def test_a_hub_of_many_children_is_cut_before_the_join(spark):
     got = hierarchy.neighbourhood(edges, spark.createDataFrame([("c150",), ("p",)], "id string"), cap=10).orderBy("start", "rank").collect()
     assert [r.id for r in got if r.start == "c150"] == ["c150", "p", "g", *(f"c{i:03}" for i in range(7))]
     assert [r.id for r in got if r.start == "p"] == ["p", "g", *(f"c{i:03}" for i in range(8))]
+
+
+def test_synonym_pairs_are_drawn_once(spark):
+    terms = spark.createDataFrame([("few", t) for t in "abc"] + [("many", f"t{i:03d}") for i in range(100)] + [("one", "x")], "concept_id string, term string")
+    got = features.synonym_pairs(terms, 50).collect()
+    pairs = Counter((r.concept_id, frozenset((r.a, r.b))) for r in got)
+    assert all(len(p) == 2 and n == 1 for (_, p), n in pairs.items())
+    assert Counter(c for c, _ in pairs) == {"few": 3, "many": 50}
+    numbered = features.numbered_terms(terms).filter("concept_id = 'many'").collect()
+    assert sorted(r["index"] for r in numbered) == list(range(100))
+
+
+def test_metrics_and_labels(spark):
+    assert abs(metrics.combined_metric(0.5, 0.4, 0.2) - 0.38) < 1e-12
+    batch = spark.createDataFrame([(0, 0, "b"), (0, 1, "a"), (0, 2, "b"), (1, 3, "a")], "batch int, pos int, concept_id string")
+    assert rows(features.batch_labels(batch), "batch", "pos", "label") == [(0, 0, 0), (0, 1, 1), (0, 2, 0), (1, 3, 0)]
+
+
+def test_bulk_load_text(spark):
+    df = spark.sql("SELECT 'a\\tb' s, CAST(NULL AS STRING) n, true f, array('x', NULL) l, 1.5D d, DATE'2024-01-02' day")
+    got = df.select(*(X.copy_field(F.col(c), kind).alias(c) for c, kind in df.dtypes)).first()
+    assert tuple(got) == ("a\\tb", "\\N", "t", '{"x",""}', "1.5", "2024-01-02")

@@ -5,6 +5,7 @@ import pytest
 from lexigraft import sources as S
 from lexigraft.functions import constants as C
 from lexigraft.operators import documents as D
+from lexigraft.sources import documents
 from lexigraft.sources.documents import cached
 from lexigraft.streaming import mention_counts, windowed_counts
 
@@ -101,3 +102,22 @@ def test_pubtator_line_ends(spark, tmp_path):
     got = S.read_pubtator(spark, str(tmp_path)).collect()
     assert sorted(r.pmid for r in got) == sorted(["1", "2", "3"] * 2 + ["4", "5", "6"])
     assert all(r.title == f"Title {r.pmid}" and r.abstract == "Text." and [e.code for e in r.entities] == ["D1"] for r in got)
+
+
+def test_mapping_file(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("mesh_id,snomed_id,confidence,snomed_active\nD1,1,0.5,true\nD2, ,0.9,true\nD3,3,n/a,TRUE\nD4,4,,\nD1,7,0.6,false\n")
+    got = documents.read_mapping(spark, str(tmp_path / "m.csv"))
+    assert sorted(map(tuple, got.collect())) == [("D1", "7", 0.6, False), ("D3", "3", 0.0, True), ("D4", "4", 0.0, False)]
+    assert sorted(r.code for r in documents.read_mapping(spark, str(tmp_path / "m.csv"), skip_bad=True).collect()) == ["D1", "D4"]
+
+
+def test_json_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n "b": [1,\n 2]\n}')
+    assert documents.read_json(spark, str(tmp_path / "a.json")).first().b == [1, 2]
+
+
+def test_first_match(spark, tmp_path):
+    for name in ("x_2.txt", "x_1.txt"):
+        (tmp_path / name).write_text("")
+    assert documents.first_match(spark, [f"{tmp_path}/y*", f"{tmp_path}/x*"]).endswith("x_1.txt")
+    assert documents.first_match(spark, [f"{tmp_path}/y*"]) is None
