@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10: each applies its operator to its whole table."""
+"""The thin queries op1 to op13: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -100,7 +100,21 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, path).select("slot", "sequence", "shard", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op5_context_mixing, op6_license_scan, op7_toxicity, op8_warc, op9_packing, op10_training_order)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import phrases
+
+    return phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit
+
+    docs = table(spark, sf_dir, "documents")
+    found = fit(docs.filter(fold(4) != 2)).predict(docs.select("doc_id", "text"))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_near_duplicates, op3_embedding_neardup, op4_quality_rules, op5_context_mixing, op6_license_scan, op7_toxicity, op8_warc, op9_packing, op10_training_order, op12_collocations, op13_language_id)}
 
 _REACH = """
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
@@ -126,4 +140,15 @@ v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
 {_REACH}, k AS (SELECT a, count(*) AS n FROM ways GROUP BY 1)
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM label LEFT JOIN k ON a = id""",
+    "op12_collocations": r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^ \x09]+') AS ws FROM (
+       SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY 1),
+f AS (SELECT lang, k, g, count(*) AS f FROM (SELECT lang, k, ws[i : i + k - 1] AS g FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM p, range(1, 6) AS t(k))) GROUP BY ALL HAVING count(*) >= 100),
+inside AS (SELECT lang, g[i : i + m - 1] AS g, max(f) AS longer FROM (SELECT lang, g, f, m, unnest(generate_series(1, k - m + 1)) AS i FROM f JOIN range(2, 5) AS t(m) ON m < k) GROUP BY ALL),
+c AS (SELECT f.lang, f.g, k, f AS a, n FROM f JOIN n USING (lang) LEFT JOIN inside ON inside.lang = f.lang AND inside.g = f.g WHERE k > 1 AND (longer IS NULL OR 100 * longer < 100 * f)),
+s AS (SELECT c.lang, array_to_string(c.g, ' ') AS phrase, a, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c) AS c JOIN f AS l ON l.lang = c.lang AND l.g = c.g[1 : cut] JOIN f AS r ON r.lang = c.lang AND r.g = c.g[cut + 1 : c.k]
+      QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s QUALIFY rank <= 2000""",
 }
