@@ -237,7 +237,9 @@ def synthesise(triples: DataFrame, terms: DataFrame, below: DataFrame, least_cau
     if found < least_causative:
         raise ValueError(f"{found} causative triples in scope, fewer than {least_causative}")
     index = F.row_number().over(Window.partitionBy("bucket").orderBy("ord", "source_id", "destination_id")) - 1
-    buckets = rows.withColumn("bucket", F.expr("shiftright(ord, 20)"))
+    # numbers run on from part to part: of a file's block, or of plain numbers, so many rows each
+    part = "struct(ord.file, ord.block, shiftright(ord.row, 20))" if "struct" in dict(rows.dtypes)["ord"] else "shiftright(ord, 20)"
+    buckets = rows.withColumn("bucket", F.expr(part))
     starts = buckets.groupBy("bucket").count().withColumn("start", F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bucket", "start")
     rows = buckets.join(F.broadcast(starts), "bucket").withColumn("number", F.col("start") + index)
     verb = F.concat(F.lit(" "), F.col("label"), F.lit(" "))

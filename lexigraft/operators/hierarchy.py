@@ -46,18 +46,27 @@ def nodes(concepts: DataFrame, edge_rows: DataFrame) -> DataFrame:
     return concepts.filter(F.col("active") == "1").select("id").union(edge_rows.select("child")).union(edge_rows.select("parent")).distinct()
 
 
-def closure(edge_rows: DataFrame, seeds: DataFrame, up: bool = True, max_hops: int = 100) -> DataFrame:
+#: Rounds whose tables are then written as one.
+ROUNDS = 16
+
+
+def closure(edge_rows: DataFrame, seeds: DataFrame, up: bool = True, max_hops: int | None = None) -> DataFrame:
     """(start, reached, hops) for every node that a seed (id) reaches, itself excluded, hops being the fewest.
 
-    up follows child to parent. A start that reaches itself lies on a cycle and raises.
+    up follows child to parent. Rounds go on until nothing new is reached; with
+    max_hops a node further away than that raises. A start that reaches itself
+    lies on a cycle and raises.
     """
     step = edge_rows.select(F.col("child" if up else "parent").alias("at"), F.col("parent" if up else "child").alias("reached"))
     step = settled(step.distinct())
     front = settled(seeds.select(F.col("id").alias("start")).distinct().join(step, F.col("start") == F.col("at")).select("start", "reached", F.lit(1).alias("hops")))
-    found = front
-    for hop in range(2, max_hops + 2):
-        if front.isEmpty():
-            break
+    found, hop = front, 1
+    while not front.isEmpty():
+        if max_hops is not None and hop > max_hops:
+            raise ValueError(f"nodes more than {max_hops} hops away")
+        hop += 1
+        if hop % ROUNDS == 0:
+            found = settled(found)
         near = front.select("start", F.col("reached").alias("at")).join(step, "at").select("start", "reached").distinct()
         front = settled(near.join(found.select("start", "reached"), ["start", "reached"], "left_anti").withColumn("hops", F.lit(hop)))
         found = found.unionByName(front)
@@ -77,10 +86,31 @@ def cycle_nodes(edge_rows: DataFrame) -> DataFrame:
         left = inner
 
 
+def layers(edge_rows: DataFrame) -> DataFrame:
+    """(id, layer): the longest way down from a node without parents; nodes on or under a cycle are absent.
+
+    A node comes off once all its parents have; a round touches the children of
+    the round before and the nodes that still wait for a parent.
+    """
+    steps = settled(edge_rows.select("child", "parent").distinct())
+    needs = settled(steps.groupBy(F.col("child").alias("id")).agg(F.count("*").alias("need")))
+    front = steps.select(F.col("parent").alias("id")).distinct().join(needs, "id", "left_anti").select("id", F.lit(0).alias("layer"))
+    front, waiting, layer = settled(front), None, 0
+    out = front
+    while not front.isEmpty():
+        layer += 1
+        got = steps.join(front.select(F.col("id").alias("parent")), "parent").groupBy(F.col("child").alias("id")).agg(F.count("*").alias("got"))
+        got = got if waiting is None else got.union(waiting).groupBy("id").agg(F.sum("got").alias("got"))
+        counted = settled(got.join(needs, "id"))
+        front, waiting = counted.filter("got = need").select("id", F.lit(layer).alias("layer")), counted.filter("got < need").select("id", "got")
+        out = settled(out.union(front)) if layer % ROUNDS == 0 else out.union(front)
+    return out
+
+
 def depths(edge_rows: DataFrame, root: str = C.ROOT) -> DataFrame:
     """(id, depth): the fewest is-a steps from the root; what it doesn't reach is absent."""
     spark = edge_rows.sparkSession
-    seed = spark.createDataFrame([(root,)], "id string").select(F.col("id").cast(edge_rows.schema["child"].dataType))
+    seed = spark.range(1).select(F.lit(root).cast(edge_rows.schema["child"].dataType).alias("id"))
     below = closure(edge_rows, seed, up=False)
     return seed.select("id", F.lit(0).alias("depth")).union(below.select("reached", "hops"))
 
@@ -133,10 +163,11 @@ def neighbourhood(edge_rows: DataFrame, seeds: DataFrame, cap: int = C.NEIGHBOUR
     few = edge_rows.withColumn("_place", F.row_number().over(Window.partitionBy("parent").orderBy("ord", "child"))).filter(F.col("_place") <= cap)
     up = edge_rows.select(F.col("child").alias("at"), F.col("parent").alias("next"), "ord")
     down = few.select(F.col("parent").alias("at"), F.col("child").alias("next"), "ord")
-    self_ = seeds.select(F.col("id").alias("start"), F.col("id").alias("id"), F.lit(0).alias("hops"), F.lit(0).alias("ring"), F.lit(0).cast("long").alias("o1"), F.lit(0).cast("long").alias("o2"))
+    none = F.lit(None).cast(edge_rows.schema["ord"].dataType)
+    self_ = seeds.select(F.col("id").alias("start"), F.col("id").alias("id"), F.lit(0).alias("hops"), F.lit(0).alias("ring"), none.alias("o1"), none.alias("o2"))
 
     def one(step: DataFrame, ring: int) -> DataFrame:
-        return seeds.select(F.col("id").alias("start")).join(step, F.col("start") == F.col("at")).select("start", F.col("next").alias("id"), F.lit(1).alias("hops"), F.lit(ring).alias("ring"), F.col("ord").alias("o1"), F.lit(0).cast("long").alias("o2"))
+        return seeds.select(F.col("id").alias("start")).join(step, F.col("start") == F.col("at")).select("start", F.col("next").alias("id"), F.lit(1).alias("hops"), F.lit(ring).alias("ring"), F.col("ord").alias("o1"), none.alias("o2"))
 
     def two(base: DataFrame, step: DataFrame, ring: int) -> DataFrame:
         return base.join(step, F.col("id") == F.col("at")).select("start", F.col("next").alias("id"), F.lit(2).alias("hops"), F.lit(ring).alias("ring"), "o1", F.col("ord").alias("o2"))

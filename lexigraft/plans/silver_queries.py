@@ -106,9 +106,9 @@ w AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY code)) / 0.05) AS w FROM
 SELECT code, target_id, hops, round_even(w / sum(w) OVER (PARTITION BY code), 6) AS prob FROM w""")
 def q49_soft_map(spark: SparkSession, sf: str) -> DataFrame:
     """Distributions of each mapped part over its target's neighbourhood: names, hops and information content in equal shares."""
-    rows = edges(spark, sf)
+    rows = H.settled(edges(spark, sf))
     mapped = best(spark, sf).select(F.col("code").cast("string").alias("code"), F.concat(F.lit("s"), F.col("sid").cast("string")).alias("primary"))
-    near = H.neighbourhood(rows, members(spark, sf, SUPPLIERS))
+    near = H.settled(H.neighbourhood(rows, members(spark, sf, SUPPLIERS)))  # three plans read it
     candidates = mapped.join(near.select(F.col("start").alias("primary"), F.col("id").alias("target_id"), "hops"), "primary")
     vector = lambda name: hashed_ngrams(F.col(name), 3, 32)
     named = lambda t, p, key, name: table(spark, sf, t).select(F.concat(F.lit(p), F.col(key).cast("string")).alias("key"), vector(name).alias("vector"))
@@ -116,6 +116,6 @@ def q49_soft_map(spark: SparkSession, sf: str) -> DataFrame:
     ids = near.select("id").distinct()
     pairs = near.select(F.col("start").alias("a"), F.col("id").alias("b"))
     size = H.nodes(rows.select(F.col("child").alias("id"), F.lit("1").alias("active")), rows).count()
-    ic = H.information_content(H.descendant_counts(rows, ids.union(members(spark, sf, NATIONS, REGIONS)).distinct()), size)
-    lin = H.lin_similarity(pairs, H.closure(rows, ids), ic)
+    ic = H.settled(H.information_content(H.descendant_counts(rows, ids.union(members(spark, sf, NATIONS, REGIONS)).distinct()), size))
+    lin = H.settled(H.lin_similarity(pairs, H.settled(H.closure(rows, ids)), ic))
     return soft.soft_map(candidates, vectors, lin).select("code", "target_id", "hops", "prob")

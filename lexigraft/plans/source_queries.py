@@ -37,8 +37,10 @@ def text_of(spark: SparkSession, df: DataFrame, separator: str, names: list[str]
 
 
 def conso(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as atoms, through a pipe-separated file."""
-    rows = table(spark, sf, "customer").select(
+    """Customers as atoms, through pipe-separated files of unequal sizes; the files' names and the rows in them follow their numbers."""
+    customer = table(spark, sf, "customer")
+    customer = customer.repartitionByRange(6, F.sqrt("c_custkey")).sortWithinPartitions("c_custkey")
+    rows = customer.select(
         F.concat(F.lit("K"), (F.col("c_custkey") % 50).cast("string")).alias("cui"), F.when(F.col("c_nationkey") % 3 == 0, "FRE").otherwise("ENG").alias("lat"), F.when(F.col("c_custkey") % 2 == 0, "MSH").otherwise("SEG").alias("sab"),
         F.when(F.col("c_custkey") % 5 == 0, "MH").otherwise("ET").alias("tty"), F.when(F.col("c_custkey") % 11 == 0, "NOCODE").otherwise(F.col("c_nationkey").cast("string")).alias("code"), F.col("c_name").alias("str"),
     )
@@ -85,9 +87,7 @@ b AS (SELECT code, min_by(name, place) AS name FROM c JOIN n USING (cui) GROUP B
 SELECT CAST(n_nationkey AS VARCHAR) AS code, coalesce(name, n_name) AS name FROM nation LEFT JOIN b ON code = CAST(n_nationkey AS VARCHAR)""")
 def q57c_source_names(spark: SparkSession, sf: str) -> DataFrame:
     codes = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("fallback"))
-    named = table(spark, sf, "customer").select(F.col("c_name").alias("str"), F.col("c_custkey").alias("ord"))
-    atoms = conso(spark, sf).drop("ord").join(named, "str")  # customers' names are unique; their numbers are the order
-    return soft.preferred_source_names(codes, atoms)
+    return soft.preferred_source_names(codes, conso(spark, sf))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS term FROM part WHERE p_size < 40")
@@ -230,7 +230,8 @@ def q64c_soft_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(WITH + """, n AS (SELECT child AS id FROM edges UNION SELECT parent FROM edges)
-SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM edges) AS edges, 3 AS max_depth, CAST(0 AS BIGINT) AS multi_inherit""")
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT max(d) FROM (SELECT min(hops) AS d FROM up WHERE reached = 'root' GROUP BY start)) AS max_depth,
+(SELECT count(*) FROM (SELECT start FROM up JOIN edges ON child = reached AND parent = 'root' GROUP BY start HAVING count(DISTINCT reached) > 1)) AS multi_inherit""")
 def q65_graph_stats(spark: SparkSession, sf: str) -> DataFrame:
     """A tree: every node is under one top, and customers lie three steps below the root."""
     rows = edges(spark, sf)

@@ -24,6 +24,7 @@ RAW_DOCUMENT = (
     "relations array<struct<relation_type: string, subject: string, object: string, novelty: string, score: double>>"
 )
 
+#: `ord` is anything that orders rows: readers give struct<file: string, block: bigint, row: bigint>.
 ATOMS = "cui string, sab string, tty string, code string, str string, ord bigint"
 RELS = "cui1 string, rel string, cui2 string, rela string, sab string, ord bigint"
 TYPES = "cui string, sty string, ord bigint"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .order import place
+
 
 def pubtator_blocks(blocks: DataFrame) -> DataFrame:
     """Parse rows with a text column `value`, one block of lines each.
@@ -135,7 +137,8 @@ def read_bulk(spark: SparkSession, path: str, names: tuple[str, ...], least: int
 
     A gzip file is one task; parts deals its rows out anew.
     """
-    lines = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.monotonically_increasing_id().alias("ord")).filter(F.size("f") >= least)
+    lines = spark.read.text(path)
+    lines = lines.select(F.split("value", "\t").alias("f"), place(lines).alias("ord")).filter(F.size("f") >= least)
     out = lines.select(*(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)), "ord")
     return out.repartition(parts, "pmid") if parts and "pmid" in names else out
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import copy_field
 from ..schemas import DOCUMENT, SCHEMA_VERSION
+from .order import place
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -43,9 +44,10 @@ def write_summary(df: DataFrame, path: str) -> None:
 def read_mapping(spark: SparkSession, path: str, skip_bad: bool = False) -> DataFrame:
     """(code, target_id, confidence, target_active) of a verified mapping as CSV with a header; rows without an id are dropped.
 
-    An empty confidence is 0. One that is no number is 0 too, or its row is dropped with skip_bad. Of a code's rows the last one counts.
+    An empty confidence is 0. One that is no number is 0 too, or its row is dropped with skip_bad. Of a code's rows the last one counts, files being read in the order of their paths.
     """
-    rows = spark.read.option("header", "true").option("enforceSchema", "false").csv(path).withColumn("_place", F.monotonically_increasing_id())
+    rows = spark.read.option("header", "true").option("enforceSchema", "false").csv(path)
+    rows = rows.withColumn("_place", place(rows))
     text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
     value = F.when(text("confidence") == "", F.lit(0.0)).otherwise(text("confidence").try_cast("double"))
     own = rows.select(text("mesh_id").alias("code"), text("snomed_id").alias("target_id"), value.alias("confidence"), (F.lower(text("snomed_active")) == "true").alias("target_active"), "_place")

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_filled
 from ..schemas import RRF
+from .order import place
 
 
 def read_rrf(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The named columns of a pipe-separated file, all strings, and ord, the row's place.
+    """The named columns of a pipe-separated file, all strings, and ord, the row's place (order.place).
 
     Missing last columns are empty, further ones and the trailing bar are
     dropped, empty lines are skipped, quotes are ordinary characters.
     """
     columns = RRF[name]
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord")).filter("value <> ''")
+    lines = spark.read.text(path)
+    lines = lines.select("value", place(lines).alias("ord")).filter("value <> ''")
     parts = F.split("value", r"\|", -1)
     return lines.select(*(F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)), "ord")
 
@@ -48,7 +50,7 @@ RELEASE_NAMES = {
 def read_reference_set(spark: SparkSession, path: str, active_only: bool = False) -> DataFrame:
     """A release file: header, tabs, no quoting, all strings; ord is the row's place; known headers get operators' names."""
     df = spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False)
-    df = df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(RELEASE_NAMES.get(c, c)) for c in df.columns), F.monotonically_increasing_id().alias("ord"))
+    df = df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(RELEASE_NAMES.get(c, c)) for c in df.columns), place(df).alias("ord"))
     return df.filter("active = '1'") if active_only else df
 
 
