@@ -15,11 +15,12 @@ and never no: it spares work and changes no count.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK, ENTRIES, RANGE = 1 << 18, 1 << 20, 1 << 21
 #: Bits of the map of frequent phrases that every task gets (2 MB).
 SLOTS = 24
+#: Frequent words that are sent to every task at most, more are joined.
+SENT = 1 << 20
 #: Words that get numbers side by side; parts of a language whose first phrases are found apart.
 NUMBERED, PARTS = 1 << 20, 64
 UNKNOWN = "und"
@@ -124,6 +127,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(name)
 
 
+def renumbered(codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Codes by a list of ids plus 1 for each code, 0 for none; one 0 parts two runs."""
+    codes = own[codes]
+    kept = codes != 0
+    kept[1:] |= codes[:-1] != 0
+    return codes[kept]
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(size, codes) of rows (size, codes, found): codes become ids plus 1, 0 stands for whatever parts and words without an id."""
     for batch in batches:
@@ -136,17 +147,40 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pos, ids = (found.values.field(k).to_numpy() for k in (0, 1))
             own = np.zeros(int(max(codes.max(), pos.max())) + 1, np.int64)
             own[pos] = ids + 1
-            codes = own[codes]
-            kept = codes != 0
-            kept[1:] |= codes[:-1] != 0  # one 0 between two runs
-            codes = codes[kept]
+            codes = renumbered(codes, own)
             sizes.append(len(codes))
             out.append(packed(codes))
         yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["size", "codes"])
 
 
-def numbered(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The blocks (size, codes) by ids of frequent words (lang, word, id). Only dictionaries are joined with the vocabulary."""
+def numbered(blocks: DataFrame, frequent: DataFrame, many: int) -> DataFrame:
+    """The blocks (size, codes) by ids of frequent words (lang, word, id), `many` of them.
+
+    Few words go to every task; of more than SENT the blocks' dictionaries are joined with the vocabulary.
+    """
+    if many <= SENT:
+        words_of: dict[str, tuple[pa.Array, np.ndarray]] = {}
+        for lang, own in frequent.select("lang", "word", "id").toPandas().groupby("lang"):
+            words_of[lang] = pa.array(own["word"], pa.string()), own["id"].to_numpy(np.int64)
+        sent = blocks.sparkSession.sparkContext.broadcast(words_of)
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes, out = [], []
+                for lang, size, codes, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                    if lang not in sent.value:
+                        continue
+                    known, ids = sent.value[lang]
+                    at = pc.index_in(names.values, value_set=known)
+                    own = np.zeros(len(at) + 1, np.int64)
+                    hit = at.is_valid().to_numpy(zero_copy_only=False)
+                    own[1:][hit] = ids[at.drop_null().to_numpy()] + 1
+                    found = renumbered(unpacked(codes, size), own)
+                    sizes.append(len(found))
+                    out.append(packed(found))
+                yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["size", "codes"])
+
+        return blocks.select("lang", "size", "codes", "words").mapInArrow(look_up, "size long, codes binary")
     own = blocks.select("block", "lang", F.posexplode("words").alias("pos", "word")).join(frequent.select("lang", "word", "id"), ["lang", "word"])
     found = own.groupBy("block").agg(F.collect_list(F.struct((F.col("pos") + 1).cast("long").alias("pos"), "id")).alias("found"))
     return blocks.select("block", "size", "codes").join(found, "block").select("size", "codes", "found").mapInArrow(_numbered, "size long, codes binary")
@@ -264,7 +298,7 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int =
     bits = int(frequent.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]).bit_length() or 1
     if bits > 32:
         raise ValueError("over 2**32 frequent words")
-    ids = materialise(numbered(blocks, frequent), "ids")
+    ids = materialise(numbered(blocks, frequent, many), "ids")
 
     whole, known = frequent.select(F.array("id").alias("ids"), "f"), None
     found: DataFrame | None = None
