@@ -35,10 +35,10 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK, ENTRIES, RANGE = 1 << 18, 1 << 20, 1 << 21
 #: Bits of the map of frequent phrases that every task gets (2 MB).
 SLOTS = 24
-#: Frequent words that are sent to every task at most, more are joined.
-SENT = 1 << 20
-#: Words that get numbers side by side; parts of a language whose first phrases are found apart.
-NUMBERED, PARTS = 1 << 20, 64
+#: Frequent words that are sent to every task at most, more are joined; candidates that are broadcast at most, more are joined.
+SENT, FEW = 1 << 20, 1 << 18
+#: Parts of a language whose first phrases are found apart.
+PARTS = 64
 UNKNOWN = "und"
 
 _PIECE = np.zeros(256, bool)
@@ -290,11 +290,10 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int =
     totals = vocabulary.groupBy("lang").agg(F.sum("f").alias("n"))
     tokens, many = vocabulary.agg(F.coalesce(F.sum("f"), F.lit(0)), F.count_if(F.col("f") >= least)).first()
 
-    # numbers without a sort of all words: parts of about NUMBERED words are numbered apart and take turns
-    turns = -(-many // NUMBERED) + 1
-    part = F.pmod(F.xxhash64("lang", "word"), F.lit(turns))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("lang", "word"))
-    frequent = materialise(vocabulary.filter(F.col("f") >= least).withColumn("part", part).withColumn("id", (place - 1) * turns + F.col("part")).drop("part"), "frequent")
+    # numbers without a sort of all words: the table's parts take turns
+    row = F.monotonically_increasing_id()
+    turns = vocabulary.rdd.getNumPartitions()
+    frequent = materialise(vocabulary.filter(F.col("f") >= least).withColumn("id", row.bitwiseAND((1 << 33) - 1) * turns + F.shiftright(row, 33)), "frequent")
     bits = int(frequent.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]).bit_length() or 1
     if bits > 32:
         raise ValueError("over 2**32 frequent words")
@@ -309,26 +308,30 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int =
             known = bitmap(level)
             if not known.any():
                 break
-    return ranked(found, whole.union(found), frequent, totals, top)
+    few = found.count() <= FEW
+    return ranked(found, whole.union(found), frequent, totals, top, F.broadcast if few and many <= FEW else lambda df: df)
 
 
-def ranked(found: DataFrame, counts: DataFrame, frequent: DataFrame, totals: DataFrame, top: int) -> DataFrame:
-    """Score candidates (ids, f) by their worst cut, drop those that a longer one explains, and rank the rest by language."""
+def ranked(found: DataFrame, counts: DataFrame, frequent: DataFrame, totals: DataFrame, top: int, sent: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Score candidates (ids, f) by their worst cut, drop those that a longer one explains, and rank the rest by language.
+
+    A candidate's word at place k and its cut after k words are one row, so all are brought together once.
+    sent: what is done to tables of candidates and words before they are joined, broadcast() if they are few.
+    """
     size = F.size("ids")
     longer = found.filter(size > 2).select(F.explode(F.array(F.slice("ids", F.lit(1), size - 1), F.slice("ids", F.lit(2), size - 1))).alias("ids"), "f")
     longer = longer.groupBy("ids").agg(F.max("f").alias("over"))  # what is longer still stands no more often
-    kept = found.join(longer, "ids", "left").filter("over is null or over < f").select("ids", F.col("f").alias("a"))
-
-    spelt = kept.select("ids", "a", F.posexplode("ids").alias("pos", "id")).join(frequent.select("id", "lang", "word"), "id")
-    spelt = spelt.groupBy("ids", "a").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    spelt = spelt.select("ids", "a", "lang", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("phrase")).join(totals, "lang")
+    kept = found.join(sent(longer), "ids", "left").filter("over is null or over < f").select("ids", F.col("f").alias("a"))
 
-    cuts = spelt.select("lang", "phrase", "a", "n", "ids", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
-    cuts = cuts.withColumns({"left": F.slice("ids", F.lit(1), F.col("k")), "right": F.slice("ids", F.col("k") + 1, size - F.col("k"))})
-    cuts = cuts.join(counts.select(F.col("ids").alias("left"), F.col("f").alias("l")), "left").join(counts.select(F.col("ids").alias("right"), F.col("f").alias("r")), "right")
+    rows = kept.select("ids", "a", F.posexplode("ids").alias("k", "id")).join(sent(frequent.select("id", "lang", "word").join(totals, "lang")), "id")
+    cut = lambda part: F.when(F.col("k") > 0, part).otherwise(F.col("ids"))  # noqa: E731  its first word has no cut; the candidate itself is there to be found
+    rows = rows.withColumns({"left": cut(F.slice("ids", F.lit(1), F.greatest("k", F.lit(1)))), "right": cut(F.slice("ids", F.col("k") + 1, size - F.col("k")))})
+    rows = rows.join(sent(counts.select(F.col("ids").alias("left"), F.col("f").alias("l"))), "left").join(sent(counts.select(F.col("ids").alias("right"), F.col("f").alias("r"))), "right")
     score = F.expr("(cast(1000 * cast(a as decimal(20, 0)) * cast(n as decimal(18, 0)) as decimal(38, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
-    scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
-    scored = scored.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
+    rows = rows.groupBy("ids", "a").agg(
+        F.first("lang").alias("lang"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "word"))).alias("w"), F.min(F.when(F.col("k") > 0, F.struct(score.alias("score"), "k", "l", "r"))).alias("best")
+    )
+    scored = rows.select("lang", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("phrase"), "a", "best.l", "best.r", "n", "best.score")
 
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     few = scored.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))

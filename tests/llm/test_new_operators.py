@@ -176,6 +176,16 @@ def test_big_scores_are_exact(spark):
     assert row.score == 1000 * a * n // (l * r)
 
 
+@tables
+def test_joined_as_sent(spark, monkeypatch):
+    """Tables that are too large to be sent are joined, with the same result."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = rows_of(collocations.phrases(docs))
+    monkeypatch.setattr(collocations, "SENT", 0)
+    monkeypatch.setattr(collocations, "FEW", 0)
+    assert rows_of(collocations.phrases(docs)) == want
+
+
 def test_equal_hashes_are_told_apart():
     data = np.frombuffer(b"ab cd ab", np.uint8)
     starts, sizes = np.array([0, 3, 6]), np.array([2, 2, 2])
