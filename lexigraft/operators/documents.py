@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import join_text, percent, split_composite, strip_prefix, strip_suffix
 from ..schemas import CANDIDATE, SCHEMA_VERSION
+from .lookup import attach
 
 
 def first_index(codes: Column, wanted: Column) -> Column:
@@ -86,21 +87,19 @@ def stamp_concepts(docs: DataFrame, mapped: DataFrame) -> DataFrame:
     unique key, and may come in any order each time that they are read.
     """
     scoped = F.filter("entities", lambda e: ~F.coalesce(e["out_of_scope"], F.lit(False)) & e["original_code"].isNotNull())
-    codes = F.array_sort(F.array_distinct(F.transform(scoped, lambda e: e["original_code"])))
-    # documents of the same codes share their targets, so the codes themselves are the key: no row needs an id
-    keyed = docs.withColumn("_codes", F.when(F.size(codes) > 0, codes))
-    rows = keyed.select("_codes").filter("_codes is not null").distinct().select("_codes", F.explode("_codes").alias("_code"))
-    parts = rows.select("_code").distinct().select("_code", F.posexplode(split_composite(F.col("_code"))).alias("part", "code"))
+    codes = F.transform(scoped, lambda e: e["original_code"])
+    own = docs.select(F.explode(codes).alias("key")).distinct()
+    parts = own.select("key", F.posexplode(split_composite(F.col("key"))).alias("part", "code"))
     parts = parts.withColumn("code", strip_prefix(F.col("code"), any_case=True)).filter(~F.col("code").isin(*C.SENTINELS))
     hits = parts.join(mapped.select("code", "target_id", "confidence", "target_active"), "code")
     order = F.struct((~F.col("target_active")).cast("int"), -F.col("confidence"), F.col("part"))
     confidence = F.when(F.col("target_active"), F.col("confidence")).otherwise(F.bround(F.col("confidence") * C.INACTIVE_FACTOR, 6))
-    best = hits.groupBy("_code").agg(F.min_by(F.struct("target_id", confidence.alias("confidence"), "target_active"), order).alias("best"))
-    per_set = rows.join(best, "_code").groupBy("_codes").agg(F.map_from_entries(F.collect_list(F.struct("_code", "best"))).alias("_best"))
-    stamped = keyed.join(per_set, "_codes", "left")
+    best = hits.groupBy("key").agg(F.min_by(F.struct("target_id", confidence.alias("confidence"), "target_active"), order).alias("value"))
+    stamped = attach(docs, codes, best, "_best")
 
     def entity(e: Column) -> Column:
-        best = F.try_element_at("_best", F.when(~F.coalesce(e["out_of_scope"], F.lit(False)), e["original_code"]))
+        wanted = F.when(~F.coalesce(e["out_of_scope"], F.lit(False)), e["original_code"])
+        best = F.try_element_at(F.filter("_best", lambda b: b["key"] == wanted), F.lit(1))["value"]
         return e.withField("mapped_id", best["target_id"]).withField("mapping_confidence", best["confidence"]).withField("target_active", best["target_active"])
 
     return stamped.withColumn("entities", F.transform("entities", entity)).select(*(F.col(f"`{c}`") for c in docs.columns))

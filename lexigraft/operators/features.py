@@ -9,6 +9,10 @@ from ..functions import constants as C
 from ..functions.text import strip_suffix
 
 
+#: Characters of a stretch of text in which tokens and entities are matched.
+STRETCH = 256
+
+
 def tokens(docs: DataFrame, pattern: str = r"\w+|[^\w\s]") -> DataFrame:
     """(doc, pos, start, end, token) by a regular expression: a plain stand-in for a word-piece tokenizer."""
     rows = docs.select("doc", "text", F.posexplode(F.split(F.regexp_replace("text", f"({pattern})", "\u0001$1\u0002"), "\u0001")).alias("pos", "piece")).filter("pos > 0")
@@ -24,10 +28,13 @@ def bio_align(token_rows: DataFrame, entities: DataFrame) -> DataFrame:
 
     token_rows (doc, pos, start, end, mask), entities (doc, ord, span_start,
     span_end, semantic_class). A later entity writes over an earlier one. Tokens
-    of no width or with mask 0 take no part.
+    of no width or with mask 0 take no part. Tokens meet only entities of the same
+    stretch of STRETCH characters.
     """
-    usable = token_rows.filter("`end` > `start` and mask = 1")
-    hit = usable.join(entities, "doc").filter("`end` > span_start and `start` < span_end")
+    stretches = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / STRETCH), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / STRETCH))).alias("_part")
+    usable = token_rows.filter("`end` > `start` and mask = 1").select("doc", "pos", "start", "end", stretches("start", "end"))
+    wanted = entities.select("doc", "ord", "span_start", "span_end", "semantic_class", stretches("span_start", "span_end"))
+    hit = usable.join(wanted, ["doc", "_part"]).filter("`end` > span_start and `start` < span_end")
     spans = hit.groupBy("doc", "ord", "semantic_class").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     filled = spans.select("doc", "ord", "semantic_class", "first", F.explode(F.sequence("first", "last")).alias("pos"))
     tag = F.concat(F.when(F.col("pos") == F.col("first"), "B-").otherwise("I-"), F.col("semantic_class"))

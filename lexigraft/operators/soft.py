@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,54 +23,64 @@ def top_k(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-#: Query vectors that are sent to the tasks at once (8 bytes a dimension each).
-QUERY_BLOCK = 16_384
+#: Vectors of a block at most, about; tiles to make if there are vectors enough.
+BLOCK, TILES = 8_192, 64
 
 
 def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query, id, similarity, rank): the k rows of most cosine for each query, itself left out; what is equal after rounding falls to the smaller id.
 
-    Both are (id long, vector array<double>). Queries go out in blocks of a fixed
-    size; a task multiplies its rows with a block, a batch at a time, and keeps k
-    for each query, so that only those are shuffled. Null, zero and odd-sized
-    vectors are near nothing.
+    Both are (id long, vector array<double>). Queries and rows are dealt into
+    blocks, and each pair of blocks is a tile, one group of a task: so neither side
+    goes through the driver, and a tile holds two blocks whatever the tables' sizes.
+    A tile hands on k rows for each of its queries. Vectors are compared with those
+    of their length; null and zero ones and those with a null or non-finite
+    component are near nothing. No queries or no rows give no rows.
     """
-    spark = rows.sparkSession
-    asked = queries.filter("vector is not null").select("id", "vector")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        some = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()  # about QUERY_BLOCK rows
-        some = some[[len(v) == len(some["vector"].iloc[0]) for v in some["vector"]]]
-        names = some["id"].to_numpy(np.int64)
-        matrix = unit_rows(np.array(some["vector"].tolist(), float).reshape(len(some), -1))
-        sent = spark.sparkContext.broadcast((names[~np.isnan(matrix).any(axis=1)], matrix[~np.isnan(matrix).any(axis=1)]))
-
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, matrix = sent.value
-            top = np.full((len(names), k), -np.inf)
-            ids = np.full((len(names), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 1024):
-                    part = batch.slice(lo, 1024)
-                    good = [i for i, v in enumerate(part.column(1)) if v.is_valid and len(v) == matrix.shape[1] and not v.values.null_count]
-                    if not good or not len(names):
-                        continue
-                    own = part.column(0).take(pa.array(good)).to_numpy()
-                    vectors = unit_rows(part.column(1).take(pa.array(good)).flatten().to_numpy().reshape(len(good), -1))
-                    near = matrix @ vectors.T
-                    near[np.isnan(near) | (names[:, None] == own)] = -np.inf
-                    both, other = np.concatenate([top, near], axis=1), np.concatenate([ids, np.broadcast_to(own, near.shape)], axis=1)
-                    order = np.lexsort((other, -np.round(both, digits)), axis=1)[:, :k]
-                    top, ids = np.take_along_axis(both, order, axis=1), np.take_along_axis(other, order, axis=1)
-            real = np.isfinite(top)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k).reshape(len(names), k)[real]), pa.array(ids[real]), pa.array(top[real])], names=["query", "id", "similarity"])
-
-        part = rows.select("id", "vector").mapInArrow(best, "query long, id long, similarity double")
-        found = part if found is None else found.unionByName(part)
+    asked, against = (df.select(F.col("id").cast("long").alias("id"), "vector").filter("vector is not null") for df in (queries, rows))
+    n_asked, n_against = asked.count(), against.count()
+    across = max(1, -(-n_asked // BLOCK))
+    down = max(1, -(-n_against // BLOCK), min(-(-TILES // across), n_against // 256))
+    # rows are dealt in turn, whatever their ids; each goes to the tiles of its column or row
+    turn = lambda n: F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(n)).cast("int")
+    tiled = lambda df, own, other, of, to: df.withColumn(of, turn(own)).withColumn(to, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+    left = tiled(asked, across, down, "i", "j").select("i", "j", "id", "vector")
+    right = tiled(against, down, across, "j", "i").select(*(F.col(c).alias(f"{c}_") for c in ("i", "j", "id", "vector")))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        sizes = set(left["vector"].combine_chunks().value_lengths().to_pylist()) if left.num_rows and right.num_rows else ()
+        right = right.rename_columns(left.column_names) if sizes else right
+        for size in sizes:
+            names, matrix = unit_table(left, size)
+            others, vectors = unit_table(right, size)
+            order = np.argsort(others)
+            others, vectors = others[order], vectors[order]
+            for lo in range(0, len(names) if len(others) else 0, 1024):
+                near = np.round(matrix[lo : lo + 1024] @ vectors.T, 12)
+                near[names[lo : lo + 1024, None] == others] = -np.inf
+                first = np.argsort(-np.round(near, digits), axis=1, kind="stable")[:, :k]  # ids rise, so equal ones are in order
+                found = np.take_along_axis(near, first, axis=1)
+                real = np.isfinite(found)
+                out.append((np.broadcast_to(names[lo : lo + 1024, None], found.shape)[real], others[first][real], found[real]))
+        columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, kind) for c, kind in enumerate((np.int64, np.int64, float))]
+        return pa.table(columns, names=["query", "id", "similarity"])
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i_", "j_")).applyInArrow(best, "query long, id long, similarity double")
     return top_k(found, ["query"], [F.desc(F.round("similarity", digits)), F.col("id")], k)
 
 
+def unit_table(rows: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows of a length; those that have no direction are left out."""
+    vectors = rows["vector"].combine_chunks()
+    own = np.flatnonzero(vectors.value_lengths().to_numpy() == size)
+    flat = vectors.take(pa.array(own)).flatten()
+    with np.errstate(all="ignore"):
+        matrix = unit_rows(flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1))
+    good = np.isfinite(matrix).all(axis=1) & (size > 0)
+    return rows["id"].to_numpy()[own][good], matrix[good]
+
+
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     """Rows of length 1; zero rows become not-a-number."""
     with np.errstate(invalid="ignore", divide="ignore"):

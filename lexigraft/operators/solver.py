@@ -1,9 +1,12 @@
 """Per-document constrained assignment of types, concepts and relations.
 
 Given the types, every concept and relation is a choice of its own, so only the
-types have to be searched: depth first over entities, cutting branches whose
-best possible rest can't win. Equal scores fall to the smaller candidate
-indices. Documents are rows; Spark spreads them.
+types have to be searched. A batch of documents is scored as arrays, and documents of
+the same pairs are solved together by variable elimination (elimination.py), whose
+cost is linear for chains and trees. A document whose pairs are so many that a table
+would pass elimination.CELLS is searched depth first, cutting branches whose best
+possible rest can't win. Equal scores fall to the smaller candidate indices.
+Documents are rows; Spark spreads them.
 """
 
 from __future__ import annotations
@@ -11,11 +14,16 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from . import elimination
+from .elimination import IMPOSSIBLE
+from .lookup import attach
 
 INPUT = (
     "pmid string, entities array<struct<types: array<struct<label: string, score: double>>, concepts: array<struct<id: string, score: double>>>>, "
@@ -110,55 +118,188 @@ def solve(entities: list[dict], pairs: list[dict], under: set[tuple[str, str]],
     chosen = best["types"]
     return {
         "score": best["score"],
+        "types": chosen,
         "concept_index": [concepts[i][t] for i, t in enumerate(chosen)],
         "entities": [{"type": types[i][t]["label"], "concept": None if concepts[i][t] is None else entities[i]["concepts"][concepts[i][t]]["id"]} for i, t in enumerate(chosen)],
         "pairs": [{"i": p["i"], "j": p["j"], "relation": p["relations"][relation(n, chosen)[0]]["label"]} for n, p in enumerate(pairs)],
     }
 
 
-def first_choice(entities: list[dict], pairs: list[dict]) -> dict:
-    """The first candidate of every list."""
-    return {
-        "entities": [{"type": e["types"][0]["label"] if e["types"] else "none", "concept": e["concepts"][0]["id"] if e["concepts"] else None} for e in entities],
-        "pairs": [{"i": p["i"], "j": p["j"], "relation": p["relations"][0]["label"]} for p in pairs if p["relations"]],
-    }
+def parted(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The length of each list, 0 for a null one, and all values one after another."""
+    return lists.value_lengths().fill_null(0).to_numpy().astype(np.int64), lists.flatten()
+
+
+def starts_of(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def crossed(*lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of all combinations of as many choices as each list says for a row: the row, and each choice's number."""
+    size = np.prod(lengths, axis=0)
+    row = np.repeat(np.arange(len(size)), size)
+    within = np.arange(int(size.sum())) - np.repeat(starts_of(size)[:-1], size)
+    out = []
+    for length in reversed(lengths):
+        out.append(within % np.maximum(length[row], 1))
+        within = within // np.maximum(length[row], 1)
+    return (row, *reversed(out))
+
+
+def codes_of(values: pa.Array, names: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Numbers of strings, those of `names` first, -1 for null; and all names."""
+    found = values.dictionary_encode()
+    place = {n: i for i, n in enumerate(names)}
+    of = np.array([place.setdefault(n, len(place)) for n in found.dictionary.to_pylist()] + [-1], np.int64)
+    return of[found.indices.fill_null(-1).to_numpy().astype(np.int64)], list(place)
+
+
+def best_of(rows: np.ndarray, n: int, scores: np.ndarray, index: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n rows the best allowed score, IMPOSSIBLE if there is none, and its first index, else -1; indices rise in a row."""
+    score, chosen = np.full(n, IMPOSSIBLE, np.int64), np.full(n, -1, np.int64)
+    np.maximum.at(score, rows[allowed], scores[allowed])
+    hit = np.flatnonzero(allowed & (scores == score[rows]))[::-1]
+    chosen[rows[hit]] = index[hit]
+    return score, chosen
+
+
+def solve_batch(batch: pa.RecordBatch, anchored: set[str], good: set[tuple[str, str, str]], checked: set[str], branches: int) -> pa.RecordBatch:
+    """The OUTPUT rows of a batch (pmid, entities, pairs, fits)."""
+    began = time.perf_counter()
+    docs = batch.num_rows
+    n_entities, entities = parted(batch.column(1))
+    n_types, types = parted(pc.struct_field(entities, "types"))
+    n_concepts, concepts = parted(pc.struct_field(entities, "concepts"))
+    n_pairs, pairs = parted(batch.column(2))
+    n_relations, relations = parted(pc.struct_field(pairs, "relations"))
+    labels, names = codes_of(pc.struct_field(types, "label"), ["none"])
+    ids, concept_names = codes_of(pc.struct_field(concepts, "id"), [])
+    kinds, kind_names = codes_of(pc.struct_field(relations, "label"), [])
+    points = lambda rows: np.rint(pc.struct_field(rows, "score").fill_null(0.0).to_numpy() * C.SCORE_SCALE).astype(np.int64)  # noqa: E731  half to even, as round() does
+    type_points, concept_points, relation_points = points(types), points(concepts), points(relations)
+
+    # what fits what, as tables over the batch's names
+    under = np.zeros((len(names), len(concept_names) + 1), bool)
+    under[[i for i, x in enumerate(names) if x not in anchored]] = True
+    label_of, concept_of = {x: i for i, x in enumerate(names)}, {x: i for i, x in enumerate(concept_names)}
+    found = batch.column(3).flatten()
+    own = pc.struct_field(found, "key").dictionary_encode()
+    first = np.unique(own.indices.to_numpy(), return_index=True)[1]
+    for concept, classes in zip(own.dictionary.to_pylist(), pc.struct_field(found, "value").take(pa.array(first)).to_pylist(), strict=True):
+        for c in classes:
+            if c in label_of and concept in concept_of:
+                under[label_of[c], concept_of[concept]] = True
+    right = np.zeros((len(kind_names), len(names), len(names)), bool)
+    for k, kind in enumerate(kind_names):
+        if kind not in checked:
+            right[k] = True
+    for kind, a, b in good:
+        if kind in kind_names and a in label_of and b in label_of:
+            right[kind_names.index(kind), label_of[a], label_of[b]] = True
+
+    # entities without types have the type "none" at no points
+    choices = np.maximum(n_types, 1)
+    most = int(choices.max(initial=1))
+    type_start, concept_start, relation_start = starts_of(n_types), starts_of(n_concepts), starts_of(n_relations)
+    entity, t = crossed(choices)
+    has = n_types[entity] > 0
+    at = np.where(has, type_start[entity] + t, 0)
+    label = np.where(has, labels[at] if len(labels) else 0, 0)
+    table = np.full((len(n_entities) and int(n_entities.sum()), most), 0, np.int64)
+    table[entity, t] = label
+    row, c = crossed(n_concepts[entity])
+    place = concept_start[entity[row]] + c
+    score, picked = best_of(row, len(entity), concept_points[place], c, under[label[row], ids[place]])
+    concept_pick = np.full(table.shape, -1, np.int64)
+    concept_pick[entity, t] = picked
+    single = np.full(table.shape, IMPOSSIBLE, np.int64)
+    gain = np.where(n_concepts[entity] > 0, score, 0)
+    single[entity, t] = np.where(gain == IMPOSSIBLE, IMPOSSIBLE, gain + np.where(has, type_points[at] if len(labels) else 0, 0))
+
+    # pairs: the best relation for each two types
+    entity_start, pair_start = starts_of(n_entities), starts_of(n_pairs)
+    doc_of = np.repeat(np.arange(docs), n_pairs)
+    i, j = (pc.struct_field(pairs, f).to_numpy().astype(np.int64) for f in ("i", "j"))
+    left, other = entity_start[doc_of] + i, entity_start[doc_of] + j
+    pair, a, b, r = crossed(choices[left], choices[other], n_relations)
+    place = relation_start[pair] + r
+    cell = (pair * most + a) * most + b
+    score, picked = best_of(cell, len(i) * most * most, relation_points[place], r, right[kinds[place], table[left[pair], a], table[other[pair], b]])
+    double, relation_pick = score.reshape(-1, most, most), picked.reshape(-1, most, most)
+
+    # documents of the same pairs at once
+    status, total, chosen = np.zeros(docs, bool), np.zeros(docs, np.int64), np.zeros(len(table), np.int64)
+    groups: dict[tuple, list[int]] = {}
+    told = n_relations > 0
+    for d in range(docs):
+        span = slice(pair_start[d], pair_start[d + 1])
+        groups.setdefault((n_entities[d], tuple(zip(i[span][told[span]].tolist(), j[span][told[span]].tolist(), strict=True))), []).append(d)
+    for (n, tied), group in groups.items():
+        members = np.array(group)
+        if not n:
+            status[members] = True
+            continue
+        if elimination.fits(n, tied, most):
+            rows = entity_start[members][:, None] + np.arange(n)
+            with_relations = np.flatnonzero(told)
+            begin = np.searchsorted(with_relations, pair_start[members])
+            own_pairs = with_relations[begin[:, None] + np.arange(len(tied))] if tied else np.zeros((len(members), 0), np.int64)
+            score, picked = elimination.solve(single[rows], tied, double[own_pairs])
+            status[members], total[members] = score > IMPOSSIBLE // 2, score
+            chosen[rows] = np.where((score > IMPOSSIBLE // 2)[:, None], picked, 0)
+            continue
+        for d in group:  # too many ties for tables
+            fits = {(c, f["key"]) for f in batch.column(3)[d].as_py() for c in f["value"]}
+            listed = lambda x: x or []
+            found = solve([{"types": listed(e["types"]), "concepts": listed(e["concepts"])} for e in batch.column(1)[d].as_py()], [{**p, "relations": listed(p["relations"])} for p in batch.column(2)[d].as_py()], fits, anchored, good, checked, branches)
+            if found:
+                status[d], total[d] = True, found["score"]
+                chosen[entity_start[d] : entity_start[d + 1]] = found["types"]
+
+    # what was chosen; the first of every list where nothing fits
+    solved = np.repeat(status, n_entities)
+    index = np.where(solved, concept_pick[np.arange(len(table)), chosen] if len(table) else 0, np.where(n_concepts > 0, 0, -1))
+    picked_type = pa.array(np.array([*names, ""], object)[table[np.arange(len(table)), chosen]] if len(table) else [], pa.string())
+    picked_concept = pc.struct_field(concepts, "id").take(pa.array(concept_start[:-1] + index, mask=index < 0))
+    out_entities = pa.StructArray.from_arrays([picked_type, picked_concept], names=["type", "concept"])
+    relation = np.where(status[doc_of], relation_pick[np.arange(len(i)), chosen[left], chosen[other]] if len(i) else 0, 0)
+    kept = np.flatnonzero(told)
+    picked_kind = pc.struct_field(relations, "label").take(pa.array(relation_start[kept] + np.maximum(relation[kept], 0)))
+    out_pairs = pa.StructArray.from_arrays([pa.array(i[kept].astype(np.int32)), pa.array(j[kept].astype(np.int32)), picked_kind], names=["i", "j", "relation"])
+    overrides = np.where(status, np.bincount(np.repeat(np.arange(docs), n_entities), index > 0, docs), 0).astype(np.int32)
+    cuts = lambda lengths: pa.array(starts_of(lengths).astype(np.int32))
+    ms = (time.perf_counter() - began) * 1000 / max(docs, 1)
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0), pa.array(np.where(status, "sat", "fallback")), pa.array(total, mask=~status), pa.array(overrides), pa.array(np.full(docs, ms)),
+            pa.ListArray.from_arrays(cuts(n_entities), out_entities), pa.ListArray.from_arrays(cuts(np.bincount(doc_of, told, docs).astype(np.int64)), out_pairs),
+        ],
+        names=["pmid", "status", "score", "overrides", "elapsed_ms", "entities", "pairs"],
+    )
 
 
 def solve_documents(docs: DataFrame, compatible: DataFrame, valid: DataFrame, branches: int = BRANCHES) -> DataFrame:
     """Solve each row of docs (INPUT); compatible (semantic_class, concept) is cut to the candidates that docs hold.
 
     valid (relation, subject_class, object_class, valid) has a row for each of the
-    few relations and classes. Null arrays count as empty. A document whose search
-    takes more than `branches` steps falls back to each list's first candidate.
+    few relations and classes. Null arrays count as empty. A document without a
+    solution, or whose search takes more than `branches` steps, falls back to each
+    list's first candidate. elapsed_ms is a document's share of its batch's time.
     """
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("entities", lambda e: F.coalesce(F.transform(e["concepts"], lambda c: c["id"]), F.array().cast("array<string>"))))))
-    # documents of the same candidates share what fits them, so the candidates are the key
-    rows = docs.withColumn("_ids", F.when(F.size(ids) > 0, ids))
-    own = rows.select("_ids").filter("_ids is not null").distinct().select("_ids", F.explode("_ids").alias("concept"))
-    fits = compatible.join(own.select("concept").distinct(), "concept", "left_semi").groupBy("concept").agg(F.collect_set("semantic_class").alias("classes"))
-    own = own.join(fits, "concept").groupBy("_ids").agg(F.collect_list(F.struct("concept", "classes")).alias("fits"))
-    rows = rows.join(own, "_ids", "left").drop("_ids")
+    ids = F.flatten(F.transform("entities", lambda e: F.coalesce(F.transform(e["concepts"], lambda c: c["id"]), F.array().cast("array<string>"))))
+    own = docs.select(F.explode(ids).alias("concept")).distinct()
+    classes = compatible.join(own, "concept", "left_semi").groupBy(F.col("concept").alias("key")).agg(F.collect_set("semantic_class").alias("value"))
+    rows = attach(docs.select("pmid", "entities", "pairs"), ids, classes, "fits")
     anchored = {r[0] for r in compatible.select("semantic_class").distinct().collect()}
     table = [(r.relation, r.subject_class, r.object_class, r.valid) for r in valid.collect()]
     good, checked = {t[:3] for t in table if t[3]}, {t[0] for t in table} | set(C.TIER1_ATTRIBUTES)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        listed = lambda x: [] if x is None else list(x)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                entities = [{"types": listed(e["types"]), "concepts": listed(e["concepts"])} for e in listed(row.entities)]
-                pairs = [{"i": int(p["i"]), "j": int(p["j"]), "relations": listed(p["relations"])} for p in listed(row.pairs)]
-                under = {(c, f["concept"]) for f in listed(row.fits) for c in f["classes"]}
-                began = time.perf_counter()
-                found = solve(entities, pairs, under, anchored, good, checked, branches)
-                ms = (time.perf_counter() - began) * 1000
-                chosen = found or first_choice(entities, pairs)
-                changed = sum(bool(k) for k in found["concept_index"]) if found else 0
-                out.append((row.pmid, "sat" if found else "fallback", found["score"] if found else None, changed, ms, chosen["entities"], chosen["pairs"]))
-            yield pd.DataFrame(out, columns=["pmid", "status", "score", "overrides", "elapsed_ms", "entities", "pairs"])
-
-    return rows.select("pmid", "entities", "pairs", "fits").mapInPandas(each, OUTPUT)
+            if batch.num_rows:
+                yield solve_batch(batch, anchored, good, checked, branches)
+
+    return rows.select("pmid", "entities", "pairs", "fits").mapInArrow(each, OUTPUT)
 
 
 def top_candidates(scores: DataFrame, k_types: int = C.TOP_TYPES, k_concepts: int = C.TOP_CONCEPTS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -123,19 +123,23 @@ def q32_bio_decode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT doc_id AS doc, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
-s AS (SELECT doc, pos, token, coalesce(sum(length(token) + 1) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w),
-e(ord, b, e, cls) AS (VALUES (0, 5, 20, 'gene'), (1, 15, 40, 'disease'), (2, 300, 330, 'gene')),
-h AS (SELECT doc, ord, cls, min(pos) AS f, max(pos) AS l FROM s JOIN e ON start + length(token) > b AND start < e WHERE length(token) > 0 GROUP BY ALL),
-x AS (SELECT doc, ord, cls, f, unnest(generate_series(f, l)) AS pos FROM h),
-t AS (SELECT doc, pos, CASE WHEN pos = f THEN 'B-' ELSE 'I-' END || cls AS tag FROM x QUALIFY row_number() OVER (PARTITION BY doc, pos ORDER BY ord DESC) = 1)
-SELECT doc, coalesce(tag, 'O') AS tag, count(*) AS n FROM s LEFT JOIN t USING (doc, pos) GROUP BY ALL""")
+WITH b AS (SELECT word, min(item_id) % 2 AS odd FROM (SELECT item_id, unnest(string_split(text, ' ')) AS word FROM benchmark) WHERE length(word) >= 8 GROUP BY word),
+w AS (SELECT doc_id AS doc, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
+h AS (SELECT doc, pos AS f, CASE WHEN odd = 0 AND length(lead(token) OVER (PARTITION BY doc ORDER BY pos)) > 0 THEN pos + 1 ELSE pos END AS l, word, CASE odd WHEN 0 THEN 'gene' ELSE 'disease' END AS cls FROM w LEFT JOIN b ON word = token),
+x AS (SELECT doc, f, cls, unnest(generate_series(f, l)) AS pos FROM h WHERE word IS NOT NULL),
+t AS (SELECT doc, pos, CASE WHEN pos = f THEN 'B-' ELSE 'I-' END || cls AS tag FROM x QUALIFY row_number() OVER (PARTITION BY doc, pos ORDER BY f DESC) = 1)
+SELECT doc, coalesce(tag, 'O') AS tag, count(*) AS n FROM w LEFT JOIN t USING (doc, pos) GROUP BY ALL""")
 def q33_bio_align(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the benchmark found in whole documents are entities, some of them with the word after."""
+    items = table(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", " ", -1)).alias("token")).filter("char_length(token) >= 8")
+    known = items.groupBy("token").agg((F.min("item_id") % 2).alias("odd"))
     words = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ", -1)).alias("pos", "token"))
-    rows = passage_offsets(words, "doc", "pos", "token").select("doc", "pos", "start", (F.col("start") + F.char_length("token")).alias("end"), F.lit(1).alias("mask"))
-    spans = F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(b).alias("span_start"), F.lit(e).alias("span_end"), F.lit(c).alias("semantic_class")) for o, b, e, c in ((0, 5, 20, "gene"), (1, 15, 40, "disease"), (2, 300, 330, "gene"))))
-    entities = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.inline(spans))
-    return T.bio_align(rows, entities).groupBy("doc", "tag").agg(F.count("*").alias("n"))
+    rows = passage_offsets(words, "doc", "pos", "token").select("doc", "pos", "token", "start", (F.col("start") + F.char_length("token")).alias("end"), F.lit(1).alias("mask"))
+    after = F.lead("end").over(Window.partitionBy("doc").orderBy("pos"))
+    entities = rows.withColumn("after", after).join(known, "token").select(
+        "doc", F.col("pos").alias("ord"), F.col("start").alias("span_start"), F.when((F.col("odd") == 0), F.coalesce("after", "end")).otherwise(F.col("end")).alias("span_end"), F.when(F.col("odd") == 0, "gene").otherwise("disease").alias("semantic_class")
+    )
+    return T.bio_align(rows.drop("token"), entities).groupBy("doc", "tag").agg(F.count("*").alias("n"))
 
 
 def brand_names(spark: SparkSession, sf: str) -> DataFrame:

@@ -61,13 +61,19 @@ def q04_suffix_strip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey, CAST(100000 + n_nationkey AS VARCHAR) || ',' || CAST(200000 + n_regionkey AS VARCHAR) AS roots, '<<:' || n_name || ',<:' AS tokens FROM nation""")
+WITH x AS (SELECT l_orderkey, l_linenumber, CAST(100000 + l_partkey AS VARCHAR) AS a, CAST(20000000 + l_suppkey AS VARCHAR) AS b, CASE WHEN l_partkey % 2 = 1 THEN CAST(3000000 + l_orderkey AS VARCHAR) END AS c,
+  CASE l_linenumber % 3 WHEN 0 THEN '<<' WHEN 1 THEN '=' ELSE '>=' END AS op, CASE WHEN l_partkey % 2 = 0 THEN p_name ELSE '' END AS name FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT l_orderkey, l_linenumber, a || ',' || b || coalesce(',' || c, '') AS roots, op || ':' || name || ',<:,=:' AS tokens FROM x""")
 def q05_expression_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """An expression for each line, with and without operators and names; the last id repeats the first for even parts."""
     number = lambda base, c: (F.lit(base) + F.col(c)).cast("string")
-    text = F.concat(F.lit("<< "), number(100000, "n_nationkey"), F.lit(" |"), F.col("n_name"), F.lit("| OR < "), number(200000, "n_regionkey"))
-    rows = table(spark, sf, "nation").withColumn("text", text)
+    even = F.col("l_partkey") % 2 == 0
+    op = F.when(F.col("l_linenumber") % 3 == 0, "<< ").when(F.col("l_linenumber") % 3 == 1, "").otherwise(">= ")
+    name = F.when(even, F.concat(F.lit(" |"), F.col("p_name"), F.lit("|"))).otherwise("")
+    text = F.concat(op, number(100000, "l_partkey"), name, F.lit(" OR < "), number(20000000, "l_suppkey"), F.lit(" MINUS "), F.when(even, number(100000, "l_partkey")).otherwise(number(3000000, "l_orderkey")))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").withColumn("text", text)
     tokens = F.transform(expression_tokens(F.col("text")), lambda t: F.concat_ws(":", t["op"], t["term"]))
-    return rows.select("n_nationkey", F.array_join(expression_roots(F.col("text")), ",").alias("roots"), F.array_join(tokens, ",").alias("tokens"))
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(expression_roots(F.col("text")), ",").alias("roots"), F.array_join(tokens, ",").alias("tokens"))
 
 
 @query("""
