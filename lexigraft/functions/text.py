@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -156,6 +156,11 @@ def hop_similarity(hops: Column) -> Column:
     return F.lit(1.0) / (F.lit(1) + hops)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row: inside an array function a column expression is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hashed_ngrams(text: Column, size: int = 3, dims: int = 64) -> Column:
     """A text's character n-grams as an array<double> of hashed counts: a fixed stand-in for a term encoder.
 
@@ -164,6 +169,7 @@ def hashed_ngrams(text: Column, size: int = 3, dims: int = 64) -> Column:
     low = F.lower(F.concat(F.lit(" "), text, F.lit(" ")))
     codes = F.transform(F.split(low, ""), lambda c: F.ascii(c).cast("long"))
     step = lambda h, c: (h * 1_000_003 + c) % 2_147_483_647
-    places = F.sequence(F.lit(1), F.greatest(F.size(codes) - size + 1, F.lit(1)))
-    grams = F.transform(places, lambda i: F.aggregate(F.slice(codes, i, F.lit(size)), F.lit(0).cast("long"), step) % dims)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
+    places = lambda codes: F.sequence(F.lit(1), F.greatest(F.size(codes) - size + 1, F.lit(1)))
+    grams = lambda codes: F.transform(places(codes), lambda i: F.aggregate(F.slice(codes, i, F.lit(size)), F.lit(0).cast("long"), step) % dims)
+    counts = lambda grams: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
+    return let(codes, lambda codes: let(grams(codes), counts))

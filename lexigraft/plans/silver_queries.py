@@ -113,6 +113,7 @@ def q49_soft_map(spark: SparkSession, sf: str) -> DataFrame:
     vector = lambda name: hashed_ngrams(F.col(name), 3, 32)
     named = lambda t, p, key, name: table(spark, sf, t).select(F.concat(F.lit(p), F.col(key).cast("string")).alias("key"), vector(name).alias("vector"))
     vectors = named("part", "", "p_partkey", "p_name").union(named("supplier", "s", "s_suppkey", "s_name")).union(named("customer", "c", "c_custkey", "c_name")).union(named("nation", "n", "n_nationkey", "n_name")).union(named("region", "r", "r_regionkey", "r_name"))
+    vectors = H.settled(vectors)
     ids = near.select("id").distinct()
     pairs = near.select(F.col("start").alias("a"), F.col("id").alias("b"))
     size = H.nodes(rows.select(F.col("child").alias("id"), F.lit("1").alias("active")), rows).count()
