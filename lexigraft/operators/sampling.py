@@ -39,9 +39,10 @@ def set_cover(rows: DataFrame, size: int = C.SAMPLE_SIZE, target: int = C.COVERA
     """
     rows = rows.distinct()
     rich = rows.groupBy("pmid").agg(F.count("*").alias("richness"))
-    ranked = rows.join(rich, "pmid").withColumn("_place", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("richness"), "pmid")))
-    helps = ranked.groupBy("pmid").agg(F.first("richness").alias("richness"), F.min("_place").alias("place"))
-    phased = helps.withColumn("phase", F.when(F.col("place") <= target, 1).otherwise(2))
+    # only a concept's first `target` documents matter, so each task cuts its own before they meet
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("richness"), "pmid"))
+    covering = rows.join(rich, "pmid").withColumn("_place", place).filter(F.col("_place") <= target).select("pmid").distinct()
+    phased = rich.join(covering.withColumn("_covers", F.lit(1)), "pmid", "left").withColumn("phase", F.when(F.col("_covers") == 1, 1).otherwise(2))
     return phased.orderBy("phase", F.desc("richness"), "pmid").limit(size).select("pmid", "phase", "richness")
 
 

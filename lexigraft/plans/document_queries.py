@@ -235,6 +235,20 @@ def q44_set_cover(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.set_cover(rows)
 
 
+def solved_orders(spark: SparkSession, sf: str, relations: tuple[tuple[str, float], ...]) -> DataFrame:
+    """Orders as documents: lines are entities with two types and two concepts, neighbours are pairs with these relations."""
+    chemical, disease = F.lit("chemical"), F.lit("disease")
+    score = F.col("l_discount") * 5 + 0.3
+    types = F.array(F.struct(F.when(F.col("l_returnflag") == "R", disease).otherwise(chemical).alias("label"), score.alias("score")), F.struct(F.when(F.col("l_returnflag") == "R", chemical).otherwise(disease).alias("label"), (F.lit(1.0) - score).alias("score")))
+    concepts = F.array(F.struct((F.col("l_partkey") % 100).cast("string").alias("id"), F.lit(0.6).alias("score")), F.struct((F.col("l_suppkey") % 100).cast("string").alias("id"), F.lit(0.4).alias("score")))
+    docs = line_arrays(spark, sf, types=types, concepts=concepts).withColumnRenamed("lines", "entities")
+    candidates = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(points).alias("score")) for label, points in relations))
+    pairs = F.when(F.size("entities") > 1, F.transform(F.sequence(F.lit(0), F.size("entities") - 2), lambda i: F.struct(i.alias("i"), (i + 1).alias("j"), candidates.alias("relations")))).otherwise(F.array().cast("array<struct<i: int, j: int, relations: array<struct<label: string, score: double>>>>"))
+    ids = spark.range(100).select(F.when(F.col("id") % 3 == 0, chemical).otherwise(disease).alias("semantic_class"), F.col("id").cast("string").alias("concept"))
+    valid = spark.createDataFrame([("causative-agent", a, b, (a, b) == ("disease", "chemical")) for a in ("chemical", "disease") for b in ("chemical", "disease")], "relation string, subject_class string, object_class string, valid boolean")
+    return solver.solve_documents(docs.select(F.col("doc").cast("string").alias("pmid"), "entities", pairs.alias("pairs")), ids, valid)
+
+
 @query(f"""WITH RECURSIVE {LINES}, o(label, third) AS (VALUES ('chemical', true), ('disease', false)),
 x AS (SELECT l_orderkey AS doc, pos, label, CASE WHEN (l_returnflag = 'R') = (label = 'disease') THEN 0 ELSE 1 END AS t, l_discount * 5 + 0.3 AS score, l_partkey % 100 AS p, l_suppkey % 100 AS s, (l_partkey % 100 % 3 = 0) = third AS fits_p, (l_suppkey % 100 % 3 = 0) = third AS fits_s FROM lines CROSS JOIN o),
 c AS (SELECT doc, pos, label, t, CAST(CASE WHEN fits_p THEN p ELSE s END AS VARCHAR) AS concept, CASE WHEN fits_p THEN 0 ELSE 1 END AS changed,
@@ -248,20 +262,26 @@ n AS (SELECT l_orderkey AS doc, max(pos) AS pos FROM lines GROUP BY 1)
 SELECT CAST(doc AS VARCHAR) AS pmid, 'sat' AS status, score, CAST(overrides AS INTEGER) AS overrides, '[' || entities || ']' AS entities, '[' || pairs || ']' AS pairs FROM w JOIN n USING (doc, pos)
 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, path) = 1""")
 def q45_constraint_solver(spark: SparkSession, sf: str) -> DataFrame:
-    """Solve every order as a document: lines are entities with two types and two concepts, neighbours are pairs."""
-    chemical, disease = F.lit("chemical"), F.lit("disease")
-    score = F.col("l_discount") * 5 + 0.3
-    types = F.array(F.struct(F.when(F.col("l_returnflag") == "R", disease).otherwise(chemical).alias("label"), score.alias("score")), F.struct(F.when(F.col("l_returnflag") == "R", chemical).otherwise(disease).alias("label"), (F.lit(1.0) - score).alias("score")))
-    concepts = F.array(F.struct((F.col("l_partkey") % 100).cast("string").alias("id"), F.lit(0.6).alias("score")), F.struct((F.col("l_suppkey") % 100).cast("string").alias("id"), F.lit(0.4).alias("score")))
-    docs = line_arrays(spark, sf, types=types, concepts=concepts).withColumnRenamed("lines", "entities")
-    relations = F.array(F.struct(F.lit("causative-agent").alias("label"), F.lit(0.7).alias("score")), F.struct(F.lit("associated-with").alias("label"), F.lit(0.6).alias("score")))
-    pairs = F.when(F.size("entities") > 1, F.transform(F.sequence(F.lit(0), F.size("entities") - 2), lambda i: F.struct(i.alias("i"), (i + 1).alias("j"), relations.alias("relations")))).otherwise(F.array().cast("array<struct<i: int, j: int, relations: array<struct<label: string, score: double>>>>"))
-    ids = spark.range(100).select(F.when(F.col("id") % 3 == 0, chemical).otherwise(disease).alias("semantic_class"), F.col("id").cast("string").alias("concept"))
-    valid = spark.createDataFrame([("causative-agent", a, b, (a, b) == ("disease", "chemical")) for a in ("chemical", "disease") for b in ("chemical", "disease")], "relation string, subject_class string, object_class string, valid boolean")
-    solved = solver.solve_documents(docs.select(F.col("doc").cast("string").alias("pmid"), "entities", pairs.alias("pairs")), ids, valid)
+    """Solve every order as a document."""
+    solved = solved_orders(spark, sf, (("causative-agent", 0.7), ("associated-with", 0.6)))
     return solved.select("pmid", "status", "score", "overrides", F.to_json("entities").alias("entities"), F.to_json("pairs").alias("pairs"))
 
 
+@query(f"""WITH {LINES}, o(label, third) AS (VALUES ('chemical', true), ('disease', false)),
+x AS (SELECT l_orderkey AS doc, pos, label, CASE WHEN (l_returnflag = 'R') = (label = 'disease') THEN 0 ELSE 1 END AS t, l_discount * 5 + 0.3 AS score, l_partkey % 100 AS p, l_suppkey % 100 AS s, (l_partkey % 100 % 3 = 0) = third AS fits_p, (l_suppkey % 100 % 3 = 0) = third AS fits_s FROM lines CROSS JOIN o),
+c AS (SELECT doc, pos, label, t, CAST(CASE WHEN fits_p THEN p ELSE s END AS VARCHAR) AS concept, CASE WHEN fits_p THEN 0 ELSE 1 END AS changed,
+  CAST(round(CASE WHEN t = 0 THEN score ELSE 1.0 - score END * 1000) AS BIGINT) + CASE WHEN fits_p THEN 600 ELSE 400 END AS gain FROM x WHERE fits_p OR fits_s),
+n AS (SELECT l_orderkey AS doc, count(*) AS n FROM lines GROUP BY 1),
+one AS (SELECT c.doc, gain AS score, changed AS overrides, label || ':' || concept AS chosen FROM c JOIN n USING (doc) WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY gain DESC, t) = 1),
+two AS (SELECT a.doc, a.gain + b.gain + 700 AS score, a.changed + b.changed AS overrides, a.label || ':' || a.concept || ',' || b.label || ':' || b.concept AS chosen
+  FROM c a JOIN c b ON b.doc = a.doc AND b.pos = 1 AND b.label = 'chemical' JOIN n ON n.doc = a.doc WHERE n = 2 AND a.pos = 0 AND a.label = 'disease'),
+sat AS (SELECT * FROM one UNION ALL SELECT * FROM two),
+firsts AS (SELECT l_orderkey AS doc, string_agg(CASE l_returnflag WHEN 'R' THEN 'disease' ELSE 'chemical' END || ':' || CAST(l_partkey % 100 AS VARCHAR), ',' ORDER BY pos) AS chosen FROM lines GROUP BY 1)
+SELECT CAST(doc AS VARCHAR) AS pmid, CASE WHEN score IS NULL THEN 'fallback' ELSE 'sat' END AS status, score, CAST(coalesce(overrides, 0) AS INTEGER) AS overrides, coalesce(sat.chosen, firsts.chosen) AS chosen FROM firsts LEFT JOIN sat USING (doc)""")
+def q45b_no_solution(spark: SparkSession, sf: str) -> DataFrame:
+    """A relation that holds only from a disease to a chemical: orders of three lines have no solution and fall back to first candidates."""
+    solved = solved_orders(spark, sf, (("causative-agent", 0.7),))
+    return solved.select("pmid", "status", "score", "overrides", F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["concept"])), ",").alias("chosen"))
 GRAMS = "(((CAST(unicode(text[i]) AS BIGINT) * 1000003 + unicode(text[i + 1])) % 2147483647 * 1000003 + unicode(text[i + 2])) % 2147483647) % 32"
 
 
