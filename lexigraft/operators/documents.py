@@ -235,7 +235,7 @@ def synthesise(triples: DataFrame, terms: DataFrame, below: DataFrame, least_cau
     found = rows.filter(causative).count()
     if found < least_causative:
         raise ValueError(f"{found} causative triples in scope, fewer than {least_causative}")
-    index = F.row_number().over(Window.partitionBy("bucket").orderBy("ord", "source_id", "destination_id")) - 1
+    index = F.row_number().over(Window.partitionBy("bucket").orderBy("ord", "source_id", "destination_id", "type_id")) - 1
     # numbers run on from part to part: of a file's block, or of plain numbers, so many rows each
     part = "struct(ord.file, ord.block, shiftright(ord.row, 20))" if "struct" in dict(rows.dtypes)["ord"] else "shiftright(ord, 20)"
     buckets = rows.withColumn("bucket", F.expr(part))

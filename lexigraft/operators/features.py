@@ -75,16 +75,15 @@ def entity_pairs(entities: DataFrame, positives: DataFrame, ratio: float = C.NEG
     return kept.unionByName(negative)
 
 
-def synonyms(rows: DataFrame, least: int = 2) -> DataFrame:
-    """(concept_id, terms) of active description rows: distinct names without their suffix, of concepts that have several."""
-    terms = rows.filter("active = '1'").select("concept_id", strip_suffix(F.col("term")).alias("term")).filter("term <> ''")
-    return terms.groupBy("concept_id").agg(F.array_sort(F.collect_set("term")).alias("terms")).filter(F.size("terms") >= least)
+def synonym_counts(terms: DataFrame, least: int = 2) -> DataFrame:
+    """(concept_id, terms) of distinct terms (concept_id, term): how many each concept has, of those that have several."""
+    return terms.groupBy("concept_id").agg(F.count("*").alias("terms")).filter(F.col("terms") >= least)
 
 
-def pair_budget(groups: DataFrame, cap: int) -> DataFrame:
-    """One row: the pairs that an epoch draws, at most cap for a concept."""
-    n = F.size("terms").cast("long")
-    return groups.agg(F.coalesce(F.sum(F.least(n * (n - 1) / 2, F.lit(cap))), F.lit(0)).cast("long").alias("pairs"))
+def pair_budget(counts: DataFrame, cap: int) -> DataFrame:
+    """One row of synonym_counts() rows: the pairs that an epoch draws, at most cap for a concept."""
+    n = F.col("terms")
+    return counts.agg(F.coalesce(F.sum(F.least(n * (n - 1) / 2, F.lit(cap))), F.lit(0)).cast("long").alias("pairs"))
 
 
 def synonym_rows(rows: DataFrame) -> DataFrame:
@@ -141,13 +140,13 @@ def preferred_terms(rows: DataFrame, full_name: str = C.FULL_NAME, synonym: str
     return own.groupBy("concept_id").agg(F.coalesce(full, other).alias("term")).filter("term is not null")
 
 
-def term_pool(groups: DataFrame) -> DataFrame:
-    """(term, index): every distinct term once, numbered without gaps by the md5 of the terms, then by the terms.
+def term_pool(terms: DataFrame) -> DataFrame:
+    """(term, index) of terms (term): every distinct one once, numbered without gaps by the md5 of the terms, then by the terms.
 
     Terms are ranked within one of 4,096 ranges of md5; the ranges' starts are so many rows at most.
     """
     part = F.substring(F.md5("term"), 1, 3)
-    terms = groups.select(F.explode("terms").alias("term")).distinct().withColumn("_part", part)
+    terms = terms.select("term").distinct().withColumn("_part", part)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = terms.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy("term")) - 1

@@ -76,8 +76,11 @@ def bioc(spark: SparkSession, sf: str, silver: bool) -> DataFrame:
     relation = F.transform(following(F.col("words")), lambda p: F.struct(
         infons(type=F.lit("CID"), score=F.lit("0.5"), role1=p["a"]["code"], role2=p["b"]["code"]).alias("infon"), F.array(node("Subject", p["i"]), node("Object", p["i"] + 1)).alias("node"),
     ))
-    orders(spark, sf).select(F.col("key").alias("id"), passages.alias("passage"), relation.alias("relation")).write.format("xml").option("rootTag", "collection").option("rowTag", "document").save(path)
-    return described(annotated.read_bioc(spark, path, silver))
+    orders(spark, sf).select(F.col("key").alias("id"), passages.alias("passage"), relation.alias("relation")).write.format("xml").option("rootTag", "collection").option("rowTag", "document").save(f"{path}/whole")
+    if silver:  # a broken document for every tenth order
+        broken = F.concat(F.lit("<document><id>"), "key", F.lit("</id><passage><offset>none</offset></passage></document>"))
+        orders(spark, sf).filter(F.col("key").cast("long") % 10 == 0).select(broken.alias("value")).write.text(f"{path}/broken")
+    return described(annotated.read_bioc(spark, f"{path}/*", silver))
 
 
 BIOC = f"""{SPANS}, r AS (SELECT a.k, string_agg(a.code || '-' || b.code, ',' ORDER BY a.pos) AS relations FROM s a JOIN s b ON b.k = a.k AND b.pos = a.pos + 1 GROUP BY a.k)
@@ -92,5 +95,5 @@ def q72b_bioc_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(BIOC)
 def q72c_bioc_silver(spark: SparkSession, sf: str) -> DataFrame:
-    """The silver form: relations carry the codes themselves."""
+    """The silver form: relations carry the codes themselves, and broken documents are skipped."""
     return bioc(spark, sf, True)

@@ -147,7 +147,13 @@ def brand_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def brands(spark: SparkSession, sf: str) -> DataFrame:
-    return T.synonyms(brand_names(spark, sf))
+    return T.synonym_rows(brand_names(spark, sf))
+
+
+def several(spark: SparkSession, sf: str) -> DataFrame:
+    """The terms of brands that have several."""
+    rows = brands(spark, sf)
+    return rows.join(T.synonym_counts(rows).select("concept_id"), "concept_id", "left_semi")
 
 
 TERMS = "t AS (SELECT DISTINCT p_brand AS concept_id, p_name AS term FROM part), g AS (SELECT concept_id, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 2)"
@@ -158,7 +164,7 @@ p AS (SELECT x.concept_id, x.term AS a, y.term AS b, y.i * (y.i - 1) // 2 + x.i
 d AS (SELECT concept_id, CAST((CAST('0x' || substr(md5(concept_id || '|0'), 1, 8) AS BIGINT) + k * 2147483647) % (n * (n - 1) // 2) AS BIGINT) AS m FROM g CROSS JOIN range(50) s(k) WHERE k < n * (n - 1) // 2)
 SELECT concept_id, a, b FROM p JOIN d USING (concept_id, m)""")
 def q34_synonym_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return T.synonym_pairs(T.synonym_rows(brand_names(spark, sf)), 50)
+    return T.synonym_pairs(brands(spark, sf), 50)
 
 
 @query(f"""WITH {LINES}, e AS (SELECT DISTINCT l_orderkey AS doc, pos AS idx FROM lines),
@@ -175,13 +181,13 @@ def q34b_entity_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TERMS} SELECT concept_id, n AS terms, least(n * (n - 1) // 2, 50) AS budget FROM g")
 def q35_synonyms(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.size("terms").cast("long")
-    return brands(spark, sf).select("concept_id", n.alias("terms"), F.least(F.floor(n * (n - 1) / 2), F.lit(50).cast("long")).alias("budget"))
+    n = F.col("terms")
+    return T.synonym_counts(brands(spark, sf)).select("concept_id", n.alias("terms"), F.least(F.floor(n * (n - 1) / 2), F.lit(50).cast("long")).alias("budget"))
 
 
 @query(f"WITH {TERMS} SELECT CAST(sum(least(n * (n - 1) // 2, 50)) AS BIGINT) AS pairs FROM g")
 def q35b_pair_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return T.pair_budget(brands(spark, sf), 50)
+    return T.pair_budget(T.synonym_counts(brands(spark, sf)), 50)
 
 
 @query("""SELECT p_brand AS concept_id, coalesce(min_by(p_name, p_partkey) FILTER (p_size < 5), min_by(p_name, p_partkey) FILTER (p_size >= 5)) AS term FROM part GROUP BY 1""")

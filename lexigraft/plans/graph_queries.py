@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,32 +150,36 @@ ents AS (SELECT o_orderkey AS doc, o_orderstatus || ';' || CAST(o_custkey % 30 A
 """
 
 
-def views(spark: SparkSession, sf: str) -> None:
+def views(spark: SparkSession, sf: str) -> Callable[[str], str]:
+    """Register the staging views under names of this call's own; returns the name of a view by its plain one."""
+    own = uuid.uuid4().hex
+    name = lambda plain: f"{plain}_{own}"
     customer = table(spark, sf, "customer")
     customer.select(
         F.col("c_mktsegment").alias("cui"), F.when(F.col("c_nationkey") % 3 == 0, "FRE").otherwise("ENG").alias("lat"), F.when(F.col("c_custkey") % 2 == 0, "Y").otherwise("N").alias("ispref"),
         F.when(F.col("c_custkey") % 5 == 0, "P").otherwise("S").alias("ts"), F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("aui"), F.col("c_name").alias("str"), F.lit("SEG").alias("sab"), F.col("c_nationkey").cast("string").alias("code"),
-    ).createOrReplaceTempView("kg_atoms")
+    ).createOrReplaceTempView(name("kg_atoms"))
     nation = table(spark, sf, "nation")
-    customer.join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_mktsegment").alias("cui"), F.col("n_name").alias("sty")).distinct().createOrReplaceTempView("kg_types")
-    table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.split(F.concat("o_orderstatus", F.lit(";"), (F.col("o_custkey") % 30).cast("string")), ";").alias("ids")).createOrReplaceTempView("kg_entities")
+    customer.join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_mktsegment").alias("cui"), F.col("n_name").alias("sty")).distinct().createOrReplaceTempView(name("kg_types"))
+    table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.split(F.concat("o_orderstatus", F.lit(";"), (F.col("o_custkey") % 30).cast("string")), ";").alias("ids")).createOrReplaceTempView(name("kg_entities"))
+    return name
 
 
 @query(f"""WITH {VIEWS}, e AS (SELECT cui, str FROM atoms WHERE lat = 'ENG' QUALIFY row_number() OVER (PARTITION BY cui ORDER BY CASE WHEN ispref = 'Y' THEN 0 ELSE 1 END, CASE WHEN ts = 'P' THEN 0 ELSE 1 END, aui) = 1),
 a AS (SELECT cui, min(str) AS str FROM atoms GROUP BY cui), k AS (SELECT cui, string_agg(DISTINCT sty, '|' ORDER BY sty) AS semantic_type FROM kinds GROUP BY cui)
 SELECT a.cui, coalesce(e.str, a.str) AS preferred_name, semantic_type FROM a LEFT JOIN e ON a.cui = e.cui LEFT JOIN k ON a.cui = k.cui""")
 def q38_kg_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    views(spark, sf)
-    return kg.concepts(spark, "kg_atoms", "kg_types")
+    name = views(spark, sf)
+    return kg.concepts(spark, name("kg_atoms"), name("kg_types"))
 
 
 @query(f"""WITH {VIEWS}, ids AS (SELECT DISTINCT unnest(string_split(raw, ';')) AS id FROM ents), c AS (SELECT code, min(cui) AS cui FROM atoms GROUP BY code)
 SELECT 'orders' AS source_dataset, 'entities' AS source_table, id AS source_id, cui, 'identifier' AS xref_type FROM ids JOIN c ON id = code
 UNION SELECT DISTINCT 'segments', sab, code, cui, 'atom' FROM atoms""")
 def q39_kg_xrefs(spark: SparkSession, sf: str) -> DataFrame:
-    views(spark, sf)
-    own = kg.annotation_xrefs(spark, "kg_entities", "kg_atoms", "orders", ("SEG",))
-    return own.union(kg.vocabulary_xrefs(spark, "kg_atoms", "segments")).distinct()
+    name = views(spark, sf)
+    own = kg.annotation_xrefs(spark, name("kg_entities"), name("kg_atoms"), "orders", ("SEG",))
+    return own.union(kg.vocabulary_xrefs(spark, name("kg_atoms"), "segments")).distinct()
 
 
 @query(f"""WITH {VIEWS}, c AS (SELECT code, min(cui) AS cui FROM atoms GROUP BY code),
@@ -182,15 +189,15 @@ v AS (SELECT 'regions' AS source_dataset, CAST(NULL AS VARCHAR) AS source_doc_id
       FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
 SELECT source_dataset, relation_type, subject_cui, object_cui, count(*) AS n FROM (SELECT * FROM d UNION ALL SELECT * FROM v) GROUP BY ALL""")
 def q40_kg_relations(spark: SparkSession, sf: str) -> DataFrame:
-    views(spark, sf)
+    name = views(spark, sf)
     lines = table(spark, sf, "lineitem")
     number = lambda c, n: (F.col(c) % n).cast("string")
-    lines.select(number("l_orderkey", 50).alias("pmid"), F.col("l_returnflag").alias("relation_type"), number("l_suppkey", 30).alias("subject_id"), number("l_partkey", 30).alias("object_id"), F.lit(None).cast("string").alias("novelty"), F.lit(None).cast("string").alias("evidence")).createOrReplaceTempView("kg_lines")
-    spark.sql("SELECT 'lines' AS source_dataset, code AS source_id, cui FROM kg_atoms").createOrReplaceTempView("kg_line_xrefs")
+    lines.select(number("l_orderkey", 50).alias("pmid"), F.col("l_returnflag").alias("relation_type"), number("l_suppkey", 30).alias("subject_id"), number("l_partkey", 30).alias("object_id"), F.lit(None).cast("string").alias("novelty"), F.lit(None).cast("string").alias("evidence")).createOrReplaceTempView(name("kg_lines"))
+    spark.sql("SELECT 'lines' AS source_dataset, code AS source_id, cui FROM " + name("kg_atoms")).createOrReplaceTempView(name("kg_line_xrefs"))
     nation = table(spark, sf, "nation")
     other = nation.select(F.col("n_name").alias("cui2"), "n_regionkey")
-    nation.join(other, "n_regionkey").select(F.col("n_name").alias("cui1"), "cui2", F.lit("RO").alias("rel"), F.lit("").alias("rela")).createOrReplaceTempView("kg_rels")
-    own = kg.annotation_relations(spark, "kg_lines", "kg_line_xrefs", "lines").unionByName(kg.vocabulary_relations(spark, "kg_rels", "regions"))
+    nation.join(other, "n_regionkey").select(F.col("n_name").alias("cui1"), "cui2", F.lit("RO").alias("rel"), F.lit("").alias("rela")).createOrReplaceTempView(name("kg_rels"))
+    own = kg.annotation_relations(spark, name("kg_lines"), name("kg_line_xrefs"), "lines").unionByName(kg.vocabulary_relations(spark, name("kg_rels"), "regions"))
     kept = kg.insert_ignore(own, kg.RELATION_KEY)
     return kept.groupBy("source_dataset", "relation_type", "subject_cui", "object_cui").agg(F.count("*").alias("n"))
 

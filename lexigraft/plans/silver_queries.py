@@ -59,12 +59,8 @@ ANCHORS = dict(zip(("r0", "r1", "r2", "r3", "r4"), ("finding", "substance", "pro
 KINDS = ", ".join(f"('{r}', '{k}')" for r, k in ANCHORS.items())
 
 
-@query(WITH + f""", k(region, kind) AS (VALUES {KINDS}), b AS (SELECT DISTINCT start AS id, kind FROM up JOIN k ON reached = region),
-t AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS s, 'c' || CAST(o_custkey AS VARCHAR) AS c, CASE l_returnflag WHEN 'A' THEN 'causative-agent' WHEN 'N' THEN 'due-to' ELSE 'after' END AS label
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT label, CASE WHEN y.kind IN ('substance', 'product') THEN 'chemical' ELSE 'disease' END AS object_class, count(*) AS documents FROM t JOIN b x ON s = x.id AND x.kind = 'finding' JOIN b y ON c = y.id
-WHERE CASE WHEN label = 'causative-agent' THEN y.kind IN ('substance', 'product') ELSE y.kind IN ('finding', 'event', 'procedure') END GROUP BY ALL""")
-def q48_synthesis(spark: SparkSession, sf: str) -> DataFrame:
+def triples_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Triples of suppliers and customers that an order brings together, their terms, and what lies under the scope's anchors."""
     rows = edges(spark, sf)
     start = F.element_at(F.create_map(*(F.lit(x) for r, k in ANCHORS.items() for x in (r, C.SCOPE_ANCHORS[k]))), F.col("start"))
     below = H.closure(rows, members(spark, sf, REGIONS), up=False).select(start.alias("start"), "reached")
@@ -75,7 +71,16 @@ def q48_synthesis(spark: SparkSession, sf: str) -> DataFrame:
     )
     terms = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.concat("s_name", F.lit(" (supplier)")).alias("term"))
     terms = terms.union(table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.concat("c_name", F.lit(" (customer)"))))
-    docs = D.synthesise(triples, terms, below, least_causative=0)
+    return triples, terms, below
+
+
+@query(WITH + f""", k(region, kind) AS (VALUES {KINDS}), b AS (SELECT DISTINCT start AS id, kind FROM up JOIN k ON reached = region),
+t AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS s, 'c' || CAST(o_custkey AS VARCHAR) AS c, CASE l_returnflag WHEN 'A' THEN 'causative-agent' WHEN 'N' THEN 'due-to' ELSE 'after' END AS label
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT label, CASE WHEN y.kind IN ('substance', 'product') THEN 'chemical' ELSE 'disease' END AS object_class, count(*) AS documents FROM t JOIN b x ON s = x.id AND x.kind = 'finding' JOIN b y ON c = y.id
+WHERE CASE WHEN label = 'causative-agent' THEN y.kind IN ('substance', 'product') ELSE y.kind IN ('finding', 'event', 'procedure') END GROUP BY ALL""")
+def q48_synthesis(spark: SparkSession, sf: str) -> DataFrame:
+    docs = D.synthesise(*triples_of(spark, sf), least_causative=0)
     return docs.groupBy(F.element_at("relations", 1)["target_relation"].alias("label"), F.element_at("entities", 2)["semantic_class"].alias("object_class")).agg(F.count("*").alias("documents"))
 
 

@@ -15,7 +15,7 @@ from ..sources import annotated, vocabulary
 from ..sources import documents as files
 from .annotation_queries import ENTITIES, documents
 from .base import query, table
-from .document_queries import brands
+from .document_queries import several
 from .graph_queries import NEAR, REGIONS, WITH, edges, members, nearest
 
 
@@ -175,7 +175,7 @@ def q62c_anneal(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH t AS (SELECT DISTINCT p_name AS term FROM part) SELECT term, row_number() OVER (ORDER BY substr(md5(term), 1, 3), term) - 1 AS index FROM t")
 def q63_term_pool(spark: SparkSession, sf: str) -> DataFrame:
-    return features.term_pool(brands(spark, sf)).withColumn("index", F.col("index").cast("long"))
+    return features.term_pool(several(spark, sf)).withColumn("index", F.col("index").cast("long"))
 
 
 @query("""WITH b AS (SELECT p_partkey // 32 AS batch, p_partkey AS pos, p_brand AS concept_id, min(p_partkey) OVER (PARTITION BY p_partkey // 32, p_brand) AS f FROM part)

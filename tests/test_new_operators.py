@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lexigraft import sources as S
 from lexigraft.functions import constants as C
 from lexigraft.operators import documents as D
-from lexigraft.operators import elimination, fulltext, hierarchy, losses, lookup, soft, solver
-from lexigraft.sources import documents, vectors
+from lexigraft.operators import elimination, fulltext, hierarchy, losses, lookup, soft, solver, warehouse, windows
+from lexigraft.sources import documents, vectors, vocabulary
+from lexigraft.streaming import stamped_mentions
 
 
 def test_elimination_equals_enumeration():
@@ -233,3 +234,88 @@ def test_numbers_of_triples_read_from_files(spark):
     terms = spark.createDataFrame([(x, x) for x in ("S1", "D1", "D2", "D3")], "id string, term string")
     got = {r.pmid: r.text for r in D.synthesise(triples, terms, below, 0).collect()}
     assert {k[-1]: v.split()[-1] for k, v in got.items()} == {"0": "D2.", "1": "D3.", "2": "D1."}
+
+
+def test_database_reads(spark, tmp_path):
+    """A table of the database in Spark's jars, written and read in ranges of its key."""
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(100)], "id int, name string")
+    rows.write.format("jdbc").options(url=url, dbtable="names", **options).save()
+    ranged = vocabulary.read_jdbc(spark, url, "names", "id", 4, **options)
+    assert ranged.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, ranged.collect())) == [(i, f"n{i}") for i in range(100)]
+    assert vocabulary.read_jdbc(spark, url, "(SELECT * FROM names WHERE \"id\" < 0) t", "id", **options).count() == 0
+    assert warehouse.load(ranged, NAMES, f"{tmp_path}/names") == 100
+
+
+NAMES = warehouse.Table("id int, name string", ("id",), ("name",), {"name": tuple(f"n{i}" for i in range(100))})
+
+
+def test_keyed_loads(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *data: spark.createDataFrame(list(data), "id int, name string, turn int")
+    assert warehouse.read(spark, NAMES, path).count() == 0
+    assert warehouse.load(rows((1, "n1", 1), (1, "n2", 0), (None, "n3", 0), (None, "n3", 0)), NAMES, path, order="turn") == 3
+    assert sorted(map(str, map(tuple, warehouse.read(spark, NAMES, path).collect()))) == ["(1, 'n2')", "(None, 'n3')", "(None, 'n3')"]
+    assert warehouse.load(rows((1, "n9", 0), (2, "n2", 0)), NAMES, path) == 1
+    assert warehouse.load(rows((1, "n5", 0), (1, "n6", 5)), NAMES, path, replace=True, order="turn") == 0
+    assert sorted(tuple(r) for r in warehouse.read(spark, NAMES, path).filter("id is not null").collect()) == [(1, "n6"), (2, "n2")]
+    with pytest.raises(ValueError, match="name is null: 1 rows"):
+        warehouse.load(rows((5, None, 0)), NAMES, path)
+    with pytest.raises(ValueError, match="not in"):
+        warehouse.load(rows((5, "other", 0)), NAMES, path)
+    assert warehouse.load(rows(), NAMES, path) == 0
+    warehouse.reset(spark, NAMES, path)
+    assert warehouse.read(spark, NAMES, path).count() == 0
+    assert warehouse.load(rows((7, "n7", 0)), NAMES, path) == 1 and warehouse.read(spark, NAMES, path).count() == 1
+
+
+def test_layouts(spark):
+    assert len(warehouse.TABLES) == 21
+    for table in warehouse.TABLES.values():
+        empty = spark.createDataFrame([], table.columns)
+        assert {*table.key, *table.required, *table.allowed} <= set(empty.columns) == set(table.names)
+
+
+def test_word_pieces(spark):
+    """The longest piece first at every place, against a search over all prefixes."""
+    rnd = random.Random(2)
+    vocabulary = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4))) for _ in range(6)} | {"##" + "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 3))) for _ in range(7)})
+    words = ["".join(rnd.choice("abc" if rnd.random() < 0.1 else "ab") for _ in range(rnd.randint(0, 9))) for _ in range(80)] + ["a" * 500]
+
+    def greedy(word):
+        out, at = [], 0
+        while at < len(word):
+            for end in range(len(word), at, -1):
+                if ("##" if at else "") + word[at:end] in vocabulary:
+                    break
+            else:
+                return [(windows.UNKNOWN, 0, len(word))]
+            out.append((("##" if at else "") + word[at:end], at, end))
+            at = end
+        return out
+
+    rows = spark.createDataFrame([(i % 3, i, 1000 * i, w) for i, w in enumerate(words)], "doc int, word int, start int, text string")
+    got = {}
+    for r in windows.word_pieces(rows, spark.createDataFrame([(p,) for p in vocabulary], "piece string")).orderBy("word", "start").collect():
+        got.setdefault(r.word, []).append((r.piece, r.start - 1000 * r.word, r.end - 1000 * r.word))
+    assert got == {i: greedy(w) for i, w in enumerate(words) if w}
+
+
+def test_windows_cover_documents(spark):
+    rows = spark.createDataFrame([(d, i, i + 1, f"p{i}") for d, n in enumerate((1, 5, 6, 10, 23)) for i in range(n)], "doc int, start long, end long, piece string")
+    found = windows.windows(windows.numbered(rows, 4), 5, 2).orderBy("doc", "window").collect()
+    for d, n in enumerate((1, 5, 6, 10, 23)):
+        own = [list(r.starts) for r in found if r.doc == d]
+        assert own == [list(range(lo, min(lo + 5, n))) for lo in range(0, max(n - 2, 1), 3)]
+
+
+def test_mentions_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"t": "2024-01-01T00:00:01", "doc": 1, "pos": 0, "code": "D1"}\n' * 2 + '{"t": "2024-01-01T00:00:02", "doc": 1, "pos": 1, "code": "D9"}\n')
+    mapped = spark.createDataFrame([("D1", "100")], "code string, target_id string")
+    stream = spark.readStream.schema("t timestamp, doc long, pos long, code string").json(str(tmp_path / "in"))
+    q = stamped_mentions(stream, mapped, "t", "1 minute").writeStream.format("memory").queryName("stamped").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.pos, r.target_id) for r in spark.sql("SELECT * FROM stamped").collect()) == [(0, "100"), (1, None)]
