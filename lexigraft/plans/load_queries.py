@@ -60,7 +60,7 @@ def q73b_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {PIECES}, b AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS text FROM benchmark)
-SELECT doc, word, start AS "from", CAST(start + length(text) AS BIGINT) AS "to" FROM s JOIN b USING (text) WHERE length(text) >= 10""")
+SELECT doc, word, CAST(start AS BIGINT) AS "from", CAST(start + length(text) AS BIGINT) AS "to" FROM s JOIN b USING (text) WHERE length(text) >= 10""")
 def q73c_spans_of_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the benchmark in whole documents come back from the windows that hold them."""
     found = windows.windows(pieces(spark, sf), SIZE, OVERLAP)
