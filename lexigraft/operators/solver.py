@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from . import elimination
 from .elimination import IMPOSSIBLE
+from .hierarchy import settled
 from .lookup import attach
 
 INPUT = (
@@ -32,6 +33,8 @@ INPUT = (
 OUTPUT = "pmid string, status string, score bigint, overrides int, elapsed_ms double, entities array<struct<type: string, concept: string>>, pairs array<struct<i: int, j: int, relation: string>>"
 #: Branches of one document before it falls back to each list's first candidate.
 BRANCHES = 200_000
+#: Concepts whose classes are sent to every task at most; more are joined to the documents.
+SENT = 1 << 18
 
 
 def scaled(score: float) -> int:
@@ -163,8 +166,16 @@ def best_of(rows: np.ndarray, n: int, scores: np.ndarray, index: np.ndarray, all
     return score, chosen
 
 
-def solve_batch(batch: pa.RecordBatch, anchored: set[str], good: set[tuple[str, str, str]], checked: set[str], branches: int) -> pa.RecordBatch:
-    """The OUTPUT rows of a batch (pmid, entities, pairs, fits)."""
+def listed_classes(fits: pa.Array) -> dict[str, list[str]]:
+    """The classes of each concept in lists of entries (key, value)."""
+    found = fits.flatten()
+    own = pc.struct_field(found, "key").dictionary_encode()
+    first = np.unique(own.indices.to_numpy(), return_index=True)[1]
+    return dict(zip(own.dictionary.to_pylist(), pc.struct_field(found, "value").take(pa.array(first)).to_pylist(), strict=True))
+
+
+def solve_batch(batch: pa.RecordBatch, classes_of: dict[str, list[str]], anchored: set[str], good: set[tuple[str, str, str]], checked: set[str], branches: int) -> pa.RecordBatch:
+    """The OUTPUT rows of a batch (pmid, entities, pairs); classes_of: the classes that a concept fits, by concept."""
     began = time.perf_counter()
     docs = batch.num_rows
     n_entities, entities = parted(batch.column(1))
@@ -182,13 +193,10 @@ def solve_batch(batch: pa.RecordBatch, anchored: set[str], good: set[tuple[str,
     under = np.zeros((len(names), len(concept_names) + 1), bool)
     under[[i for i, x in enumerate(names) if x not in anchored]] = True
     label_of, concept_of = {x: i for i, x in enumerate(names)}, {x: i for i, x in enumerate(concept_names)}
-    found = batch.column(3).flatten()
-    own = pc.struct_field(found, "key").dictionary_encode()
-    first = np.unique(own.indices.to_numpy(), return_index=True)[1]
-    for concept, classes in zip(own.dictionary.to_pylist(), pc.struct_field(found, "value").take(pa.array(first)).to_pylist(), strict=True):
-        for c in classes:
-            if c in label_of and concept in concept_of:
-                under[label_of[c], concept_of[concept]] = True
+    for concept, place in concept_of.items():
+        for c in classes_of.get(concept, ()):
+            if c in label_of:
+                under[label_of[c], place] = True
     right = np.zeros((len(kind_names), len(names), len(names)), bool)
     for k, kind in enumerate(kind_names):
         if kind not in checked:
@@ -249,8 +257,8 @@ def solve_batch(batch: pa.RecordBatch, anchored: set[str], good: set[tuple[str,
             chosen[rows] = np.where((score > IMPOSSIBLE // 2)[:, None], picked, 0)
             continue
         for d in group:  # too many ties for tables
-            fits = {(c, f["key"]) for f in batch.column(3)[d].as_py() for c in f["value"]}
             listed = lambda x: x or []
+            fits = {(t, c["id"]) for e in batch.column(1)[d].as_py() for c in listed(e["concepts"]) for t in classes_of.get(c["id"], ())}
             found = solve([{"types": listed(e["types"]), "concepts": listed(e["concepts"])} for e in batch.column(1)[d].as_py()], [{**p, "relations": listed(p["relations"])} for p in batch.column(2)[d].as_py()], fits, anchored, good, checked, branches)
             if found:
                 status[d], total[d] = True, found["score"]
@@ -288,18 +296,22 @@ def solve_documents(docs: DataFrame, compatible: DataFrame, valid: DataFrame, br
     """
     ids = F.flatten(F.transform("entities", lambda e: F.coalesce(F.transform(e["concepts"], lambda c: c["id"]), F.array().cast("array<string>"))))
     own = docs.select(F.explode(ids).alias("concept")).distinct()
-    classes = compatible.join(own, "concept", "left_semi").groupBy(F.col("concept").alias("key")).agg(F.collect_set("semantic_class").alias("value"))
-    rows = attach(docs.select("pmid", "entities", "pairs"), ids, classes, "fits")
+    classes = settled(compatible.join(own, "concept", "left_semi").groupBy(F.col("concept").alias("key")).agg(F.collect_set("semantic_class").alias("value")))
     anchored = {r[0] for r in compatible.select("semantic_class").distinct().collect()}
     table = [(r.relation, r.subject_class, r.object_class, r.valid) for r in valid.collect()]
     good, checked = {t[:3] for t in table if t[3]}, {t[0] for t in table} | set(C.TIER1_ATTRIBUTES)
 
+    rows = docs.select("pmid", "entities", "pairs")
+    few = classes.count() <= SENT
+    sent = docs.sparkSession.sparkContext.broadcast({r.key: r.value for r in classes.collect()} if few else None)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield solve_batch(batch, anchored, good, checked, branches)
+                known = listed_classes(batch.column(3)) if sent.value is None else sent.value
+                yield solve_batch(batch, known, anchored, good, checked, branches)
 
-    return rows.select("pmid", "entities", "pairs", "fits").mapInArrow(each, OUTPUT)
+    return (rows if few else attach(rows, ids, classes, "fits")).mapInArrow(each, OUTPUT)
 
 
 def top_candidates(scores: DataFrame, k_types: int = C.TOP_TYPES, k_concepts: int = C.TOP_CONCEPTS) -> DataFrame:

@@ -62,7 +62,9 @@ def random_documents(seed, n):
     return out
 
 
-def test_solver_by_arrays_equals_the_search(spark):
+@pytest.mark.parametrize("sent", [0, 1 << 18])
+def test_solver_by_arrays_equals_the_search(spark, monkeypatch, sent):
+    monkeypatch.setattr(solver, "SENT", sent)
     docs = random_documents(7, 150)
     compatible = [("A", "p"), ("A", "q"), ("B", "q")]
     valid = [("R", "A", "B", True), ("R", "B", "A", False), ("R", "A", "A", False)]
