@@ -124,6 +124,19 @@ def memberships(edge_rows: DataFrame, root: str = C.ROOT) -> DataFrame:
     return out.withColumn("semantic_type", F.array_min("tops"))
 
 
+def is_descendant(pairs: DataFrame, above: DataFrame) -> DataFrame:
+    """Pairs (id, of) with below: whether id lies under `of`, by closure rows above (start, reached); nothing lies under itself."""
+    hits = above.select(F.col("start").alias("id"), F.col("reached").alias("of")).distinct().withColumn("_hit", F.lit(True))
+    return pairs.join(hits, ["id", "of"], "left").select("id", "of", F.coalesce("_hit", F.lit(False)).alias("below"))
+
+
+def describe(ids: DataFrame, depth_rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """(id, depth, tops) of each id asked for; one that the graph doesn't hold has no depth and no tops."""
+    kind = tops.schema["tops"].dataType.simpleString()
+    found = ids.select("id").distinct().join(depth_rows, "id", "left").join(tops.select("id", "tops"), "id", "left")
+    return found.select("id", "depth", F.coalesce("tops", F.array().cast(kind)).alias("tops"))
+
+
 def descendant_counts(edge_rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """(id, descendants) of each anchor; one that has none counts 0."""
     below = closure(edge_rows, anchors, up=False).groupBy(F.col("start").alias("id")).agg(F.count("*").alias("descendants"))

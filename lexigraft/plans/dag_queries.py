@@ -6,10 +6,13 @@ the root, and numbers only fall on the way up. Backward edges of some parts make
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy as H
+from ..sources.documents import cached_tables
 from .base import query, table
 
 DAG = "dag AS (SELECT l_partkey AS child, l_partkey // (2 + l_suppkey % 3) AS parent, min(l_suppkey) AS ord FROM lineitem WHERE l_partkey > 0 GROUP BY ALL)"
@@ -89,3 +92,31 @@ def q68g_dag_neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
     """The neighbourhood of every part: parents, grandparents, children, grandchildren and siblings, the first 30."""
     rows = H.settled(dag(spark, sf))
     return H.neighbourhood(rows, parts(rows)).select("start", "id", "hops", F.col("rank").cast("int").alias("rank"))
+
+
+@query(WITH + """, p AS (SELECT DISTINCT l_partkey AS id, l_suppkey % 40 AS "of" FROM lineitem), u AS (SELECT DISTINCT start, reached FROM up)
+SELECT id, "of", reached IS NOT NULL AS below FROM p LEFT JOIN u ON start = id AND reached = "of\"""")
+def q68h_dag_below(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each line's part lies under a small number."""
+    rows = H.settled(dag(spark, sf))
+    pairs = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_suppkey") % 40).alias("of")).distinct()
+    return H.is_descendant(pairs, H.closure(rows, parts(rows)))
+
+
+@query(WITH + """, tops AS (SELECT child AS top FROM dag WHERE parent = 0), a AS (SELECT p_partkey AS id FROM part UNION SELECT p_partkey + 1000000000 FROM part WHERE p_size = 1),
+d AS (SELECT start AS id, min(hops) AS depth FROM up WHERE reached = 0 GROUP BY 1 UNION ALL SELECT 0, 0),
+m AS (SELECT start AS id, reached AS top FROM up WHERE reached IN (SELECT top FROM tops) UNION SELECT top, top FROM tops), t AS (SELECT id, string_agg(CAST(top AS VARCHAR), ',' ORDER BY top) AS tops FROM m GROUP BY id)
+SELECT id, CAST(depth AS INTEGER) AS depth, coalesce(tops, '') AS tops FROM a LEFT JOIN d USING (id) LEFT JOIN t USING (id)""")
+def q68i_dag_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Depth and tops of the parts asked for, of which some aren't in the graph; both tables come from a cache by its input's files."""
+    asked = table(spark, sf, "part").select(F.col("p_partkey").alias("id")).union(table(spark, sf, "part").filter("p_size = 1").select(F.col("p_partkey") + 1000000000))
+    path, inputs = f"{H.shared_folder(spark)}/hierarchy-{uuid.uuid4().hex}", [f"{sf}/lineitem.parquet"]
+
+    def build() -> dict[str, DataFrame]:
+        rows = H.settled(dag(spark, sf))
+        return {"depths": H.depths(rows, 0), "tops": H.memberships(rows, 0)}
+
+    cached_tables(spark, path, inputs, build, ("depths", "tops"))
+    found = cached_tables(spark, path, inputs, dict, ("depths", "tops"))  # read, not built
+    out = H.describe(asked, found["depths"], found["tops"])
+    return out.select("id", "depth", F.array_join(F.transform("tops", lambda t: t.cast("string")), ",").alias("tops"))

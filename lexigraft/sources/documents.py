@@ -93,6 +93,22 @@ def cached(spark: SparkSession, path: str, inputs: list[str], build: Callable[[]
     return spark.read.parquet(where)
 
 
+def cached_tables(spark: SparkSession, path: str, inputs: list[str], build: Callable[[], dict[str, DataFrame]], names: tuple[str, ...], version: int = 1) -> dict[str, DataFrame]:
+    """Tables that belong together, at path/<signature>/<name>: read if all of them are whole, else all built anew.
+
+    A mark is written after the last table, so tables of a build that was broken off are never read.
+    """
+    where = f"{path.rstrip('/')}/v{version}-{signature(spark, inputs)}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = jvm.org.apache.hadoop.fs.Path(f"{where}/_whole")
+    store = done.getFileSystem(conf)
+    if not store.exists(done):
+        for name, df in build().items():
+            df.write.mode("overwrite").parquet(f"{where}/{name}")
+        store.create(done).close()
+    return {name: spark.read.parquet(f"{where}/{name}") for name in names}
+
+
 def first_match(spark: SparkSession, patterns: list[str]) -> str | None:
     """The first file, in order of the patterns and then of names, that exists."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -321,3 +321,38 @@ def test_mentions_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.pos, r.target_id) for r in spark.sql("SELECT * FROM stamped").collect()) == [(0, "100"), (1, None)]
+
+
+def test_lookups_of_a_hierarchy(spark):
+    edges = spark.createDataFrame([("a", "t", 0), ("a", "u", 1), ("t", "root", 2), ("u", "root", 3)], "child string, parent string, ord long")
+    above = hierarchy.closure(edges, spark.createDataFrame([("a",), ("t",)], "id string"))
+    pairs = spark.createDataFrame([("a", "root"), ("a", "a"), ("t", "u"), ("x", "root"), (None, "root")], "id string, of string")
+    assert sorted((str(r.id), r.below) for r in hierarchy.is_descendant(pairs, above).collect()) == [("None", False), ("a", False), ("a", True), ("t", False), ("x", False)]
+    found = hierarchy.describe(spark.createDataFrame([("a",), ("x",), ("root",)], "id string"), hierarchy.depths(edges, "root"), hierarchy.memberships(edges, "root"))
+    assert {r.id: (r.depth, r.tops) for r in found.collect()} == {"a": (2, ["t", "u"]), "x": (None, []), "root": (0, [])}
+
+
+def test_cached_tables(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("a\n")
+    built = []
+
+    def build():
+        built.append(1)
+        return {"x": spark.range(len(built)), "y": spark.range(7)}
+
+    ask = lambda: documents.cached_tables(spark, str(tmp_path / "c"), [str(tmp_path / "in.txt")], build, ("x", "y"))
+    assert [ask()["x"].count() for _ in range(2)] == [1, 1] and ask()["y"].count() == 7
+    (tmp_path / "in.txt").write_text("bb\n")
+    assert ask()["x"].count() == 2 and len(built) == 2
+
+
+def test_cut_off_cache_is_built_anew(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("a\n")
+
+    def broken():
+        raise RuntimeError("stopped")
+
+    ask = lambda build: documents.cached_tables(spark, str(tmp_path / "c"), [str(tmp_path / "in.txt")], build, ("x",))
+    with pytest.raises(RuntimeError, match="stopped"):
+        ask(broken)
+    assert ask(lambda: {"x": spark.range(3)})["x"].count() == 3
