@@ -691,7 +691,7 @@ def test_stages_bear_odd_rows(spark):
 
 def test_fold(spark):
     rows = spark.createDataFrame([(i,) for i in (0, 17, -3, None)], "doc_id long").select("doc_id", queries.fold(3).alias("f")).collect()
-    assert len(queries.QUERIES) == 10 and [r.f for r in rows] == [zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 3 for r in rows]
+    assert len(queries.QUERIES) == 13 and [r.f for r in rows] == [zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 3 for r in rows]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -699,7 +699,7 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLE_SQL[name])
     columns = sorted(df.columns)
