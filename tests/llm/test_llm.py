@@ -292,14 +292,37 @@ def test_texts_do_not_see_each_other():
         buffer, begins = context_mixing.padded(data[o[0] : o[-1]], np.array(o) - o[0])
         rows, starts, ends = context_mixing.segments(buffer, begins, np.diff(o) + 1)
         assert np.bincount(rows, ends - starts + 1, len(begins)).tolist() == (np.diff(o) + 1).tolist()
-        first, kind, often = context_mixing.alike(buffer, starts, ends)
-        assert often.sum() == len(starts)
-        return np.bincount(rows, mixer.bits(buffer, starts[first], ends[first])[1][kind], len(begins))
+        return np.bincount(rows, mixer.bits(buffer, starts, ends)[1], len(begins))
 
     both = score([0, 1500, 1500, 4000])
     assert np.allclose(both, [score([0, 1500])[0], score([1500, 1500])[0], score([1500, 4000])[0]], rtol=1e-5)
 
 
+def test_every_byte_is_coded_once_with_its_whole_contexts():
+    """Pieces that are computed once for all alike give each byte the rows that the uncut texts give it."""
+    rng = np.random.default_rng(9)
+    data = rng.choice(np.frombuffer(b"abAB,.  \n\xc3\xa9", np.uint8), 6000)
+    offsets = np.array([0, 0, 1, 2500, 2500, 6000])
+    buffer, begins = context_mixing.padded(data, offsets)
+    _, starts, ends = context_mixing.segments(buffer, begins, np.diff(offsets) + 1)
+    whole = np.stack(context_mixing.contexts(buffer))
+    got = np.full(whole.shape, -1, np.int64)
+    for part in context_mixing.parts(buffer, starts, ends):
+        assert part.often.sum() == len(part.segments) and len(part.often) < len(part.segments)
+        pieces = {}
+        for lo, _, symbols, rows, owners in part.groups():
+            for piece in np.unique(owners):
+                pieces[lo + piece] = symbols[owners == piece], np.stack(rows)[:, owners == piece]
+        first = context_mixing.HEAD if (ends - starts)[part.segments].min() >= context_mixing.HEAD else 0
+        for segment, kind in zip(part.segments, part.kind, strict=True):
+            symbols, rows = pieces[kind]
+            at = starts[segment] + first + np.arange(len(symbols))
+            assert (got[:, at] == -1).all() and (buffer[at] == symbols).all()
+            got[:, at] = rows
+    coded = np.concatenate([np.arange(a, b + 1) for a, b in zip(starts, ends, strict=True)])
+    assert (got[:, coded] == whole[:, coded]).all() and len(coded) == len(data) + len(offsets) - 1
+
+
 def test_words_before_and_their_case():
     data, offsets = np.frombuffer(b"The the A ab AB aB theThe x", np.uint8), np.array([0, 22, 27])
     rows, starts, ends, hashes = words.words(data, offsets, lower=True)
