@@ -273,8 +273,8 @@ def test_byte_probabilities_sum_to_one():
     rng = np.random.default_rng(7)
     code = context_mixing.Code.of(rng.integers(0, 1000, 256))
     assert math.isclose(sum(2.0 ** -int(n) for n in code.length), 1.0)
-    table = rng.integers(-40, 40, int(context_mixing._OFFSETS[-1]) << 8).astype(np.int8)
-    mixer = context_mixing.Mixer(table, code, np.full((len(context_mixing.TABLES), context_mixing.GATES), 0.3, np.float32))
+    table = rng.integers(-40, 40, int(context_mixing.offsets_of(context_mixing.TABLES)[-1]) << 8).astype(np.int8)
+    mixer = context_mixing.Mixer(table, code, context_mixing.TABLES, np.full((len(context_mixing.TABLES), context_mixing.GATES), 0.3, np.float32))
     rows = [np.full(256, r) for r in (5, 9, 11, 17)]
     length, bit, steps, gate = mixer.inputs(np.arange(256), rows)
     owner = np.repeat(np.arange(256), length)
@@ -285,8 +285,8 @@ def test_byte_probabilities_sum_to_one():
 def test_texts_do_not_see_each_other():
     rng = np.random.default_rng(8)
     data = rng.choice(np.frombuffer(b"abcdefghij \n", np.uint8), 4000)
-    table = rng.integers(-40, 40, int(context_mixing._OFFSETS[-1]) << 8).astype(np.int8)
-    mixer = context_mixing.Mixer(table, context_mixing.Code.of(np.ones(256, int)), np.full((len(context_mixing.TABLES), context_mixing.GATES), 0.3, np.float32))
+    table = rng.integers(-40, 40, int(context_mixing.offsets_of(context_mixing.TABLES)[-1]) << 8).astype(np.int8)
+    mixer = context_mixing.Mixer(table, context_mixing.Code.of(np.ones(256, int)), context_mixing.TABLES, np.full((len(context_mixing.TABLES), context_mixing.GATES), 0.3, np.float32))
 
     def score(o):
         buffer, begins = context_mixing.padded(data[o[0] : o[-1]], np.array(o) - o[0])
@@ -323,6 +323,19 @@ def test_every_byte_is_coded_once_with_its_whole_contexts():
     assert (got[:, coded] == whole[:, coded]).all() and len(coded) == len(data) + len(offsets) - 1
 
 
+def test_tables_grow_with_the_training_text(spark, monkeypatch):
+    """Larger tables keep every base figure, and held-out texts cost no more bits."""
+    small, double = context_mixing.TABLES, context_mixing.DOUBLE
+    assert [context_mixing.sized(n)[2] // small[2] for n in (0, double - 1, double, 4 * double - 1, 4 * double, 10**13)] == [1, 1, 2, 2, 4, 4]
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    one = {r.doc_id: r for r in context_mixing.score(docs).collect()}
+    monkeypatch.setattr(context_mixing, "DOUBLE", 1)
+    two = {r.doc_id: r for r in context_mixing.score(docs).collect()}
+    assert all(math.isclose(one[i].base_score, r.base_score, rel_tol=1e-9) and one[i].n_known == r.n_known for i, r in two.items()) and len(one) == len(two)
+    bits = lambda rows: -sum(r.score for r in rows.values() if r.held_out)
+    assert 0.9 * bits(one) < bits(two) < bits(one)
+
+
 def test_words_before_and_their_case():
     data, offsets = np.frombuffer(b"The the A ab AB aB theThe x", np.uint8), np.array([0, 22, 27])
     rows, starts, ends, hashes = words.words(data, offsets, lower=True)
