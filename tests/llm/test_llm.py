@@ -336,6 +336,16 @@ def test_tables_grow_with_the_training_text(spark, monkeypatch):
     assert 0.9 * bits(one) < bits(two) < bits(one)
 
 
+def test_tables_that_teach_nothing_or_only_weights(spark):
+    """No rows, held-out rows alone, and rows of the fit's fold alone."""
+    fold = lambda k: [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == k][:3]
+    assert context_mixing.score(docs_of(spark, [])).collect() == []
+    alone = context_mixing.score(docs_of(spark, list(zip(fold(0), [None, "", "a b"], strict=True)))).collect()
+    assert all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and -100 < r.score < 0 for r in alone) and len(alone) == 3
+    fitted = context_mixing.score(docs_of(spark, [(i, "the cat sat") for i in fold(1)])).collect()
+    assert all(r.train_tokens == 12 and r.n_known == 4 and -10 < r.score < 0 for r in fitted) and len(fitted) == 3
+
+
 def test_words_before_and_their_case():
     data, offsets = np.frombuffer(b"The the A ab AB aB theThe x", np.uint8), np.array([0, 22, 27])
     rows, starts, ends, hashes = words.words(data, offsets, lower=True)
