@@ -17,6 +17,12 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.filter("_rank = 1").drop("_rank")
 
 
+def best_of(df: DataFrame, keys: list[str], order: list[Column], values: list[str]) -> DataFrame:
+    """The values of each key's least row by an ascending order; tasks keep one row of a key before the shuffle."""
+    least = F.min_by(F.struct(*values), F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order))))
+    return df.groupBy(*keys).agg(least.alias("_least")).select(*keys, *(F.col(f"_least.{v}").alias(v) for v in values))
+
+
 def term_rank(tty: Column, ranks: Mapping[str, int] = C.TERM_RANK) -> Column:
     out = F
     for name, rank in ranks.items():
