@@ -83,17 +83,21 @@ def type_candidates(cuis: DataFrame, types: DataFrame, roots: DataFrame) -> Data
 
 def best_candidates(candidates: DataFrame) -> DataFrame:
     """One candidate for each code: the lowest tier, then confidence, term rank, shorter term and smaller id."""
-    order = [F.col("tier"), F.desc("confidence"), term_rank(F.col("tty")), F.length("term"), F.col("target_id")]
-    return first_by(candidates, ["code"], order)
+    order = [F.col("tier"), -F.col("confidence"), term_rank(F.col("tty")), F.length("term"), F.col("target_id"), F.col("method"), F.col("term")]
+    return best_of(candidates, ["code"], order, [c for c in candidates.columns if c != "code"]).select(*candidates.columns)
 
 
 def map_codes(codes: DataFrame, atoms: DataFrame, rels: DataFrame, types: DataFrame, curated: DataFrame, roots: DataFrame, source: str, target: str) -> DataFrame:
-    """The best target of every code that has one: four bulk joins, one union and one window."""
+    """The best target of every code that has one: four bulk joins, one union and one aggregate.
+
+    All codes of a cui have the same hops, so a cui's best one is found first and joined to them.
+    """
     cuis, targets = code_cuis(codes, atoms, source), target_atoms(atoms, target)
+    hops = best_candidates(hop_candidates(cuis.select("cui", F.col("cui").alias("code")).distinct(), rels, targets).select(*CANDIDATE))
     tiers = [
         curated_candidates(codes, curated, atoms, target),
         shared_candidates(cuis, targets),
-        hop_candidates(cuis, rels, targets),
+        cuis.select("code", "cui").join(hops.withColumnRenamed("code", "cui"), "cui"),
         type_candidates(cuis, types, roots),
     ]
     out = tiers[0].select(*CANDIDATE)

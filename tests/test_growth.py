@@ -51,3 +51,11 @@ def test_targets_of_a_nation_are_not_paired_with_all_its_codes(spark, tmp_path):
     part = "SELECT p_partkey + 1000 * i AS p_partkey, p_name, p_brand, p_type, CAST(i % 3 AS INTEGER) AS p_size, p_retailprice FROM part, range(10) r(i)"
     con = tables(tmp_path, supplier=supplier, part=part)
     assert checked(spark, tmp_path, con, "q01_tiered_best_map") < 20_000
+
+
+def test_hops_are_found_once_a_cui(spark, tmp_path):
+    part = "SELECT p_partkey + 997 * i AS p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part, range(60) r(i)"
+    supplier = "SELECT s_suppkey + 10 * i AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier, range(40) r(i)"
+    lines = "SELECT * REPLACE (l_partkey % 4 AS l_partkey, l_suppkey + 10 * (l_orderkey % 40) AS l_suppkey) FROM lineitem"
+    con = tables(tmp_path, part=part, supplier=supplier, lineitem=lines)
+    assert checked(spark, tmp_path, con, "q55_map_codes") < 70_000
