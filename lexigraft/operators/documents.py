@@ -47,7 +47,8 @@ def assemble(raw: DataFrame, scope: DataFrame, corpus: str, split: str) -> DataF
             F.struct(F.nullif(e["extra"], F.lit("")).alias("source_extra"), F.lit(None).cast("boolean").alias("silver"), none.alias("source")).alias("extra"),
         )
 
-    codes = F.transform("_entities", code)
+    docs = docs.withColumn("_codes", F.transform("_entities", code))  # a column, or each end of each relation makes it anew
+    codes = F.col("_codes")
 
     def relation(r: Column) -> Column:
         return F.struct(
@@ -126,12 +127,17 @@ def stamp_relations(docs: DataFrame, table: DataFrame, lookup_corpus: str | None
     entries = best.select(F.struct(key(F.col("corpus"), F.col("source_relation_type"), F.col("subject_class"), F.col("object_class")), F.struct("best", "candidates")).alias("entry"))
     lookup = entries.agg(F.map_from_entries(F.collect_list("entry")).alias("_table"))
     joined = docs.crossJoin(F.broadcast(lookup))  # one row
-    classes = F.transform("entities", lambda e: F.coalesce(e["semantic_class"], F.lit("")))
+    joined = joined.withColumn("_classes", F.transform("entities", lambda e: F.coalesce(e["semantic_class"], F.lit(""))))
     corpus = F.lit(lookup_corpus) if lookup_corpus else F.col("corpus")
 
-    def relation(r: Column) -> Column:
-        subject, object_ = F.get(classes, r["subject_idx"]), F.get(classes, r["object_idx"])
-        found = F.try_element_at("_table", key(corpus, r["source_relation_type"], F.coalesce(subject, F.lit("")), F.coalesce(object_, F.lit(""))))
+    def known(r: Column) -> Column:
+        """A relation's classes and its row of the table, looked up once."""
+        subject, object_ = F.get("_classes", r["subject_idx"]), F.get("_classes", r["object_idx"])
+        row = F.try_element_at("_table", key(corpus, r["source_relation_type"], F.coalesce(subject, F.lit("")), F.coalesce(object_, F.lit(""))))
+        return F.struct(subject.alias("subject"), object_.alias("object"), row.alias("row"))
+
+    def relation(r: Column, k: Column) -> Column:
+        subject, object_, found = k["subject"], k["object"], k["row"]
         default = F.struct(F.lit(C.DEFAULT_RELATION).alias("target_relation"), F.lit(C.DEFAULT_TIER).alias("tier"), F.lit(1.0).alias("probability"))
         chosen = F.coalesce(found["best"], default)
         extra = r["extra"].withField("subject_class", subject).withField("object_class", object_).withField("default_used", found.isNull())
@@ -139,7 +145,7 @@ def stamp_relations(docs: DataFrame, table: DataFrame, lookup_corpus: str | None
         stamped = r.withField("target_relation", chosen["target_relation"]).withField("tier", chosen["tier"]).withField("target_probability", chosen["probability"]).withField("extra", extra)
         return F.when((r["subject_idx"] < 0) | (r["object_idx"] < 0) | subject.isNull() | object_.isNull(), r).otherwise(stamped)
 
-    return joined.withColumn("relations", F.transform("relations", relation)).drop("_table")
+    return joined.withColumn("relations", F.zip_with("relations", F.transform("relations", known), relation)).drop("_table", "_classes")
 
 
 def conversion_summary(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import os
 import duckdb
 
 from lexigraft import plans
+from lexigraft.functions import constants as C
+from lexigraft.plans.annotation_queries import stamped_relations
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +61,8 @@ def test_hops_are_found_once_a_cui(spark, tmp_path):
     lines = "SELECT * REPLACE (l_partkey % 4 AS l_partkey, l_suppkey + 10 * (l_orderkey % 40) AS l_suppkey) FROM lineitem"
     con = tables(tmp_path, part=part, supplier=supplier, lineitem=lines)
     assert checked(spark, tmp_path, con, "q55_map_codes") < 70_000
+
+
+def test_relations_are_looked_up_once(spark):
+    plan = stamped_relations(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert C.relation_table(spark).count() and plan.count("element_at(_table") == 1
