@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +45,18 @@ def cut(word: str, first: dict, inner: dict) -> list[tuple[int, int]] | None:
     return out
 
 
+def broadcast_pieces(vocabulary: DataFrame) -> Broadcast:
+    many = vocabulary.count()
+    if many > VOCABULARY:
+        raise ValueError(f"{many} pieces; a vocabulary has {VOCABULARY} at most")
+    return vocabulary.sparkSession.sparkContext.broadcast([r.piece for r in vocabulary.select("piece").distinct().collect() if r.piece])
+
+
+def tries(pieces: list[str]) -> tuple[dict, dict]:
+    """The trie of pieces at a word's beginning and that of inner ones, without their mark."""
+    return trie([p for p in pieces if not p.startswith(INNER)]), trie([p[len(INNER) :] for p in pieces if p.startswith(INNER) and len(p) > len(INNER)])
+
+
 def word_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc, start, end, piece, word) of words (doc, word, start, text): the longest match first, inner pieces marked by ##.
 
@@ -49,14 +64,10 @@ def word_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     first character in its document, and pieces' offsets are its characters. A word
     that can't be made up of pieces is one unknown piece; an empty one has none.
     """
-    many = vocabulary.count()
-    if many > VOCABULARY:
-        raise ValueError(f"{many} pieces; a vocabulary has {VOCABULARY} at most")
-    pieces = [r.piece for r in vocabulary.select("piece").distinct().collect() if r.piece]
-    sent = words.sparkSession.sparkContext.broadcast(pieces)
+    sent = broadcast_pieces(vocabulary)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, inner = trie([p for p in sent.value if not p.startswith(INNER)]), trie([p[len(INNER) :] for p in sent.value if p.startswith(INNER) and len(p) > len(INNER)])
+        first, inner = tries(sent.value)
         known = lru_cache(1 << 16)(lambda word: cut(word, first, inner))
         for batch in batches:
             rows, starts, ends, names = [], [], [], []
@@ -103,6 +114,87 @@ def windows(pieces: DataFrame, size: int, overlap: int) -> DataFrame:
     return out.filter((F.col("window") == 0) | (F.size("pieces") > overlap))
 
 
+def placed(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of documents (doc, texts), joined by spaces: all words, their starts, and where each document's words begin."""
+    texts = batch.column(1)
+    words = texts.flatten()
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+    return words, ends[:-1] - np.repeat(ends[bounds[:-1]], np.diff(bounds)), bounds
+
+
+def document_words(docs: DataFrame) -> DataFrame:
+    """(doc, word, start, text): the words of documents (doc, texts array<string>), in no shuffle; start is a character of the joined text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, starts, bounds = placed(batch)
+            many = np.diff(bounds)
+            at = pa.array(np.repeat(np.arange(len(many)), many))
+            place = np.arange(len(starts)) - np.repeat(bounds[:-1], many)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(place), pa.array(starts), words], names=["doc", "word", "start", "text"])
+
+    doc = docs.schema["doc"].dataType.simpleString()
+    return docs.select("doc", "texts").filter("texts is not null").mapInArrow(each, f"doc {doc}, word long, start long, text string")
+
+
+#: Words that a task cuts at a time; a longer document is cut by itself.
+STRIDE = 200_000
+
+
+def document_windows(docs: DataFrame, vocabulary: DataFrame, size: int, overlap: int) -> DataFrame:
+    """windows() of the numbered() word_pieces() of documents (doc, texts array<string>, its words), each document whole in its row, so nothing is shuffled."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap is smaller than a window")
+    step, sent = size - overlap, broadcast_pieces(vocabulary)
+    first_of = lambda many: np.cumsum(many) - many
+    runs = lambda begin, many: np.arange(many.sum()) + np.repeat(begin - first_of(many), many)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, inner = tries(sent.value)
+        known = lru_cache(1 << 16)(lambda word: cut(word, first, inner))
+
+        def cut_all(ids: pa.Array, words: pa.Array, starts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+            """Each distinct word is cut once; its pieces are then repeated wherever it stands."""
+            coded = words.dictionary_encode()
+            names, los, his, many = [], [], [], []
+            for text in coded.dictionary.to_pylist():
+                found = known(text) if len(text) <= 200 else cut(text, first, inner)
+                for lo, hi in found if found is not None else [(0, len(text))]:
+                    names.append(UNKNOWN if found is None else (INNER if lo else "") + text[lo:hi])
+                    los.append(lo)
+                    his.append(hi)
+                many.append(len(names))
+            many = np.diff(np.array([0, *many], np.int64))
+            code = coded.indices.to_numpy().astype(np.int64)
+            at, start = runs(first_of(many)[code], many[code]), np.repeat(starts, many[code])
+            upto = np.concatenate([[0], np.cumsum(many[code])])
+            n = upto[bounds[1:]] - upto[bounds[:-1]]
+            windows_of = np.where(n > 0, np.maximum(1, -(-(n - overlap) // step)), 0)
+            row = np.repeat(np.arange(len(n)), windows_of)
+            window = runs(np.zeros_like(n), windows_of)
+            length = np.minimum(size, n[row] - window * step)
+            flat = runs(upto[bounds[:-1]][row] + window * step, length)
+            ends = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
+            of = lambda values: pa.ListArray.from_arrays(ends, values)
+            place = lambda values: of(pa.array((np.array(values, np.int64)[at] + start)[flat]))
+            pieces = of(pa.array(names, pa.string()).take(pa.array(at[flat])))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(window), pa.array(window * step), pieces, place(los), place(his)], names=["doc", "window", "first", "pieces", "starts", "ends"])
+
+        for batch in batches:
+            words, starts, bounds = placed(batch)
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + STRIDE, "right")) - 1)
+                a, b = int(bounds[lo]), int(bounds[hi])
+                yield cut_all(batch.column(0).slice(lo, hi - lo), words.slice(a, b - a), starts[a:b], bounds[lo : hi + 1] - a)
+                lo = hi
+
+    doc = docs.schema["doc"].dataType.simpleString()
+    own = docs.select("doc", "texts").filter("texts is not null")
+    return own.mapInArrow(each, f"doc {doc}, window long, first long, pieces array<string>, starts array<long>, ends array<long>")
+
+
 def batches(rows: DataFrame, size: int, width: int = 64, length: Column | None = None) -> DataFrame:
     """Windows with bucket, batch, width and padding: rows of alike lengths are batched and filled up to the longest of the batch.
 
@@ -116,19 +208,28 @@ def batches(rows: DataFrame, size: int, width: int = 64, length: Column | None =
     hashed = F.xxhash64("doc", "window")
     dealt = rows.join(F.broadcast(parts), "bucket").withColumn("_part", F.pmod(hashed, F.col("_parts")))  # a row for each bucket, a window's size over the width at most
     place = F.row_number().over(Window.partitionBy("bucket", "_part").orderBy(hashed, "doc", "window")) - 1
-    dealt = dealt.withColumn("batch", F.concat_ws("-", "bucket", "_part", F.floor(place / size)))
-    longest = F.max("_n").over(Window.partitionBy("batch"))
-    return dealt.withColumn("width", longest).withColumn("padding", F.col("width") - F.col("_n")).drop("_n", "_part", "_parts")
+    dealt = dealt.withColumn("_place", F.floor(place / size))
+    longest = F.max("_n").over(Window.partitionBy("bucket", "_part", "_place"))  # lies as the parts do, so rows are shuffled once
+    out = dealt.withColumns({"batch": F.concat_ws("-", "bucket", "_part", "_place"), "width": longest}).withColumn("padding", F.col("width") - F.col("_n"))
+    return out.drop("_n", "_part", "_parts", "_place")
+
+
+#: Characters of a stretch, in which spans and windows are brought together.
+STRETCH = 1_024
 
 
 def located(spans: DataFrame, rows: DataFrame) -> DataFrame:
     """(doc, span, window, first, last) of spans (doc, span, start, end): their pieces in the first window that holds them whole.
 
     first and last are places in the window's lists. A span that no window holds whole has no row.
+    Spans meet the windows of their stretch of characters only, not all of a document.
     """
-    joined = spans.join(rows, "doc").filter((F.element_at("starts", 1) <= F.col("start")) & (F.element_at("ends", -1) >= F.col("end")))
+    stretch = lambda c: F.floor(c / STRETCH)
+    near = rows.select("doc", "window", F.col("starts").cast("array<int>").alias("starts"), F.col("ends").cast("array<int>").alias("ends"))
+    near = near.withColumn("_stretch", F.explode(F.sequence(stretch(F.element_at("starts", 1)), stretch(F.element_at("ends", -1)))))
+    joined = spans.withColumn("_stretch", stretch(F.col("start"))).join(near, ["doc", "_stretch"]).filter((F.element_at("starts", 1) <= F.col("start")) & (F.element_at("ends", -1) >= F.col("end")))
     inside = F.transform("starts", lambda s, i: F.when((s < F.col("end")) & (F.get("ends", i) > F.col("start")), i))
     inside = F.filter(inside, lambda i: i.isNotNull())
     found = joined.withColumn("_i", inside).filter(F.size("_i") > 0)
-    one = F.min(F.struct("window", F.array_min("_i").alias("first"), F.array_max("_i").alias("last"), F.get("starts", F.array_min("_i")).alias("from"), F.get("ends", F.array_max("_i")).alias("to")))
+    one = F.min(F.struct("window", F.array_min("_i").alias("first"), F.array_max("_i").alias("last"), F.get("starts", F.array_min("_i")).cast("long").alias("from"), F.get("ends", F.array_max("_i")).cast("long").alias("to")))
     return found.groupBy("doc", "span").agg(one.alias("w")).select("doc", "span", "w.*")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..operators import hierarchy as H
 from ..operators import warehouse, windows
-from ..operators.passages import passage_offsets
 from ..sources import documents as files
 from .annotation_queries import ENTITIES, MAPPED, documents, targets
 from .base import query, table
@@ -32,30 +31,34 @@ n AS (SELECT doc, count(*) AS n FROM p GROUP BY doc)"""
 CUT = f"v AS (SELECT doc, n, unnest(range(0, greatest(1, CAST(ceil((n - {OVERLAP}) / {SIZE - OVERLAP}.0) AS BIGINT)))) AS win FROM n)"
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", " ", -1)).alias("word", "text"))
-    return passage_offsets(rows, "doc", "word", "text")
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc, texts): the words of each document; the rows of an id that several have are one document."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.split("text", " ", -1).alias("texts"))
+    again = H.settled(rows.groupBy("doc").count().filter("count > 1").select(F.col("doc").alias("_doc")))
+    same = F.col("doc").eqNullSafe(F.col("_doc"))
+    several = rows.join(again, same, "left_semi").groupBy("doc").agg(F.flatten(F.sort_array(F.collect_list("texts"))).alias("texts"))
+    return rows.join(again, same, "left_anti").union(several)
 
 
-def pieces(spark: SparkSession, sf: str) -> DataFrame:
-    rows = H.settled(words(spark, sf))
+def cut_windows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     chunk = F.transform(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(3)), lambda i: F.concat(F.when(i == 0, "").otherwise(windows.INNER), F.substring("text", i + 1, F.lit(3))))
-    known = rows.filter("text <> ''").select("text").distinct().select(F.explode(chunk).alias("piece")).distinct()
-    return windows.numbered(windows.word_pieces(rows, known))
+    known = docs.select(F.explode("texts").alias("text")).filter("text <> ''").distinct().select(F.explode(chunk).alias("piece")).distinct()
+    return windows.document_windows(docs, H.settled(known), SIZE, OVERLAP)
 
 
 @query(f"WITH {PIECES}, {CUT} SELECT doc, win AS \"window\", CAST(least({SIZE}, n - win * {SIZE - OVERLAP}) AS INTEGER) AS pieces FROM v")
 def q73_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping windows of whole documents and their lengths."""
-    return windows.windows(pieces(spark, sf), SIZE, OVERLAP).select("doc", "window", F.size("pieces").alias("pieces"))
+    return cut_windows(spark, texts(spark, sf)).select("doc", "window", F.size("pieces").alias("pieces"))
 
 
 @query(f"""WITH {PIECES}, {CUT}, l AS (SELECT least({SIZE}, n - win * {SIZE - OVERLAP}) AS len FROM v)
 SELECT CAST(ceil(len / 32.0) AS BIGINT) AS bucket, count(*) AS windows, CAST(sum(len) AS BIGINT) AS pieces, true AS within FROM l GROUP BY 1""")
 def q73b_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Batches of at most 16 windows of alike lengths; padding stays under a bucket's width."""
-    rows = windows.batches(windows.windows(pieces(spark, sf), SIZE, OVERLAP), 16, 32)
-    per = rows.groupBy("bucket", "batch").agg(F.count("*").alias("n"), F.sum(F.size("pieces")).alias("pieces"), F.max("padding").alias("padding"))
+    rows = cut_windows(spark, texts(spark, sf)).select("doc", "window", F.size("pieces").alias("pieces"))
+    rows = windows.batches(rows, 16, 32, F.col("pieces"))
+    per = rows.groupBy("bucket", "batch").agg(F.count("*").alias("n"), F.sum("pieces").alias("pieces"), F.max("padding").alias("padding"))
     return per.groupBy("bucket").agg(F.sum("n").alias("windows"), F.sum("pieces").alias("pieces"), (F.max("padding") < 32).alias("padded"), (F.max("n") <= 16).alias("sized")).select("bucket", "windows", "pieces", (F.col("padded") & F.col("sized")).alias("within"))
 
 
@@ -63,9 +66,10 @@ def q73b_batches(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc, word, CAST(start AS BIGINT) AS "from", CAST(start + length(text) AS BIGINT) AS "to" FROM s JOIN b USING (text) WHERE length(text) >= 10""")
 def q73c_spans_of_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the benchmark in whole documents come back from the windows that hold them."""
-    found = windows.windows(pieces(spark, sf), SIZE, OVERLAP)
+    docs = texts(spark, sf)
+    found = cut_windows(spark, docs)
     known = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("text")).distinct()
-    spans = words(spark, sf).filter("char_length(text) >= 10").join(known, "text").select("doc", F.col("word").alias("span"), "start", (F.col("start") + F.char_length("text")).alias("end"))
+    spans = windows.document_words(docs).filter("char_length(text) >= 10").join(known, "text").select("doc", F.col("word").alias("span"), "start", (F.col("start") + F.char_length("text")).alias("end"))
     return windows.located(spans, found).select("doc", F.col("span").cast("long").alias("word"), "from", "to")
 
 

@@ -6,6 +6,7 @@ import duckdb
 
 from lexigraft import plans
 from lexigraft.functions import constants as C
+from lexigraft.operators import windows
 from lexigraft.plans.annotation_queries import stamped_relations
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +67,29 @@ def test_hops_are_found_once_a_cui(spark, tmp_path):
 def test_relations_are_looked_up_once(spark):
     plan = stamped_relations(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert C.relation_table(spark).count() and plan.count("element_at(_table") == 1
+
+
+def test_windows_of_documents_are_cut_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """The same windows as those of single pieces, whatever the stride, with empty, null and unknown words' documents."""
+    texts = ["ab abc  ba", None, "", " ", "zz ab", "a" * 300 + " b", " ".join(["abcab"] * 40)]
+    docs = [(i, t.split(" ") if t is not None else None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc long, texts array<string>").coalesce(1)
+    pieces = spark.createDataFrame([(p,) for p in ("a", "ab", "b", "##a", "##b", "##c")], "piece string")
+    rows = []
+    for i, words in docs:
+        at = 0
+        for place, word in enumerate(words or []):
+            rows.append((i, place, at, word))
+            at += len(word) + 1
+    words = spark.createDataFrame(rows, "doc long, word long, start long, text string")
+    want = sorted(map(str, windows.windows(windows.numbered(windows.word_pieces(words, pieces)), 7, 3).collect()))
+    assert sorted(map(str, windows.document_words(df).collect())) == sorted(map(str, words.collect()))
+    for stride in (windows.STRIDE, 3):
+        monkeypatch.setattr(windows, "STRIDE", stride)
+        found, records = shuffled(spark, windows.document_windows(df, pieces, 7, 3))
+        assert sorted(map(str, found)) == want and records <= 12  # of the vocabulary
+
+
+def test_windows_and_spans_of_the_same_id(spark, tmp_path):
+    con = tables(tmp_path, documents="SELECT * REPLACE (CASE WHEN doc_id % 50 < 2 THEN doc_id - doc_id % 50 ELSE doc_id END AS doc_id) FROM documents")
+    assert checked(spark, tmp_path, con, "q73_windows") + checked(spark, tmp_path, con, "q73b_batches") < 60_000
