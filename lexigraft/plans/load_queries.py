@@ -128,12 +128,13 @@ def q60d_mapping_files(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{BEST.rstrip()}, {ENTITIES}, {MAPPED}
 SELECT pmid, string_agg(CASE WHEN outside THEN '-' ELSE coalesce(target_id, '-') END, ',' ORDER BY pos) AS targets FROM e LEFT JOIN m USING (code) GROUP BY pmid""")
 def q74_stamped_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of three files, a batch each, stamped as they come; the stream is stopped after two and started again."""
+    """Documents of three folders, a batch each, stamped as they come; the stream is stopped after two and started again."""
     path = folder(spark, "stream")
     docs, mapped = H.settled(documents(spark, sf)), H.settled(targets(spark, sf))
+    many = max(docs.rdd.getNumPartitions(), 1)  # files that a part is written in, so that no task writes it whole
     for part in range(3):
-        files.write_documents(docs.filter(F.pmod(F.xxhash64("pmid"), F.lit(3)) == part).coalesce(1), f"{path}/in/{part}")
+        files.write_documents(docs.filter(F.pmod(F.xxhash64("pmid"), F.lit(3)) == part), f"{path}/in/{part}")
         if part:
-            streaming.stamp_stream(streaming.document_stream(spark, f"{path}/in/*"), mapped, f"{path}/out", f"{path}/state").awaitTermination()
+            streaming.stamp_stream(streaming.document_stream(spark, f"{path}/in/*", many), mapped, f"{path}/out", f"{path}/state").awaitTermination()
     found = spark.read.parquet(f"{path}/out")
     return found.select("pmid", F.array_join(F.transform("entities", lambda e: F.coalesce(e["mapped_id"], F.lit("-"))), ",").alias("targets"))

@@ -7,6 +7,7 @@ import duckdb
 from lexigraft import plans
 from lexigraft.functions import constants as C
 from lexigraft.operators import windows
+from lexigraft.plans import load_queries
 from lexigraft.plans.annotation_queries import stamped_relations
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +94,20 @@ def test_windows_of_documents_are_cut_without_a_shuffle(spark, tmp_path, monkeyp
 def test_windows_and_spans_of_the_same_id(spark, tmp_path):
     con = tables(tmp_path, documents="SELECT * REPLACE (CASE WHEN doc_id % 50 < 2 THEN doc_id - doc_id % 50 ELSE doc_id END AS doc_id) FROM documents")
     assert checked(spark, tmp_path, con, "q73_windows") + checked(spark, tmp_path, con, "q73b_batches") < 60_000
+
+
+def test_files_of_a_stream_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    seen, write = [], load_queries.files.write_documents
+
+    def written(docs, path):
+        seen.append(docs.rdd.getNumPartitions())
+        write(docs, path)
+
+    monkeypatch.setattr(load_queries.files, "write_documents", written)
+    con = tables(tmp_path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        checked(spark, tmp_path, con, "q74_stamped_stream")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert min(seen) > 1
