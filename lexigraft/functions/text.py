@@ -32,8 +32,7 @@ def strip_prefix(code: Column, prefix: str = "MESH:", any_case: bool = False) ->
 
 def role_code(role: Column) -> Column:
     """The part after the first bar, or all of it."""
-    parts = F.split(role, r"\|", 2)
-    return F.trim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.element_at(parts, 1)))
+    return F.trim(F.substr(role, F.instr(role, F.lit("|")) + 1))
 
 
 def strip_suffix(term: Column) -> Column:

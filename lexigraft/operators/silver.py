@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import decode, role_code
+from ..functions.text import decode, role_code, strip_prefix
 from .documents import stamp_concepts, stamp_relations
 
 
@@ -66,9 +66,9 @@ def bulk_relations(rows: DataFrame, gold: DataFrame, most: int | None = None) ->
     the first row of the pmid after so many, so later rows of pmids already
     taken are lost too; None keeps all rows.
     """
-    part = lambda c: F.split(c, r"\|", 2)
-    code = lambda c: F.regexp_replace(role_code(F.col(c)), "^MESH:", "")
-    out = rows.select("pmid", "relation", part("subject")[0].alias("subject_type"), code("subject").alias("subject"), part("object")[0].alias("object_type"), code("object").alias("object"), "ord")
+    kind = lambda c: F.substring_index(c, "|", 1)
+    code = lambda c: strip_prefix(role_code(F.col(c)))
+    out = rows.select("pmid", "relation", kind("subject").alias("subject_type"), code("subject").alias("subject"), kind("object").alias("object_type"), code("object").alias("object"), "ord")
     both = F.col("subject_type").isin("Chemical", "Disease") & F.col("object_type").isin("Chemical", "Disease")
     out = out.filter(both & ~F.col("subject").isin("", "-") & ~F.col("object").isin("", "-")).join(gold.select("pmid"), "pmid", "left_anti")
     if most is None:
@@ -82,7 +82,7 @@ def bulk_mentions(rows: DataFrame, pmids: DataFrame) -> DataFrame:
     """(pmid, code, mention): the first non-empty name of each code in a document, by ord."""
     own = rows.join(pmids.select("pmid").distinct(), "pmid", "left_semi")
     name = F.trim(F.substring_index("mentions", "|", 1))
-    own = own.select("pmid", F.regexp_replace("code", "^MESH:", "").alias("code"), name.alias("mention"), "ord").filter("mention <> ''")
+    own = own.select("pmid", strip_prefix(F.col("code")).alias("code"), name.alias("mention"), "ord").filter("mention <> ''")
     return own.groupBy("pmid", "code").agg(F.min_by("mention", "ord").alias("mention"))
 
 

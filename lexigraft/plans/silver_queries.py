@@ -40,7 +40,7 @@ t AS (SELECT CAST(code AS VARCHAR) AS code, CAST(sid AS VARCHAR) AS target, conf
 SELECT pmid, n.name || ' ' || label || ' ' || m.name AS text, CAST(length(n.name) + length(label) + 2 AS INTEGER) AS object_start, t.target AS subject_target, round(t.conf * 0.4, 6) AS subject_confidence, label
 FROM r JOIN n ON subject = n.code JOIN m ON object = m.code LEFT JOIN t ON subject = t.code""")
 def q47b_bulk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    relations = bulk(spark, sf)
+    relations = H.settled(bulk(spark, sf))  # the documents and both kinds of mentions read it
     part, supplier = table(spark, sf, "part"), table(spark, sf, "supplier")
     named = part.select(F.col("p_partkey").cast("string").alias("subject"), F.col("p_name").alias("subject_text"))
     other = supplier.select(F.col("s_suppkey").cast("string").alias("object"), F.col("s_name").alias("object_text"))
@@ -50,7 +50,7 @@ def q47b_bulk_documents(spark: SparkSession, sf: str) -> DataFrame:
     relations = relations.withColumn("object", F.concat(F.lit("x"), "object"))
     rows = mentions.unionByName(mentions_o.withColumnRenamed("object", "code"))
     mapped = best(spark, sf).select(F.col("code").cast("string").alias("code"), F.col("sid").cast("string").alias("target_id"), F.col("conf").alias("confidence"))
-    docs = silver.bulk_documents(relations, silver.bulk_mentions(rows, relations), mapped, None)
+    docs = silver.bulk_documents(relations, H.settled(silver.bulk_mentions(rows, relations)), mapped, None)  # named twice
     first, second = F.element_at("entities", 1), F.element_at("entities", 2)
     return docs.select("pmid", "text", second["span_start"].alias("object_start"), first["mapped_id"].alias("subject_target"), F.round(first["mapping_confidence"], 6).alias("subject_confidence"), F.element_at("relations", 1)["target_relation"].alias("label"))
 

@@ -6,7 +6,7 @@ import duckdb
 
 from lexigraft import plans
 from lexigraft.functions import constants as C
-from lexigraft.operators import windows
+from lexigraft.operators import silver, windows
 from lexigraft.plans import load_queries
 from lexigraft.plans.annotation_queries import stamped_relations
 
@@ -111,3 +111,17 @@ def test_files_of_a_stream_are_written_by_many_tasks(spark, tmp_path, monkeypatc
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert min(seen) > 1
+
+
+def test_bulk_relations_are_made_once(spark):
+    """Relations are a table of their own when documents and mentions are made, so the plan no longer reads orders."""
+    plan = plans.QUERIES["q47b_bulk_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert not any("o_orderkey" in plan.apply(i).toString() for i in range(plan.size()))
+
+
+def test_roles_with_bars_prefixes_and_blanks(spark):
+    """The part after the first bar without its prefix, as the regular expressions gave it."""
+    codes = ["Chemical|MESH:D1", "MESH:D2", "Disease| MESH:D3 |x", "Disease|MESH:MESH:D4", "Gene|D5", "Chemical|", "Chemical|-", "|MESH:D6", None]
+    rows = spark.createDataFrame([(str(i), "treat", c, "Disease|MESH:D9", i) for i, c in enumerate(codes)], "pmid string, relation string, subject string, object string, ord long")
+    found = silver.bulk_relations(rows, spark.createDataFrame([], "pmid string"), None).collect()
+    assert sorted((r.pmid, r.subject_type, r.subject) for r in found) == [("0", "Chemical", "D1"), ("2", "Disease", "D3 |x"), ("3", "Disease", "MESH:D4")]
