@@ -26,14 +26,15 @@ _encoders: dict[str, WordEncoder] = {}
 
 def parted(word: bytes) -> tuple[bytes, bytes, bytes] | None:
     """A word's leading punctuation, letters and trailing punctuation, or None if it isn't so built."""
-    core = word.lower().strip(PUNCTUATION)
-    if len(core) == len(word) or not core or b"<|" in word:
-        return None
-    text = core.decode()
-    if not (text[0].isalpha() and text[-1].isalpha()):
-        return None
     low = word.lower()
-    head = len(low) - len(low.lstrip(PUNCTUATION))
+    core = low.strip(PUNCTUATION)
+    if len(core) == len(low) or not core or b"<|" in low:
+        return None
+    if not core.isalpha():  # ASCII letters
+        text = core.decode()
+        if not (text[0].isalpha() and text[-1].isalpha()):
+            return None
+    head = low.index(core)  # what stands before it is punctuation, with which it doesn't begin
     return low[:head], core, low[head + len(core) :]
 
 
@@ -71,11 +72,10 @@ class WordEncoder:
             self.known.update((w, packed[a:b]) for w, a, b in zip(group, cuts, cuts[1:], strict=False))
 
     def learn(self, new: set[bytes]) -> None:
-        built = {w: p for w in new if (p := parted(w))}
-        needed = new.difference(built)
-        for parts in built.values():
-            needed.update(x for x in parts if x)
-        needed.difference_update(self.known)
+        built = {w: p for w in new if not w.isalpha() and (p := parted(w))}
+        needed = new.difference(built).union(*built.values())
+        needed.discard(b"")
+        needed = needed.difference(self.known)  # difference_update would go through all known words, not the needed ones
         plain = [w for w in needed if w.isalpha()]  # ASCII letters
         self.joined(plain)
         rest = needed.difference(plain)
@@ -83,7 +83,8 @@ class WordEncoder:
         self.joined(letters)
         self.alone(list(rest.difference(letters)))
         known = self.known
-        known.update((w, b"".join([known[x] for x in parts if x])) for w, parts in built.items())
+        get = known.get
+        known.update({w: get(a, b"") + known[b] + get(c, b"") for w, (a, b, c) in built.items()})
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Each UTF-8 text's ids, packed as little-endian unsigned 32-bit numbers."""
@@ -104,7 +105,7 @@ class WordEncoder:
         if new:
             self.held += size
             self.learn(new)
-        return [b"".join([known[w] for w in parts]) for parts in split]
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
 def encoder(path: str) -> WordEncoder:
