@@ -87,23 +87,25 @@ def stamp_concepts(docs: DataFrame, mapped: DataFrame) -> DataFrame:
     Out-of-scope entities and sentinel codes are cleared. Documents need no
     unique key, and may come in any order each time that they are read.
     """
-    scoped = F.filter("entities", lambda e: ~F.coalesce(e["out_of_scope"], F.lit(False)) & e["original_code"].isNotNull())
-    codes = F.transform(scoped, lambda e: e["original_code"])
-    own = docs.select(F.explode(codes).alias("key")).distinct()
-    parts = own.select("key", F.posexplode(split_composite(F.col("key"))).alias("part", "code"))
-    parts = parts.withColumn("code", strip_prefix(F.col("code"), any_case=True)).filter(~F.col("code").isin(*C.SENTINELS))
-    hits = parts.join(mapped.select("code", "target_id", "confidence", "target_active"), "code")
-    order = F.struct((~F.col("target_active")).cast("int"), -F.col("confidence"), F.col("part"))
+    wanted = lambda e: F.when(~F.coalesce(e["out_of_scope"], F.lit(False)), e["original_code"])
+    bare = lambda p: strip_prefix(p, any_case=True)
+    parts = lambda e: F.coalesce(F.filter(F.transform(split_composite(wanted(e)), bare), lambda p: ~p.isin(*C.SENTINELS)), F.array().cast("array<string>"))
+    # a code's best target, its place in the order first
     confidence = F.when(F.col("target_active"), F.col("confidence")).otherwise(F.bround(F.col("confidence") * C.INACTIVE_FACTOR, 6))
-    best = hits.groupBy("key").agg(F.min_by(F.struct("target_id", confidence.alias("confidence"), "target_active"), order).alias("value"))
-    stamped = attach(docs, codes, best, "_best")
+    value = F.struct((~F.col("target_active")).cast("int").alias("inactive"), (-F.col("confidence")).alias("doubt"), F.col("target_id"), confidence.alias("confidence"), "target_active")
+    best = mapped.select(F.col("code").alias("key"), value.alias("value")).groupBy("key").agg(F.min("value").alias("value"))
+    stamped = attach(docs, F.flatten(F.transform("entities", parts)), best, "_best")
 
-    def entity(e: Column) -> Column:
-        wanted = F.when(~F.coalesce(e["out_of_scope"], F.lit(False)), e["original_code"])
-        best = F.try_element_at(F.filter("_best", lambda b: b["key"] == wanted), F.lit(1))["value"]
+    def hit(e: Column) -> Column:
+        """The best target of an entity's parts, looked up once."""
+        found = F.transform(parts(e), lambda p, i: F.struct(F.try_element_at(F.filter("_best", lambda b: b["key"] == p), F.lit(1))["value"].alias("value"), i.alias("part")))
+        known = F.filter(found, lambda x: x["value"].isNotNull())
+        return F.array_min(F.transform(known, lambda x: F.struct(x["value"]["inactive"].alias("inactive"), x["value"]["doubt"].alias("doubt"), x["part"].alias("part"), x["value"].alias("value"))))["value"]
+
+    def entity(e: Column, best: Column) -> Column:
         return e.withField("mapped_id", best["target_id"]).withField("mapping_confidence", best["confidence"]).withField("target_active", best["target_active"])
 
-    return stamped.withColumn("entities", F.transform("entities", entity)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return stamped.withColumn("entities", F.zip_with("entities", F.transform("entities", hit), entity)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def relation_candidates(table: DataFrame) -> DataFrame:

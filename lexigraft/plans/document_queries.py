@@ -21,7 +21,7 @@ def line_arrays(spark: SparkSession, sf: str, **fields: Column) -> DataFrame:
     """(doc, lines): each order's lines with the given fields, in line order."""
     order = [F.col(c.strip()) for c in ORDER.split(",")]
     lines = table(spark, sf, "lineitem").select("l_orderkey", F.struct(*order, *(c.alias(f"_{n}") for n, c in fields.items())).alias("line"))
-    grouped = lines.groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    grouped = lines.groupBy(F.col("l_orderkey").alias("doc")).agg(F.sort_array(F.collect_list("line")).alias("lines"))
     return grouped.withColumn("lines", F.transform("lines", lambda x: F.struct(*(x[f"_{n}"].alias(n) for n in fields))))
 
 

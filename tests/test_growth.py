@@ -6,7 +6,7 @@ import duckdb
 
 from lexigraft import plans
 from lexigraft.functions import constants as C
-from lexigraft.operators import silver, windows
+from lexigraft.operators import documents, silver, windows
 from lexigraft.plans import load_queries
 from lexigraft.plans.annotation_queries import stamped_relations
 
@@ -125,3 +125,18 @@ def test_roles_with_bars_prefixes_and_blanks(spark):
     rows = spark.createDataFrame([(str(i), "treat", c, "Disease|MESH:D9", i) for i, c in enumerate(codes)], "pmid string, relation string, subject string, object string, ord long")
     found = silver.bulk_relations(rows, spark.createDataFrame([], "pmid string"), None).collect()
     assert sorted((r.pmid, r.subject_type, r.subject) for r in found) == [("0", "Chemical", "D1"), ("2", "Disease", "D3 |x"), ("3", "Disease", "MESH:D4")]
+
+
+def test_documents_are_read_once_for_their_targets(spark, tmp_path):
+    """Codes of several parts: an active target first, then the surer, then the earlier part; documents stand once in the plan."""
+    codes = [["MESH:D1", "D2,mesh:D3", "D3;D2", "D4|D5", "D5, D6", "-", "", "D9"], ["D1"], [], None]
+    rows = [(i, None if c is None else [(x, x == "D1" and i == 1, None, None, None) for x in [*c, None]]) for i, c in enumerate(codes)]
+    kind = "id int, entities array<struct<original_code: string, out_of_scope: boolean, mapped_id: string, mapping_confidence: double, target_active: boolean>>"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/documents")
+    mapped = spark.createDataFrame([("D1", "t1", 0.9, True), ("D2", "t2", 0.9, False), ("D3", "t3", 0.5, True), ("D4", "t4", 0.6, True), ("D5", "t5", 0.6, True), ("D6", "t6", 0.8, True), ("D1", "t0", 0.7, True)], "code string, target_id string, confidence double, target_active boolean")
+    out = documents.stamp_concepts(spark.read.parquet(f"{tmp_path}/documents"), mapped)
+    plan = out._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert sum("original_code" in plan.apply(i).toString() or "entities" in plan.apply(i).toString() for i in range(plan.size())) == 1
+    got = {r.id: None if r.entities is None else [(e.mapped_id, e.mapping_confidence) for e in r.entities] for r in out.collect()}
+    none = (None, None)
+    assert got == {0: [("t1", 0.9), ("t3", 0.5), ("t3", 0.5), ("t4", 0.6), ("t6", 0.8), none, none, none, none], 1: [none, none], 2: [none], 3: None}
