@@ -111,13 +111,18 @@ def q75c_copied_rows(spark: SparkSession, sf: str) -> DataFrame:
     return warehouse.read_copy(spark, path, "id bigint, name string, flag boolean, tags array<string>").withColumn("tags", F.array_join("tags", "|"))
 
 
+#: Mapping files at least, and rows of a file, about: a file is sorted by one task.
+FILES, FILE_ROWS = 5, 1_000_000
+
+
 @query("""WITH r AS (SELECT CAST(l_partkey AS VARCHAR) AS code, l_orderkey * 10 + l_linenumber AS place, CAST(l_suppkey AS VARCHAR) AS target_id FROM lineitem)
 SELECT code, max_by(target_id, place) AS target_id FROM r GROUP BY code""")
 def q60d_mapping_files(spark: SparkSession, sf: str) -> DataFrame:
     """Mappings in a folder of unequal files: of a code's rows the last one counts, files in the order of their names."""
     path = folder(spark, "mapping")
     place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    rows = table(spark, sf, "lineitem").withColumn("place", place).repartitionByRange(5, F.sqrt("place")).sortWithinPartitions("place")
+    lines = table(spark, sf, "lineitem").withColumn("place", place)
+    rows = lines.repartitionByRange(max(FILES, lines.count() // FILE_ROWS), F.sqrt("place")).sortWithinPartitions("place")
     rows.select(F.col("l_partkey").cast("string").alias("mesh_id"), F.col("l_suppkey").cast("string").alias("snomed_id"), F.lit("0.5").alias("confidence"), F.lit("true").alias("snomed_active")).write.option("header", "true").csv(path)
     return files.read_mapping(spark, path).select("code", "target_id")
 

@@ -140,3 +140,15 @@ def test_documents_are_read_once_for_their_targets(spark, tmp_path):
     got = {r.id: None if r.entities is None else [(e.mapped_id, e.mapping_confidence) for e in r.entities] for r in out.collect()}
     none = (None, None)
     assert got == {0: [("t1", 0.9), ("t3", 0.5), ("t3", 0.5), ("t4", 0.6), ("t6", 0.8), none, none, none, none], 1: [none, none], 2: [none], 3: None}
+
+
+def test_mapping_files_are_as_many_as_their_rows_need(spark, monkeypatch, tmp_path):
+    """No task sorts a fixed share of the rows, however many there are."""
+    monkeypatch.setattr(load_queries, "folder", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(load_queries, "FILE_ROWS", 500, raising=False)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    found = plans.QUERIES["q60d_mapping_files"](spark, SF)
+    files = [f for f in os.listdir(f"{tmp_path}/mapping") if f.endswith(".csv")]
+    assert rows // 500 * 0.8 <= len(files) <= rows // 500
+    want = duckdb.sql(plans.ORACLE_SQL["q60d_mapping_files"].replace("FROM lineitem", f"FROM '{SF}/lineitem.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
