@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import cosine, hop_similarity
+from .hierarchy import settled
 
 
 def softmax_rows(rows: DataFrame, keys: list[str], score: str, temperature: float = C.TEMPERATURE) -> DataFrame:
@@ -87,15 +90,24 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
         return matrix / np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
 
 
-def soft_map(candidates: DataFrame, vectors: DataFrame, lin: DataFrame, temperature: float = C.TEMPERATURE) -> DataFrame:
-    """Distributions of candidates (code, primary, target_id, hops): equal shares of name, hop and content similarity.
+def soft_map(codes: DataFrame, near: DataFrame, names: DataFrame, encode: Callable[[Column], Column], lin: DataFrame, temperature: float = C.TEMPERATURE) -> DataFrame:
+    """Distributions of codes (code, primary) over the targets near their primary one (primary, target_id, hops): equal shares of name, hop and content similarity.
 
-    vectors is (key, vector) with rows for codes and targets; lin is (a, b, lin).
+    names is (key, name) of codes and targets, encode a name's vector; lin is (a, b, lin).
+    A name is encoded once and two names are compared once, however many codes and targets bear them.
     """
-    near = candidates.join(vectors.select(F.col("key").alias("code"), F.col("vector").alias("_v")), "code", "left")
-    near = near.join(vectors.select(F.col("key").alias("target_id"), F.col("vector").alias("_w")), "target_id", "left")
-    near = near.join(lin.select(F.col("a").alias("primary"), F.col("b").alias("target_id"), "lin"), ["primary", "target_id"], "left")
-    scored = near.select("code", "target_id", "hops", F.coalesce(cosine(F.col("_v"), F.col("_w")), F.lit(0.0)).alias("sim_string"), hop_similarity(F.col("hops")).alias("sim_hop"), F.coalesce("lin", F.lit(0.0)).alias("sim_content"))
+    spark = codes.sparkSession
+    of = lambda key, name: names.select(F.col("key").alias(key), F.col("name").alias(name))
+    targets = near.join(lin.select(F.col("a").alias("primary"), F.col("b").alias("target_id"), "lin"), ["primary", "target_id"], "left").join(of("target_id", "_other"), "target_id", "left")
+    targets, codes = settled(targets), settled(codes.join(of("code", "_name"), "code", "left").select("code", "primary", "_name"))
+    pairs = codes.select("_name", "primary").distinct().join(targets.select("primary", "_other").distinct(), "primary").select("_name", "_other").distinct()
+    # few bytes, but much work: spread over all cores
+    vectors = codes.select("_name").union(targets.select("_other")).filter("_name is not null").distinct().repartition(spark.sparkContext.defaultParallelism)
+    vectors = settled(vectors.select("_name", encode(F.col("_name")).alias("_v")))
+    pairs = pairs.join(vectors, "_name").join(vectors.select(F.col("_name").alias("_other"), F.col("_v").alias("_w")), "_other")
+    alike = settled(pairs.repartition(spark.sparkContext.defaultParallelism).select("_name", "_other", cosine(F.col("_v"), F.col("_w")).alias("sim_string")))
+    rows = codes.join(targets, "primary").join(alike, ["_name", "_other"], "left")
+    scored = rows.select("code", "target_id", "hops", F.coalesce("sim_string", F.lit(0.0)).alias("sim_string"), hop_similarity(F.col("hops")).alias("sim_hop"), F.coalesce("lin", F.lit(0.0)).alias("sim_content"))
     scored = scored.withColumn("similarity", (F.col("sim_string") + F.col("sim_hop") + F.col("sim_content")) / F.lit(3.0))
     out = softmax_rows(scored, ["code"], "similarity", temperature)
     return out.withColumn("prob", F.bround("prob", 6))

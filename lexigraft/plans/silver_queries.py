@@ -114,14 +114,12 @@ def q49_soft_map(spark: SparkSession, sf: str) -> DataFrame:
     rows = H.settled(edges(spark, sf))
     mapped = best(spark, sf).select(F.col("code").cast("string").alias("code"), F.concat(F.lit("s"), F.col("sid").cast("string")).alias("primary"))
     near = H.settled(H.neighbourhood(rows, members(spark, sf, SUPPLIERS)))  # three plans read it
-    candidates = mapped.join(near.select(F.col("start").alias("primary"), F.col("id").alias("target_id"), "hops"), "primary")
-    vector = lambda name: hashed_ngrams(F.col(name), 3, 32)
-    named = lambda t, p, key, name: table(spark, sf, t).select(F.concat(F.lit(p), F.col(key).cast("string")).alias("key"), vector(name).alias("vector"))
-    vectors = named("part", "", "p_partkey", "p_name").union(named("supplier", "s", "s_suppkey", "s_name")).union(named("customer", "c", "c_custkey", "c_name")).union(named("nation", "n", "n_nationkey", "n_name")).union(named("region", "r", "r_regionkey", "r_name"))
-    vectors = H.settled(vectors)
+    named = lambda t, p, key, name: table(spark, sf, t).select(F.concat(F.lit(p), F.col(key).cast("string")).alias("key"), F.col(name).alias("name"))
+    names = named("part", "", "p_partkey", "p_name").union(named("supplier", "s", "s_suppkey", "s_name")).union(named("customer", "c", "c_custkey", "c_name")).union(named("nation", "n", "n_nationkey", "n_name")).union(named("region", "r", "r_regionkey", "r_name"))
     ids = near.select("id").distinct()
     pairs = near.select(F.col("start").alias("a"), F.col("id").alias("b"))
     size = H.nodes(rows.select(F.col("child").alias("id"), F.lit("1").alias("active")), rows).count()
     ic = H.settled(H.information_content(H.descendant_counts(rows, ids.union(members(spark, sf, NATIONS, REGIONS)).distinct()), size))
     lin = H.settled(H.lin_similarity(pairs, H.settled(H.closure(rows, ids)), ic))
-    return soft.soft_map(candidates, vectors, lin).select("code", "target_id", "hops", "prob")
+    targets = near.select(F.col("start").alias("primary"), F.col("id").alias("target_id"), "hops")
+    return soft.soft_map(mapped, targets, names, lambda name: hashed_ngrams(name, 3, 32), lin).select("code", "target_id", "hops", "prob")

@@ -3,10 +3,11 @@
 import os
 
 import duckdb
+from pyspark.sql import functions as F
 
 from lexigraft import plans
 from lexigraft.functions import constants as C
-from lexigraft.operators import documents, silver, windows
+from lexigraft.operators import documents, hierarchy, silver, soft, windows
 from lexigraft.plans import load_queries
 from lexigraft.plans.annotation_queries import stamped_relations
 
@@ -152,3 +153,23 @@ def test_mapping_files_are_as_many_as_their_rows_need(spark, monkeypatch, tmp_pa
     assert rows // 500 * 0.8 <= len(files) <= rows // 500
     want = duckdb.sql(plans.ORACLE_SQL["q60d_mapping_files"].replace("FROM lineitem", f"FROM '{SF}/lineitem.parquet'")).fetchall()
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_names_are_encoded_once(spark):
+    """300 codes of two names, over two targets of one name; a code and a target without a name."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def encode(name):
+        calls.add(1)
+        return [float(len(name)), 1.0]
+
+    codes = spark.createDataFrame([(f"c{i}", f"t{i % 2}") for i in range(300)] + [("x", "t0")], "code string, primary string")
+    near = spark.createDataFrame([("t0", "t0", 0), ("t0", "t1", 2), ("t0", "t2", 2), ("t1", "t1", 0)], "primary string, target_id string, hops int")
+    names = spark.createDataFrame([(f"c{i}", "ab"[i % 3 == 0] * 2) for i in range(300)] + [("t0", "tt"), ("t1", "tt")], "key string, name string")
+    lin = spark.createDataFrame([("t0", "t0", 1.0), ("t0", "t1", 0.5)], "a string, b string, lin double")
+    got = {(r.code, r.target_id): r.prob for r in soft.soft_map(codes, near, names, encode, lin, 1.0).collect()}
+    assert calls.value == 3 and len(got) == 150 * 3 + 150 + 3
+    assert got["c1", "t1"] == 1.0 and got["c0", "t0"] > got["c0", "t1"] > got["c0", "t2"] > 0
+    assert abs(sum(got["c0", t] for t in ("t0", "t1", "t2")) - 1) < 1e-5
+    assert got["x", "t2"] > got["c0", "t2"]  # without names the others have no lead by name
