@@ -35,6 +35,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task at most, about, where a table's rows meet others.
+ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal a table of so many rows by its keys into as many tasks as its size asks for, so that a task's memory doesn't grow with it."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *keys)
+
+
 def edges(relationships: DataFrame, is_a: str = C.IS_A) -> DataFrame:
     """Distinct (child, parent, ord) of active is-a relationships (source_id, destination_id, type_id, active, ord)."""
     rows = relationships.filter((F.col("active") == "1") & (F.col("type_id") == is_a))
@@ -156,11 +165,16 @@ def lin_similarity(pairs: DataFrame, ancestors: DataFrame, ic: DataFrame) -> Dat
     common ancestor or no content gives 0.
     """
     own = ancestors.select("start", "reached").union(ic.select("id", "id"))
-    left = pairs.join(own.select(F.col("start").alias("a"), F.col("reached").alias("common")), "a")
-    shared = left.join(own.select(F.col("start").alias("b"), F.col("reached").alias("common")), ["b", "common"])
-    top = shared.join(ic.select(F.col("id").alias("common"), "ic"), "common", "left").groupBy("a", "b").agg(F.max(F.coalesce("ic", F.lit(0.0))).alias("top"))
-    of = lambda s: ic.select(F.col("id").alias(s), F.col("ic").alias(f"ic_{s}"))
-    out = pairs.join(top, ["a", "b"], "left").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    own = own.join(ic.select(F.col("id").alias("reached"), "ic"), "reached", "left").select("start", "reached", F.coalesce("ic", F.lit(0.0)).alias("ic"))
+    # a node's ancestors by falling content, so the first that two nodes share is the one that counts
+    sets = own.groupBy("start").agg(F.array_sort(F.collect_list(F.struct((-F.col("ic")).alias("_o"), "reached", "ic"))).alias("s")).join(ic.select(F.col("id").alias("start"), "ic"), "start", "left")
+    sets = settled(sets.select("start", F.col("s.reached").alias("ids"), F.col("s.ic").alias("ics"), F.coalesce("ic", F.lit(0.0)).alias("ic")))
+    of = lambda s: sets.select(F.col("start").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "ics", "ic")))
+    pairs = settled(pairs)
+    count = pairs.count()
+    out = spread(spread(pairs, count, "a").join(of("a"), "a", "left"), count, "b").join(of("b").drop("ics_b"), "b", "left")
+    first = F.get(F.array_intersect("ids_a", "ids_b"), F.lit(0))
+    out = out.select("a", "b", "ic_a", "ic_b", F.get("ics_a", F.array_position("ids_a", first).cast("int") - 1).alias("top"))
     total = F.coalesce("ic_a", F.lit(0.0)) + F.coalesce("ic_b", F.lit(0.0))
     value = F.when(F.col("a") == F.col("b"), F.lit(1.0)).when(F.col("top").isNull() | (total <= 0), F.lit(0.0)).otherwise(2 * F.col("top") / total)
     return out.select("a", "b", value.alias("lin"))

@@ -101,7 +101,9 @@ def q20b_lin_similarity(spark: SparkSession, sf: str) -> DataFrame:
     found = H.nodes(rows.select(F.col("child").alias("id"), F.lit("1").alias("active")), rows)
     ic = H.information_content(H.descendant_counts(rows, found), found.count())
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("b"))
-    pairs = table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a")).join(orders, "l_orderkey").select("a", "b").distinct()
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"))
+    count = lines.count()
+    pairs = H.spread(H.spread(lines, count, "l_orderkey").join(orders, "l_orderkey").select("a", "b"), count, "a", "b").distinct()
     return H.lin_similarity(pairs, H.closure(rows, members(spark, sf, SUPPLIERS, CUSTOMERS)), ic).select("a", "b", (F.round("lin", 6) + F.lit(0.0)).alias("lin"))
 
 

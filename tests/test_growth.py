@@ -173,3 +173,18 @@ def test_names_are_encoded_once(spark):
     assert got["c1", "t1"] == 1.0 and got["c0", "t0"] > got["c0", "t1"] > got["c0", "t2"] > 0
     assert abs(sum(got["c0", t] for t in ("t0", "t1", "t2")) - 1) < 1e-5
     assert got["x", "t2"] > got["c0", "t2"]  # without names the others have no lead by name
+
+
+def test_pairs_are_not_multiplied_by_common_ancestors(spark, monkeypatch):
+    """Nodes under a chain of 30: 900 pairs have all of it in common; tasks are as many as the pairs ask for."""
+    monkeypatch.setattr(hierarchy, "ROWS", 10)
+    above = [(f"n{i}", f"n{j}") for i in range(31) for j in range(i + 1, 31)] + [(f"{s}{k}", f"n{j}") for s in "ab" for k in range(30) for j in range(31)]
+    ic = spark.createDataFrame([(f"n{i}", (30 - i) / 10) for i in range(31)] + [(f"{s}{k}", 5.0) for s in "ab" for k in range(30)], "id string, ic double")
+    ancestors = spark.createDataFrame(above, "start string, reached string")
+    pairs = spark.createDataFrame([(f"a{i}", f"b{j}") for i in range(30) for j in range(30)] + [("a1", "a1"), ("a1", "n5"), ("n29", "n2"), ("a1", "none"), ("none", "none")], "a string, b string")
+    found = hierarchy.lin_similarity(pairs, ancestors, ic)
+    rows, records = shuffled(spark, found)
+    got = {(r.a, r.b): r.lin for r in rows}
+    assert len(rows) == len(got) == 905 and records < 8_000 and found.rdd.getNumPartitions() == 91
+    assert got["a3", "b7"] == 2 * 3.0 / 10 and got["a1", "n5"] == 2 * 2.5 / 7.5 and got["n29", "n2"] == 2 * 0.1 / (0.1 + 2.8)
+    assert got["a1", "a1"] == got["none", "none"] == 1.0 and got["a1", "none"] == 0.0
