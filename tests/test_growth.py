@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraft import plans
 from lexigraft.functions import constants as C
-from lexigraft.operators import documents, hierarchy, silver, soft, windows
+from lexigraft.operators import documents, fulltext, hierarchy, silver, soft, windows
 from lexigraft.plans import load_queries
 from lexigraft.plans.annotation_queries import stamped_relations
 
@@ -188,3 +188,21 @@ def test_pairs_are_not_multiplied_by_common_ancestors(spark, monkeypatch):
     assert len(rows) == len(got) == 905 and records < 8_000 and found.rdd.getNumPartitions() == 91
     assert got["a3", "b7"] == 2 * 3.0 / 10 and got["a1", "n5"] == 2 * 2.5 / 7.5 and got["n29", "n2"] == 2 * 0.1 / (0.1 + 2.8)
     assert got["a1", "a1"] == got["none", "none"] == 1.0 and got["a1", "none"] == 0.0
+
+
+def test_index_shuffles_texts_not_words(spark):
+    """3,000 documents of 40 words, half of them copies: building moves documents and lists, searching a list for each word and block."""
+    texts = [(i, " ".join(f"w{(i % 1500) * j % 97}" for j in range(1, 41))) for i in range(3000)]
+    docs = spark.createDataFrame(texts, "doc long, text string")
+    asked = spark.createDataFrame([("x", "w1 w2 w3 w4 w5"), ("y", "w7"), (None, "w1")], "query string, text string")
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    total = lambda found: sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+    before = total(stages())
+    rows = fulltext.ranked(fulltext.build(docs, block=500), asked, 3).collect()
+    records = total(stages()) - before
+    assert sorted((r["query"], r["rank"]) for r in rows) == [(q, i) for q in "xy" for i in (1, 2, 3)]
+    best = {q: [r.doc for r in sorted(rows, key=lambda r: r["rank"]) if r["query"] == q] for q in "xy"}
+    assert all(d[0] + 1500 == d[1] or d == sorted(d) for d in best.values())  # copies score alike
+    assert records < 12_000
+    hits, _ = shuffled(spark, fulltext.phrases(fulltext.build(docs, block=500), asked.filter("query = 'x'").withColumn("text", F.lit("w1 w2 w3"))))
+    assert {r.doc: r.hits for r in hits} == {d: t.split().count("w1") for d, t in texts if (d % 1500) % 97 == 1}
