@@ -206,3 +206,11 @@ def test_index_shuffles_texts_not_words(spark):
     assert records < 12_000
     hits, _ = shuffled(spark, fulltext.phrases(fulltext.build(docs, block=500), asked.filter("query = 'x'").withColumn("text", F.lit("w1 w2 w3"))))
     assert {r.doc: r.hits for r in hits} == {d: t.split().count("w1") for d, t in texts if (d % 1500) % 97 == 1}
+
+
+def test_lines_are_looked_up_from_the_numbers_asked_for(spark, tmp_path, monkeypatch):
+    """The closure starts at the 40 numbers at most that lines ask for, not at all parts."""
+    seeds, closure = [], hierarchy.closure
+    monkeypatch.setattr(hierarchy, "closure", lambda rows, ids, **how: seeds.append(ids.count()) or closure(rows, ids, **how))
+    checked(spark, tmp_path, tables(tmp_path), "q68h_dag_below")
+    assert len(seeds) == 1 and seeds[0] <= 40
