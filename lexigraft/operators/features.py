@@ -64,15 +64,27 @@ def entity_pairs(entities: DataFrame, positives: DataFrame, ratio: float = C.NEG
     entities (doc, idx), positives (doc, i, j, label, probability, ord). A
     document without positives has no negatives; positives stay even beyond `most`.
     """
-    best = F.max_by(F.struct("label", "probability"), F.struct("probability", -F.col("ord")))
-    kept = positives.groupBy("doc", "i", "j").agg(best.alias("b")).select("doc", "i", "j", F.col("b.label").alias("label"), F.col("b.probability").alias("weight"))
-    counts = kept.groupBy("doc").agg(F.count("*").alias("p"))
-    room = F.greatest(F.least(F.bround(F.lit(ratio) * F.col("p")), F.lit(most) - F.col("p")), F.lit(0))
-    left = entities.join(counts, "doc").select("doc", F.col("idx").alias("i"), room.alias("room"))
-    other = left.join(entities.select("doc", F.col("idx").alias("j")), "doc").filter("i <> j").join(kept.select("doc", "i", "j"), ["doc", "i", "j"], "left_anti")
-    ranked = other.withColumn("_rank", F.row_number().over(Window.partitionBy("doc").orderBy(hash_order("doc", "i", "j", seed=seed), "i", "j")))
-    negative = ranked.filter("_rank <= room").select("doc", "i", "j", F.lit("no-relation").alias("label"), F.lit(1.0).alias("weight"))
-    return kept.unionByName(negative)
+    kind = entities.schema["idx"].dataType
+    pair = F.struct(F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "probability", (-F.col("ord")).alias("early"), "label")
+    told = positives.select("doc", F.lit(None).cast(kind).alias("idx"), pair.alias("pair"))
+    rows = entities.select("doc", "idx").unionByName(told, allowMissingColumns=True)
+    # one shuffle, by document; all that follows stays where the document is
+    docs = rows.groupBy("doc").agg(F.collect_list("idx").alias("ids"), F.sort_array(F.collect_list("pair"), asc=False).alias("pairs"))
+    apart = lambda x, before: (x["i"] != before["i"]) | (x["j"] != before["j"])
+    docs = docs.select("doc", "ids", F.filter("pairs", lambda x, k: (k == 0) | apart(x, F.get("pairs", k - 1))).alias("kept"))
+    p = F.size("kept")
+    room = F.when(F.col("doc").isNotNull(), F.greatest(F.least(F.bround(F.lit(ratio) * p), F.lit(most) - p), F.lit(0))).otherwise(0)
+    docs = docs.withColumn("room", room)
+    # a row for the positive pairs, then one for each entity that others may be paired with
+    some = F.when(F.col("room") > 0, F.col("ids")).otherwise(F.array().cast(entities.schema["idx"].dataType.simpleString().join(("array<", ">"))))
+    each = docs.select("*", F.explode(F.concat(F.array(F.lit(None).cast(kind)), some)).alias("i"))
+    each = each.withColumn("own", F.transform(F.filter("kept", lambda x: x["i"] == F.col("i")), lambda x: x["j"]))
+    one = lambda i, j, label, weight, known: F.struct(i.alias("i"), j.alias("j"), label.alias("label"), weight.alias("weight"), F.lit(known).alias("known"))
+    positive = F.transform("kept", lambda x: one(x["i"], x["j"], x["label"], x["probability"], True))
+    other = F.transform(F.filter("ids", lambda j: (j != F.col("i")) & ~F.array_contains("own", j)), lambda j: one(F.col("i"), j, F.lit("no-relation"), F.lit(1.0), False))
+    out = each.select("doc", "room", F.explode(F.when(F.col("i").isNull(), positive).otherwise(other)).alias("x")).select("doc", "room", "x.*")
+    ranked = out.withColumn("_rank", F.row_number().over(Window.partitionBy("doc", "known").orderBy(hash_order("doc", "i", "j", seed=seed), "i", "j")))
+    return ranked.filter("known or _rank <= room").select("doc", "i", "j", "label", "weight")
 
 
 def synonym_counts(terms: DataFrame, least: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraft import plans
 from lexigraft.functions import constants as C
-from lexigraft.operators import documents, fulltext, hierarchy, silver, soft, windows
+from lexigraft.operators import documents, features, fulltext, hierarchy, silver, soft, windows
 from lexigraft.plans import load_queries
 from lexigraft.plans.annotation_queries import stamped_relations
 
@@ -214,3 +214,24 @@ def test_lines_are_looked_up_from_the_numbers_asked_for(spark, tmp_path, monkeyp
     monkeypatch.setattr(hierarchy, "closure", lambda rows, ids, **how: seeds.append(ids.count()) or closure(rows, ids, **how))
     checked(spark, tmp_path, tables(tmp_path), "q68h_dag_below")
     assert len(seeds) == 1 and seeds[0] <= 40
+
+
+def unsent(spark, run):
+    """run() with joins of tables that are too large to be sent."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_entity_pairs_are_made_where_their_document_is(spark, tmp_path):
+    """A document's lines are shuffled, its pairs aren't; what repeats or is null stays as it was."""
+    con = tables(tmp_path)
+    assert unsent(spark, lambda: checked(spark, tmp_path, con, "q34b_entity_pairs")) < 8_000
+    entities = spark.createDataFrame([("d", i) for i in range(4)] + [("e", 0), ("e", 1), (None, 0), (None, 1)], "doc string, idx int")
+    positives = spark.createDataFrame([("d", 0, 1, "a", 0.5, 1), ("d", 0, 1, "b", 0.7, 2), ("d", 0, 1, "c", 0.7, 0), ("d", 7, 8, "x", None, 0), (None, 0, 1, "n", 0.5, 0)], "doc string, i int, j int, label string, probability double, ord int")
+    got = [tuple(r) for r in features.entity_pairs(entities, positives, 2.0, 5).collect()]
+    assert sorted(str(g) for g in got if g[3] != "no-relation") == ["('d', 0, 1, 'c', 0.7)", "('d', 7, 8, 'x', None)", "(None, 0, 1, 'n', 0.5)"]
+    rest = [g for g in got if g[3] == "no-relation"]
+    assert len(rest) == len(set(rest)) == 3 and all(g[0] == "d" and g[1] != g[2] and g[1:3] != (0, 1) and g[4] == 1.0 for g in rest)
