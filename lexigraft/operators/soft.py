@@ -143,11 +143,24 @@ def norm_targets(mentions: DataFrame, soft: DataFrame) -> DataFrame:
 
     Probabilities of one target are added, then each mention's are made to sum to 1; a mention without mass has no rows.
     """
-    found = mentions.join(soft.select("code", "target_id", "prob"), "code", "left")
+    keep = ["code", "mapped_id", "confidence"]
+    asked = mentions.groupBy("mention").agg(F.collect_list(F.struct(*keep)).alias("_m"))
+    sums = soft.groupBy("code", "target_id").agg(F.sum("prob").alias("prob"))
+    # a mention of one row has its code's distribution, which is made once for all its mentions
+    totals = sums.groupBy("code").agg(F.sum("prob").alias("_total"), F.max(F.col("target_id").isNull()).alias("_open"))
+    own = sums.join(totals, "code").filter("not _open").select("code", "target_id", (F.col("prob") / F.nullif(F.col("_total"), F.lit(0.0))).alias("prob"))
+    one = asked.filter(F.size("_m") == 1).select("mention", F.get("_m", F.lit(0)).alias("_m")).select("mention", *(F.col(f"_m.{c}").alias(c) for c in keep))
+    weight = F.coalesce("confidence", F.lit(1.0)).alias("weight")
+    told = one.join(own, "code").select("mention", "target_id", "prob", weight)
+    plain = one.join(totals.filter("not _open").select("code"), "code", "left_anti")
+    # mentions of several rows, and codes with rows without a target, are added up for each mention
+    several = asked.filter(F.size("_m") > 1).select("mention", F.explode("_m").alias("_m")).select("mention", *(F.col(f"_m.{c}").alias(c) for c in keep))
+    found = plain.unionByName(several).join(soft.select("code", "target_id", "prob"), "code", "left")
     rows = found.select("mention", F.coalesce("target_id", "mapped_id").alias("target_id"), F.when(F.col("target_id").isNotNull(), F.col("prob")).otherwise(F.lit(1.0)).alias("prob"), F.coalesce("confidence", F.lit(1.0)).alias("weight"))
     rows = rows.filter("target_id is not null").groupBy("mention", "target_id").agg(F.sum("prob").alias("prob"), F.max("weight").alias("weight"))
     total = F.sum("prob").over(Window.partitionBy("mention"))
-    return rows.withColumn("prob", F.col("prob") / F.nullif(total, F.lit(0.0))).filter("prob is not null")
+    rows = rows.withColumn("prob", F.col("prob") / F.nullif(total, F.lit(0.0)))
+    return told.unionByName(rows).filter("prob is not null")
 
 
 def votes(assignments: DataFrame) -> DataFrame:

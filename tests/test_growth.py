@@ -235,3 +235,13 @@ def test_entity_pairs_are_made_where_their_document_is(spark, tmp_path):
     assert sorted(str(g) for g in got if g[3] != "no-relation") == ["('d', 0, 1, 'c', 0.7)", "('d', 7, 8, 'x', None)", "(None, 0, 1, 'n', 0.5)"]
     rest = [g for g in got if g[3] == "no-relation"]
     assert len(rest) == len(set(rest)) == 3 and all(g[0] == "d" and g[1] != g[2] and g[1:3] != (0, 1) and g[4] == 1.0 for g in rest)
+
+
+def test_soft_targets_of_a_mention_are_those_of_its_code(spark, tmp_path):
+    """Mentions are shuffled, not mentions times targets; those of several rows and codes without a target are added up."""
+    con = tables(tmp_path)
+    assert unsent(spark, lambda: checked(spark, tmp_path, con, "q30_soft_targets")) < 30_000
+    mentions = spark.createDataFrame([(1, "a", "z", 0.5), (2, "a", "t", 0.9), (2, "b", "u", 0.3), (3, "none", "m", None), (4, "none", None, None), (5, "open", "t", None), (6, "void", "q", None), (7, None, "m", 0.1)], "mention int, code string, mapped_id string, confidence double")
+    rows = spark.createDataFrame([("a", "s", 1.0), ("a", "t", 2.0), ("a", "t", 1.0), ("b", "t", 4.0), ("open", None, 0.5), ("open", "t", 1.0), ("void", "s", 0.0)], "code string, target_id string, prob double")
+    got = sorted(tuple(r) for r in soft.norm_targets(mentions, rows).select("mention", "target_id", "prob", "weight").collect())
+    assert got == [(1, "s", 0.25, 0.5), (1, "t", 0.75, 0.5), (2, "s", 0.125, 0.9), (2, "t", 0.875, 0.9), (3, "m", 1.0, 1.0), (5, "t", 1.0, 1.0), (7, "m", 1.0, 0.1)]
