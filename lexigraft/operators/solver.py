@@ -287,7 +287,7 @@ def solve_batch(batch: pa.RecordBatch, classes_of: dict[str, list[str]], anchore
 
 
 def solve_documents(docs: DataFrame, compatible: DataFrame, valid: DataFrame, branches: int = BRANCHES) -> DataFrame:
-    """Solve each row of docs (INPUT); compatible (semantic_class, concept) is cut to the candidates that docs hold.
+    """Solve each row of docs (INPUT); compatible (semantic_class, concept) is cut to the candidates that docs hold if it is too large to be sent.
 
     valid (relation, subject_class, object_class, valid) has a row for each of the
     few relations and classes. Null arrays count as empty. A document without a
@@ -295,14 +295,17 @@ def solve_documents(docs: DataFrame, compatible: DataFrame, valid: DataFrame, br
     list's first candidate. elapsed_ms is a document's share of its batch's time.
     """
     ids = F.flatten(F.transform("entities", lambda e: F.coalesce(F.transform(e["concepts"], lambda c: c["id"]), F.array().cast("array<string>"))))
-    own = docs.select(F.explode(ids).alias("concept")).distinct()
-    classes = settled(compatible.join(own, "concept", "left_semi").groupBy(F.col("concept").alias("key")).agg(F.collect_set("semantic_class").alias("value")))
+    classes = settled(compatible.groupBy(F.col("concept").alias("key")).agg(F.collect_set("semantic_class").alias("value")))
+    few = classes.count() <= SENT
+    if not few:  # else documents needn't be read for what they hold
+        own = docs.select(F.explode(ids).alias("key")).distinct()
+        classes = settled(classes.join(own, "key", "left_semi"))
+        few = classes.count() <= SENT
     anchored = {r[0] for r in compatible.select("semantic_class").distinct().collect()}
     table = [(r.relation, r.subject_class, r.object_class, r.valid) for r in valid.collect()]
     good, checked = {t[:3] for t in table if t[3]}, {t[0] for t in table} | set(C.TIER1_ATTRIBUTES)
 
     rows = docs.select("pmid", "entities", "pairs")
-    few = classes.count() <= SENT
     sent = docs.sparkSession.sparkContext.broadcast({r.key: r.value for r in classes.collect()} if few else None)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

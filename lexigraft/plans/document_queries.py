@@ -244,10 +244,13 @@ def q44_set_cover(spark: SparkSession, sf: str) -> DataFrame:
 def solved_orders(spark: SparkSession, sf: str, relations: tuple[tuple[str, float], ...]) -> DataFrame:
     """Orders as documents: lines are entities with two types and two concepts, neighbours are pairs with these relations."""
     chemical, disease = F.lit("chemical"), F.lit("disease")
-    score = F.col("l_discount") * 5 + 0.3
-    types = F.array(F.struct(F.when(F.col("l_returnflag") == "R", disease).otherwise(chemical).alias("label"), score.alias("score")), F.struct(F.when(F.col("l_returnflag") == "R", chemical).otherwise(disease).alias("label"), (F.lit(1.0) - score).alias("score")))
-    concepts = F.array(F.struct((F.col("l_partkey") % 100).cast("string").alias("id"), F.lit(0.6).alias("score")), F.struct((F.col("l_suppkey") % 100).cast("string").alias("id"), F.lit(0.4).alias("score")))
-    docs = line_arrays(spark, sf, types=types, concepts=concepts).withColumnRenamed("lines", "entities")
+    score = lambda x: x["discount"] * 5 + 0.3
+    label = lambda x, yes, no: F.when(x["flag"] == "R", yes).otherwise(no)
+    types = lambda x: F.array(F.struct(label(x, disease, chemical).alias("label"), score(x).alias("score")), F.struct(label(x, chemical, disease).alias("label"), (F.lit(1.0) - score(x)).alias("score")))
+    concepts = lambda x: F.array(F.struct((x["part"] % 100).cast("string").alias("id"), F.lit(0.6).alias("score")), F.struct((x["supplier"] % 100).cast("string").alias("id"), F.lit(0.4).alias("score")))
+    # lines are shuffled as they are and described in their order's row
+    docs = line_arrays(spark, sf, part=F.col("l_partkey"), supplier=F.col("l_suppkey"), flag=F.col("l_returnflag"), discount=F.col("l_discount"))
+    docs = docs.select("doc", F.transform("lines", lambda x: F.struct(types(x).alias("types"), concepts(x).alias("concepts"))).alias("entities"))
     candidates = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(points).alias("score")) for label, points in relations))
     pairs = F.when(F.size("entities") > 1, F.transform(F.sequence(F.lit(0), F.size("entities") - 2), lambda i: F.struct(i.alias("i"), (i + 1).alias("j"), candidates.alias("relations")))).otherwise(F.array().cast("array<struct<i: int, j: int, relations: array<struct<label: string, score: double>>>>"))
     ids = spark.range(100).select(F.when(F.col("id") % 3 == 0, chemical).otherwise(disease).alias("semantic_class"), F.col("id").cast("string").alias("concept"))

@@ -245,3 +245,14 @@ def test_soft_targets_of_a_mention_are_those_of_its_code(spark, tmp_path):
     rows = spark.createDataFrame([("a", "s", 1.0), ("a", "t", 2.0), ("a", "t", 1.0), ("b", "t", 4.0), ("open", None, 0.5), ("open", "t", 1.0), ("void", "s", 0.0)], "code string, target_id string, prob double")
     got = sorted(tuple(r) for r in soft.norm_targets(mentions, rows).select("mention", "target_id", "prob", "weight").collect())
     assert got == [(1, "s", 0.25, 0.5), (1, "t", 0.75, 0.5), (2, "s", 0.125, 0.9), (2, "t", 0.875, 0.9), (3, "m", 1.0, 1.0), (5, "t", 1.0, 1.0), (7, "m", 1.0, 0.1)]
+
+
+def test_solver_reads_documents_once(spark):
+    """Lines are shuffled once; what documents hold is only asked for if the classes are too many to be sent."""
+
+    class Late:
+        def collect(self):
+            return plans.QUERIES["q45_constraint_solver"](spark, SF).collect()
+
+    rows, records = shuffled(spark, Late())
+    assert len(rows) > 1_000 and records < 2 * len(rows)
