@@ -101,16 +101,17 @@ def layers(edge_rows: DataFrame) -> DataFrame:
     A node comes off once all its parents have; a round touches the children of
     the round before and the nodes that still wait for a parent.
     """
+    # joined by sorting: sent whole, a table of each round would go through the driver
     steps = settled(edge_rows.select("child", "parent").distinct())
     needs = settled(steps.groupBy(F.col("child").alias("id")).agg(F.count("*").alias("need")))
-    front = steps.select(F.col("parent").alias("id")).distinct().join(needs, "id", "left_anti").select("id", F.lit(0).alias("layer"))
+    front = steps.select(F.col("parent").alias("id")).distinct().hint("merge").join(needs, "id", "left_anti").select("id", F.lit(0).alias("layer"))
     front, waiting, layer = settled(front), None, 0
     out = front
     while not front.isEmpty():
         layer += 1
-        got = steps.join(front.select(F.col("id").alias("parent")), "parent").groupBy(F.col("child").alias("id")).agg(F.count("*").alias("got"))
+        got = steps.hint("merge").join(front.select(F.col("id").alias("parent")), "parent").groupBy(F.col("child").alias("id")).agg(F.count("*").alias("got"))
         got = got if waiting is None else got.union(waiting).groupBy("id").agg(F.sum("got").alias("got"))
-        counted = settled(got.join(needs, "id"))
+        counted = settled(got.hint("merge").join(needs, "id"))
         front, waiting = counted.filter("got = need").select("id", F.lit(layer).alias("layer")), counted.filter("got < need").select("id", "got")
         out = settled(out.union(front)) if layer % ROUNDS == 0 else out.union(front)
     return out

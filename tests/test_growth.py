@@ -256,3 +256,12 @@ def test_solver_reads_documents_once(spark):
 
     rows, records = shuffled(spark, Late())
     assert len(rows) > 1_000 and records < 2 * len(rows)
+
+
+def test_layers_send_no_table_through_the_driver(spark):
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 300)] + [(i, i // 3) for i in range(1, 300)], "child long, parent long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert {r.id: r.layer for r in hierarchy.layers(edges).collect()}[256] == 9
+    plans_ = store.executionsList(before, 1_000)
+    assert plans_.size() > 9 and not any("BroadcastExchange" in plans_.apply(i).physicalPlanDescription() for i in range(plans_.size()))
