@@ -26,8 +26,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """One document a line, null fields kept as keys."""
-    docs.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """One document a line, null fields kept as keys; files are gzipped, since most of a line is the same keys again and again."""
+    docs.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip").json(path)
 
 
 def write_table(df: DataFrame, path: str, *order: str, one_file: bool = False) -> None:
