@@ -12,6 +12,9 @@ from ..sources import annotated
 from .base import query, table
 from .document_queries import LINES, line_arrays
 
+#: Documents of an XML file at most: one task reads a whole file.
+FILE_DOCUMENTS = 100_000
+
 #: A mention stands after the mentions before it in the abstract, which stands after the title.
 SPANS = f"""WITH {LINES}, w AS (SELECT l_orderkey AS k, pos, 'P' || CAST(l_partkey AS VARCHAR) AS mention, CAST(l_suppkey AS VARCHAR) AS code, l_returnflag AS kind FROM lines),
 s AS (SELECT *, 'Order ' || CAST(k AS VARCHAR) AS title, CAST(coalesce(sum(length(mention) + 1) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS place FROM w),
@@ -76,7 +79,9 @@ def bioc(spark: SparkSession, sf: str, silver: bool) -> DataFrame:
     relation = F.transform(following(F.col("words")), lambda p: F.struct(
         infons(type=F.lit("CID"), score=F.lit("0.5"), role1=p["a"]["code"], role2=p["b"]["code"]).alias("infon"), F.array(node("Subject", p["i"]), node("Object", p["i"] + 1)).alias("node"),
     ))
-    orders(spark, sf).select(F.col("key").alias("id"), passages.alias("passage"), relation.alias("relation")).write.format("xml").option("rootTag", "collection").option("rowTag", "document").save(f"{path}/whole")
+    docs = orders(spark, sf).select(F.col("key").alias("id"), passages.alias("passage"), relation.alias("relation"))
+    xml = docs.write.format("xml").options(rootTag="collection", rowTag="document", indent="", compression="gzip", maxRecordsPerFile=FILE_DOCUMENTS)
+    xml.save(f"{path}/whole")
     if silver:  # a broken document for every tenth order
         broken = F.concat(F.lit("<document><id>"), "key", F.lit("</id><passage><offset>none</offset></passage></document>"))
         orders(spark, sf).filter(F.col("key").cast("long") % 10 == 0).select(broken.alias("value")).write.text(f"{path}/broken")

@@ -61,8 +61,9 @@ BIOC = (
 
 def infon(infons: Column, *keys: str) -> Column:
     """The first non-empty value among the keys, in the order of the keys."""
-    value = lambda k: F.nullif(F.trim(F.coalesce(F.try_element_at(F.filter(infons, lambda i: i["_key"] == k), F.lit(1))["_VALUE"], F.lit(""))), F.lit(""))
-    return F.coalesce(*(value(k) for k in keys), F.lit(""))
+    value = lambda k: F.trim(F.try_element_at(F.filter(infons, lambda i: i["_key"] == k), F.lit(1))["_VALUE"])
+    some = lambda v: F.try_element_at(F.filter(F.array(v), lambda x: x != ""), F.lit(1))  # noqa: E731  # nullif() would make the value twice
+    return F.coalesce(*(some(value(k)) for k in keys), F.lit(""))
 
 
 def bioc_documents(rows: DataFrame, silver: bool = False) -> DataFrame:
@@ -90,39 +91,46 @@ def bioc_documents(rows: DataFrame, silver: bool = False) -> DataFrame:
         chosen = F.filter("_p", lambda p: (p["text"] != "") & p["kind"].isin("abstract", "paragraph", "section", ""))
     abstract = F.array_join(F.transform(chosen, lambda p: p["text"]), " ")
 
-    moves = F.zip_with("_p", "_c", lambda p, c: F.struct(p["offset"].alias("low"), (p["offset"] + F.char_length(p["text"])).alias("high"), (c - p["offset"]).alias("by")))
+    # columns and structs, or each entity and each end of each relation makes its inputs anew
+    rows = rows.withColumn("_m", F.zip_with("_p", "_c", lambda p, c: F.struct(p["offset"].alias("low"), (p["offset"] + F.char_length(p["text"])).alias("high"), (c - p["offset"]).alias("by"))))
 
     def moved(start: Column) -> Column:
-        hits = F.filter(moves, (lambda m: m["low"] <= start) if silver else (lambda m: (m["low"] <= start) & (start <= m["high"])))
+        hits = F.filter("_m", (lambda m: m["low"] <= start) if silver else (lambda m: (m["low"] <= start) & (start <= m["high"])))
         return F.coalesce(F.try_element_at(hits, F.lit(-1 if silver else 1))["by"], F.lit(0))
 
     located = F.filter(F.flatten(F.transform("_p", lambda p: F.coalesce(p["annotation"], F.expr("array()").cast("array<struct<_id: string, infon: array<struct<_key: string, _VALUE: string>>, location: array<struct<_offset: int, _length: int>>, text: string>>")))), lambda a: F.size(F.coalesce(a["location"], F.expr("array()").cast("array<struct<_offset: int, _length: int>>"))) > 0)
 
-    def entity(a: Column) -> Column:
+    def placed(a: Column) -> Column:
         spot = F.element_at(a["location"], 1)
-        start = spot["_offset"]
+        return F.struct(a.alias("a"), spot.alias("spot"), moved(spot["_offset"]).alias("by"))
+
+    def entity(x: Column) -> Column:
+        a, spot = x["a"], x["spot"]
         return F.struct(
-            a["_id"].alias("ref"), (start + moved(start)).alias("start"), (start + spot["_length"] + moved(start)).alias("end"), F.coalesce(a["text"], F.lit("")).alias("mention"),
+            a["_id"].alias("ref"), (spot["_offset"] + x["by"]).alias("start"), (spot["_offset"] + spot["_length"] + x["by"]).alias("end"), F.coalesce(a["text"], F.lit("")).alias("mention"),
             infon(a["infon"], "type", "ner_type", "entity_type").alias("entity_type"), infon(a["infon"], "MESH", "identifier", "NCBI Gene", "identifier_raw").alias("code"), F.lit(None).cast("string").alias("extra"),
         )
 
-    rows = rows.withColumn("_e", F.transform(located, entity))
-    coded = lambda ref: F.coalesce(F.nullif(F.try_element_at(F.filter("_e", lambda e: e["ref"] == ref), F.lit(-1))["code"], F.lit("")), ref)
+    rows = rows.withColumn("_e", F.transform(F.transform(located, placed), entity))
+    rows = rows.withColumn("_k", F.transform("_e", lambda e: F.struct(e["ref"].alias("ref"), F.nullif(e["code"], F.lit("")).alias("code"))))
+    coded = lambda ref: F.coalesce(F.try_element_at(F.filter("_k", lambda k: k["ref"] == ref), F.lit(-1))["code"], ref)
 
-    def relation(r: Column) -> Column:
-        kind = infon(r["infon"], "type", "relation")
-        score = F.try_cast(infon(r["infon"], "score"), "double") if hasattr(F, "try_cast") else infon(r["infon"], "score").try_cast("double")
+    def ends(r: Column) -> Column:
+        """A relation with its two ends as they stand in it: codes in the silver form, else annotations."""
         if silver:
             subject, object_ = infon(r["infon"], "role1"), infon(r["infon"], "role2")
         else:
-            refs = F.transform(r["node"], lambda n: F.coalesce(n["_refid"], F.lit("")))
-            subject = F.coalesce(F.try_element_at(refs, F.lit(1)), F.lit(""))
-            object_ = F.coalesce(F.try_element_at(F.filter(refs, lambda x: x != F.try_element_at(refs, F.lit(1))), F.lit(1)), F.lit(""))
-            subject, object_ = F.when(subject != "", coded(subject)).otherwise(subject), F.when(object_ != "", coded(object_)).otherwise(object_)
-        return F.struct(kind.alias("relation_type"), subject.alias("subject"), object_.alias("object"), F.lit("").alias("novelty"), score.alias("score"))
+            subject = F.coalesce(F.try_element_at(r["node"], F.lit(1))["_refid"], F.lit(""))
+            object_ = F.coalesce(F.try_element_at(F.filter(F.transform(r["node"], lambda n: F.coalesce(n["_refid"], F.lit(""))), lambda x: x != subject), F.lit(1)), F.lit(""))
+        return F.struct(r["infon"].alias("infon"), subject.alias("subject"), object_.alias("object"))
+
+    def relation(r: Column) -> Column:
+        score = F.try_cast(infon(r["infon"], "score"), "double") if hasattr(F, "try_cast") else infon(r["infon"], "score").try_cast("double")
+        end = lambda ref: ref if silver else F.when(ref != "", coded(ref)).otherwise(ref)
+        return F.struct(infon(r["infon"], "type", "relation").alias("relation_type"), end(r["subject"]).alias("subject"), end(r["object"]).alias("object"), F.lit("").alias("novelty"), score.alias("score"))
 
     none = F.expr("array()").cast("array<struct<infon: array<struct<_key: string, _VALUE: string>>, node: array<struct<_role: string, _refid: string>>>>")
-    relations = F.filter(F.transform(F.coalesce("relation", none), relation), lambda r: (r["subject"] != "") & (r["object"] != ""))
+    relations = F.filter(F.transform(F.transform(F.coalesce("relation", none), ends), relation), lambda r: (r["subject"] != "") & (r["object"] != ""))
     return rows.select(F.coalesce(F.trim("id"), F.lit("")).alias("pmid"), title.alias("title"), abstract.alias("abstract"), F.transform("_e", lambda e: e.dropFields("ref")).alias("entities"), relations.alias("relations"))
 
 

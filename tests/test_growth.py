@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigraft import plans
 from lexigraft.functions import constants as C
 from lexigraft.operators import documents, features, fulltext, hierarchy, silver, soft, windows
-from lexigraft.plans import load_queries
+from lexigraft.plans import corpus_queries, load_queries
 from lexigraft.plans.annotation_queries import stamped_relations
 
 SF = "/root/testdata/sf0.001"
@@ -265,3 +265,19 @@ def test_layers_send_no_table_through_the_driver(spark):
     assert {r.id: r.layer for r in hierarchy.layers(edges).collect()}[256] == 9
     plans_ = store.executionsList(before, 1_000)
     assert plans_.size() > 9 and not any("BroadcastExchange" in plans_.apply(i).physicalPlanDescription() for i in range(plans_.size()))
+
+
+def bioc_files(spark, monkeypatch, folder, name):
+    """The files that a query writes on its way, once its rows are found to be those of its SQL."""
+    monkeypatch.setattr(corpus_queries.H, "shared_folder", lambda spark: str(folder))
+    monkeypatch.setattr(corpus_queries, "FILE_DOCUMENTS", 100, raising=False)
+    got = sorted(tuple(r) for r in plans.QUERIES[name](spark, SF).collect())
+    assert got == sorted(duckdb.sql(plans.ORACLE_SQL[name].replace("FROM lineitem", f"FROM '{SF}/lineitem.parquet'")).fetchall())
+    return [f"{d}/{f}" for d, _, files in os.walk(folder) for f in files if f.startswith("part-")], len(got)
+
+
+def test_bioc_files_are_compressed(spark, monkeypatch, tmp_path):
+    """XML is some twenty times its content; a file, which one task reads whole, holds so many documents at most."""
+    files, many = bioc_files(spark, monkeypatch, tmp_path, "q72b_bioc_files")
+    assert len(files) >= many / 100 and all(f.endswith(".xml.gz") for f in files)
+    assert sum(os.path.getsize(f) for f in files) < 200 * many
