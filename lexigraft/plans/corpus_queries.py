@@ -84,7 +84,7 @@ def bioc(spark: SparkSession, sf: str, silver: bool) -> DataFrame:
     xml.save(f"{path}/whole")
     if silver:  # a broken document for every tenth order
         broken = F.concat(F.lit("<document><id>"), "key", F.lit("</id><passage><offset>none</offset></passage></document>"))
-        orders(spark, sf).filter(F.col("key").cast("long") % 10 == 0).select(broken.alias("value")).write.text(f"{path}/broken")
+        orders(spark, sf).filter(F.col("key").cast("long") % 10 == 0).select(broken.alias("value")).write.option("compression", "gzip").text(f"{path}/broken")
     return described(annotated.read_bioc(spark, f"{path}/*", silver))
 
 

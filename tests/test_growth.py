@@ -281,3 +281,10 @@ def test_bioc_files_are_compressed(spark, monkeypatch, tmp_path):
     files, many = bioc_files(spark, monkeypatch, tmp_path, "q72b_bioc_files")
     assert len(files) >= many / 100 and all(f.endswith(".xml.gz") for f in files)
     assert sum(os.path.getsize(f) for f in files) < 200 * many
+
+
+def test_broken_bioc_files_are_compressed(spark, monkeypatch, tmp_path):
+    """The silver form writes broken documents too, in files of their own."""
+    files, many = bioc_files(spark, monkeypatch, tmp_path, "q72c_bioc_silver")
+    assert {f.rsplit("/")[-2] for f in files} == {"whole", "broken"} and all(f.endswith(".gz") for f in files)
+    assert sum(os.path.getsize(f) for f in files) < 200 * many
