@@ -79,6 +79,11 @@ def assemble(raw: DataFrame, scope: DataFrame, corpus: str, split: str) -> DataF
     )
 
 
+def coded(docs: DataFrame) -> DataFrame:
+    """Documents with no more of them than entities' codes, which is all that outcomes of a mapping need: texts, spans and relations stay out of shuffles."""
+    return docs.select("pmid", "corpus", "split", F.transform("entities", lambda e: F.struct(e["original_code"].alias("original_code"), e["out_of_scope"].alias("out_of_scope"))).alias("entities"))
+
+
 def stamp_concepts(docs: DataFrame, mapped: DataFrame) -> DataFrame:
     """Write each entity's target from mapped (code, target_id, confidence, target_active).
 

@@ -30,10 +30,13 @@ MAPPED = "m AS (SELECT CAST(code AS VARCHAR) AS code, CAST(sid AS VARCHAR) AS ta
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Assembled documents of orders, their split by the number of the order."""
-    even = F.col("l_partkey") % 2 == 0
-    kind = F.when(F.col("l_returnflag") == "A", "ChemicalEntity").when(F.col("l_returnflag") == "N", "DiseaseOrPhenotypicFeature").when(even, "GeneOrGeneProduct").otherwise("Thing")
+    even = lambda x: x["part"] % 2 == 0
+    kind = lambda x: F.when(x["flag"] == "A", "ChemicalEntity").when(x["flag"] == "N", "DiseaseOrPhenotypicFeature").when(even(x), "GeneOrGeneProduct").otherwise("Thing")
     names = F.array(*(F.lit(x) for x in ("Association", "Positive_Correlation", "Bind", "Other")))
-    docs = line_arrays(spark, sf, kind=kind, code=F.col("l_partkey").cast("string"), relation=F.get(names, F.col("l_linenumber") % 4), score=F.col("l_discount") * 10)
+    # lines are shuffled as they are and described in their order's row
+    docs = line_arrays(spark, sf, part=F.col("l_partkey"), flag=F.col("l_returnflag"), number=F.col("l_linenumber"), discount=F.col("l_discount"))
+    line = lambda x: F.struct(kind(x).alias("kind"), x["part"].cast("string").alias("code"), F.get(names, (x["number"] % 4).cast("int")).alias("relation"), (x["discount"] * 10).alias("score"))
+    docs = docs.withColumn("lines", F.transform("lines", line))
     mention = lambda x: F.concat(F.lit("P"), x["code"])
     entity = lambda x, i: F.struct((i * 10).alias("start"), (i * 10 + F.char_length(mention(x))).alias("end"), mention(x).alias("mention"), x["kind"].alias("entity_type"), x["code"].alias("code"), F.lit("").alias("extra"))
     pair = lambda x, i: F.struct(x["relation"].alias("relation_type"), x["code"].alias("subject"), F.get("lines", i + 1)["code"].alias("object"), F.lit("").alias("novelty"), x["score"].alias("score"))
@@ -73,7 +76,7 @@ c AS (SELECT '{CORPUS}' AS corpus, split, count(*) FILTER (a) AS active, count(*
 SELECT *, round_even(CAST(100 AS DOUBLE) * active / (active + inactive + unmapped), 1) AS active_pct, round_even(CAST(100 AS DOUBLE) * inactive / (active + inactive + unmapped), 1) AS inactive_pct,
 round_even(CAST(100 AS DOUBLE) * unmapped / (active + inactive + unmapped), 1) AS unmapped_pct FROM c""")
 def q51_mapping_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return D.mapping_shares(D.mapping_outcomes(D.stamp_concepts(documents(spark, sf), targets(spark, sf))))
+    return D.mapping_shares(D.mapping_outcomes(D.stamp_concepts(D.coded(documents(spark, sf)), targets(spark, sf))))
 
 
 def stamped_relations(spark: SparkSession, sf: str) -> DataFrame:

@@ -288,3 +288,21 @@ def test_broken_bioc_files_are_compressed(spark, monkeypatch, tmp_path):
     files, many = bioc_files(spark, monkeypatch, tmp_path, "q72c_bioc_silver")
     assert {f.rsplit("/")[-2] for f in files} == {"whole", "broken"} and all(f.endswith(".gz") for f in files)
     assert sum(os.path.getsize(f) for f in files) < 200 * many
+
+
+def test_outcomes_shuffle_codes_only(spark, tmp_path):
+    """Texts, spans and relations of documents stay out of the shuffles in which entities meet their targets."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    con, before = tables(tmp_path), written()
+    unsent(spark, lambda: checked(spark, tmp_path, con, "q51_mapping_outcomes"))
+    assert written() - before < 200 * con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    docs = spark.sql("SELECT 'a' AS pmid, 'c' AS corpus, 'train' AS split, array(named_struct('original_code', 'D1', 'out_of_scope', false, 'surface_text', 'x'), named_struct('original_code', 'D2', 'out_of_scope', true, 'surface_text', 'y')) AS entities, 'text' AS text")
+    docs = docs.union(docs).union(docs.selectExpr("NULL", "corpus", "split", "cast(NULL AS " + docs.schema["entities"].dataType.simpleString() + ")", "text"))
+    mapped = spark.createDataFrame([("D1", "t1", 0.9, True)], "code string, target_id string, confidence double, target_active boolean")
+    found = documents.mapping_outcomes(documents.stamp_concepts(documents.coded(docs), mapped)).collect()
+    assert [tuple(r) for r in found] == [("c", "train", 2, 0, 0, 2)]
