@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -215,21 +215,119 @@ def batches(rows: DataFrame, size: int, width: int = 64, length: Column | None =
 
 
 #: Characters of a stretch, in which spans and windows are brought together.
-STRETCH = 1_024
+STRETCH = 4_096
 
 
-def located(spans: DataFrame, rows: DataFrame) -> DataFrame:
-    """(doc, span, window, first, last) of spans (doc, span, start, end): their pieces in the first window that holds them whole.
+def stretched(rows: DataFrame, each: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, list[pa.Array]]], fields: str) -> DataFrame:
+    """(doc, stretch, value struct<fields>): what `each` makes of a batch of rows whose first column is doc: rows, their stretches, and the fields."""
+    doc = rows.schema["doc"].dataType.simpleString()
 
-    first and last are places in the window's lists. A span that no window holds whole has no row.
-    Spans meet the windows of their stretch of characters only, not all of a document.
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                at, stretch, values = each(batch)
+                value = pa.StructArray.from_arrays(values, names=[f.split(":")[0] for f in fields.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(stretch.astype(np.int64)), value], names=["doc", "stretch", "value"])
+
+    return rows.mapInArrow(all_, f"doc {doc}, stretch long, value struct<{fields}>")
+
+
+def located(spans: DataFrame, rows: DataFrame, reach: int | None = None) -> DataFrame:
+    """(doc, span, window, first, last, from, to) of spans (doc, span, start, end): their pieces in the first window that holds them whole.
+
+    rows are windows() or document_windows(). first and last are places in the
+    window's lists, from and to the pieces' first and last character. A span that
+    no window holds whole is in the window that holds its first piece, and last
+    goes on counting into the windows after that one. A span that touches no
+    piece has no row. Documents may be null.
+
+    Spans meet the windows of their stretch of characters only, in one shuffle to
+    which pieces go as their distances. reach: characters of a span at most, counted if it isn't given.
     """
-    stretch = lambda c: F.floor(c / STRETCH)
-    near = rows.select("doc", "window", F.col("starts").cast("array<int>").alias("starts"), F.col("ends").cast("array<int>").alias("ends"))
-    near = near.withColumn("_stretch", F.explode(F.sequence(stretch(F.element_at("starts", 1)), stretch(F.element_at("ends", -1)))))
-    joined = spans.withColumn("_stretch", stretch(F.col("start"))).join(near, ["doc", "_stretch"]).filter((F.element_at("starts", 1) <= F.col("start")) & (F.element_at("ends", -1) >= F.col("end")))
-    inside = F.transform("starts", lambda s, i: F.when((s < F.col("end")) & (F.get("ends", i) > F.col("start")), i))
-    inside = F.filter(inside, lambda i: i.isNotNull())
-    found = joined.withColumn("_i", inside).filter(F.size("_i") > 0)
-    one = F.min(F.struct("window", F.array_min("_i").alias("first"), F.array_max("_i").alias("last"), F.get("starts", F.array_min("_i")).cast("long").alias("from"), F.get("ends", F.array_max("_i")).cast("long").alias("to")))
-    return found.groupBy("doc", "span").agg(one.alias("w")).select("doc", "span", "w.*")
+    own = spans.select("doc", "span", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter("start is not null and end is not null")
+    if reach is None:
+        reach = own.agg(F.max(F.col("end") - F.col("start"))).first()[0]
+    reach, size = max(reach or 0, 1), STRETCH
+    span = spans.schema["span"].dataType.simpleString()
+
+    def spans_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        """A row for each run of spans of one document and stretch."""
+        doc = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        start, end = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        if (end - start).max() > reach:
+            raise ValueError(f"a span of {(end - start).max()} characters; they have {reach} at most")
+        stretch = start // size
+        at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (stretch[1:] != stretch[:-1])]))
+        ends = pa.array(np.append(at, len(start)), pa.int32())
+        of = lambda values: pa.ListArray.from_arrays(ends, values)
+        return at, stretch[at], [of(batch.column(1)), of(pa.array(start - stretch * size, pa.int32())), of(pa.array(end - start))]
+
+    def windows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        """A row for each window and stretch in which a span that it touches may begin."""
+        starts, ends = batch.column(3), batch.column(4)
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(starts).to_numpy())])
+        begin, end = starts.flatten().to_numpy(), ends.flatten().to_numpy()
+        low = begin[upto[:-1]]
+        first, last = np.maximum(low - reach, 0) // size, (end[upto[1:] - 1] - 1) // size
+        many = last - first + 1
+        at = np.repeat(np.arange(len(low)), many)
+        steps = np.diff(begin, prepend=0)
+        steps[upto[:-1]] = 0
+        of = lambda values: pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(values)).take(pa.array(at))
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(many) - many - first, many), [batch.column(1).cast(pa.int64()).take(pa.array(at)), batch.column(2).cast(pa.int64()).take(pa.array(at)), pa.array(low[at]), of(steps), of(end - begin)]
+
+    kinds = f"spans: array<{span}>, starts: array<int>, lengths: array<bigint>", "window: bigint, first: bigint, low: bigint, steps: array<bigint>, lengths: array<bigint>"
+    some = rows.select("doc", "window", "first", F.col("starts").cast("array<bigint>").alias("starts"), F.col("ends").cast("array<bigint>").alias("ends")).filter("size(starts) > 0")
+    left, right = stretched(own, spans_of, kinds[0]), stretched(some, windows_of, kinds[1])
+    none = lambda kind: F.lit(None).cast(f"struct<{kind}>")
+    both = left.select("doc", "stretch", F.col("value").alias("s"), none(kinds[1]).alias("w")).union(right.select("doc", "stretch", none(kinds[0]).alias("s"), F.col("value").alias("w")))
+    met = both.groupBy("doc", "stretch").agg(F.collect_list("s").alias("s"), F.array_sort(F.collect_list("w")).alias("w")).filter("size(s) > 0 and size(w) > 0")
+    doc = spans.schema["doc"].dataType.simpleString()
+    return met.mapInArrow(lambda batches: meet(batches, size), f"doc {doc}, span {span}, window long, first int, last int, from long, to long")
+
+
+def meet(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[pa.RecordBatch]:
+    """located() of rows (doc, stretch, runs of spans, windows in their order), stretches having so many characters."""
+    numbers = lambda array: array.to_numpy(zero_copy_only=False).astype(np.int64)
+    per_row = lambda lists: numbers(pc.list_value_length(lists))
+
+    for batch in batches:
+        runs, w = batch.column(2).flatten(), batch.column(3).flatten()
+        # a group is a row; spans and windows lie group by group
+        size = per_row(runs.field("spans"))
+        group = np.repeat(np.repeat(np.arange(len(batch)), per_row(batch.column(2))), size)
+        start = numbers(runs.field("starts").flatten()) + numbers(batch.column(1))[group] * characters
+        end = start + numbers(runs.field("lengths").flatten())
+        of = np.repeat(np.arange(len(batch)), per_row(batch.column(3)))
+        count, low, first = per_row(w.field("steps")), numbers(w.field("low")), numbers(w.field("first"))
+        at = np.concatenate([[0], np.cumsum(count)])
+        moved = np.concatenate([[0], np.cumsum(numbers(w.field("steps").flatten()))])
+        begins = moved[1:] - np.repeat(moved[at[:-1] + 1], count) + np.repeat(low, count)
+        ends = begins + numbers(w.field("lengths").flatten())
+        high = ends[at[1:] - 1]
+
+        # places count from the group's first, so that one search serves all groups, and another one all windows
+        base = np.minimum.reduceat(low, np.flatnonzero(np.diff(of, prepend=-1)))
+        base = np.minimum(base, np.minimum.reduceat(start, np.flatnonzero(np.diff(group, prepend=-1))))
+        start, end, owner = start - base[group], end - base[group], np.repeat(np.arange(len(count)), count)
+        low, high, begins, ends = low - base[of], high - base[of], begins - base[of][owner], ends - base[of][owner]
+        wide = int(max(high.max(), end.max())) + 2
+        lows, highs, all_begins, all_ends = of * wide + low, of * wide + high, owner * wide + begins, owner * wide + ends
+
+        last_of = np.searchsorted(of, group, "right") - 1
+        holds = np.minimum(np.searchsorted(highs, group * wide + end), last_of)  # the first window that ends late enough
+        whole = (low[holds] <= start) & (high[holds] >= end)
+        window = np.where(whole, holds, np.searchsorted(highs, group * wide + start, "right"))
+        until = np.where(whole, holds, np.searchsorted(lows, group * wide + end) - 1)
+        there = (window <= last_of) & (until >= window)
+        group, start, end, window, until = (x[there] for x in (group, start, end, window, until))
+        a = np.searchsorted(all_ends, window * wide + start, "right")
+        b = np.searchsorted(all_begins, until * wide + end) - 1
+        a, b = np.minimum(a, at[window + 1] - 1), np.maximum(b, at[until])
+        touched = (begins[a] < end) & (ends[a] > start) & (begins[b] < end) & (ends[b] > start)
+        group, window, until, a, b = (x[touched] for x in (group, window, until, a, b))
+        columns = [
+            batch.column(0).take(pa.array(group)), runs.field("spans").flatten().filter(pa.array(there)).filter(pa.array(touched)), w.field("window").take(pa.array(window)),
+            pa.array(a - at[window], pa.int32()), pa.array(b - at[until] + first[until] - first[window], pa.int32()), pa.array(begins[a] + base[group]), pa.array(ends[b] + base[group]),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "span", "window", "first", "last", "from", "to"])

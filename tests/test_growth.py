@@ -1,6 +1,7 @@
 """Work that grows no faster than the input: rows shuffled, and results on tables of many alike keys."""
 
 import os
+import random
 
 import duckdb
 from pyspark.sql import functions as F
@@ -306,3 +307,42 @@ def test_outcomes_shuffle_codes_only(spark, tmp_path):
     mapped = spark.createDataFrame([("D1", "t1", 0.9, True)], "code string, target_id string, confidence double, target_active boolean")
     found = documents.mapping_outcomes(documents.stamp_concepts(documents.coded(docs), mapped)).collect()
     assert [tuple(r) for r in found] == [("c", "train", 2, 0, 0, 2)]
+
+
+def test_all_spans_come_back_from_windows(spark, tmp_path, monkeypatch):
+    """Short words, words longer than a window, documents without an id, and spans of any kind against all windows of their document."""
+    documents_ = "SELECT * REPLACE (CASE WHEN doc_id = 3 THEN NULL ELSE doc_id END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' ' || repeat('x', 900) || ' a  of' ELSE text END AS text) FROM documents"
+    con = tables(tmp_path, documents=documents_, benchmark="SELECT * REPLACE (CASE WHEN item_id = (SELECT min(item_id) FROM benchmark) THEN repeat('x', 900) || '  a' ELSE text END AS text) FROM benchmark")
+    checked(spark, tmp_path, con, "q73c_spans_of_windows")
+
+    rnd, docs, rows = random.Random(3), [0, 1, 2, None], []
+    for d in docs:
+        at = 0
+        for _ in range(60):
+            at += rnd.choice([0, 0, 1, 5])
+            n = rnd.choice([1, 2, 3, 20])
+            rows.append((d, at, at + n, "p"))
+            at += n
+    cut_ = windows.windows(windows.numbered(spark.createDataFrame(rows, "doc long, start long, end long, piece string").filter("doc is not null")), 6, 2)
+    lost = cut_.filter("doc = 0").withColumn("doc", F.lit(None).cast("long"))  # a null document with the windows of the first
+    found = cut_.union(lost).coalesce(3)
+    spans = [(d, f"{d}-{i}", a, a + rnd.choice([0, 1, 3, 10, 40, 200])) for d in docs for i, a in enumerate(rnd.choices(range(400), k=150))]
+    kept = {d: sorted((r for r in found.collect() if r.doc == d), key=lambda r: r.window) for d in docs}
+
+    def brute(d, start, end):
+        hits = [[i for i, (s, e) in enumerate(zip(w.starts, w.ends, strict=True)) if s < end and e > start] for w in kept[d]]
+        held = [(w, h) for w, h in zip(kept[d], hits, strict=True) if h and w.starts[0] <= start and w.ends[-1] >= end]
+        if held:
+            w, h = held[0]
+            return w.window, h[0], h[-1], w.starts[h[0]], w.ends[h[-1]]
+        some = [(w, h) for w, h in zip(kept[d], hits, strict=True) if h]
+        if some:
+            (w, h), (v, g) = some[0], some[-1]
+            return w.window, h[0], v.first + g[-1] - w.first, w.starts[h[0]], v.ends[g[-1]]
+
+    want = sorted(str((d, i, *hit)) for d, i, start, end in spans if (hit := brute(d, start, end)))
+    df = spark.createDataFrame(spans, "doc long, span string, start long, end long")
+    for stretch in (windows.STRETCH, 11):
+        monkeypatch.setattr(windows, "STRETCH", stretch)
+        got = sorted(str(tuple(r)) for r in windows.located(df, found).collect())
+        assert got == want and len(want) > 300
